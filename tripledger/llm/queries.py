@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tripledger.llm import exact_dedup, mixing
+from tripledger.llm import bpe, exact_dedup, mixing, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1,
+        "op4_token_counts": token_counts.op4,
+        "op9_bpe": bpe.op9,
         "op10_mixing": mixing.op10,
     }
 
