@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tripledger.llm import bpe, exact_dedup, mixing, token_counts
+from tripledger.llm import bpe, exact_dedup, html_extract, mixing, secret_scan, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1,
+        "op3_secret_scan": secret_scan.op3,
         "op4_token_counts": token_counts.op4,
+        "op5_html_extract": html_extract.op5,
         "op9_bpe": bpe.op9,
         "op10_mixing": mixing.op10,
     }
