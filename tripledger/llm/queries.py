@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripledger.llm import bpe, exact_dedup, html_extract, language_id, mixing, secret_scan, token_counts, toxicity
+from tripledger.llm import bpe, exact_dedup, html_extract, language_id, mixing, ngram_join, secret_scan, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_secret_scan": secret_scan.op3,
         "op4_token_counts": token_counts.op4,
         "op5_html_extract": html_extract.op5,
+        "op6_ngram_join": ngram_join.op6,
         "op7_toxicity": toxicity.op7,
         "op8_language_id": language_id.op8,
         "op9_bpe": bpe.op9,
