@@ -29,3 +29,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ties = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "ties")
     return ties.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(ties.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def classes(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """id, node, class_id, n_links and kept for every row.
+
+    rows: (id, node), the node null where a row is linked with nothing; nodes: (node, copies, least_id); found:
+    (a, b, links), a tie between two nodes, and links to count for a, with their copies.
+    """
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    roots = connected_components(found.select("a", "b")).join(nodes.select("node", "least_id"), "node")
+    named = roots.join(roots.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select("node", "class_id")
+    about = nodes.select("node", "copies", "least_id").join(named, "node", "left").join(links, "node", "left")
+    about = about.select("node", F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = rows.select("id", "node").join(about, "node", "left")
+    class_id = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id"))
+    return out.select("id", "node", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("id").eqNullSafe(class_id).alias("kept"))

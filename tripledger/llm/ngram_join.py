@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.llm.common import written
-from tripledger.llm.components import connected_components
+from tripledger.llm.components import classes
 
 NGRAM, THRESHOLD, RECALL, SEED = 5, 0.8, 0.9999, 20_240_601
 BLOCK = 1000
@@ -252,14 +252,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(_verifier(n, threshold), "a binary, b binary, links bigint")
     found = written(found, "found")
 
-    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select("a", "b")).join(nodes.select("node", "least_id"), "node")
-    classes = roots.join(roots.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select("node", "class_id")
-    about = nodes.select("node", "copies", "least_id").join(classes, "node", "left").join(links, "node", "left")
-    about = about.select("node", F.coalesce("class_id", "least_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("id", "node").join(about, "node", "left")
-    class_id = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id"))
-    return out.select("id", "node", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("id").eqNullSafe(class_id).alias("kept"))
+    return classes(signed, nodes, found)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

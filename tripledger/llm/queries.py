@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tripledger.llm import bpe, exact_dedup, html_extract, language_id, mixing, ngram_join, secret_scan, token_counts, toxicity
+from tripledger.llm import bpe, embedding_join, exact_dedup, html_extract, language_id, mixing, ngram_join, secret_scan, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1,
+        "op2_embedding_join": embedding_join.op2,
         "op3_secret_scan": secret_scan.op3,
         "op4_token_counts": token_counts.op4,
         "op5_html_extract": html_extract.op5,
