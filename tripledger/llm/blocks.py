@@ -5,15 +5,19 @@ its number in the block's own dictionary, positions kept. The dictionary, not th
 one row for each (block, bucket) holds the block's distinct words of that bucket, so a word that occurs in
 every document is sent once for each block and no key is ever hot. A bucket's reducer evaluates each distinct
 word once, whatever the number of blocks that hold it, and sends the values back by block, where they meet the
-numbered texts again. Blocks are formed from the rows of one scan task in order; a recomputed task forms the
-same blocks, as their identifiers hold a digest of what is in them.
+numbered texts.
+
+Texts and dictionaries are two passes over the same scan, so that neither is stored in between; a lost executor's
+part is made again from the input. A block's identifier is a digest of what it holds. If the input gave other
+rows the second time, identifiers or word counts would differ, and the job fails instead of giving wrong values.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,24 +26,27 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import shuffle_partitions, written
+from tripledger.llm.common import shuffle_partitions
 
 BLOCK_CHARS = 6_000_000
 
 #: Rows of either kind: a block's numbered texts (bucket -1), or its words of a bucket and later their values.
-SCHEMA = "block string, bucket int, ids array<string>, n_bytes array<bigint>, n_codes array<int>, codes binary, freqs binary, lengths binary, data binary"
+SCHEMA = "block string, bucket int, ids array<string>, n_bytes array<bigint>, n_codes array<int>, codes binary, freqs binary, dealt binary, lengths binary, data binary"
 ARROW = pa.schema([
-    ("block", pa.string()), ("bucket", pa.int32()), ("ids", pa.list_(pa.string())), ("n_bytes", pa.list_(pa.int64())),
-    ("n_codes", pa.list_(pa.int32())), ("codes", pa.binary()), ("freqs", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary()),
+    ("block", pa.string()), ("bucket", pa.int32()), ("ids", pa.list_(pa.string())), ("n_bytes", pa.list_(pa.int64())), ("n_codes", pa.list_(pa.int32())),
+    ("codes", pa.binary()), ("freqs", pa.binary()), ("dealt", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary()),
 ])
 
 
 def packed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+    """Whole numbers under 2**32, the bytes of equal weight side by side."""
+    planes = np.ascontiguousarray(np.asarray(values, "<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
-def unpacked(blob: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
 def pack_words(words: list[bytes]) -> dict:
@@ -47,7 +54,7 @@ def pack_words(words: list[bytes]) -> dict:
 
 
 def unpack_words(lengths: bytes, data: bytes) -> list[bytes]:
-    ends = np.cumsum(unpacked(lengths, "<u4"), dtype=np.int64).tolist()
+    ends = np.cumsum(unpacked(lengths)).tolist()
     whole = zstandard.ZstdDecompressor().decompress(data)
     return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
@@ -56,56 +63,56 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
 
-def _block(ids: list, n_bytes: list, n_codes: list[int], codes: list[int], freqs: list[int] | None, words: Iterable[str], buckets: int) -> Iterator[pa.RecordBatch]:
-    raw = [w.encode() for w in words]
-    dealt = np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % buckets
-    order = np.argsort(dealt, kind="stable")  # numbers follow the buckets, so a bucket's values need no numbers with them
-    number = np.empty(len(raw), "<u4")
-    number[order] = np.arange(len(raw), dtype="<u4")
-    codes = number[np.asarray(codes, np.int64)] if codes else np.empty(0, "<u4")
-    digest = hashlib.blake2b(codes.tobytes() + b"".join(raw) + repr((ids, n_codes)).encode(), digest_size=16).hexdigest()
-    yield _rows([{
-        "block": digest, "bucket": -1, "ids": ids, "n_bytes": n_bytes, "n_codes": n_codes, "codes": packed(codes),
-        "freqs": packed(np.asarray(freqs, "<u4")) if freqs is not None else None,
-    }])
-    cuts = np.searchsorted(dealt[order], np.arange(buckets + 1))
-    rows = [{"block": digest, "bucket": b, **pack_words([raw[i] for i in order[lo:hi].tolist()])} for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi]
-    if rows:
-        yield _rows(rows)
-
-
-def _mapper(split: Callable, buckets: int, counted: bool) -> Callable:
+class Block:
+    """Texts as numbers of the block's own words; counted: each text's distinct words with their frequencies instead."""
+
+    def __init__(self, counted: bool):
+        self.ids, self.n_bytes, self.n_codes, self.codes, self.freqs, self.chars, self.counted = [], [], [], [], [], 0, counted
+        self.number = defaultdict()
+        self.number.default_factory = self.number.__len__
+
+    def add(self, key, text: str, found: list[str]) -> None:
+        if self.counted:
+            count = Counter(found)
+            codes, freqs = np.array([self.number[w] for w in count], np.int64), np.fromiter(count.values(), np.int64, len(count))
+            order = np.argsort(codes)
+            self.codes.append(np.diff(codes[order], prepend=0))
+            self.freqs.append(freqs[order])
+        else:
+            self.codes.append(np.array([self.number[w] for w in found], np.int64))
+        self.ids.append(None if key is None else str(key))
+        self.n_bytes.append(len(text.encode()))
+        self.n_codes.append(len(self.codes[-1]))
+        self.chars += len(text)
+
+    def rows(self, texts: bool, buckets: int) -> Iterator[pa.RecordBatch]:
+        raw = [w.encode() for w in self.number]
+        codes = packed(np.concatenate([np.empty(0, np.int64), *self.codes]))
+        digest = hashlib.blake2b(codes + b"".join(raw) + repr((self.ids, self.n_codes)).encode(), digest_size=16).hexdigest()
+        dealt = np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % buckets
+        if texts:
+            freqs = packed(np.concatenate([np.empty(0, np.int64), *self.freqs])) if self.counted else None
+            yield _rows([{"block": digest, "bucket": -1, "ids": self.ids, "n_bytes": self.n_bytes, "n_codes": self.n_codes, "codes": codes, "freqs": freqs, "dealt": packed(dealt)}])
+        elif raw:
+            order = np.argsort(dealt, kind="stable")
+            cuts = np.searchsorted(dealt[order], np.arange(buckets + 1))
+            yield _rows([{"block": digest, "bucket": b, **pack_words([raw[i] for i in order[lo:hi].tolist()])} for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if lo < hi])
+
+
+def _mapper(split: Callable, buckets: int, counted: bool, texts: bool) -> Callable:
     """split(): returns the function that yields a text's pre-tokens, made once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter, defaultdict
-
-        pieces = split()
-
-        def fresh():
-            number = defaultdict()
-            number.default_factory = number.__len__
-            return [], [], [], [], [] if counted else None, number, 0
-
-        ids, n_bytes, n_codes, codes, freqs, number, chars = fresh()
+        pieces, block = split(), Block(counted)
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or ""
-                found = pieces(text)
-                if counted:
-                    count = Counter(found)
-                    freqs.extend(count.values())
-                    found = count.keys()
-                codes.extend([number[w] for w in found])
-                ids.append(None if key is None else str(key))
-                n_bytes.append(len(text.encode()))
-                n_codes.append(len(found))
-                chars += len(text)
-                if chars >= BLOCK_CHARS:
-                    yield from _block(ids, n_bytes, n_codes, codes, freqs, number, buckets)
-                    ids, n_bytes, n_codes, codes, freqs, number, chars = fresh()
-        if ids:
-            yield from _block(ids, n_bytes, n_codes, codes, freqs, number, buckets)
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = value.as_py() or ""
+                block.add(key, text, pieces(text))
+                if block.chars >= BLOCK_CHARS:
+                    yield from block.rows(texts, buckets)
+                    block = Block(counted)
+        if block.ids:
+            yield from block.rows(texts, buckets)
 
     return run
 
@@ -131,23 +138,34 @@ def _reducer(evaluate: Callable) -> Callable:
 
 def distinct_word_join(docs: DataFrame, id_col: str, text_col: str, split: Callable, evaluate: Callable, finish: Callable, schema: str, counted: bool) -> DataFrame:
     """finish(texts, lengths, data) makes a block's result: the row of its texts, and each word's value by number."""
-    spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
-    mapped = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(_mapper(split, buckets, counted), SCHEMA)
-    mapped = written(mapped, "blocks")
-    values = mapped.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_reducer(evaluate), SCHEMA)
+    buckets = shuffle_partitions(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    texts = rows.mapInArrow(_mapper(split, buckets, counted, texts=True), SCHEMA)
+    words = rows.mapInArrow(_mapper(split, buckets, counted, texts=False), SCHEMA)
+    values = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_reducer(evaluate), SCHEMA)
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bucket")
-        texts, of_words = rows[rows.bucket < 0], rows[rows.bucket >= 0]
-        lengths = np.concatenate([np.empty(0, "<u4"), *(unpacked(x, "<u4") for x in of_words.lengths)])
-        data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in of_words.data)
-        # Blocks with the same identifier hold the same rows, and each has its own row of texts.
-        copies = len(texts)
-        if copies > 1 and len(of_words):
-            first = of_words.drop_duplicates("bucket")
-            lengths = np.concatenate([unpacked(x, "<u4") for x in first.lengths])
-            data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in first.data)
-        return pd.concat([finish(row, lengths, data) for row in texts.itertuples()], ignore_index=True)
-
-    return mapped.where("bucket < 0").unionByName(values).groupBy("block").applyInPandas(joined, schema)
+        own, given = rows[rows.bucket < 0], rows[rows.bucket >= 0].drop_duplicates("bucket").sort_values("bucket")
+        if own.empty:
+            raise RuntimeError("the input gave other rows when it was read again: values without their texts")
+        dealt = unpacked(own.dealt.iloc[0])
+        by_bucket = np.argsort(dealt, kind="stable")
+        lengths = np.concatenate([np.empty(0, np.int64), *(unpacked(x) for x in given.lengths)])
+        if len(lengths) != len(dealt):
+            raise RuntimeError("the input gave other rows when it was read again: words without their values")
+        data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in given.data), np.uint8)
+        # From the order of buckets to the order of numbers.
+        number = np.empty(len(dealt), np.int64)
+        number[by_bucket] = np.arange(len(dealt))
+        data = gathered(data, np.concatenate([[0], np.cumsum(lengths)]), number).tobytes()
+        # Blocks that hold the same have the same identifier; each has its own row of texts.
+        return pd.concat([finish(row, lengths[number], data) for row in own.itertuples()], ignore_index=True)
+
+    return texts.unionByName(values).groupBy("block").applyInPandas(joined, schema)
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The stretches values[starts[c]:starts[c + 1]] for each c in codes, one after the other."""
+    first, n = starts[codes], starts[codes + 1] - starts[codes]
+    ends = np.cumsum(n)
+    return values[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]

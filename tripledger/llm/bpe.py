@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tripledger.llm.blocks import distinct_word_join, unpacked
+from tripledger.llm.blocks import distinct_word_join, gathered, unpacked
 
 
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
@@ -40,15 +40,8 @@ def token_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(tokens), np.uint8), starts
 
 
-def gathered(values: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The stretches values[starts[c]:starts[c + 1]] for each c in codes, one after the other."""
-    first, n = starts[codes], starts[codes + 1] - starts[codes]
-    ends = np.cumsum(n)
-    return values[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-
-
-def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, outputs: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``outputs``, ids (array<int>) and decoded (binary).
+def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and those of ids (array<int>) and decoded (binary) that ``outputs`` names.
 
     A null text counts as empty and has no ids. Null and repeated identifiers pass through, a row each; an empty
     input gives an empty result; other columns play no part.
@@ -69,8 +62,8 @@ def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: s
 
     def finish(texts, lengths, data) -> pd.DataFrame:
         ids = np.frombuffer(data, "<u4")
-        starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64) // 4])
-        codes = unpacked(texts.codes, "<u4").astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths) // 4])
+        codes = unpacked(texts.codes)
         bytes_of, byte_starts = token_table(path)
         rows, at = [], 0
         for key, n in zip(texts.ids, texts.n_codes):
@@ -78,15 +71,15 @@ def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: s
             at += n
             decoded = gathered(bytes_of, byte_starts, own.astype(np.int64)).tobytes()
             row = (None if key is None else int(key), len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest())
-            rows.append((*row, own.astype(np.int32), decoded) if outputs else row)
-        out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if outputs else [])])
+            rows.append((*row, *({"ids": own.astype(np.int32), "decoded": decoded}[c] for c in outputs)))
+        out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *outputs])
         return out.assign(doc_id=pd.array(out.doc_id.tolist(), dtype="Int64"))
 
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * outputs
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {'array<int>' if c == 'ids' else 'binary'}" for c in outputs)
     return distinct_word_join(docs, id_col, text_col, split, evaluate, finish, schema, counted=False)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     from tripledger.llm.common import table
 
-    return bpe(table(spark, sf_dir, "documents"), outputs=False)
+    return bpe(table(spark, sf_dir, "documents"), outputs=())

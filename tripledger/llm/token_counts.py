@@ -75,10 +75,12 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def finish(texts, lengths, data) -> pd.DataFrame:
         of_word = np.frombuffer(data, "<u4").astype(np.int64)
-        codes, freqs = unpacked(texts.codes, "<u4"), unpacked(texts.freqs, "<u4")
+        freqs, steps, n_codes = unpacked(texts.freqs), unpacked(texts.codes), np.asarray(texts.n_codes, np.int64)
+        ends = np.cumsum(n_codes)
+        summed = np.concatenate([[0], np.cumsum(steps)])  # each text's codes are steps from 0
+        codes = summed[1:] - np.repeat(summed[ends - n_codes], n_codes)
         upto = np.concatenate([[0], np.cumsum(of_word[codes] * freqs)])
-        ends = np.cumsum(np.asarray(texts.n_codes, np.int64))
-        n = upto[ends] - upto[ends - np.asarray(texts.n_codes, np.int64)]
+        n = upto[ends] - upto[ends - n_codes]
         ids = pd.array([None if x is None else int(x) for x in texts.ids], dtype="Int64")
         return pd.DataFrame({"doc_id": ids, "n_bytes": np.asarray(texts.n_bytes, np.int64), "n_tokens": n, "over_limit": n > limit})
 
