@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from tripledger.plans import oracle, vehicle
+
 FLAGSHIP = "vehicle_daily_pnl"
 
 
 def queries() -> dict:
-    return {}
+    return vehicle.queries()
 
 
 def oracle_sql() -> dict:
-    return {}
+    return oracle.oracle_sql()
