@@ -56,10 +56,12 @@ WITH zones(zone_id, zone_name, zone_class, lat_min, lat_max, lon_min, lon_max, d
 ), prev AS (
   SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(event_time) OVER w AS ptime, lag(status) OVER w AS pstatus
   FROM valid WINDOW w AS (PARTITION BY vehicle_id, sim_date ORDER BY event_time, event_id)
+), chords AS (
+  SELECT *, pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2) AS chord FROM prev
 ), seg AS (
-  SELECT *, coalesce({2 * EARTH_RADIUS_KM!r}e0 * asin(sqrt(least(1e0, pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))), 0e0) AS km,
+  SELECT *, coalesce({2 * EARTH_RADIUS_KM!r}e0 * asin(sqrt(CASE WHEN chord > 1 THEN 1e0 ELSE chord END)), 0e0) AS km,
          coalesce((floor(epoch(event_time)) - floor(epoch(ptime))) / 60e0, 0e0) AS minutes
-  FROM prev
+  FROM chords
 ), trips AS (
   SELECT vehicle_id, sim_date, count(DISTINCT CASE WHEN status = 'on_trip' THEN trip_id END) AS trips, sum(km) AS telemetry_distance_km,
          sum(CASE WHEN pstatus = 'on_trip' THEN km ELSE 0e0 END) AS paid_distance_km, sum(CASE WHEN pstatus = 'enroute' THEN km ELSE 0e0 END) AS deadhead_distance_km,
