@@ -42,6 +42,7 @@ LAYOUT_HINTS = frozenset({
     "sidebar", "aside", "menu", "nav", "navbar", "navigation", "footer", "header", "masthead", "breadcrumb", "breadcrumbs", "popup", "modal", "overlay", "widget",
     "login", "search", "pagination", "pager", "toolbar", "tags", "copyright", "contentinfo", "complementary", "skip", "legal", "disclaimer", "paywall", "dialog",
 })
+LAYOUT_STEMS = ("advert", "sponsor", "sidebar", "cookie", "breadcrumb", "newsletter", "adsby")
 READER_HINTS = frozenset({"comment", "comments", "reply", "replies", "discussion", "disqus", "respond", "reactions"})
 ARTICLE_HINTS = frozenset({"article", "content", "main", "post", "entry", "story", "body", "text", "prose"})
 
@@ -76,8 +77,8 @@ def opened(tag: str, source: str, parent: Element | None) -> Element:
             e.unseen = True
     if tag in UNSEEN:
         e.unseen = True
-    negative = bool(hints & LAYOUT_HINTS)
-    if hints & READER_HINTS:
+    negative = bool(hints & LAYOUT_HINTS) or any(h.startswith(LAYOUT_STEMS) for h in hints)
+    if hints & READER_HINTS or any(h.startswith("comment") for h in hints):
         e.reader = True
     if tag in BOILER and not (tag == "header" and e.article and not e.boiler):
         e.boiler = 2

@@ -27,6 +27,8 @@ LENGTHS = (2, 3, 4)
 #: Accuracy that rows above the rejection threshold reach on the rows kept back.
 ACCEPTED_ACCURACY = 0.99
 PIECE = 1 << 20
+#: Up to so many languages their row counts are broadcast.
+MOST_BROADCAST = 10_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -125,7 +127,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     wide = float(1 << 62)
     hashed = F.xxhash64(id_col).bitwiseAND(F.lit((1 << 62) - 1)).cast("double") / wide
     rows = own.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), hashed.alias("_hash"))
-    rows = rows.join(counts, "_lang").where(F.col("_hash") * F.col("_n") <= each).select("_id", "_text", "_lang")
+    few = n_langs <= MOST_BROADCAST  # else both sides are shuffled
+    rows = rows.join(F.broadcast(counts) if few else counts, "_lang").where(F.col("_hash") * F.col("_n") <= each).select("_id", "_text", "_lang")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
