@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -259,8 +260,6 @@ def q_dq_log(t: Tables) -> DataFrame:
 
 def around(t: Tables):
     """A range that has every owner, around the last day of the data."""
-    from datetime import timedelta
-
     last = t.span()[1]
     at = lambda n: (last + timedelta(days=n)).isoformat()
     return {"hwm": at(-4), "first": at(-8), "last": at(2), "today": at(-1)}
@@ -359,6 +358,27 @@ def q_stream_progress(t: Tables) -> DataFrame:
     return listener.table(t.spark).where("kind = 'progress'").select("query", "batch", "rows_in", "state_rows", "late_rows")
 
 
+def q_stream_late(t: Tables) -> DataFrame:
+    """The events in two halves, their last hour once more, then a part of the first half, late: what the stream counts as dropped, and the windows it keeps."""
+    events, root, files_each = adapters.table(t.spark, t.sf_dir, "events"), scratch(t.spark, "late"), 2
+    ends = events.agg(F.min("ts"), F.max("ts")).first()
+    middle, last_hour = ends[0] + (ends[1] - ends[0]) / 2, ends[1] - timedelta(hours=1)
+    ts = F.col("ts")
+    parts = (ts < F.lit(middle), ts >= F.lit(middle), ts >= F.lit(last_hour), (ts < F.lit(middle)) & (F.col("event_type") == "view"))
+    for k, part in enumerate(parts):
+        events.where(part).repartition(files_each, "event_id").write.parquet(f"{root}/events-{k}.parquet")
+    listener = jobs.Progress()
+    t.spark.streams.addListener(listener)
+    try:
+        layer = jobs.SpeedLayer(t.spark, adapters.telemetry_stream(t.spark, root, files_each), f"{root}/out", {"availableNow": True})
+        jobs.finished(layer.start(["activity"]))
+        t.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        t.spark.streams.removeListener(listener)
+    dropped = listener.table(t.spark).agg((F.sum("late_rows") > 0).alias("late_rows_dropped"))
+    return layer.newest("activity", ["window_end", "zone_id"]).select(end_s(), "zone_id", "pings").crossJoin(F.broadcast(dropped))  # one row
+
+
 QUERIES = {
     "scan_day": lambda t: files.scan_day(t.valid(), "2024-01-15").select("event_id", "vehicle_id", "status", day(), "source_partition", "source_offset"),
     "read_expenses": lambda t: t.expenses().select("vehicle_id", "fuel_cost", "maintenance_cost", "partner_distance_km", "service_flag", "partner_id", day()),
@@ -443,6 +463,7 @@ QUERIES = {
     "stream_vehicles": q_stream_vehicles,
     "stream_idle": q_stream_idle,
     "stream_progress": q_stream_progress,
+    "stream_late_rows": q_stream_late,
 }
 
 
