@@ -273,6 +273,17 @@ SELECTS = {
     "advance_hwm": "SELECT strftime(greatest(DATE '2024-01-12', (SELECT max(sim_date) FROM zh)), '%Y-%m-%d') AS high_water_mark, '2024-06-01' AS never_backwards",
     "speed_snapshot": f"SELECT zone_id, {_D}, sim_hour, window_minutes, trips, earnings, active_vehicles, idle_ratio, avg_speed_kmh FROM snap",
     "dq_log": f"SELECT 'run-1' AS job_run_id, {_D}, 'rejected_rows' AS check_name, CASE WHEN count(*) FILTER (rejection_reason IS NOT NULL) > 10 THEN 'WARN' ELSE 'PASS' END AS status, count(*) FILTER (rejection_reason IS NOT NULL)::DOUBLE AS observed, 10e0 AS threshold FROM checked GROUP BY checked.sim_date",
+    "dq_checks": f"""SELECT {_D}, check_name, round(observed, 6) AS observed, threshold,
+        CASE WHEN check_name = 'vehicles' THEN CASE WHEN observed < 1 THEN 'FAIL' ELSE 'PASS' END WHEN observed > fail THEN 'FAIL' WHEN observed > threshold THEN 'WARN' ELSE 'PASS' END AS status
+        FROM (SELECT sim_date, unnest([
+            {{'check_name': 'rejected_share', 'observed': rejected, 'threshold': 5e-2, 'fail': 2e-1}}, {{'check_name': 'null_coordinate_share', 'observed': nulls, 'threshold': 2e-2, 'fail': 1e-1}},
+            {{'check_name': 'duplicate_events', 'observed': twice, 'threshold': 0e0, 'fail': 1e2}}, {{'check_name': 'missing_expense_share', 'observed': noexp, 'threshold': 1e-1, 'fail': 5e-1}},
+            {{'check_name': 'missing_telemetry_share', 'observed': notel, 'threshold': 1e-1, 'fail': 5e-1}}, {{'check_name': 'distance_outlier_share', 'observed': far, 'threshold': 2e-1, 'fail': 1e0}},
+            {{'check_name': 'vehicles', 'observed': cars, 'threshold': 1e0, 'fail': 0e0}}], recursive := true)
+          FROM (SELECT sim_date, count(*) FILTER (rejection_reason IS NOT NULL) / count(*) AS rejected, count(*) FILTER (lat IS NULL) / count(*) AS nulls,
+                       (count(*) - count(DISTINCT event_id))::DOUBLE AS twice, count(DISTINCT vehicle_id)::DOUBLE AS cars FROM checked GROUP BY 1)
+          JOIN (SELECT sim_date, count(*) FILTER (expense_status = 'MISSING_EXPENSE') / count(*) AS noexp, count(*) FILTER (expense_status = 'MISSING_TELEMETRY') / count(*) AS notel,
+                       count(*) FILTER (distance_variance_pct > 10) / count(*) AS far FROM pnl GROUP BY 1) USING (sim_date))""",
     "reconcile_zone": f"SELECT {_D}, zone_id, metric, speed_value, batch_value, delta_pct FROM dzone",
     "reconcile_fleet": f"SELECT {_D}, 'ALL' AS zone_id, metric, round(s, 4) AS speed_value, round(b, 4) AS batch_value, CASE WHEN abs(b) <> 0 THEN round(100e0 * (s - b) / abs(b), 3) END AS delta_pct FROM rfleet",
     "reconcile_summary": "SELECT metric, count(delta_pct) AS n, round(sum(round(abs(delta_pct) * 1e3)::BIGINT) / count(delta_pct) / 1e3, 2) AS avg_abs_delta_pct, round(max(abs(delta_pct)), 2) AS max_abs_delta_pct FROM dzone GROUP BY 1",
