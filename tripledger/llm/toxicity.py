@@ -65,24 +65,26 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(m, -30, 30))))
 
 
+def _joined(rows: list[np.ndarray], at_once: int = 1000) -> Iterator[np.ndarray]:
+    for lo in range(0, len(rows), at_once):
+        yield np.concatenate(rows[lo : lo + at_once])
+
+
 def dependent_terms(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Terms whose presence depends on the label: G beyond what the best of as many unrelated terms would reach."""
     if not len(rows) or not 0 < y.sum() < len(y):
         return np.empty(0, np.int32)
-    flat = np.concatenate(rows)
-    label = np.repeat(y, [len(r) for r in rows])
-    terms, code = np.unique(flat, return_inverse=True)
-    n, pos = np.bincount(code, minlength=len(terms)).astype(float), np.bincount(code, label, minlength=len(terms))
-    share = y.mean()
+    n = sum(np.bincount(part, minlength=BUCKETS) for part in _joined(rows)).astype(np.float64)
+    pos = sum(np.bincount(part, minlength=BUCKETS) for part in _joined([r for r, k in zip(rows, y) if k])).astype(np.float64)
+    terms = np.flatnonzero(n >= 3)
+    n, pos, share = n[terms], pos[terms], y.mean()
 
     def part(observed, expected):
         return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0)
 
     total, positives = len(y), y.sum()
     g = 2 * (part(pos, n * share) + part(n - pos, n * (1 - share)) + part(positives - pos, (total - n) * share) + part(total - n - positives + pos, (total - n) * (1 - share)))
-    tested = n >= 3
-    g[~tested] = 0
-    chosen = np.flatnonzero(g > 2 * np.log(max(2, tested.sum())) + MARGIN)
+    chosen = np.flatnonzero(g > 2 * np.log(max(2, len(terms))) + MARGIN)
     return np.sort(terms[chosen[np.argsort(-g[chosen], kind="stable")[:MOST_TERMS]]]).astype(np.int32)
 
 
@@ -123,13 +125,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = pa.array([terms_of(t.as_py()) for t in batch.column(2)], pa.list_(pa.int32()))
+            terms = pa.array([terms_of(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms], ["_id", "_y", "terms"])
 
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_y", "_text")
-    got = joined.mapInArrow(featured, "_id bigint, _y int, terms array<int>").limit(2 * max_rows).collect()
-    got.sort(key=lambda r: (r["_id"], r["_y"], len(r["terms"]), r["terms"]))
-    return fitted([np.asarray(r["terms"], np.int32) for r in got], [r["_y"] for r in got])
+    got = joined.mapInArrow(featured, "_id bigint, _y int, terms binary").limit(2 * max_rows).collect()
+    got.sort(key=lambda r: (r["_id"], r["_y"], bytes(r["terms"])))
+    return fitted([np.frombuffer(r["terms"], np.int32) for r in got], [r["_y"] for r in got])
 
 
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
