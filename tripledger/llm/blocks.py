@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import shuffle_partitions
+from tripledger.llm.common import lean, shuffle_partitions
 
 BLOCK_CHARS = 6_000_000
 
@@ -87,6 +87,7 @@ class Block:
 
     def rows(self, texts: bool, buckets: int) -> Iterator[pa.RecordBatch]:
         raw = [w.encode() for w in self.number]
+        self.number.default_factory = None  # it refers to the dictionary, which would keep it alive
         codes = packed(np.concatenate([np.empty(0, np.int64), *self.codes]))
         digest = hashlib.blake2b(codes + b"".join(raw) + repr((self.ids, self.n_codes)).encode(), digest_size=16).hexdigest()
         dealt = np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % buckets
@@ -140,11 +141,12 @@ def distinct_word_join(docs: DataFrame, id_col: str, text_col: str, split: Calla
     """finish(texts, lengths, data) makes a block's result: the row of its texts, and each word's value by number."""
     buckets = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    texts = rows.mapInArrow(_mapper(split, buckets, counted, texts=True), SCHEMA)
-    words = rows.mapInArrow(_mapper(split, buckets, counted, texts=False), SCHEMA)
-    values = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_reducer(evaluate), SCHEMA)
+    texts = rows.mapInArrow(lean(_mapper(split, buckets, counted, texts=True)), SCHEMA)
+    words = rows.mapInArrow(lean(_mapper(split, buckets, counted, texts=False)), SCHEMA)
+    values = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_reducer(evaluate)), SCHEMA)
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        pa.default_memory_pool().release_unused()
         own, given = rows[rows.bucket < 0], rows[rows.bucket >= 0].drop_duplicates("bucket").sort_values("bucket")
         if own.empty:
             raise RuntimeError("the input gave other rows when it was read again: values without their texts")

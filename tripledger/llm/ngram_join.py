@@ -22,8 +22,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tripledger.llm.common import written
+from tripledger.llm.common import lean, written
 from tripledger.llm.components import classes
 
 NGRAM, THRESHOLD, RECALL, SEED = 5, 0.8, 0.9999, 20_240_601
@@ -94,7 +95,7 @@ def with_nodes(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
                 hashes.append(band_hashes(ngrams(words, n), bands, rows) if words else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["id", "node", "bands"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, node binary, bands array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "id bigint, node binary, bands array<bigint>")
 
 
 def with_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -109,7 +110,7 @@ def with_words(docs: DataFrame, text_col: str) -> DataFrame:
                     packs.append(zstandard.ZstdCompressor(level=3).compress(" ".join(words).encode()))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packs, pa.binary())], ["node", "words"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node binary, words binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "node binary, words binary")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -266,9 +267,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([node_of(words_of(t.as_py())) for t in batch.column(at)], pa.binary())], [*names, "_node"])
 
     rows = docs.toDF(*names)
-    from pyspark.sql import types as T
-
-    rows = rows.mapInArrow(keyed, T.StructType([*rows.schema.fields, T.StructField("_node", T.BinaryType())]))
+    rows = rows.mapInArrow(lean(keyed), T.StructType([*rows.schema.fields, T.StructField("_node", T.BinaryType())]))
     own = F.col(f"c{docs.columns.index(id_col)}")
     return rows.join(dropped.withColumnRenamed("_node", "_gone"), own.eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_gone")), "left_anti").select(*names).toDF(*docs.columns)
 

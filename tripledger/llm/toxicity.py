@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripledger.llm.common import lean
+
 #: At most so many labelled rows are learnt from: those with the lowest hashes.
 TRAIN_ROWS = 20_000
 #: At most so many terms carry weights: those that depend most on the label.
@@ -145,7 +147,7 @@ def scored(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, score], [*names, "score"])
 
     rows = docs.toDF(*names)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
