@@ -113,7 +113,7 @@ WITH zones(zone_id, zone_name, zone_class, lat_min, lat_max, lon_min, lon_max, d
   FROM profit p LEFT JOIN trend t USING (vehicle_id, sim_date)
 ), zact AS (
   SELECT zone_id, sim_date, hour(event_time)::INTEGER AS sim_hour, count(DISTINCT CASE WHEN status = 'on_trip' THEN trip_id END) AS trips, count(DISTINCT vehicle_id) AS active_vehicles,
-         round(count(*) FILTER (status = 'idle') / count(*), 4) AS idle_ratio, round(avg(speed_kmh), 1) AS avg_speed_kmh
+         round(count(*) FILTER (status = 'idle') / count(*), 4) AS idle_ratio, round(sum(round(speed_kmh * 1e6)::BIGINT) / count(speed_kmh) / 1e6, 1) AS avg_speed_kmh
   FROM zoned GROUP BY 1, 2, 3
 ), zearn AS (
   SELECT zone_id, sim_date, hour(event_time)::INTEGER AS sim_hour, round(sum(fare), 2) AS earnings FROM completions GROUP BY 1, 2, 3
@@ -128,7 +128,7 @@ WITH zones(zone_id, zone_name, zone_class, lat_min, lat_max, lon_min, lon_max, d
   FROM (SELECT *, unnest([floor(epoch(event_time) / 300) * 300 - 600, floor(epoch(event_time) / 300) * 300 - 300, floor(epoch(event_time) / 300) * 300]) AS ws FROM zoned) z
 ), act AS (
   SELECT window_start, window_end, zone_id, count(DISTINCT vehicle_id) AS active_vehicles, count(DISTINCT CASE WHEN status = 'on_trip' THEN trip_id END) AS trips,
-         round(avg(speed_kmh), 1) AS avg_speed_kmh, round(count(*) FILTER (status = 'idle') / count(*), 4) AS idle_ratio, count(*) AS pings
+         round(sum(round(speed_kmh * 1e6)::BIGINT) / count(speed_kmh) / 1e6, 1) AS avg_speed_kmh, round(count(*) FILTER (status = 'idle') / count(*), 4) AS idle_ratio, count(*) AS pings
   FROM win GROUP BY 1, 2, 3
 ), earn AS (
   SELECT to_timestamp(ws)::TIMESTAMP AS window_start, to_timestamp(ws + 900)::TIMESTAMP AS window_end, zone_id, round(sum(fare), 2) AS earnings, count(*) AS completed_trips

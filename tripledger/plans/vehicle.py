@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tripledger import zones
 from tripledger.functions import clock
-from tripledger.functions.rounding import half_up
+from tripledger.functions.rounding import half_up, mean_of
 from tripledger.operators import clean, control, enrich, idle, live, mart, merge, profitability, reconcile, utilization
 from tripledger.sources import adapters, files
 from tripledger.streaming import jobs
@@ -70,7 +70,7 @@ class Tables:
         p = self.zoned()
         out = p.groupBy(F.window("event_time", utilization.WINDOW, utilization.SLIDE).alias("w"), "zone_id").agg(
             F.count_distinct("vehicle_id").alias("active_vehicles"), F.count_distinct(F.when(F.col("status") == "on_trip", F.col("trip_id"))).alias("trips"),
-            half_up(F.avg("speed_kmh"), 1).alias("avg_speed_kmh"), half_up(utilization.idle_ratio(), 4).alias("idle_ratio"), F.count(F.lit(1)).alias("pings"),
+            half_up(mean_of("speed_kmh", 6), 1).alias("avg_speed_kmh"), half_up(utilization.idle_ratio(), 4).alias("idle_ratio"), F.count(F.lit(1)).alias("pings"),
         )
         return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "zone_id", "active_vehicles", "trips", "avg_speed_kmh", "idle_ratio", "pings")
 
