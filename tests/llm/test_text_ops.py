@@ -1,8 +1,10 @@
 """Operators on single texts, against brute force and the libraries themselves, over the awkward cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -197,6 +199,44 @@ def test_secrets_base_and_edges(spark):
     assert clean[5] == "[SECRET]" and clean[0] is None and clean[2] == "token: abc"
 
 
+def b64(raw, url=False):
+    return (base64.urlsafe_b64encode if url else base64.b64encode)(raw if isinstance(raw, bytes) else raw.encode()).decode()
+
+
+def lines(text, n=70, by="\n"):
+    return by.join(text[i : i + n] for i in range(0, len(text), n))
+
+
+LONG = "a long opening line, to fill it. " * 8 + INNER
+PACKED = gzip.compress(INNER.encode())
+TWICE = gzip.compress(b"nothing here\n") + gzip.compress(INNER.encode())
+HARDER = {
+    **{f"text with {ord(c):x}": b64(f"{c}x {INNER} {c}") for c in "\xa0\ufeff\u200d\xad\u3000\f"},
+    "a bad byte": b64(b"\xff\xfe " + INNER.encode() + b" \xc3"),
+    "gzip twice": b64(gzip.compress(PACKED)), "bzip2 in xz": b64(lzma.compress(bz2.compress(INNER.encode()))),
+    "gzip members": b64(TWICE), "bzip2 members": b64(bz2.compress(b"nothing") + bz2.compress(INNER.encode())), "xz members": b64(lzma.compress(b"nothing") + lzma.compress(INNER.encode())),
+    "percent gzip": urllib.parse.quote(PACKED), "percent gzip with plus": urllib.parse.quote_plus(PACKED), "all percent": "".join(f"%{x:02X}" for x in PACKED), "percent zlib": urllib.parse.quote(zlib.compress(INNER.encode())),
+    "escaped gzip": repr(PACKED), "all escaped": "".join(f"\\x{x:02x}" for x in PACKED), "entities": "".join(f"&#{x};" for x in PACKED),
+    "lines": lines(b64(LONG)), "crlf": lines(b64(LONG), 75, "\r\n"), "escaped line ends": lines(b64(LONG), 70, "\\n"), "indented": lines(b64(LONG), 70, "\n    "), "gzip in lines": lines(b64(gzip.compress(bytes(range(33, 127)) + LONG.encode()))),
+    "after a slash": "path/to/" + b64(INNER), "after a dash": "some-name-" + b64(INNER), "after an underscore": "k_" + b64(INNER, True), "zlib after a slash": "v1/" + b64(zlib.compress(INNER.encode())),
+}
+
+
+@pytest.mark.parametrize("case", HARDER)
+def test_secrets_in_harder_layers(case):
+    text = f"é see {HARDER[case]} end"
+    found = {f for _, own, _ in secret_scan.layers(text) for f in own}
+    assert {"assign", "access"} <= {k for k, _, _ in found}
+    assert all(5 < a < b <= len(text) - 4 for _, a, b in found)
+
+
+def test_no_secrets_are_made_up():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        text = " ".join(b64(rng.bytes(int(rng.integers(12, 400))), bool(rng.integers(2))) for _ in range(3)) + " a/path/of-many_long/words-and_names/for-everyone_here %41%20 \\n x^2"
+        assert not [f for depth, own, _ in secret_scan.layers(text) if depth for f in own]
+
+
 def test_secret_cycles_end():
     assert list(secret_scan.layers("%2525252525"))[-1][0] > 1
     assert [d for d, _, _ in secret_scan.layers("\\u005cu0041")] == [0, 1, 2]

@@ -4,6 +4,11 @@ Each text is a worklist of layers. The text itself is scanned first; then percen
 base64 runs (compressed contents are inflated) are unwrapped in turn, each unwrapped layer is scanned again, and
 the rounds go on until no decoder changes anything or a layer repeats. Every character of a layer knows the
 stretch of the original text it came from, so each finding is reported in the original's code points.
+
+What is no clean text when unwrapped is a worklist of bytes (``contents``), whose findings all have the stretch of the
+run that held them: base64 runs are decoded at each of the four offsets, since a run may begin with a name and '/', '-'
+or '_', and over line ends; compressed streams are looked for in decoded base64, percent and backslash escapes alike,
+and are inflated member after member, as often as they are nested. All patterns are ASCII, so bytes need no decoding.
 """
 
 from __future__ import annotations
@@ -52,29 +57,261 @@ class TooLarge(Exception):
     pass
 
 
-def inflated(raw: bytes) -> bytes:
-    """The contents where raw is gzip, zlib, bzip2 or xz data, else raw itself."""
+B64 = "A-Za-z0-9+/_-"
+# The shortest finding has 12 bytes, 16 characters of base64.
+RUN = rf"[{B64}]{{16,}}"
+WRAPPED = rf"(?<![{B64}])[{B64}]{{16,}}+(?:[ \t]*+(?:\r?\n|\\r\\n|\\n)[ \t>]*+[{B64}]++)++"
+BREAK = re.compile(rf"\\r\\n|\\n|[^\\{B64}]+")
+BREAK_B = re.compile(BREAK.pattern.encode())
+BASE64_RUNS = tuple(re.compile(p) for p in (RUN, WRAPPED))
+BASE64_RUNS_B = tuple(re.compile(p.encode()) for p in (RUN, WRAPPED))
+ESCAPE = re.compile(UNICODE.pattern + r"|\\[0-7]{1,3}|\\[abfnrtv\\'\"]")
+ASSIGN_B, ACCESS_B, HEX_B, PERCENT_B, ESCAPE_B = (re.compile(p.pattern.encode(), p.flags & re.IGNORECASE) for p in (ASSIGN, ACCESS, HEX, PERCENT, ESCAPE))
+ONE_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+MAGIC = re.compile(r"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
+MAGIC_B = re.compile(MAGIC.pattern.encode("latin-1"))
+NAMED = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "\\": 92, "'": 39, '"': 34}
+PIECE = 1 << 20
+
+
+def opener(head: bytes):
+    """A decompressor where head begins gzip, zlib, bzip2 or xz data, else None."""
     import bz2
     import lzma
     import zlib
 
-    if raw[:2] == b"\x1f\x8b":
-        opener = zlib.decompressobj(31)
-    elif len(raw) > 2 and raw[0] & 0x0F == 8 and raw[0] >> 4 <= 7 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        opener = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        opener = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        opener = lzma.LZMADecompressor()
-    else:
-        return raw
-    try:
-        out = opener.decompress(raw, MAX_INFLATED + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return raw
-    if len(out) > MAX_INFLATED:
-        raise TooLarge
-    return out
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(head) > 2 and head[0] & 0x0F == 8 and head[0] >> 4 <= 7 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def sliced(raw: bytes, at: int) -> Iterator[bytes]:
+    size = 4096
+    while at < len(raw):
+        yield raw[at : at + size]
+        at, size = at + size, min(2 * size, PIECE)
+
+
+class Members:
+    """The contents of the compressed streams that follow one another at the start of chunks, in pieces; what precedes an error or a missing end counts.
+
+    ``done`` is the length of the whole streams, ``reach`` that of all that was read; ``left`` is what was read beyond the streams.
+    """
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.done, self.reach, self.left = chunks, 0, 0, b""
+
+    def __iter__(self) -> Iterator[bytes]:
+        import lzma
+        import zlib
+
+        rest = b""
+        while True:
+            while len(bare := rest.lstrip(b"\0") if self.done else rest) < 10 and (more := next(self.chunks, None)) is not None:
+                rest += more
+            d = opener(bare)
+            if d is None:
+                self.left = rest
+                return
+            at, rest = self.done + len(rest) - len(bare), bare
+            try:
+                while not d.eof:
+                    if not rest and not (rest := next(self.chunks, b"")):
+                        self.reach = at
+                        return
+                    out = d.decompress(rest, PIECE)
+                    yield out
+                    if hasattr(d, "needs_input"):
+                        while not d.eof and not d.needs_input:
+                            yield d.decompress(b"", PIECE)
+                    else:
+                        while not d.eof and len(out) == PIECE:
+                            yield (out := d.decompress(d.unconsumed_tail, PIECE))
+                    at, rest = at + len(rest) - len(d.unused_data), d.unused_data
+            except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                self.reach, self.left = at + len(rest), rest
+                return
+            self.done = self.reach = at
+
+
+def inflated(raw: bytes) -> bytes:
+    """The contents where raw is gzip, zlib, bzip2 or xz data, all members and as often as they are nested, else raw itself."""
+    seen = set()
+    while opener(raw) is not None and raw not in seen:
+        seen.add(raw)
+        out = bytearray()
+        for piece in Members(sliced(raw, 0)):
+            out += piece
+            if len(out) > MAX_INFLATED:
+                raise TooLarge
+        if not out:
+            return raw
+        raw = bytes(out)
+    return raw
+
+
+def windows(chunks: Iterator[bytes], depth: int) -> Iterator[tuple[int, bytes, int]]:
+    """Depth, contents and whether they stayed closed in part. More than MAX_INFLATED bytes are left out, and count as closed."""
+    out = bytearray()
+    for piece in chunks:
+        out += piece
+        if len(out) > MAX_INFLATED:
+            yield depth, b"", 1
+            return
+    yield depth, bytes(out), 0
+
+
+def streams(raw: bytes, depth: int) -> Iterator[tuple[int, int, Iterator[tuple[int, bytes, int]], Members]]:
+    """Where compressed data begins in raw, and its contents."""
+    at = 0 if opener(raw[:10]) is not None else -1
+    while True:
+        if at < 0 or at and not MAGIC_B.match(raw, at):
+            m = MAGIC_B.search(raw, max(at, 0))
+            if m is None:
+                return
+            at = m.start()
+        own = Members(sliced(raw, at))
+        yield at, windows(iter(own), depth), own
+        at += max(1, own.done)
+
+
+def escaped_byte(token: str) -> bytes:
+    if token[0] == "%":
+        return bytes.fromhex(token[1:])
+    if token[0] == "\\" and token[1] in NAMED:
+        return bytes([NAMED[token[1]]])
+    if token[0] == "\\" and token[1] in "01234567":
+        return bytes([int(token[1:], 8) & 255])
+    got = from_unicode(token)
+    if got is None:
+        return token.encode()
+    code = ord(got[0][0])
+    return bytes([code]) if code < 256 else chr(code).encode()
+
+
+def decoded(run: bytes) -> Iterator[bytes]:
+    run = run.replace(b"-", b"+").replace(b"_", b"/")
+    for offset in range(4):
+        own = run[offset:]
+        if len(own) % 4 == 1:
+            own = own[:-1]
+        yield base64.b64decode(own + b"=" * (-len(own) % 4))
+
+
+def kinds_in(raw: bytes) -> set[str]:
+    lower = raw.lower()
+    found = set()
+    if any(w.encode() in lower for w in ASSIGN_WORDS) and any(len(m[2]) >= ASSIGN_LEAST for m in ASSIGN_B.finditer(raw)):
+        found.add("assign")
+    if b"AKIA" in raw and ACCESS_B.search(raw):
+        found.add("access")
+    if HEX_B.search(raw):
+        found.add("hex")
+    return found
+
+
+Within = tuple[int, set[str], int]  # depth, kinds, and layers that stayed closed
+
+
+def contents(raw: bytes, depth: int, seen: set[bytes]) -> Iterator[Within]:
+    """The kinds in raw and in all that it wraps. Every decoder but inflating shortens; seen ends the cycles of that."""
+    yield depth, kinds_in(raw), 0
+    yield from opened(raw, depth + 1, seen)
+    if PERCENT_B.search(raw):
+        yield from contents(ONE_PERCENT_B.sub(lambda m: bytes.fromhex(m[0][1:].decode()), raw), depth + 1, seen)
+        if b"+" in raw:
+            yield from opened(ONE_PERCENT_B.sub(lambda m: bytes.fromhex(m[0][1:].decode()), raw.replace(b"+", b" ")), depth + 2, seen)
+    if (b"\\" in raw or b"&#" in raw) and ESCAPE_B.search(raw):
+        plain = ESCAPE_B.sub(lambda m: escaped_byte(m[0].decode()), raw)
+        if plain != raw:
+            yield from contents(plain, depth + 1, seen)
+    for pattern in BASE64_RUNS_B:
+        for m in pattern.finditer(raw):
+            run = BREAK_B.sub(b"", m[0])
+            for inner in decoded(run):
+                yield from contents(inner, depth + 1, seen)
+
+
+def opened(raw: bytes, depth: int, seen: set[bytes]) -> Iterator[Within]:
+    for _, inner, _ in streams(raw, depth):
+        yield from unpacked(inner, seen)
+
+
+def unpacked(inner: Iterator[tuple[int, bytes, int]], seen: set[bytes]) -> Iterator[Within]:
+    for depth, window, closed in inner:
+        if closed:
+            yield depth, set(), closed
+        mark = hashlib.blake2b(window, digest_size=16).digest()
+        if window and mark not in seen:
+            seen.add(mark)
+            yield from contents(window, depth, seen)
+
+
+ONE_PERCENT_B = re.compile(ONE_PERCENT.pattern.encode())
+
+
+def as_bytes(text: str, pattern: re.Pattern | None) -> tuple[bytes, list[int]]:
+    """The text with its escapes as bytes, and the character that each byte comes from, with the length last. Without a pattern characters are bytes."""
+    if pattern is None:
+        return text.encode("latin-1", "replace"), list(range(len(text) + 1))
+    out, at, came = bytearray(), 0, []
+    for m in [*pattern.finditer(text), None]:
+        for i in range(at, m.start() if m else len(text)):
+            one = text[i].encode("utf-8", "surrogatepass")
+            out += one
+            came += [i] * len(one)
+        if m:
+            one = escaped_byte(m[0])
+            out += one
+            came += [m.start()] * len(one)
+            at = m.end()
+    return bytes(out), [*came, len(text)]
+
+
+def branches(text: str, starts, ends, depth: int, tried: set) -> Iterator[tuple[int, list[Found], int]]:
+    """What the base64 runs and the compressed bytes of a layer hold: as layers() gives it."""
+    def told(within: Iterator[Within], a: int, b: int):
+        for at, kinds, closed in within:
+            if kinds or closed:
+                yield at, [(k, starts[a], ends[b - 1]) for k in KINDS if k in kinds], closed
+
+    for pattern in BASE64_RUNS:
+        for m in pattern.finditer(text):
+            key = (m[0], starts[m.start()])
+            if key in tried:
+                continue
+            tried.add(key)
+            for raw in decoded(BREAK.sub("", m[0]).encode() if pattern is BASE64_RUNS[1] else m[0].encode()):
+                yield from told(contents(raw, depth + 1, set()), m.start(), m.end())
+    ways: list[tuple[str, re.Pattern | None]] = [(text, None)]
+    if PERCENT.search(text):
+        ways += [(text, ONE_PERCENT)] + [(text.replace("+", " "), ONE_PERCENT)] * ("+" in text)
+    if ("\\" in text or "&#" in text) and ESCAPE.search(text):
+        ways.append((text, ESCAPE))
+    for own, pattern in ways:
+        if pattern is None:
+            if not MAGIC.search(own):
+                continue
+        elif not MAGIC_B.search((ONE_PERCENT_B if pattern is ONE_PERCENT else ESCAPE_B).sub(lambda m: escaped_byte(m[0].decode()), own.encode("utf-8", "surrogatepass"))):
+            continue
+        raw, came = as_bytes(own, pattern)
+        for at, inner, members in streams(raw, depth + 1):
+            held, shut = {}, 0
+            for d, kinds, closed in unpacked(inner, set()):
+                shut += closed
+                for k in kinds:
+                    held[k] = min(d, held.get(k, d))
+            last = max(came[at], came[min(len(raw), at + max(1, members.reach))] - 1)
+            for d in sorted(set(held.values())):
+                yield d, [(k, starts[came[at]], ends[last]) for k in KINDS if held.get(k) == d], 0
+            if shut:
+                yield depth + 1, [], shut
 
 
 def readable(raw: bytes) -> str | None:
@@ -160,10 +397,12 @@ def unwrapped(text: str, starts, ends, pattern: re.Pattern, decode: Callable) ->
 def layers(text: str) -> Iterator[tuple[int, list[Found], int]]:
     """Depth, findings in the original's code points, and layers that stayed closed, for the text and all that it wraps."""
     yield 0, scan(text), 0
-    if not any(pattern.search(text) for pattern, _ in DECODERS):
-        return
     starts: list[int] | range = range(len(text))
     ends: list[int] | range = range(1, len(text) + 1)
+    tried: set = set()
+    yield from branches(text, starts, ends, 0, tried)
+    if not any(pattern.search(text) for pattern, _ in DECODERS):
+        return
     seen, depth, moved = {hashlib.blake2b(text.encode(), digest_size=16).digest()}, 0, True
     while moved:
         moved = False
@@ -171,16 +410,16 @@ def layers(text: str) -> Iterator[tuple[int, list[Found], int]]:
             got = unwrapped(text, starts, ends, pattern, decode)
             if got is None:
                 continue
-            layer, to_start, to_end, closed = got
+            layer, to_start, to_end, _ = got
             if not layer:
-                yield depth, [], closed
                 continue
             mark = hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if mark in seen:  # a cycle
                 continue
             seen.add(mark)
             text, starts, ends, moved, depth = layer, to_start, to_end, True, depth + 1
-            yield depth, [(kind, starts[a], ends[b - 1]) for kind, a, b in scan(text)], closed
+            yield depth, [(kind, starts[a], ends[b - 1]) for kind, a, b in scan(text)], 0
+            yield from branches(text, starts, ends, depth, tried)
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("layer", pa.int32())])
