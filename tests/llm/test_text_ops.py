@@ -237,6 +237,21 @@ def test_no_secrets_are_made_up():
         assert not [f for depth, own, _ in secret_scan.layers(text) if depth for f in own]
 
 
+@pytest.mark.parametrize("filler", [b"some words, a line.\n", b"a,b,1\n", b"K", b"zebra-line-of-base64\n", b"\xe6\x97\xa5 "])
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, lambda raw: gzip.compress(gzip.compress(raw)), lambda raw: gzip.compress(gzip.compress(raw, 0), 0)])
+def test_secrets_in_layers_above_the_window(filler, pack, monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_INFLATED", 2000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 300)
+    fill = filler * (9000 // len(filler))
+    for shift in range(0, 2000, 397):
+        for inner in (INNER, b64(INNER), b64(gzip.compress(INNER.encode()))):
+            if filler in (b"K", b"zebra-line-of-base64\n") and inner != INNER:
+                continue
+            raw = fill + b" " * shift + b"\n" + inner.encode() + b"\n" + fill
+            found = {k for _, own, _ in secret_scan.layers("see " + b64(pack(raw))) for k, _, _ in own}
+            assert {"assign", "access"} <= found, (shift, inner)
+
+
 def test_secret_cycles_end():
     assert list(secret_scan.layers("%2525252525"))[-1][0] > 1
     assert [d for d, _, _ in secret_scan.layers("\\u005cu0041")] == [0, 1, 2]

@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -35,7 +36,7 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])")
 
-#: A compressed layer that inflates to more bytes than this stays closed, and is counted in ``closed_layers``.
+#: A compressed layer that inflates to more bytes than this is scanned as a stream, in windows of this size (``windows``).
 MAX_INFLATED = 64 << 20
 
 Found = tuple[str, int, int]
@@ -156,14 +157,44 @@ def inflated(raw: bytes) -> bytes:
     return raw
 
 
+# Bytes at which no match and no run is open: what no pattern has, and line ends that no wrapped base64 goes over.
+_OTHER, _OWN = rb"[^A-Za-z0-9+/_\s>\\-]", rb"[A-Za-z0-9+/_-]"
+BOUNDARY = re.compile(rb"[^\t\n\r\x20-\x7e]|(?:" + b"|".join(rb"(?<=%s%s{%d})" % (before, _OWN, k) for before in (_OTHER, _OWN + rb"\x20") for k in range(16)) + rb")\r?\n|(?<=" + _OTHER + rb")[\r\n]")
+#: Windows cut inside a run have so many bytes in common.
+OVERLAP = 1 << 20
+
+
+def cut_at(window: bytes) -> int:
+    """The end of the last boundary, or 0. Looks at the last stretches first."""
+    size = 1 << 16
+    while True:
+        found = 0
+        for m in BOUNDARY.finditer(window, max(0, len(window) - size), len(window) - 1):
+            found = m.end()
+        if found or size >= len(window):
+            return found
+        size *= 8
+
+
 def windows(chunks: Iterator[bytes], depth: int) -> Iterator[tuple[int, bytes, int]]:
-    """Depth, contents and whether they stayed closed in part. More than MAX_INFLATED bytes are left out, and count as closed."""
-    out = bytearray()
+    """Depth, contents and whether a run was cut: what inflates to more than MAX_INFLATED bytes comes in windows of that size.
+
+    Windows end where no match is open. Where there is no such place the next one overlaps by OVERLAP bytes, which
+    counts as closed. A large stream that is itself compressed is inflated as a stream as well.
+    """
+    out, first = bytearray(), True
     for piece in chunks:
         out += piece
-        if len(out) > MAX_INFLATED:
-            yield depth, b"", 1
-            return
+        if first and len(out) > MAX_INFLATED and opener(bytes(out[:10])) is not None:
+            own = Members(itertools.chain([bytes(out)], chunks))
+            yield from windows(iter(own), depth + 1)
+            out, first = bytearray(own.left), False
+        while len(out) > MAX_INFLATED:
+            first = False
+            window = bytes(out[:MAX_INFLATED])
+            at = cut_at(window)
+            yield depth, window[: at or MAX_INFLATED], int(not at)
+            del out[: at or max(1, MAX_INFLATED - OVERLAP)]
     yield depth, bytes(out), 0
 
 
@@ -444,6 +475,8 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans (array of kind, start, end, layer; end exclusive, layer 0 is the text itself), closed_layers.
 
+    closed_layers counts the windows of very large layers that had to be cut inside a run; findings and plain runs across
+    such a cut are still found, as windows overlap, but compressed bytes across it are read up to the cut only.
     A null text counts as empty. Null and repeated identifiers pass through, a row each; an empty input gives an
     empty result; other columns play no part. A finding reached in several layers is reported once, with the first.
     """
