@@ -163,6 +163,18 @@ def test_mixing_targets_and_positions(spark):
         mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=(0,))
 
 
+def test_repeats_have_positions_of_their_own(spark):
+    """One source, taken one and a half times: the second pass fills the last third, and copies are apart."""
+    data = [(i, "w w w w w", "only") for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    ids = [r["doc_id"] for r in mixing.mixed_documents(docs, ramps=(0.0,)).collect()]
+    assert len(ids) == 600 and sorted(ids[:400]) == list(range(400)) and ids[400:] == ids[:200]
+    two = spark.createDataFrame([(i, "w w w w w", "a" if i < 50 else "b") for i in range(1050)], docs.schema)
+    order = [r["doc_id"] < 50 for r in mixing.mixed_documents(two, ramps=(0.0,)).collect()]
+    half = len(order) // 2
+    assert sum(order) == 100 and sum(order[:half]) == pytest.approx(50, abs=2)
+
+
 def brute_base(text):
     found = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
     found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]

@@ -3,8 +3,8 @@
 Each source gets a word budget in proportion to its weight, at most ``max_epochs`` times its size; what is
 above is shared again among the others by weight (water filling, in closed form over the sources sorted by
 the rate at which they fill). Over training time t in [0, 1] a source is drawn at the rate
-budget * (1 + ramp * (2t - 1)); its integral budget * (t + ramp * (t^2 - t)) is inverted at each document's
-word offset within its source, which gives the training position, and documents are range-sorted by it.
+budget * (1 + ramp * (2t - 1)); its integral budget * (t + ramp * (t^2 - t)) is inverted at each appearance's
+word offset within its source, repeats following the first pass, which gives its training position, and appearances are range-sorted by it.
 
 Word offsets are prefix sums in two levels: documents are ordered within a source by the MD5 of their
 identifier, whose first three hex digits name one of 4,096 buckets. Sums per (source, bucket) give each
@@ -60,12 +60,12 @@ def mix(
     max_epochs: int = 2,
     carry: bool = False,
 ) -> DataFrame:
-    """One row per document: _id, size, source_size, target, taken, copies, position, and with ``carry`` row (a struct of all columns).
+    """One row per document: _id, size, source_size, target, taken, copies, position, and with ``carry`` row (a struct of all columns) and positions.
 
     ``taken`` counts words, repeats included; the last document of a source's budget is taken in part, so that a
     source's words add up to its target rounded down. ``copies`` is the number of appearances, an appearance of
     less than half the document counting as none. ``position`` is that of the first appearance, null if there is
-    none. Weights and ramps are dealt to the sources in code-point order, the null source last, and repeat. A null
+    none; ``positions`` has those of all the copies. Weights and ramps are dealt to the sources in code-point order, the null source last, and repeat. A null
     or blank text has size 0 and is never taken. Null and repeated identifiers are ordered by size; an empty input
     gives an empty result; other columns play no part.
     """
@@ -96,22 +96,29 @@ def mix(
     taken = sum((F.col(f"_part{e}") for e in range(1, max_epochs)), F.col("_part0"))
     copies = sum(((F.col(f"_part{e}") * 2 >= F.col("size")).cast("int") for e in range(1, max_epochs)), (F.col("_part0") * 2 >= F.col("size")).cast("int"))
 
-    # Cumulative demand, inverted at the middle of the first appearance.
-    u, a = (F.col("_from") + F.col("_part0") / F.lit(2.0)) / F.col("_budget"), F.col("ramp")
-    t = F.when(a == 0, u).otherwise((F.sqrt((F.lit(1.0) - a) * (F.lit(1.0) - a) + F.lit(4.0) * a * u) - (F.lit(1.0) - a)) / (F.lit(2.0) * a))
+    # Cumulative demand, inverted at the middle of each appearance.
+    def at(epoch: int) -> Column:
+        part, a = F.col(f"_part{epoch}"), F.col("ramp")
+        u = (F.col("_from") + F.col("source_size") * epoch + part / F.lit(2.0)) / F.col("_budget")
+        t = F.when(a == 0, u).otherwise((F.sqrt((F.lit(1.0) - a) * (F.lit(1.0) - a) + F.lit(4.0) * a * u) - (F.lit(1.0) - a)) / (F.lit(2.0) * a))
+        return F.when(part > 0, F.floor(t * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6))
+
+    every = F.filter(F.array(*[F.when(F.col(f"_part{e}") * 2 >= F.col("size"), at(e)) for e in range(max_epochs)]), lambda p: p.isNotNull())
     placed = placed.select(
         "_id", "size", "source_size", "target", taken.cast("long").alias("taken"),
         F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"),
-        F.when(F.col("_part0") > 0, F.floor(t * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).alias("position"),
-        *(["row"] if carry else []),
+        at(0).alias("position"),
+        *([F.col("row"), every.alias("positions")] if carry else []),
     )
+    if carry:
+        return placed  # its order is that of the appearances
     return placed.repartitionByRange(F.col("position").asc_nulls_last(), F.xxhash64("_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "_id")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each as often as it appears, in training order, with docs' columns."""
-    out = mix(docs, carry=True, **how).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    """The documents of the mix, each as often as it appears, in training order, with docs' columns: every appearance has a position of its own."""
+    out = mix(docs, carry=True, **how).select("row", "_id", F.posexplode("positions").alias("_epoch", "_at"))
+    return out.repartitionByRange("_at", F.xxhash64("_id", "_epoch")).sortWithinPartitions("_at", "_id", "_epoch").select("row.*")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
