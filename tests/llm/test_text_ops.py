@@ -326,14 +326,58 @@ def test_toxicity(spark):
     assert set(toxicity.toxicity(d, lab.limit(0)).toPandas().predicted) <= {0, 1}
 
 
-def test_pairs_of_terms_have_weights_of_their_own():
+def test_a_score_is_the_sum_over_terms_and_pairs():
+    rng = np.random.default_rng(6)
+    m = toxicity.Machine(np.arange(0, 60, 3, dtype=np.int32), 0.3, rng.normal(size=20), rng.normal(size=(20, 4)))
+    for size in (0, 1, 5, 40):
+        found = np.unique(rng.integers(0, 60, size)).astype(np.int32)
+        at = [int(t) // 3 for t in found if t % 3 == 0]
+        want = m.bias + sum(m.linear[i] for i in at) + sum(m.factors[i] @ m.factors[j] for k, i in enumerate(at) for j in at[k + 1 :])
+        assert m.margin(found) == pytest.approx(want)
+    assert toxicity.Machine(np.empty(0, np.int32), 0.0, np.zeros(0), np.zeros((0, 4))).score("any") == 0.5  # predicted is 1 from 0.5 on
+
+
+@pytest.mark.parametrize("tile", [512, 7])
+def test_only_the_pair_tells(tile, monkeypatch):
+    """Exclusive or: each term alone, and either label of it, is neutral; the other terms are noise."""
+    monkeypatch.setattr(toxicity, "TILE", tile)
     rng = np.random.default_rng(4)
-    terms = rng.random((4000, 2)) < 0.5
-    y = terms.all(1).astype(int)
-    rows = [np.flatnonzero(t).astype(np.int32) for t in terms]
-    m = toxicity.fitted(rows, y.tolist())
-    x = np.array([[0, 0], [0, 1], [1, 0], [1, 1]], float)
-    assert (m.margin(x) > 0).tolist() == [False, False, False, True]
+    x = rng.random((4000, 40)) < 0.5
+    y = x[:, 0] ^ x[:, 1]
+    rows = [np.flatnonzero(r).astype(np.int32) for r in x]
+    m = toxicity.fitted(rows[:3000], y[:3000].astype(int).tolist())
+    assert m.terms.tolist() == [0, 1]
+    right = lambda: np.mean([(m.margin(r) > 0) == k for r, k in zip(rows[3000:], y[3000:])])
+    assert right() == 1
+    m.factors = m.factors * 0
+    assert right() < 0.8  # no linear rule gets more than three of the four cases
+
+
+def test_pairs_correct_the_sum_of_terms(spark):
+    """An insult is toxic beside a group only, among texts of many words; without the pairs the prediction is worse."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    docs, labels = [], []
+    for i in range(1500):
+        insult, group = rng.random(2) < (0.4, 0.4)
+        docs.append((i, " ".join([*rng.choice(words, 25), *["fool"] * insult, *["people"] * group]), "x"))
+        labels.append((i, 1, int(insult and group)))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = toxicity.train(d, lab)
+    held = [(t, k) for (i, t, _), (_, _, k) in zip(docs, labels) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all((m.score(t) >= 0.5) == bool(k) for t, k in held)
+    again = toxicity.train(spark.createDataFrame(docs[::-1], d.schema).repartition(5), lab.repartition(3))
+    assert np.array_equal(m.terms, again.terms) and np.allclose(m.factors, again.factors)
+
+
+def test_toxicity_learns_within_its_bounds(spark):
+    """Identifiers that repeat without end, and a bound on terms."""
+    docs, labels = labelled(300)
+    many = spark.createDataFrame([*docs, *[(1, f"other text {i} {' '.join(f'v{i}x{k}' for k in range(30))}", "l1") for i in range(2000)]], "doc_id long, text string, score string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert len(toxicity.train(many, lab, max_rows=200).terms) <= 3
+    assert toxicity.toxicity(many, lab).count() == 2300
+    assert 0 <= toxicity.train(many, lab, max_terms=100).score("Insult") <= 1
 
 
 def test_languages(spark):

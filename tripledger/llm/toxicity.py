@@ -2,9 +2,13 @@
 
 A text is the set of its hashed lower-case terms. The machine scores w0 + sum w_i + sum_{i<j} <v_i, v_j> over
 the terms present, so that a pair such as an insult beside the mention of a group has a weight of its own, which
-a linear model cannot give it. It is fitted in numpy on a bounded sample of labelled rows; terms whose presence
-does not depend on the label, by a likelihood-ratio test over all candidate terms, are left out beforehand, so
-long clean texts do not gather chance weight. Scoring reads every whole text on the executors.
+a linear model cannot give it. It is fitted in numpy on a bounded sample of labelled rows.
+
+Which terms carry weights is decided by likelihood-ratio tests over all candidates, so that long clean texts do not
+gather chance weight: a term is taken if its presence depends on the label, and so are both terms of a pair whose
+joint presence tells more than what is known of each, such as two terms that are neutral by themselves. All pairs of
+terms that are frequent enough to pass at all are tested, in tiles that Spark deals to its tasks. The pull on the
+factors is chosen on rows kept back. Scoring reads every whole text on the executors.
 """
 
 from __future__ import annotations
@@ -15,22 +19,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripledger.llm.blocks import gathered
 from tripledger.llm.common import lean
 
-#: At most so many labelled rows are learnt from: those with the lowest hashes.
-TRAIN_ROWS = 20_000
-#: At most so many terms carry weights: those that depend most on the label.
-MOST_TERMS = 4096
+#: At most so many labelled rows are learnt from, and so many (row, term) entries: those with the lowest hashes.
+TRAIN_ROWS, TRAIN_TERMS = 20_000, 6_000_000
 BUCKETS = 1 << 22
-#: Added to the test's bound: the chance that any unrelated term passes is about exp(-MARGIN / 2).
+#: Added to the tests' bounds: the chance that any unrelated term, or pair, passes is about exp(-MARGIN / 2).
 MARGIN = 6.0
-FACTORS, STEPS, BATCH, RATE, SEED = 8, 2500, 256, 0.2, 7
-#: Pulls towards zero; the pairs' is the stronger, so that pairs say only what single terms cannot.
-DECAY, PAIR_DECAY = 1e-5, 1e-2
+#: A pair must move the label's share by so much.
+SHIFT = 0.25
+#: Terms of a tile of pairs.
+TILE = 512
+FACTORS, STEPS, BATCH, RATE, SEED = 8, 800, 256, 0.2, 7
+#: Pulls towards zero: on single terms, and those tried on the factors.
+DECAY, PAIR_DECAYS = 1e-5, (1e-5, 1e-4, 1e-3)
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -46,6 +53,28 @@ def terms_of(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int32, len(words)))
 
 
+def _sigmoid(m):
+    return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
+
+
+class Rows:
+    """Sparse 0/1 rows: the numbers of each row's terms, one row after the other."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        self.terms = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
+
+    def lot(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of some rows: for each the row's place in the lot, and its term."""
+        n = self.ends[which + 1] - self.ends[which]
+        return np.repeat(np.arange(len(which)), n), gathered(self.terms, self.ends, which)
+
+
+def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values summed by place."""
+    return np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], 1)
+
+
 @dataclass
 class Machine:
     terms: np.ndarray  # hashed terms, ascending
@@ -53,87 +82,202 @@ class Machine:
     linear: np.ndarray
     factors: np.ndarray
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        """x: 0/1 rows over self.terms."""
-        s = x @ self.factors
-        return self.bias + x @ self.linear + 0.5 * ((s * s).sum(1) - x @ (self.factors**2).sum(1))
-
-    def score(self, text: str | None) -> float:
-        at = np.searchsorted(self.terms, found := terms_of(text))
+    def margin(self, found: np.ndarray) -> float:
+        """found: a text's distinct hashed terms; those the machine does not know count for nothing."""
+        at = np.searchsorted(self.terms, found)
         at = at[(at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == found)] if len(self.terms) else at[:0]
         v = self.factors[at]
         s = v.sum(0)
-        m = self.bias + self.linear[at].sum() + 0.5 * float((s * s).sum() - (v * v).sum())
-        return float(1 / (1 + np.exp(-np.clip(m, -30, 30))))
+        return self.bias + float(self.linear[at].sum()) + 0.5 * float((s * s).sum() - (v * v).sum())
+
+    def score(self, text: str | None) -> float:
+        return float(_sigmoid(self.margin(terms_of(text))))
+
+
+def _part(observed, expected):
+    return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0)
+
+
+def deviance(n, pos, share):
+    """How far pos of n rows are from a known share: a likelihood ratio, chi-square with one degree of freedom."""
+    return 2 * (_part(pos, n * share) + _part(n - pos, n * (1 - share)))
+
 
+def dependent_terms(n: np.ndarray, pos: np.ndarray, total: int, positives: int) -> np.ndarray:
+    """Which terms' presence depends on the label: G beyond what the best of as many unrelated terms would reach."""
+    share = positives / total
+    g = deviance(n, pos, share) + deviance(total - n, positives - pos, share)
+    return g > 2 * np.log(max(2, len(n))) + MARGIN
 
-def _joined(rows: list[np.ndarray], at_once: int = 1000) -> Iterator[np.ndarray]:
-    for lo in range(0, len(rows), at_once):
-        yield np.concatenate(rows[lo : lo + at_once])
 
+class Columns:
+    """The same rows by term: the rows that hold each term."""
 
-def dependent_terms(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Terms whose presence depends on the label: G beyond what the best of as many unrelated terms would reach."""
+    def __init__(self, rows: Rows, y: np.ndarray, n_terms: int):
+        order = np.argsort(rows.terms, kind="stable")
+        self.rows = np.repeat(np.arange(len(y)), np.diff(rows.ends))[order].astype(np.int32)
+        self.starts = np.searchsorted(rows.terms[order], np.arange(n_terms + 1))
+        self.y = y.astype(bool)
+
+    def dense(self, lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((len(self.y), hi - lo), np.float32)
+        a, b = self.starts[lo], self.starts[hi]
+        out[self.rows[a:b], np.repeat(np.arange(hi - lo), np.diff(self.starts[lo : hi + 1]))] = 1
+        return out
+
+
+def interacting(of: Columns, known: np.ndarray, share: np.ndarray, bound: float, lo: int, hi: int, lo2: int, hi2: int) -> np.ndarray:
+    """The terms of the pairs between two tiles whose joint presence tells more than their known parts do, and moves the share.
+
+    share: what is known of each term, the label's share where it is, or over all rows if the term is not known. A pair is held
+    against its known term; two known terms need no test.
+    """
+    x, z = of.dense(lo, hi), of.dense(lo2, hi2)
+    n11, p11 = x.T @ z, x[of.y].T @ z[of.y]
+    expected = np.where(known[lo:hi, None], share[lo:hi, None], share[None, lo2:hi2])
+    g = deviance(n11, p11, np.clip(expected, 1e-6, 1 - 1e-6))
+    moved = np.abs(p11 - expected * n11) >= SHIFT * n11
+    i, j = np.nonzero((g > bound) & moved & ~(known[lo:hi, None] & known[None, lo2:hi2]) & (np.arange(lo, hi)[:, None] < np.arange(lo2, hi2)))
+    return np.unique(np.concatenate([i + lo, j + lo2]))
+
+
+def chosen_terms(rows: list[np.ndarray], y: np.ndarray, spark: SparkSession | None = None) -> np.ndarray:
+    """The hashed terms that carry weights; spark deals the tiles of pairs, without it they are gone through in turn."""
+    y = np.asarray(y, int)
     if not len(rows) or not 0 < y.sum() < len(y):
         return np.empty(0, np.int32)
-    n = sum(np.bincount(part, minlength=BUCKETS) for part in _joined(rows)).astype(np.float64)
-    pos = sum(np.bincount(part, minlength=BUCKETS) for part in _joined([r for r, k in zip(rows, y) if k])).astype(np.float64)
-    terms = np.flatnonzero(n >= 3)
-    n, pos, share = n[terms], pos[terms], y.mean()
+    whole = Rows(rows)
+    hit = np.repeat(y, np.diff(whole.ends)) == 1
+    n, pos = np.bincount(whole.terms, minlength=BUCKETS), np.bincount(whole.terms[hit], minlength=BUCKETS)
+    often = np.flatnonzero(n >= 3)
+    known = np.zeros(BUCKETS, bool)
+    known[often[dependent_terms(n[often], pos[often], len(y), int(y.sum()))]] = True
+    # A pair passes at best if the label that its known part makes the less likely is that of all its rows.
+    bound = 2 * np.log(max(2.0, len(often) ** 2 / 2)) + MARGIN
+    overall = y.mean()
+    least = lambda p: np.ceil(bound / (2 * np.log(1 / p)))
+    share = (pos + overall) / (n + 1)  # no term is certain
+    up, down = (overall, overall) if not known.any() else (share[known].min(), share[known].max())
+    free = (pos >= least(overall)) & (1 - overall >= SHIFT) | (n - pos >= least(1 - overall)) & (overall >= SHIFT)
+    beside = (pos >= least(up)) & (1 - up >= SHIFT) | (n - pos >= least(1 - down)) & (down >= SHIFT)
+    groups = [np.flatnonzero(known), np.flatnonzero(free & ~known), np.flatnonzero(beside & ~free & ~known) if known.any() else np.empty(0, np.int64)]
+    tested = np.concatenate(groups)
+    ends = np.cumsum([len(g) for g in groups])
+    number = np.full(BUCKETS, -1, np.int64)
+    number[tested] = np.arange(len(tested))
+    kept = Columns(Rows([x[x >= 0] for x in (number[r] for r in rows)]), y, len(tested))
+    of = (kept, known[tested], np.where(known[tested], share[tested], overall), bound)
+    cuts = sorted({0, *ends.tolist(), *range(0, len(tested), TILE)})
+    strips = list(zip(cuts, cuts[1:]))
+    # Known terms meet all others, the others each other where that can pass.
+    tiles = [(*a, *b) for k, a in enumerate(strips) if a[0] < ends[1] for b in strips[k:] if a[0] < ends[0] or b[0] < ends[1]]
+    found = _on_spark(spark, of, tiles) if spark and len(tiles) > 1 else [interacting(*of, *t) for t in tiles]
+    known[tested[np.unique(np.concatenate([np.empty(0, np.int64), *found])).astype(np.int64)]] = True
+    return np.flatnonzero(known).astype(np.int32)
+
+
+def _on_spark(spark: SparkSession, of: tuple, tiles: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
+    """The sample, bounded by TRAIN_TERMS, goes to every task that has tiles."""
+    sent = spark.sparkContext.broadcast(of)
 
-    def part(observed, expected):
-        return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(interacting(*sent.value, *tiles[k]), pa.int64())], ["term"])
 
-    total, positives = len(y), y.sum()
-    g = 2 * (part(pos, n * share) + part(n - pos, n * (1 - share)) + part(positives - pos, (total - n) * share) + part(total - n - positives + pos, (total - n) * (1 - share)))
-    chosen = np.flatnonzero(g > 2 * np.log(max(2, len(terms))) + MARGIN)
-    return np.sort(terms[chosen[np.argsort(-g[chosen], kind="stable")[:MOST_TERMS]]]).astype(np.int32)
+    tasks = min(len(tiles), 4 * spark.sparkContext.defaultParallelism)
+    got = spark.range(0, len(tiles), 1, tasks).mapInArrow(lean(run), "term bigint").distinct().collect()
+    sent.destroy()
+    return [np.array([r["term"] for r in got], np.int64)]
 
 
-def fitted(rows: list[np.ndarray], labels: list[int]) -> Machine:
-    """Logistic loss in which both labels weigh the same, AdaGrad steps in a fixed order."""
-    y = np.asarray(labels, float)
-    terms = dependent_terms(rows, y)
-    share = (y.sum() + 0.5) / (len(y) + 1)
+def _fit(rows: Rows, y: np.ndarray, which: np.ndarray, terms: np.ndarray, pair_decay: float) -> Machine:
+    """Logistic loss in which both labels weigh the same, sparse AdaGrad steps in a fixed order."""
+    share = (y[which].sum() + 0.5) / (len(which) + 1)
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     rng = np.random.default_rng(SEED)
-    m = Machine(terms, float(np.log(share / (1 - share))) if not len(terms) else 0.0, np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), FACTORS)))
-    if not len(terms):
-        return m
-    at = [np.searchsorted(terms, np.intersect1d(r, terms, assume_unique=True)) for r in rows]
-    grown = [1e-8, np.full(len(terms), 1e-8), np.full((len(terms), FACTORS), 1e-8)]
-    for _ in range(-(-STEPS // -(-len(y) // BATCH))):
-        for lot in np.array_split(rng.permutation(len(y)), -(-len(y) // BATCH)):
-            x = np.zeros((len(lot), len(terms)))
-            for i, k in enumerate(lot):
-                x[i, at[k]] = 1
-            err = (1 / (1 + np.exp(-np.clip(m.margin(x), -30, 30))) - y[lot]) * weight[lot] / len(lot)
-            xe = x.T @ err
-            grads = [err.sum(), xe + DECAY * m.linear, x.T @ (err[:, None] * (x @ m.factors)) - xe[:, None] * m.factors + PAIR_DECAY * m.factors]
-            grown = [a + g * g for a, g in zip(grown, grads)]
-            m.bias -= RATE * grads[0] / np.sqrt(grown[0])
-            m.linear -= RATE * grads[1] / np.sqrt(grown[1])
-            m.factors -= RATE * grads[2] / np.sqrt(grown[2])
+    m = Machine(terms, 0.0, np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), FACTORS)))
+    grown_bias, grown_linear, grown_factors = 1e-8, np.full(len(terms), 1e-8), np.full((len(terms), FACTORS), 1e-8)
+    lots = -(-len(which) // BATCH)
+    for _ in range(max(2, -(-STEPS // lots))):
+        for lot in np.array_split(rng.permutation(which), lots):
+            at, term = rows.lot(lot)
+            v = m.factors[term]
+            s = _summed(at, v, len(lot))
+            margin = m.bias + np.bincount(at, m.linear[term], len(lot)) + 0.5 * ((s * s).sum(1) - np.bincount(at, (v * v).sum(1), len(lot)))
+            err = (_sigmoid(margin) - y[lot]) * weight[lot] / len(lot)
+            used, own = np.unique(term, return_inverse=True)
+            each = err[at]
+            step = err.sum()
+            grown_bias += step * step
+            m.bias -= RATE * step / np.sqrt(grown_bias)
+            if len(used):
+                step = np.bincount(own, each, len(used)) + DECAY * m.linear[used]
+                grown_linear[used] += step * step
+                m.linear[used] -= RATE * step / np.sqrt(grown_linear[used])
+                step = _summed(own, each[:, None] * (s[at] - v), len(used)) + pair_decay * m.factors[used]
+                grown_factors[used] += step * step
+                m.factors[used] -= RATE * step / np.sqrt(grown_factors[used])
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, max_rows: int = TRAIN_ROWS) -> Machine:
-    """Learns from labelled rows of every fold but 0. Without labels of both kinds the machine scores their share."""
+def _loss(m: Machine, rows: Rows, y: np.ndarray, which: np.ndarray) -> float:
+    margins = np.array([m.margin(m.terms[rows.terms[rows.ends[i] : rows.ends[i + 1]]]) for i in which])
+    p = np.where(y[which] == 1, _sigmoid(margins), 1 - _sigmoid(margins))
+    share = y[which].mean()
+    return float((-np.log(p) * np.where(y[which] == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))).mean())
+
+
+def fitted(rows: list[np.ndarray], labels: list[int], spark: SparkSession | None = None) -> Machine:
+    """The machine for rows of distinct hashed terms; rows that repeat terms and label count once."""
+    once: dict[tuple[bytes, int], np.ndarray] = {}
+    for r, k in zip(rows, labels):
+        once.setdefault((r.tobytes(), int(k)), r)
+    rows, y = list(once.values()), np.array([k for _, k in once], int)
+    terms = chosen_terms(rows, y, spark)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    if not len(terms):
+        return Machine(terms, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
+    own = Rows([np.searchsorted(terms, np.intersect1d(r, terms, assume_unique=True)) for r in rows])
+    order = np.random.default_rng(SEED).permutation(len(y))
+    back, learn = order[: len(y) // 5], order[len(y) // 5 :]
+    decay = PAIR_DECAYS[0]
+    if 0 < y[back].sum() < len(back) and 0 < y[learn].sum() < len(learn):
+        decay = min(PAIR_DECAYS, key=lambda d: _loss(_fit(own, y, learn, terms, d), own, y, back))
+    return _fit(own, y, np.arange(len(y)), terms, decay)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, max_rows: int = TRAIN_ROWS, max_terms: int = TRAIN_TERMS) -> Machine:
+    """Learns from labelled rows of every fold but 0. Without labels of both kinds the machine scores their share.
+
+    The labels with the lowest hashes are broadcast, ``max_rows`` at most. Where identifiers repeat, so that they meet more
+    texts than that, the texts with the lowest hashes are taken, and in either case rows by hash until there are ``max_terms`` entries.
+    """
     own = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != 0))
     own = own.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_y"), F.xxhash64(id_col).alias("_hash"))
     wide = 1 << 62
+    low = lambda c, share: c.bitwiseAND(F.lit(wide - 1)) <= F.lit(int(share * wide))
     share = min(1.0, 1.5 * max_rows / max(1, own.count()))
-    sample = own.where(F.col("_hash").bitwiseAND(F.lit(wide - 1)) <= F.lit(int(share * wide))).orderBy("_hash", "_id").limit(max_rows)
+    sample = own.where(low(F.col("_hash"), share)).orderBy("_hash", "_id", "_y").limit(max_rows).select("_id", "_y")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms = pa.array([terms_of(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms], ["_id", "_y", "terms"])
-
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_y", "_text")
-    got = joined.mapInArrow(featured, "_id bigint, _y int, terms binary").limit(2 * max_rows).collect()
-    got.sort(key=lambda r: (r["_id"], r["_y"], bytes(r["terms"])))
-    return fitted([np.frombuffer(r["terms"], np.int32) for r in got], [r["_y"] for r in got])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms], ["_hash", "_y", "terms"])
+
+    meets = docs.select(F.col(id_col).alias("_id")).join(F.broadcast(sample), "_id").count()
+    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    joined = joined.select(F.xxhash64("_id", "_text").alias("_hash"), "_y", "_text").where(low(F.col("_hash"), min(1.0, 1.1 * max_rows / max(1, meets))))
+    got = joined.mapInArrow(featured, "_hash bigint, _y int, terms binary").groupBy("_hash", "_y", "terms").count().orderBy("_hash", "_y", "terms")
+    rows, y, held = [], [], 0
+    for r in got.toLocalIterator():
+        terms = np.frombuffer(r["terms"], np.int32)
+        held += len(terms)
+        if len(rows) >= max_rows or held > max_terms:
+            break
+        rows.append(terms)
+        y.append(r["_y"])
+    return fitted(rows, y, docs.sparkSession)
 
 
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
