@@ -359,7 +359,7 @@ def test_pairs_correct_the_sum_of_terms(spark):
     words = [f"w{i}" for i in range(400)]
     docs, labels = [], []
     for i in range(1500):
-        insult, group = rng.random(2) < (0.4, 0.4)
+        insult, group = (int(k) for k in rng.random(2) < 0.4)
         docs.append((i, " ".join([*rng.choice(words, 25), *["fool"] * insult, *["people"] * group]), "x"))
         labels.append((i, 1, int(insult and group)))
     d, lab = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
