@@ -288,15 +288,79 @@ def test_main_text_of_pages(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+ARTICLE = "<p>The first paragraph is long enough to be told from a menu, since it goes on for a while.</p><p>A second paragraph that says something else at fair length.</p><p>Short</p><p>And the last of them, which is again rather long, as articles are.</p>"
+BODY = re.sub("</p>(<p>)?", "\n", ARTICLE.removeprefix("<p>")).strip()
+WRAPPED_PAGES = {
+    "head left open": f"<html><head><title>x</title><meta name=a><body><div>{ARTICLE}</div>", "form around": f"<form action=x>{ARTICLE}<input name=q></form>",
+    "names of states": f'<article class="post has-search tags">{ARTICLE}</article>', "related inside main": f'<main><div class="entry related-content">{ARTICLE}</div></main>',
+    "no sidebar": f'<div class="layout no-sidebar">{ARTICLE}</div>', "with sidebar": f'<div class="content-with-sidebar">{ARTICLE}</div><div class="sidebar"><p>A side bar that is fairly long as well.</p></div>',
+    "two names": f'<div class="post social-share">{ARTICLE}</div>', "search results": f'<div id="search-results">{ARTICLE}</div>', "commentary": f'<div class="commentary"><article>{ARTICLE}</article></div>',
+    "divs only": f"<div><a href=1>home</a> <a href=2>news</a></div><div><div>{ARTICLE}</div></div><div>Copyright</div>",
+    "advert amid": f'<article>{ARTICLE.replace("<p>And", """<div class="ad">Buy this thing now, it is long and nice and great.</div><p>And""")}</article>',
+    "comments below": f'<div>{ARTICLE}</div><div class="comments-area"><div><p>I disagree with all of this at some length, as one does.</p></div></div>',
+    "search form": f'<main>{ARTICLE}<form class="search"><div>Look for other things here<input name=q></div></form></main>',
+}
+
+
+@pytest.mark.parametrize("case", WRAPPED_PAGES)
+def test_articles_are_not_lost_in_their_wrappers(case):
+    assert html_extract.main_text(WRAPPED_PAGES[case]) == BODY
+
+
+LINKS = "".join(f"<li><a href=/{i}>item {i} of a menu</a></li>" for i in range(5))
+#: Blocks of divs and lists without any name, where the sign of the log-odds alone is wrong.
+UNNAMED = {
+    f"<div><p>Well</p></div><ul>{LINKS}<li>All of these are good links, as we think they are.</li>{LINKS}</ul><div>{ARTICLE}</div>": BODY,
+    f"<div>{ARTICLE}<div>on we go</div>{ARTICLE}</div>": f"{BODY}\non we go\n{BODY}",
+}
+
+
+@pytest.mark.parametrize("page", UNNAMED)
+def test_the_cut_decides_where_signs_are_wrong(page):
+    found = html_extract.blocks(page)
+    scores, _, side = html_extract.labelled(found)
+    assert html_extract.main_text(page) == UNNAMED[page]
+    assert any((s > 0) != k for s, k in zip(scores, side))
+    assert "\n".join(b.text for b, s in zip(found, scores) if s > 0) != UNNAMED[page]
+
+
+def cut_cost(scores, ties, side):
+    return sum(-s if s < 0 and k else s if s > 0 and not k else 0 for s, k in zip(scores, side)) + sum(c for (i, j), c in ties.items() if side[i] != side[j])
+
+
 def test_minimum_cut_against_all_labellings():
     rng = np.random.default_rng(5)
     for _ in range(200):
         n = int(rng.integers(1, 9))
         scores = rng.normal(0, 1, n).tolist()
         ties = {(i, j): float(rng.random()) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5}
-        cost = lambda side: sum(-s if s < 0 and k else s if s > 0 and not k else 0 for s, k in zip(scores, side)) + sum(c for (i, j), c in ties.items() if side[i] != side[j])
-        best = min(cost([m >> i & 1 for i in range(n)]) for m in range(1 << n))
-        assert abs(cost(html_extract.minimum_cut(scores, ties)) - best) < 1e-6
+        best = min(cut_cost(scores, ties, [m >> i & 1 for i in range(n)]) for m in range(1 << n))
+        assert abs(cut_cost(scores, ties, html_extract.minimum_cut(scores, ties)) - best) < 1e-6
+
+
+def test_whole_pages_against_all_labellings():
+    """The text of random small pages is that of the cheapest labelling."""
+    rng = np.random.default_rng(12)
+    pieces = ["<p>A fairly long paragraph of text, with a comma and an end.</p>", "<div>short</div>", "<li><a href=x>a link to follow</a></li>", "<h2>Title</h2>", "<div class=promo>Some offer that lasts for long.</div>", "<p>Well.</p>", "<footer>end of it</footer>", "<div><p>inner text here</p></div>", "<ul>", "</ul>", "<section>", "</section>", "<article>", "</article>"]
+    for _ in range(150):
+        page = "".join(pieces[k] for k in rng.integers(0, len(pieces), int(rng.integers(1, 14))))
+        found = html_extract.blocks(page)
+        scores, ties, side = html_extract.labelled(found)
+        every = [[bool(m >> i & 1) for i in range(len(found))] for m in range(1 << len(found))]
+        best = min(cut_cost(scores, ties, k) for k in every)
+        assert cut_cost(scores, ties, side) == pytest.approx(best)
+        texts = ["\n".join(b.text for b, k in zip(found, s) if k) for s in every if cut_cost(scores, ties, s) < best + 1e-6]
+        assert html_extract.main_text(page) in texts
+
+
+def test_weights_are_learnt_from_all_pages(spark):
+    """Where authors' elements show that articles are lists of short lines, length tells less than at the start."""
+    lists = "<nav>" + "<p>A long line of text in a menu that goes on and on, as menus seldom do.</p>" * 3 + "</nav><article>" + "<li>one item</li>" * 5 + "</article>"
+    pages = spark.createDataFrame([(i, "u", lists) for i in range(50)] + [(99, "u", None)], "page_id long, url string, html string").repartition(3)
+    weights = html_extract.weights_for(pages)
+    assert weights[1] < html_extract.START[1] and np.array_equal(weights, html_extract.weights_for(pages.repartition(2)))
+    assert np.array_equal(html_extract.weights_for(pages.limit(0)), html_extract.START)
+    assert {r["text"] for r in html_extract.extract(pages).collect()} == {"\n".join(["one item"] * 5), ""}
 
 
 def labelled(n=600):
