@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from tripledger.llm import components, embedding_join, mixing, ngram_join
+from tripledger.llm import common, components, embedding_join, mixing, ngram_join
 
 
 def reached(n, pairs):
@@ -22,7 +22,27 @@ def reached(n, pairs):
     return [root(i) for i in range(n)]
 
 
-def test_components(spark):
+@pytest.fixture(params=["cold", "hot"])
+def heat(request, monkeypatch):
+    """hot: every key that two rows share is spread over tasks."""
+    if request.param == "hot":
+        monkeypatch.setattr(common, "LEAST_HOT", 1)
+        monkeypatch.setattr(common, "HOT", 1 << 40)
+
+
+def test_spread_join(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    data = [(i, None if i % 3 == 0 else "hot" if i % 3 == 1 else f"k{i}") for i in range(900)]
+    spark.createDataFrame(data, "id long, key string").repartition(3).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    values = spark.createDataFrame([("hot", 1), ("k2", 2), ("none", 3)], "key string, v int")
+    known = {"hot": 1, "k2": 2}
+    for how in ("inner", "left"):
+        got = sorted((r["id"], r["key"], r["v"]) for r in common.spread_join(rows, values, "key", how).collect())
+        assert got == [(i, k, known.get(k)) for i, k in data if how == "left" or k in known]
+
+
+def test_components(spark, heat):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 480)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -48,9 +68,12 @@ def texts():
     return out + ["One two, THREE.", "one two three", "", None, " .,; ", "x", "X", "w " * 30_000]
 
 
-@pytest.mark.parametrize("block", [1000, 7])
-def test_ngram_classes(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "words"), [(1000, 1_000_000), (7, 1_000_000), (1000, 400)])
+def test_ngram_classes(spark, block, words, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_WORDS", words)
+    if words == 400:
+        monkeypatch.setattr(common, "LEAST_HOT", 1)
     data = [(i, t, "c", 0) for i, t in enumerate(texts())]
     docs = spark.createDataFrame(data, "doc_id long, text string, class_id string, node int").repartition(3)
     got = {r["id"]: (r["class_id"], r["n_links"], r["kept"]) for r in ngram_join.ngram_classes(docs).collect()}
@@ -74,6 +97,22 @@ def test_ngram_nulls_and_empty(spark):
     assert ngram_join.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_many_long_near_copies(spark, monkeypatch):
+    """2,000 texts of 200 words, each a word or two from the same one: every two are linked, in many blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_WORDS", 60_000)
+    base = [f"w{i}" for i in range(200)]
+    data = []
+    for i in range(2000):
+        own = list(base)
+        own[i % 100] = f"x{i}"
+        data.append((i, " ".join(own)))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = ngram_join.ngram_classes(docs).collect()
+    assert len(got) == 2000 and {r["class_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
+    # Ten words are the most that two differ by: 186 of 206 n-grams at least are shared.
+    assert {r["n_links"] for r in got} == {1999}
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, rows = ngram_join.bands_for(threshold, 0.999)

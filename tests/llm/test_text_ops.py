@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tripledger.llm import blocks, bpe, exact_dedup, html_extract, language_id, mixing, secret_scan, token_counts, toxicity
+from tripledger.llm import blocks, bpe, common, exact_dedup, html_extract, language_id, mixing, secret_scan, token_counts, toxicity
 
 DOCS = "doc_id long, text string, source string, kept boolean, _id string, row int"
 TEXTS = [
@@ -99,7 +99,7 @@ def test_token_parts_on_random_texts():
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_path())
-    rng, count, split = random.Random(3), token_counts.counter(token_counts.model_path()), token_counts.splitter()
+    rng, count, split = random.Random(3), token_counts.counter(open(token_counts.model_path(), "rb").read()), token_counts.splitter()
     alphabet = [*"ab cde  \n\n\t\r.,;{}()=0123'", "▁", "é", "日", " ", "\x1c", "🙂", "́", "<s>", "</s>", "<unk>", "\0", "　", " the", "①", "﻿"]
     for _ in range(3000):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
@@ -110,7 +110,7 @@ def test_bpe_equals_the_library_and_round_trips(docs):
     import tiktoken
 
     path, pattern = bpe.vocabulary()
-    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks(open(path, "rb").read()), special_tokens={})
     got = bpe.bpe(docs).collect()
     want = {(r[0], r[1] or ""): own.encode_ordinary(r[1] or "") for r in TEXTS}
     assert len(got) == len(TEXTS)
@@ -123,14 +123,24 @@ def test_bpe_equals_the_library_and_round_trips(docs):
     assert bpe.bpe(docs.limit(0)).count() == 0
 
 
-def test_blocks_split_and_repeat(docs, monkeypatch):
-    """Small blocks, and blocks with the same contents."""
+@pytest.mark.parametrize("known", [64 << 20, 1])
+def test_blocks_split_and_repeat(docs, known, monkeypatch):
+    """Small blocks, blocks with the same contents, and dictionaries that start anew, on an input that is no file."""
     monkeypatch.setattr(blocks, "BLOCK_CHARS", 20)
+    monkeypatch.setattr(blocks, "KNOWN_BYTES", known)
     twice = docs.unionByName(docs)
     assert rows_of(token_counts.token_counts(twice), "doc_id", "n_tokens") == sorted(rows_of(token_counts.token_counts(docs), "doc_id", "n_tokens") * 2, key=repr)
     assert rows_of(bpe.bpe(twice, outputs=()), "doc_id", "ids_sha256") == sorted(rows_of(bpe.bpe(docs, outputs=()), "doc_id", "ids_sha256") * 2, key=repr)
 
 
+def test_only_plain_reads_are_read_twice(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    assert common.is_scan(read) and common.is_scan(read.select("text").where("text IS NOT NULL"))
+    assert not any(map(common.is_scan, (docs, read.repartition(3), read.where("rand() < 0.5"), read.join(read.select("doc_id"), "doc_id"), read.distinct())))
+    assert rows_of(token_counts.token_counts(read.repartition(2)), "doc_id", "n_tokens") == rows_of(token_counts.token_counts(read), "doc_id", "n_tokens")
+
+
 def test_mixing(docs, spark):
     out = mixing.mix(docs).toPandas()
     assert len(out) == len(TEXTS)

@@ -7,9 +7,12 @@ every document is sent once for each block and no key is ever hot. A bucket's re
 word once, whatever the number of blocks that hold it, and sends the values back by block, where they meet the
 numbered texts.
 
-Texts and dictionaries are two passes over the same scan, so that neither is stored in between; a lost executor's
-part is made again from the input. A block's identifier is a digest of what it holds. If the input gave other
-rows the second time, identifiers or word counts would differ, and the job fails instead of giving wrong values.
+Texts and dictionaries are two passes over the same files, so that neither is stored in between; a lost executor's
+part is made again from the input. An input that is not just files, whose rows could come in another order the second
+time, is written to the shared folder first. A block is named by where its first row stands and what it holds.
+
+A bucket's share of the vocabulary is held by its task in a dictionary of bounded size: there are the more buckets the
+larger the input, and a dictionary that grows beyond ``KNOWN_BYTES`` all the same starts anew.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import lean, shuffle_partitions
+from tripledger.llm.common import lean, rereadable, shuffle_partitions, size_in_bytes
 
 BLOCK_CHARS = 6_000_000
+#: Input, as stored, for each bucket and each task; and the most that a task's dictionary holds.
+BUCKET_BYTES, KNOWN_BYTES, MOST_BUCKETS = 24 << 20, 64 << 20, 1 << 16
 
 #: Rows of either kind: a block's numbered texts (bucket -1), or its words of a bucket and later their values.
 SCHEMA = "block string, bucket int, ids array<string>, n_bytes array<bigint>, n_codes array<int>, codes binary, freqs binary, dealt binary, lengths binary, data binary"
@@ -66,7 +71,8 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
 class Block:
     """Texts as numbers of the block's own words; counted: each text's distinct words with their frequencies instead."""
 
-    def __init__(self, counted: bool):
+    def __init__(self, place: tuple, counted: bool):
+        self.place = place
         self.ids, self.n_bytes, self.n_codes, self.codes, self.freqs, self.chars, self.counted = [], [], [], [], [], 0, counted
         self.number = defaultdict()
         self.number.default_factory = self.number.__len__
@@ -89,7 +95,7 @@ class Block:
         raw = [w.encode() for w in self.number]
         self.number.default_factory = None  # it refers to the dictionary, which would keep it alive
         codes = packed(np.concatenate([np.empty(0, np.int64), *self.codes]))
-        digest = hashlib.blake2b(codes + b"".join(raw) + repr((self.ids, self.n_codes)).encode(), digest_size=16).hexdigest()
+        digest = hashlib.blake2b(codes + b"".join(raw) + repr((self.place, self.ids, self.n_codes)).encode(), digest_size=16).hexdigest()
         dealt = np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % buckets
         if texts:
             freqs = packed(np.concatenate([np.empty(0, np.int64), *self.freqs])) if self.counted else None
@@ -104,15 +110,17 @@ def _mapper(split: Callable, buckets: int, counted: bool, texts: bool) -> Callab
     """split(): returns the function that yields a text's pre-tokens, made once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, block = split(), Block(counted)
+        pieces, block, n = split(), None, 0
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, (key, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                if block is None:
+                    block = Block((batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), n := n + 1), counted)
                 text = value.as_py() or ""
                 block.add(key, text, pieces(text))
                 if block.chars >= BLOCK_CHARS:
                     yield from block.rows(texts, buckets)
-                    block = Block(counted)
-        if block.ids:
+                    block = None
+        if block is not None:
             yield from block.rows(texts, buckets)
 
     return run
@@ -124,13 +132,17 @@ def _reducer(evaluate: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = evaluate()
         known: dict[bytes, bytes] = {}
+        held = 0
         for batch in batches:
             for row in batch.to_pylist():
                 out = []
+                if held > KNOWN_BYTES:
+                    known, held = {}, 0
                 for w in unpack_words(row["lengths"], row["data"]):
                     v = known.get(w)
                     if v is None:
                         v = known[w] = value(w)
+                        held += len(w) + len(v) + 200  # with what Python keeps for the two
                     out.append(v)
                 yield _rows([{"block": row["block"], "bucket": row["bucket"], **pack_words(out)}])
 
@@ -139,31 +151,32 @@ def _reducer(evaluate: Callable) -> Callable:
 
 def distinct_word_join(docs: DataFrame, id_col: str, text_col: str, split: Callable, evaluate: Callable, finish: Callable, schema: str, counted: bool) -> DataFrame:
     """finish(texts, lengths, data) makes a block's result: the row of its texts, and each word's value by number."""
-    buckets = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = rereadable(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), "texts")
+    tasks = max(shuffle_partitions(docs.sparkSession), -(-size_in_bytes(rows) // BUCKET_BYTES))
+    buckets = min(tasks, MOST_BUCKETS)
+    rows = rows.select("id", "text", F.input_file_name().alias("file"), F.input_file_block_start().alias("at"))
     texts = rows.mapInArrow(lean(_mapper(split, buckets, counted, texts=True)), SCHEMA)
     words = rows.mapInArrow(lean(_mapper(split, buckets, counted, texts=False)), SCHEMA)
-    values = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_reducer(evaluate)), SCHEMA)
+    values = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_reducer(evaluate)), SCHEMA)
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
         pa.default_memory_pool().release_unused()
         own, given = rows[rows.bucket < 0], rows[rows.bucket >= 0].drop_duplicates("bucket").sort_values("bucket")
-        if own.empty:
-            raise RuntimeError("the input gave other rows when it was read again: values without their texts")
+        if len(own) != 1:
+            raise RuntimeError("the files changed between two reads: values without their texts")
         dealt = unpacked(own.dealt.iloc[0])
         by_bucket = np.argsort(dealt, kind="stable")
         lengths = np.concatenate([np.empty(0, np.int64), *(unpacked(x) for x in given.lengths)])
         if len(lengths) != len(dealt):
-            raise RuntimeError("the input gave other rows when it was read again: words without their values")
+            raise RuntimeError("the files changed between two reads: words without their values")
         data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in given.data), np.uint8)
         # From the order of buckets to the order of numbers.
         number = np.empty(len(dealt), np.int64)
         number[by_bucket] = np.arange(len(dealt))
         data = gathered(data, np.concatenate([[0], np.cumsum(lengths)]), number).tobytes()
-        # Blocks that hold the same have the same identifier; each has its own row of texts.
-        return pd.concat([finish(row, lengths[number], data) for row in own.itertuples()], ignore_index=True)
+        return finish(next(own.itertuples()), lengths[number], data)
 
-    return texts.unionByName(values).groupBy("block").applyInPandas(joined, schema)
+    return texts.unionByName(values).repartition(tasks, "block").groupBy("block").applyInPandas(joined, schema)
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> np.ndarray:

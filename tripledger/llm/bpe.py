@@ -7,6 +7,7 @@ looks the ids up in the table of token bytes, which has one entry for each rank.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -23,16 +24,17 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
-def ranks(path: str) -> dict[bytes, int]:
+def ranks(content: bytes) -> dict[bytes, int]:
+    """content: a rank file's lines."""
     import base64
 
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
 
 
-def token_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens' bytes one after the other, and where each starts."""
-    table = ranks(path)
+@functools.lru_cache(2)
+def token_table(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens' bytes one after the other, and where each starts; made once for each worker."""
+    table = ranks(content)
     tokens = [b""] * (max(table.values()) + 1)
     for token, rank in table.items():
         tokens[rank] = token
@@ -48,6 +50,8 @@ def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: s
     """
     own_path, own_pattern = vocabulary()
     path, pattern = path or own_path, pattern or own_pattern
+    with open(path, "rb") as file:  # executors need not have the file
+        content = file.read()
 
     def split():
         import regex
@@ -57,14 +61,14 @@ def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: s
     def evaluate():
         import tiktoken
 
-        one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})._encode_single_piece
+        one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(content), special_tokens={})._encode_single_piece
         return lambda w: np.asarray(one(w), "<u4").tobytes()
 
     def finish(texts, lengths, data) -> pd.DataFrame:
         ids = np.frombuffer(data, "<u4")
         starts = np.concatenate([[0], np.cumsum(lengths) // 4])
         codes = unpacked(texts.codes)
-        bytes_of, byte_starts = token_table(path)
+        bytes_of, byte_starts = token_table(content)
         rows, at = [], 0
         for key, n in zip(texts.ids, texts.n_codes):
             own = gathered(ids, starts, codes[at : at + n])

@@ -5,7 +5,7 @@
    at the threshold. Nodes that agree on a band's hash share a bucket. Buckets with the same members are one.
 3. The words of nodes that share a bucket are sent to their buckets, compressed, and every pair in a bucket is
    verified on its full sets: small buckets set by set, large ones by counting common n-grams in matrices. A bucket
-   of more than ``BLOCK`` nodes is cut into blocks, and each pair of blocks is a task of its own. Pairs are not
+   of more than ``BLOCK`` nodes or ``BLOCK_WORDS`` words is cut into blocks, and each pair of blocks is a task of its own. Pairs are not
    emitted: a task returns each node's number of links, counting a pair only in the first bucket that the two
    share, and ties it to one node of its group.
 4. Ties become classes by distributed connected components.
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripledger.llm.common import lean, written
+from tripledger.llm.common import lean, spread_join, written
 from tripledger.llm.components import classes
 
 NGRAM, THRESHOLD, RECALL, SEED = 5, 0.8, 0.9999, 20_240_601
-BLOCK = 1000
+BLOCK, BLOCK_WORDS = 1000, 1_000_000
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,18 +84,19 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def with_nodes(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """id, node and bands for every row; node and bands are null where a text has no words."""
+    """id, node, n_words and bands for every row; node and bands are null where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, hashes = [], []
+            nodes, sizes, hashes = [], [], []
             for value in batch.column(1):
                 words = words_of(value.as_py())
                 nodes.append(node_of(words))
+                sizes.append(len(words))
                 hashes.append(band_hashes(ngrams(words, n), bands, rows) if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["id", "node", "n_words", "bands"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "id bigint, node binary, bands array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "id bigint, node binary, n_words bigint, bands array<bigint>")
 
 
 def with_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -236,18 +237,18 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     bands, rows = bands_for(threshold, recall)
     signed = written(with_nodes(docs, id_col, text_col, n, bands, rows), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
-    buckets = buckets.where("size > 1").groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    shared = members.join(buckets, "bucket").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("bucket", "size"))).alias("shared"))
+    members = nodes.select("node", "n_words", F.explode("bands").alias("bucket"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n_words") / F.lit(BLOCK_WORDS))).cast("int")
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), blocks.alias("blocks"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
+    buckets = buckets.where("size > 1").groupBy("size", "blocks", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "blocks")
+    shared = spread_join(members.select("node", "bucket"), written(buckets, "buckets"), "bucket").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("bucket", "blocks"))).alias("shared"))
     shared = written(shared.join(nodes.select("node", "copies"), "node"), "shared")
 
     words = shared.join(with_words(docs, text_col).dropDuplicates(["node"]), "node")
-    blocks = F.ceil(F.col("in.size") / F.lit(BLOCK)).cast("int")
-    dealt = words.select("node", "copies", "words", F.col("shared.bucket").alias("buckets"), F.explode("shared").alias("in"))
-    dealt = dealt.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    dealt = words.select("node", "copies", "words", F.col("shared.bucket").alias("buckets"), F.explode("shared").alias("in")).withColumn("blocks", F.col("in.blocks"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.col("in.bucket").alias("bucket"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "copies", "buckets", "words")
     found = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(_verifier(n, threshold), "a binary, b binary, links bigint")

@@ -44,10 +44,11 @@ def splitter():
     return lambda text: parts(" " + text) if text else []
 
 
-def counter(path: str):
+def counter(content: bytes):
+    """content: a model file's."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_proto=content)
     after_line = len(model.encode("\n"))  # the mark and the line feed
 
     def count(part: str) -> int:
@@ -68,9 +69,11 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     path = path or model_path()
     check_model(path)
+    with open(path, "rb") as file:  # executors need not have the file
+        content = file.read()
 
     def evaluate():
-        count = counter(path)
+        count = counter(content)
         return lambda w: np.uint32(count(w.decode())).tobytes()
 
     def finish(texts, lengths, data) -> pd.DataFrame:
