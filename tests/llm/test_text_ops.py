@@ -46,9 +46,10 @@ def ascii_lower(text):
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
-@pytest.mark.parametrize("hot", [100, 1])
-def test_exact_groups(docs, keep, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "lot"), [(100, 128), (1, 128), (1, 1)])
+def test_exact_groups(docs, keep, hot, lot, monkeypatch):
     monkeypatch.setattr(exact_dedup, "LEAST_HOT", hot)  # 1: every group of copies is salted
+    monkeypatch.setattr(exact_dedup, "LOT", lot)
     found = exact_dedup.exact_groups(docs, keep=keep).collect()
     groups = {}
     for r in TEXTS:
@@ -74,8 +75,10 @@ def test_exact_dedup_keeps_columns_and_takes_empty_tables(docs):
         exact_dedup.exact_groups(docs, keep="any")
 
 
-def test_exact_groups_many_copies(spark):
-    rows = spark.range(5000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'Same', CONCAT('t', id % 2000)) AS text")
+@pytest.mark.parametrize("start", ["", "The licence that all of these texts begin with, word for word. "])
+def test_exact_groups_many_copies(spark, start):
+    """A third of the rows are copies; with a start they all share their beginning."""
+    rows = spark.range(5000).selectExpr("id AS doc_id", f"CONCAT('{start}', IF(id % 3 = 0, 'Same', CONCAT('t', id % 2000))) AS text")
     out = exact_dedup.exact_groups(rows, keep="largest").toPandas()
     want = rows.toPandas().assign(norm=lambda d: d.text.str.lower())
     assert out.kept.sum() == want.norm.nunique()
