@@ -119,9 +119,11 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - threshold**rows) ** bands >= 0.999
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_embedding_classes(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "cell"), [(65_536, 256), (16, 16), (16, 4), (100, 2)])
+def test_embedding_classes(spark, block, cell, monkeypatch):
     monkeypatch.setattr(embedding_join, "BLOCK", block)
+    monkeypatch.setattr(embedding_join, "CELL", cell)
+    monkeypatch.setattr(embedding_join, "COSINES", 500)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 8))
     x = np.concatenate([centres[rng.integers(0, 12, 150)] + rng.normal(0, 0.35, (150, 8)), rng.normal(size=(80, 8))])
@@ -148,16 +150,32 @@ def test_embeddings_empty_and_repeated(spark):
     assert embedding_join.embedding_classes(rows.limit(0)).count() == 0
 
 
-def test_cells_rule_each_other_out():
-    """Far clusters do not visit one another."""
+def test_exactly_the_threshold(spark):
+    """(1, 0) and (3, 4) have a cosine of 0.6 exactly."""
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    links = lambda t: sorted((r["id"], r["n_links"], r["class_id"]) for r in embedding_join.embedding_classes(rows, threshold=t).collect())
+    assert links(0.6) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+    assert links(0.6 + 1e-12) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
+
+
+def dealt(pivots, cells, raw, size):
     import pyarrow as pa
 
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes([97 + i]) for i in range(len(raw))], pa.binary()), pa.array([1] * len(raw), pa.int64()), pa.array([np.array(v, "<f8").tobytes() for v in raw], pa.binary())], ["node", "copies", "raw"])
+    out = list(embedding_join._dealer(pivots, cells, float(np.sqrt(0.2)), 4, size)([batch]))[0].to_pydict()
+    return sorted(zip(out["node"], out["block"], out["visits"]))
+
+
+def test_cells_rule_each_other_out():
+    """Far clusters do not visit one another, and a block is visited once however many of its cells are."""
     pivots = np.eye(4)
     cells = [{"cell": i, "n": 10, "near": 0.0, "far": 0.2} for i in range(4)]
-    raw = [np.array(v, "<f8").tobytes() for v in ([1, 0.01, 0, 0], [0, 0, 1, 0.02])]
-    batch = pa.RecordBatch.from_arrays([pa.array([b"a", b"b"], pa.binary()), pa.array([1, 1], pa.int64()), pa.array(raw, pa.binary())], ["node", "copies", "raw"])
-    out = list(embedding_join._dealer(pivots, cells, float(np.sqrt(0.2)), 4)([batch]))[0].to_pydict()
-    assert sorted(zip(out["cell"], out["visits"])) == [(0, 0), (2, 0)]
+    raw = [[1, 0.01, 0, 0], [0, 0, 1, 0.02]]
+    apart = dealt(pivots, cells, raw, 10)
+    assert len(apart) == 2 and len({b for _, b, _ in apart}) == 2 and not any(v for *_, v in apart)
+    assert dealt(pivots, [c | {"far": 2.0} for c in cells], raw, 1000) == [(b"a", 0, 0), (b"b", 0, 0)]
+    large = dealt(pivots, [c | {"n": 30} for c in cells], raw, 10)
+    assert [sum(n == k for n, *_ in large) for k in (b"a", b"b")] == [3, 3] and sum(v for *_, v in large) == 4
 
 
 def test_pipeline(spark, tmp_path):

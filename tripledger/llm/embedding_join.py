@@ -4,9 +4,10 @@ A cosine of c between two vectors is a distance of sqrt(2 - 2c) between their un
 join in a metric space. Pivots, from a bounded sample, cut the space into cells, each vector being at home in the
 cell of its nearest pivot. A vector also visits every cell that the triangle inequality does not rule out: one
 whose bisector with its own cell is within the range, and whose nearest and farthest residents' distances from
-their pivot leave room. Cells join independently, in blocks of residents that visitors stream past; a vector's links
+their pivot leave room. Small cells that lie side by side share a block, large ones are cut into several; a vector goes
+once to each block of a cell that it visits. Blocks join independently, visitors streaming past the residents; a vector's links
 are counted where it is at home, so each is counted once, and no pairs are emitted. Nothing is approximate: where
-the pivots cannot rule cells out, as for directions spread evenly over many dimensions, every cell is visited.
+the pivots cannot rule cells out, as for directions spread evenly over many dimensions, every block is visited.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from tripledger.llm.common import written
 from tripledger.llm.components import classes
 
 THRESHOLD = 0.9
-#: Residents of a block; a cell of more is joined in several blocks.
-BLOCK = 4096
-#: Pivots come from at most so many vectors, and there are at most so many of them.
-SAMPLE, MOST_PIVOTS = 8192, 1024
-STRIP = 1024
+#: Residents of a block: at most so many, of at most so many bytes; fewer where the vectors are few, so that all cores have a block, but not under LEAST.
+BLOCK, BLOCK_BYTES, LEAST = 65_536, 64 << 20, 1024
+#: Pivots come from at most so many vectors, there are at most so many of them, and one for so many vectors.
+SAMPLE, MOST_PIVOTS, CELL = 8192, 1024, 256
+#: Cosines held at once.
+STRIP, COSINES = 1024, 1 << 22
 #: Room for rounding in the bounds that rule cells out.
 SLACK = 1e-9
 
@@ -67,7 +69,7 @@ def pivots_for(nodes: DataFrame, dim: int, n: int) -> np.ndarray:
     hashed = F.xxhash64("node").bitwiseAND(F.lit((1 << 62) - 1))
     got = nodes.select(hashed.alias("h"), "raw").where(F.col("h") <= F.lit(int(share * (1 << 62)))).orderBy("h", "raw").limit(SAMPLE).collect()
     x = unit([bytes(r["raw"]) for r in got], dim)
-    k = max(1, min(MOST_PIVOTS, -(-n // BLOCK), len(x)))
+    k = max(1, min(MOST_PIVOTS, -(-n // CELL), len(x)))
     centres = x[:k].copy()
     for _ in range(4):
         near = (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)
@@ -97,13 +99,33 @@ def residents(nodes: DataFrame, pivots: np.ndarray, dim: int) -> list:
     return nodes.select("raw").mapInArrow(run, "cell int, d double").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("near"), F.max("d").alias("far")).collect()
 
 
-def _dealer(pivots: np.ndarray, cells: list, reach: float, dim: int):
-    """Rows of each vector at home (visits 0) and in every block that it must visit (visits 1)."""
+def blocks_of(pivots: np.ndarray, counts: np.ndarray, size: int) -> list[list[int]]:
+    """The blocks of each cell. Cells are lined up along the direction in which pivots differ most and fill blocks of about ``size`` residents."""
+    middle = pivots - pivots.mean(0)
+    along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]
+    out: list[list[int]] = [[] for _ in counts]
+    block, held = 0, 0
+    for cell in np.argsort(along, kind="stable").tolist():
+        n = int(counts[cell])
+        if held and held + n > size:
+            block, held = block + 1, 0
+        own = max(1, -(-n // size))
+        out[cell] = list(range(block, block + own))
+        block, held = (block + own, 0) if own > 1 else (block, held + n)
+    return out
+
+
+def _dealer(pivots: np.ndarray, cells: list, reach: float, dim: int, size: int):
+    """Rows of each vector at home (visits 0) and in every other block that it must visit (visits 1)."""
     n = np.zeros(len(pivots), np.int64)
     near, far = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
     for c in cells:
         n[c["cell"]], near[c["cell"]], far[c["cell"]] = c["n"], c["near"], c["far"]
-    blocks = -(-n // BLOCK)
+    blocks = blocks_of(pivots, n, size)
+    in_block = np.zeros((len(pivots), max(b for own in blocks for b in own) + 1), bool)
+    for cell, own in enumerate(blocks):
+        in_block[cell, own] = n[cell] > 0
+    first, several = np.array([own[0] for own in blocks]), np.array([len(own) for own in blocks], np.uint64)
     apart = np.maximum(distances(pivots, pivots), 1e-12)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,17 +138,15 @@ def _dealer(pivots: np.ndarray, cells: list, reach: float, dim: int):
                 rows = np.arange(len(home))
                 beyond = (d**2 - d[rows, home][:, None] ** 2) / (2 * apart[home])
                 beyond[rows, home] = 0
-                open_ = (blocks > 0) & (beyond <= reach + SLACK) & (d <= far + reach + SLACK) & (d >= near - reach - SLACK)
+                open_ = (n > 0) & (beyond <= reach + SLACK) & (d <= far + reach + SLACK) & (d >= near - reach - SLACK)
                 open_[rows, home] = True
-                own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in nodes), np.uint64, len(nodes)) % np.maximum(1, blocks[home]).astype(np.uint64)
-                out = []
-                for i, j in zip(*np.nonzero(open_)):
-                    for b in range(blocks[j]):
-                        out.append((i, j, b, 0 if j == home[i] and b == own[i] else 1))
-                i, cell, block, visits = np.array(out).T
+                visited = open_.astype(np.float32) @ in_block.astype(np.float32) > 0
+                own = first[home] + (np.fromiter((xxhash.xxh3_64_intdigest(x) for x in nodes), np.uint64, len(nodes)) % several[home]).astype(np.int64)
+                visited[rows, own] = True
+                i, block = np.nonzero(visited)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell, pa.int32()), pa.array(block, pa.int32()), pa.array(visits, pa.int32()), *(pa.array(x, t).take(pa.array(i)) for x, t in ((nodes, pa.binary()), (copies, pa.int64()), (raws, pa.binary())))],
-                    ["cell", "block", "visits", "node", "copies", "raw"],
+                    [pa.array(block, pa.int32()), pa.array((block != own[i]).astype(np.int32)), *(pa.array(x, t).take(pa.array(i)) for x, t in ((nodes, pa.binary()), (copies, pa.int64()), (raws, pa.binary())))],
+                    ["block", "visits", "node", "copies", "raw"],
                 )
 
     return run
@@ -135,16 +155,17 @@ def _dealer(pivots: np.ndarray, cells: list, reach: float, dim: int):
 class Residents:
     """A block's residents, their links so far, and which of them are joined through what has streamed past."""
 
-    def __init__(self, key: tuple[int, int]):
+    def __init__(self, key: int):
         self.key, self.nodes, self.copies, self.raws, self.x = key, [], [], [], None
 
     def settle(self, dim: int, threshold: float) -> None:
         self.x, self.copies = unit(self.raws, dim), np.asarray(self.copies, np.int64)
         self.raws, self.links, self.up = [], np.zeros(len(self.nodes), np.int64), list(range(len(self.nodes)))
-        for lo in range(0, len(self.nodes), STRIP):
-            link = self.x[lo : lo + STRIP] @ self.x.T >= threshold
+        strip = max(1, COSINES // max(1, len(self.nodes)))
+        for lo in range(0, len(self.nodes), strip):
+            link = self.x[lo : lo + strip] @ self.x.T >= threshold
             link[np.arange(len(link)), lo + np.arange(len(link))] = False
-            self.links[lo : lo + STRIP] += link @ self.copies
+            self.links[lo : lo + strip] += link @ self.copies
             for i in np.flatnonzero(link.any(1)):
                 self.join(lo + i, np.flatnonzero(link[i]))
 
@@ -164,9 +185,10 @@ class Residents:
 
     def meet(self, nodes: list[bytes], copies: np.ndarray, x: np.ndarray, threshold: float) -> Iterator[tuple[bytes, bytes, int]]:
         """Ties of visitors to a resident each."""
-        for lo in range(0, len(nodes), STRIP):
-            link = x[lo : lo + STRIP] @ self.x.T >= threshold
-            self.links += copies[lo : lo + STRIP] @ link
+        strip = max(1, COSINES // len(self.nodes))
+        for lo in range(0, len(nodes), strip):
+            link = x[lo : lo + strip] @ self.x.T >= threshold
+            self.links += copies[lo : lo + strip] @ link
             for i in np.flatnonzero(link.any(1)):
                 near = np.flatnonzero(link[i])
                 self.join(int(near[0]), near[1:])
@@ -178,7 +200,7 @@ class Residents:
 
 
 def _joiner(dim: int, threshold: float):
-    """Over rows sorted by cell, block and visits."""
+    """Over rows sorted by block and visits."""
 
     def batch_of(rows: list) -> pa.RecordBatch:
         a, b, links = zip(*rows)
@@ -187,20 +209,20 @@ def _joiner(dim: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: Residents | None = None
         for batch in batches:
-            k = np.array([_column(batch, c) for c in ("cell", "block", "visits")]).reshape(3, -1)
+            k = np.array([_column(batch, c) for c in ("block", "visits")]).reshape(2, -1)
             cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
-                part, (cell, block, visits) = batch.slice(lo, hi - lo), k[:, lo].tolist()
+                part, (block, visits) = batch.slice(lo, hi - lo), k[:, lo].tolist()
                 nodes, copies, raws = (_column(part, c) for c in ("node", "copies", "raw"))
-                if at is None or at.key != (cell, block):
+                if at is None or at.key != block:
                     if at:
                         if at.x is None:
                             at.settle(dim, threshold)
                         if rows := list(at.ties()):
                             yield batch_of(rows)
-                    at = Residents((cell, block))
+                    at = Residents(block)
                 if not visits:
                     at.nodes += nodes
                     at.copies += copies
@@ -238,8 +260,10 @@ def embedding_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     for (dim, n) in sorted((r["dim"], r["n"]) for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):
         own = nodes.where(F.col("dim") == dim).select("node", "copies", "raw")
         pivots = pivots_for(own, dim, n)
-        dealt = own.mapInArrow(_dealer(pivots, residents(own, pivots, dim), reach, dim), "cell int, block int, visits int, node binary, copies bigint, raw binary")
-        joined = dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "visits").mapInArrow(_joiner(dim, threshold), "a binary, b binary, links bigint")
+        at_once = -(-n // max(1, int(np.ceil(np.sqrt(own.sparkSession.sparkContext.defaultParallelism)))))
+        size = min(BLOCK, max(1, BLOCK_BYTES // (8 * dim)), max(LEAST, at_once))
+        dealt = own.mapInArrow(_dealer(pivots, residents(own, pivots, dim), reach, dim, size), "block int, visits int, node binary, copies bigint, raw binary")
+        joined = dealt.repartition(max(1, min(-(-2 * n // size), 1 << 20)), "block").sortWithinPartitions("block", "visits").mapInArrow(_joiner(dim, threshold), "a binary, b binary, links bigint")
         found = found.unionByName(joined)
     return classes(rows, nodes, written(found, "found"))
 
@@ -249,3 +273,22 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
     out = embedding_classes(table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("class_id").alias("component_id"), "kept")
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), g AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (
+  SELECT a AS vec_id, a AS reached FROM l UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a
+), c AS (
+  SELECT vec_id, min(reached) AS least FROM r GROUP BY 1
+), n AS (
+  SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1
+)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.least, v.vec_id) AS component_id, coalesce(c.least, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
