@@ -277,3 +277,31 @@ def op6(spark, sf_dir: str) -> DataFrame:
     from tripledger.llm.common import table
 
     return ngram_classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links", "kept")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS grams FROM t WHERE len(w) > 0
+), g AS (
+  SELECT doc_id, len(grams) AS size, md5(array_to_string(list_sort(grams), '|')) AS same, grams FROM s
+), d AS (
+  SELECT same, min(doc_id) AS node, any_value(size) AS size, any_value(grams) AS grams, count(*) AS copies FROM g GROUP BY 1
+), e AS (
+  SELECT node, size, unnest(grams) AS gram FROM d
+), p AS (
+  SELECT x.node AS a, y.node AS b FROM e x JOIN e y ON x.gram = y.gram AND x.node <> y.node GROUP BY 1, 2, x.size, y.size
+  HAVING count(*) >= 0.8 * (x.size + y.size - count(*)) - 1e-9
+), r AS (
+  SELECT a AS node, a AS reached FROM p UNION SELECT r.node, p.b FROM r JOIN p ON r.reached = p.a
+), c AS (
+  SELECT node, min(reached) AS class_id FROM r GROUP BY 1
+), n AS (
+  SELECT a AS node, sum(copies)::BIGINT AS n FROM p JOIN d ON d.node = p.b GROUP BY 1
+), o AS (
+  SELECT g.doc_id, coalesce(c.class_id, d.node) AS class_id, d.copies - 1 + coalesce(n.n, 0) AS n_links FROM g JOIN d USING (same) LEFT JOIN c USING (node) LEFT JOIN n USING (node)
+)
+SELECT documents.doc_id, coalesce(o.class_id, documents.doc_id) AS class_id, coalesce(o.n_links, 0)::BIGINT AS n_links, documents.doc_id = coalesce(o.class_id, documents.doc_id) AS kept
+FROM documents LEFT JOIN o USING (doc_id)
+"""

@@ -24,5 +24,6 @@ def oracle_sql() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op2_embedding_join": embedding_join.OP2_SQL,
+        "op6_ngram_join": ngram_join.OP6_SQL,
         "op10_mixing": mixing.OP10_SQL,
     }
