@@ -475,3 +475,35 @@ def test_languages(spark):
     nothing = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert language_id.identify(nothing).first()["lang_pred"] == "und"
     assert language_id.identify(nothing.limit(0)).count() == 0
+
+
+def test_languages_under_hot_and_null_identifiers(spark):
+    """A third of the rows under one identifier, and many without one: every language is learnt, reruns agree."""
+    syllables = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ich"], "cc": ["ção", "nha", "é"]}
+    rng = np.random.default_rng(3)
+    word = lambda lang: "".join(rng.choice(syllables[lang], 3))
+    data = [(None if i % 3 == 0 else 0 if i % 3 == 1 else i, " ".join(word(lang) for _ in range(12)), lang, i) for i in range(600) for lang in [("aa", "bb", "cc")[i // 3 % 3]]]
+    data += [(None, "kalomi kalomi", "aa", 1)] * 300
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, lang_pred int")
+    a, b = language_id.train(docs, max_rows=60), language_id.train(docs.repartition(5), max_rows=60)
+    assert a.langs == ["aa", "bb", "cc"] and np.array_equal(a.table, b.table)
+    out = language_id.identify(docs).collect()
+    assert len(out) == 900 and np.mean([r["lang_pred"] in syllables for r in out]) == 1
+
+
+def test_language_scores_are_a_plain_forward_pass():
+    """Subwords by hand, their mean embedding's logits and a softmax; equal scores go to the first language by name."""
+    rng = np.random.default_rng(7)
+    model = language_id.Model(["aa", "bb", "cc"], rng.normal(size=(language_id.BUCKETS, 3)), rng.normal(size=3), 1.7, 0.4)
+    text = "Déjà vu, 日本"
+    raw, logits, n = text.lower().encode(), np.zeros(3), 0
+    for size in language_id.LENGTHS:
+        for k in range(len(raw) - size + 1):
+            h = size
+            for byte in raw[k : k + size]:
+                h = (h ^ byte) * 16777619 & 0xFFFFFFFF
+            logits, n = logits + model.table[(h ^ h >> 14) & language_id.BUCKETS - 1], n + 1
+    z = (logits / n + model.bias) / model.temperature
+    p = np.exp(z) / np.exp(z).sum()
+    assert model.predict(text) == (model.langs[int(p.argmax())], pytest.approx(p.max()), p.max() >= 0.4)
+    assert language_id.Model(["aa", "bb"], np.zeros((language_id.BUCKETS, 2)), np.zeros(2)).predict("text")[0] == "aa"

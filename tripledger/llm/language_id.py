@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripledger.llm.toxicity import fold
@@ -119,36 +119,45 @@ def fitted(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Model
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, max_rows: int = TRAIN_ROWS) -> Model:
-    """Learns from rows with a language outside the held-out fold."""
+    """Learns from rows with a language outside the held-out fold: for each language those with the lowest hashes of identifier and text, each once."""
     own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, folds) != held))
     counts = own.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
     n_langs = max(1, counts.count())
     each = max(1, max_rows // n_langs)
-    wide = float(1 << 62)
-    hashed = F.xxhash64(id_col).bitwiseAND(F.lit((1 << 62) - 1)).cast("double") / wide
-    rows = own.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), hashed.alias("_hash"))
+    hashed = F.xxhash64(id_col, text_col).bitwiseAND(F.lit((1 << 62) - 1))
+    rows = own.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), hashed.alias("_hash"))
     few = n_langs <= MOST_BROADCAST  # else both sides are shuffled
-    rows = rows.join(F.broadcast(counts) if few else counts, "_lang").where(F.col("_hash") * F.col("_n") <= each).select("_id", "_text", "_lang")
+    low = F.col("_hash").cast("double") / float(1 << 62) * F.col("_n") <= 1.5 * each + 20
+    rows = rows.join(F.broadcast(counts) if few else counts, "_lang").where(low).select("_hash", "_text", "_lang")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # rows that repeat, however often, give one
         for batch in batches:
-            ids, shares = [], []
-            for t in batch.column(1):
+            hashes, langs, ids, shares = [], [], [], []
+            for h, t, lang in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if (h, lang) in seen:
+                    continue
+                seen.add((h, lang))
                 x = averaged(t.as_py())
                 used = np.flatnonzero(x)
-                ids.append(used.astype(np.int32))
-                shares.append(x[used].astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["_id", "_lang", "ids", "shares"])
-
-    table = rows.mapInArrow(featured, "_id bigint, _lang string, ids array<int>, shares array<float>").limit(2 * max_rows).toArrow().sort_by([("_id", "ascending"), ("_lang", "ascending")])
-    pairs = [(np.asarray(i.values, np.int64), np.asarray(s.values, float)) for i, s in zip(table.column("ids"), table.column("shares"))]
+                hashes.append(h)
+                langs.append(lang)
+                ids.append(used.astype("<u2").tobytes())
+                shares.append(x[used].astype("<f4").tobytes())
+            columns = [pa.array(hashes, pa.int64()), pa.array(langs, pa.string()), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["_hash", "_lang", "ids", "shares"])
+
+    found = rows.mapInArrow(featured, "_hash bigint, _lang string, ids binary, shares binary").dropDuplicates(["_hash", "_lang"])
+    lowest = Window.partitionBy("_lang").orderBy("_hash")
+    table = found.withColumn("_k", F.row_number().over(lowest)).where(F.col("_k") <= each).toArrow().sort_by([("_hash", "ascending"), ("_lang", "ascending")])
+    pairs = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(s, "<f4").astype(float)) for i, s in zip(table.column("ids").to_pylist(), table.column("shares").to_pylist())]
     return fitted(pairs, table.column("_lang").to_pylist())
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, lang_pred, score, and accepted: whether the score passes the calibrated rejection threshold.
 
-    A null text, or one without a letter, is ``und`` with score 0. Null and repeated identifiers pass through, a
+    A null text, or one without a letter, is ``und`` with score 0; of languages with the same score the first by name is taken. Null and repeated identifiers pass through, a
     row each; where nothing can be learnt every row is ``und``; an empty input gives an empty result; other columns play no part.
     """
     model = train(docs, id_col, text_col, lang_col, folds, held)
