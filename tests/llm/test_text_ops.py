@@ -277,6 +277,102 @@ def test_secrets_in_layers_above_the_window(filler, pack, monkeypatch):
             assert {"assign", "access"} <= found, (shift, inner)
 
 
+def raw_deflate(raw):
+    packer = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return packer.compress(raw) + packer.flush()
+
+
+@pytest.mark.parametrize("inner", [INNER, "x" * 40 + INNER * 20])
+def test_secrets_in_deflate_without_a_header(inner):
+    for text in (b64(raw_deflate(inner.encode())), urllib.parse.quote(b64(raw_deflate(inner.encode())), safe=""), b64(gzip.compress(b64(raw_deflate(inner.encode())).encode()))):
+        assert {"assign", "access"} <= {k for _, own, _ in secret_scan.layers(f"see {text} end") for k, _, _ in own}
+
+
+def escaped(text):
+    return "".join(f"\\x{ord(c):02x}" for c in text)
+
+
+NESTS = {
+    "percent": lambda t: "".join(f"%{ord(c):02X}" for c in t), "base64": b64, "escapes": escaped, "entities": lambda t: "".join(f"&#{ord(c)};" for c in t), "gzip": lambda t: b64(gzip.compress(t.encode())),
+    "deflate": lambda t: b64(raw_deflate(t.encode())), "url base64": lambda t: b64(t, True),
+}
+
+
+def undone(text):
+    """A plain decoder of one level of any nest, or None."""
+    ways = [
+        lambda t: urllib.parse.unquote(t) if re.fullmatch("(%[0-9A-F]{2})+", t) else None, lambda t: bytes.fromhex(t.replace("\\x", "")).decode() if re.fullmatch(r"(\\x[0-9a-f]{2})+", t) else None,
+        lambda t: "".join(chr(int(x)) for x in re.findall(r"&#(\d+);", t)) if re.fullmatch(r"(&#\d+;)+", t) else None, lambda t: gzip.decompress(base64.b64decode(t, validate=True)).decode(),
+        lambda t: zlib.decompress(base64.b64decode(t, validate=True), -15).decode(), lambda t: base64.urlsafe_b64decode(t.encode()).decode() if re.fullmatch("[A-Za-z0-9_=-]+", t) else base64.b64decode(t, validate=True).decode(),
+    ]
+    for way in ways:
+        try:
+            got = way(text)
+        except Exception:
+            continue
+        if got:
+            return got
+    return None
+
+
+def test_random_nests_against_a_plain_decoder():
+    """What a plain decoder finds under each word, level by level, is found in that word's stretch; words without secrets have none."""
+    import random
+
+    rng = random.Random(11)
+    for _ in range(120):
+        words, secret = [], []
+        for _ in range(3):
+            secret.append(rng.random() < 0.6)
+            word = INNER if secret[-1] else "plain words, and no more than that: nothing."
+            for name in rng.choices(list(NESTS), k=rng.randint(1, 4)):
+                word = NESTS[name](word)
+            words.append(word)
+        text = "é " + " | ".join(words) + " ."
+        at, found = 2, {f for _, own, _ in secret_scan.layers(text) for f in own}
+        stretches = []
+        for word, has in zip(words, secret):
+            level, kinds = word, set()
+            while level is not None:
+                kinds |= {k for k, _, _ in brute_base(level)} if level != word else set()
+                level = undone(level)
+            assert ({"assign", "access"} <= kinds) == has
+            inside = {k for k, a, b in found if at <= a < b <= at + len(word)}
+            assert kinds <= inside, (word[:60], kinds, inside)
+            if not has:
+                assert not inside & {"assign", "access"}
+            stretches.append((at, at + len(word)))
+            at += len(word) + 3
+        assert all(any(a <= x < y <= b for a, b in stretches) for _, x, y in found)
+
+
+@pytest.mark.parametrize("chain", [lambda n: "%" + "25" * n + "41", lambda n: "\\u005c" + "u005c" * n + "u0041", lambda n: b64("%" + "25" * n + "70assword=hunter2secret")])
+def test_chains_of_escapes_take_linear_time(chain):
+    import time
+
+    list(secret_scan.layers(chain(50)))
+    took = []
+    for n in (4000, 32_000):
+        began = time.process_time()
+        found = {k for _, own, _ in secret_scan.layers("a " + chain(n) + " z") for k, _, _ in own}
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)  # eight times the length
+    if chain(1).isalnum():
+        assert "assign" in found
+
+
+def test_a_layer_beyond_the_rounds_is_scanned_in_place():
+    text = "see %" + "25" * 60 + "70assword=hunter2secret end"
+    found = {f for _, own, _ in secret_scan.layers(text) for f in own}
+    assert ("assign", 4, len(text) - 4) in found
+
+
+def test_repeated_rows_have_the_same_spans(spark):
+    rows = spark.createDataFrame([(1, f"x {B64}"), (1, f"x {B64}"), (None, None)], "doc_id long, text string").repartition(3)
+    got = [r["spans"] for r in secret_scan.find_secrets(rows).collect() if r["doc_id"]]
+    assert len(got) == 2 and got[0] == got[1] and got[0]
+
+
 def test_secret_cycles_end():
     assert list(secret_scan.layers("%2525252525"))[-1][0] > 1
     assert [d for d, _, _ in secret_scan.layers("\\u005cu0041")] == [0, 1, 2]

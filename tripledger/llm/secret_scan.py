@@ -2,22 +2,27 @@
 
 Each text is a worklist of layers. The text itself is scanned first; then percent escapes, Unicode escapes and
 base64 runs (compressed contents are inflated) are unwrapped in turn, each unwrapped layer is scanned again, and
-the rounds go on until no decoder changes anything or a layer repeats. Every character of a layer knows the
-stretch of the original text it came from, so each finding is reported in the original's code points.
+the rounds go on until no decoder changes anything or a layer repeats. Runs of a layer know the
+stretch of the original text they came from, so each finding is reported in the original's code points.
 
-What is no clean text when unwrapped is a worklist of bytes (``contents``), whose findings all have the stretch of the
+What is no clean text when unwrapped goes to a worklist of bytes (``contents``), whose findings all have the stretch of the
 run that held them: base64 runs are decoded at each of the four offsets, since a run may begin with a name and '/', '-'
 or '_', and over line ends; compressed streams are looked for in decoded base64, percent and backslash escapes alike,
 and are inflated member after member, as often as they are nested. All patterns are ASCII, so bytes need no decoding.
+
+Escapes that were escaped again and again would need as many rounds as they have levels: after ``ROUNDS`` rounds, each of them
+scanned, what is left of them is undone in one pass from left to right (``peeled``), so the work stays linear in the text.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import itertools
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +43,8 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-
 
 #: A compressed layer that inflates to more bytes than this is scanned as a stream, in windows of this size (``windows``).
 MAX_INFLATED = 64 << 20
+#: Rounds of escapes that are undone one by one.
+ROUNDS = 16
 
 Found = tuple[str, int, int]
 
@@ -69,6 +76,7 @@ BASE64_RUNS_B = tuple(re.compile(p.encode()) for p in (RUN, WRAPPED))
 ESCAPE = re.compile(UNICODE.pattern + r"|\\[0-7]{1,3}|\\[abfnrtv\\'\"]")
 ASSIGN_B, ACCESS_B, HEX_B, PERCENT_B, ESCAPE_B = (re.compile(p.pattern.encode(), p.flags & re.IGNORECASE) for p in (ASSIGN, ACCESS, HEX, PERCENT, ESCAPE))
 ONE_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+ENDED, ENDINGS = re.compile(rf"(?:%[0-9A-Fa-f]{{2}}|{UNICODE.pattern})$"), frozenset("0123456789abcdefABCDEF;}")
 MAGIC = re.compile(r"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
 MAGIC_B = re.compile(MAGIC.pattern.encode("latin-1"))
 NAMED = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "\\": 92, "'": 39, '"': 34}
@@ -92,6 +100,35 @@ def opener(head: bytes):
     return None
 
 
+def deflate_pieces(raw: bytes) -> Iterator[bytes]:
+    import zlib
+
+    d = zlib.decompressobj(-15)
+    yield d.decompress(raw, PIECE)
+    while not d.eof and d.unconsumed_tail:
+        yield d.decompress(d.unconsumed_tail, PIECE)
+
+
+def headless(raw: bytes, depth: int) -> Iterator[tuple[int, bytes, int]]:
+    """The contents of a deflate stream without a header, in windows; nothing where raw is none."""
+    import zlib
+
+    if len(raw) < 12 or raw[0] & 6 == 6 or opener(raw) is not None:
+        return
+    d, size = zlib.decompressobj(-15), 0
+    try:
+        piece = d.decompress(raw, PIECE)
+        while True:
+            size += len(piece)
+            if d.eof or not d.unconsumed_tail:
+                break
+            piece = d.decompress(d.unconsumed_tail, PIECE)
+    except zlib.error:
+        return
+    if d.eof and len(d.unused_data) < 4 and size >= 12:
+        yield from windows(deflate_pieces(raw), depth)
+
+
 def sliced(raw: bytes, at: int) -> Iterator[bytes]:
     size = 4096
     while at < len(raw):
@@ -251,46 +288,82 @@ Within = tuple[int, set[str], int]  # depth, kinds, and layers that stayed close
 
 
 def contents(raw: bytes, depth: int, seen: set[bytes]) -> Iterator[Within]:
-    """The kinds in raw and in all that it wraps. Every decoder but inflating shortens; seen ends the cycles of that."""
-    yield depth, kinds_in(raw), 0
-    yield from opened(raw, depth + 1, seen)
-    if PERCENT_B.search(raw):
-        yield from contents(ONE_PERCENT_B.sub(lambda m: bytes.fromhex(m[0][1:].decode()), raw), depth + 1, seen)
-        if b"+" in raw:
-            yield from opened(ONE_PERCENT_B.sub(lambda m: bytes.fromhex(m[0][1:].decode()), raw.replace(b"+", b" ")), depth + 2, seen)
-    if (b"\\" in raw or b"&#" in raw) and ESCAPE_B.search(raw):
-        plain = ESCAPE_B.sub(lambda m: escaped_byte(m[0].decode()), raw)
-        if plain != raw:
-            yield from contents(plain, depth + 1, seen)
-    for pattern in BASE64_RUNS_B:
-        for m in pattern.finditer(raw):
-            run = BREAK_B.sub(b"", m[0])
-            for inner in decoded(run):
-                yield from contents(inner, depth + 1, seen)
-
-
-def opened(raw: bytes, depth: int, seen: set[bytes]) -> Iterator[Within]:
-    for _, inner, _ in streams(raw, depth):
-        yield from unpacked(inner, seen)
+    """The kinds in raw and in all that it wraps, breadth first; seen holds the digests of what has been gone through, so cycles end."""
+    work = deque([(raw, depth, 0)])
+    while work:
+        raw, depth, rounds = work.popleft()
+        mark = hashlib.blake2b(raw, digest_size=16).digest()
+        if mark in seen:
+            continue
+        seen.add(mark)
+        yield depth, kinds_in(raw), 0
+        plain = [raw]
+        if rounds >= ROUNDS:
+            work.append((peeled_bytes(raw), depth + 1, 0))
+        else:
+            if PERCENT_B.search(raw):
+                plain.append(ONE_PERCENT_B.sub(lambda m: bytes.fromhex(m[0][1:].decode()), raw))
+                if b"+" in raw:
+                    plain.append(ONE_PERCENT_B.sub(lambda m: bytes.fromhex(m[0][1:].decode()), raw.replace(b"+", b" ")))
+            if (b"\\" in raw or b"&#" in raw) and ESCAPE_B.search(raw):
+                plain.append(ESCAPE_B.sub(lambda m: escaped_byte(m[0].decode()), raw))
+        work.extend((p, depth + 1, rounds + 1) for p in plain[1:])
+        for k, own in enumerate(plain):
+            for _, inner, _ in streams(own, depth + 1 + (k > 0)):
+                for d, window, closed in inner:
+                    if closed:
+                        yield d, set(), closed
+                    if len(window) <= PIECE:
+                        work.append((window, d, 0))
+                    else:  # a stream's windows are gone through as they come
+                        yield from contents(window, d, seen)
+        for pattern in BASE64_RUNS_B:
+            for m in pattern.finditer(raw):
+                for inner in decoded(BREAK_B.sub(b"", m[0])):
+                    work.append((inner, depth + 1, 0))
+                    for d, window, closed in headless(inner, depth + 2):
+                        yield d, set(), closed
+                        yield from contents(window, d, seen)
 
 
 def unpacked(inner: Iterator[tuple[int, bytes, int]], seen: set[bytes]) -> Iterator[Within]:
     for depth, window, closed in inner:
         if closed:
             yield depth, set(), closed
-        mark = hashlib.blake2b(window, digest_size=16).digest()
-        if window and mark not in seen:
-            seen.add(mark)
+        if window:
             yield from contents(window, depth, seen)
 
 
+def peeled(text: str) -> tuple[str, list[int]] | None:
+    """The text with all escapes undone, those too that undoing makes; and where each character of it begins. None without any."""
+    out: list[str] = []
+    came: list[int] = []
+    changed = False
+    for i, c in enumerate(text):
+        out.append(c)
+        came.append(i)
+        while out[-1] in ENDINGS and (m := ENDED.search("".join(out[-12:]))):
+            got = chr(int(m[0][1:], 16)) if m[0][0] == "%" else (from_unicode(m[0]) or [("\ufffd", 0, 0)])[0][0]
+            at = came[-len(m[0])]
+            del out[-len(m[0]) :], came[-len(m[0]) :]
+            out.append(got)
+            came.append(at)
+            changed = True
+    return ("".join(out), came) if changed else None
+
+
+def peeled_bytes(raw: bytes) -> bytes:
+    got = peeled(raw.decode("latin-1"))
+    return raw if got is None else got[0].encode("latin-1", "replace")
+
+
 ONE_PERCENT_B = re.compile(ONE_PERCENT.pattern.encode())
 
 
-def as_bytes(text: str, pattern: re.Pattern | None) -> tuple[bytes, list[int]]:
+def as_bytes(text: str, pattern: re.Pattern | None) -> tuple[bytes, list[int] | range]:
     """The text with its escapes as bytes, and the character that each byte comes from, with the length last. Without a pattern characters are bytes."""
     if pattern is None:
-        return text.encode("latin-1", "replace"), list(range(len(text) + 1))
+        return text.encode("latin-1", "replace"), range(len(text) + 1)
     out, at, came = bytearray(), 0, []
     for m in [*pattern.finditer(text), None]:
         for i in range(at, m.start() if m else len(text)):
@@ -305,21 +378,57 @@ def as_bytes(text: str, pattern: re.Pattern | None) -> tuple[bytes, list[int]]:
     return bytes(out), [*came, len(text)]
 
 
-def branches(text: str, starts, ends, depth: int, tried: set) -> Iterator[tuple[int, list[Found], int]]:
+class Spans:
+    """Where the characters of a layer come from: runs that were copied, and runs that all come from one stretch of the original."""
+
+    def __init__(self):
+        self.at: list[int] = []
+        self.of: list[tuple[int, int, bool]] = []
+        self.n = 0
+
+    def add(self, n: int, a: int, b: int, copied: bool) -> None:
+        if n:
+            self.at.append(self.n)
+            self.of.append((a, b, copied))
+            self.n += n
+
+    def take(self, other: Spans, lo: int, hi: int) -> None:
+        """The characters lo..hi of another layer."""
+        k = bisect.bisect_right(other.at, lo) - 1
+        while lo < hi:
+            end = min(hi, other.at[k + 1] if k + 1 < len(other.at) else other.n)
+            a, b, copied = other.of[k]
+            shift = lo - other.at[k] if copied else 0
+            self.add(end - lo, a + shift, a + shift + end - lo if copied else b, copied)
+            lo, k = end, k + 1
+
+    def start(self, i: int) -> int:
+        k = bisect.bisect_right(self.at, i) - 1
+        a, _, copied = self.of[k]
+        return a + (i - self.at[k] if copied else 0)
+
+    def end(self, i: int) -> int:
+        k = bisect.bisect_right(self.at, i) - 1
+        a, b, copied = self.of[k]
+        return a + i - self.at[k] + 1 if copied else b
+
+
+def branches(text: str, spans: Spans, depth: int, tried: set) -> Iterator[tuple[int, list[Found], int]]:
     """What the base64 runs and the compressed bytes of a layer hold: as layers() gives it."""
     def told(within: Iterator[Within], a: int, b: int):
         for at, kinds, closed in within:
             if kinds or closed:
-                yield at, [(k, starts[a], ends[b - 1]) for k in KINDS if k in kinds], closed
+                yield at, [(k, spans.start(a), spans.end(b - 1)) for k in KINDS if k in kinds], closed
 
     for pattern in BASE64_RUNS:
         for m in pattern.finditer(text):
-            key = (m[0], starts[m.start()])
+            key = (m[0], spans.start(m.start()))
             if key in tried:
                 continue
             tried.add(key)
             for raw in decoded(BREAK.sub("", m[0]).encode() if pattern is BASE64_RUNS[1] else m[0].encode()):
                 yield from told(contents(raw, depth + 1, set()), m.start(), m.end())
+                yield from told(unpacked(headless(raw, depth + 2), set()), m.start(), m.end())
     ways: list[tuple[str, re.Pattern | None]] = [(text, None)]
     if PERCENT.search(text):
         ways += [(text, ONE_PERCENT)] + [(text.replace("+", " "), ONE_PERCENT)] * ("+" in text)
@@ -340,7 +449,7 @@ def branches(text: str, starts, ends, depth: int, tried: set) -> Iterator[tuple[
                     held[k] = min(d, held.get(k, d))
             last = max(came[at], came[min(len(raw), at + max(1, members.reach))] - 1)
             for d in sorted(set(held.values())):
-                yield d, [(k, starts[came[at]], ends[last]) for k in KINDS if held.get(k) == d], 0
+                yield d, [(k, spans.start(came[at]), spans.end(last)) for k in KINDS if held.get(k) == d], 0
             if shut:
                 yield depth + 1, [], shut
 
@@ -398,59 +507,73 @@ def from_base64(token: str) -> list[Piece] | None:
 DECODERS: tuple[tuple[re.Pattern, Callable], ...] = ((PERCENT, from_percent), (UNICODE, from_unicode), (BASE64, from_base64))
 
 
-def unwrapped(text: str, starts, ends, pattern: re.Pattern, decode: Callable) -> tuple[str, list[int], list[int], int] | None:
-    """The next layer with its map into the original, or None where nothing was decoded; and how many stayed closed."""
-    out, to_start, to_end, at, closed, changed = [], [], [], 0, 0, False
+def unwrapped(text: str, spans: Spans, pattern: re.Pattern, decode: Callable) -> tuple[str, Spans] | None:
+    """The next layer with its map into the original, or None where nothing was decoded. Layers too large for this are left to branches."""
+    out, to, at, changed = [], Spans(), 0, False
     for m in pattern.finditer(text):
         try:
             pieces = decode(m.group())
         except TooLarge:
-            pieces, closed = None, closed + 1
+            continue
         if pieces is None:
             continue
         a = m.start()
         out.append(text[at:a])
-        to_start.extend(starts[at:a])
-        to_end.extend(ends[at:a])
+        to.take(spans, at, a)
         for piece, lo, hi in pieces:
             out.append(piece)
-            to_start.extend([starts[a + lo]] * len(piece))
-            to_end.extend([ends[a + hi - 1]] * len(piece))
+            to.add(len(piece), spans.start(a + lo), spans.end(a + hi - 1), False)
         at, changed = m.end(), True
     if not changed:
-        return ("", [], [], closed) if closed else None
+        return None
     out.append(text[at:])
-    to_start.extend(starts[at:])
-    to_end.extend(ends[at:])
-    return "".join(out), to_start, to_end, closed
+    to.take(spans, at, len(text))
+    return "".join(out), to
+
+
+def all_peeled(text: str, spans: Spans) -> tuple[str, Spans] | None:
+    got = peeled(text)
+    if got is None:
+        return None
+    layer, came = got
+    to, i = Spans(), 0
+    while i < len(layer):
+        j = i + 1
+        if layer[i] == text[came[i]] and (came[j] if j < len(came) else len(text)) == came[i] + 1:
+            while j < len(layer) and came[j] == came[i] + j - i and layer[j] == text[came[j]] and (came[j + 1] if j + 1 < len(came) else len(text)) == came[j] + 1:
+                j += 1
+            to.take(spans, came[i], came[i] + j - i)
+        else:
+            to.add(1, spans.start(came[i]), spans.end((came[j] if j < len(came) else len(text)) - 1), False)
+        i = j
+    return layer, to
 
 
 def layers(text: str) -> Iterator[tuple[int, list[Found], int]]:
     """Depth, findings in the original's code points, and layers that stayed closed, for the text and all that it wraps."""
     yield 0, scan(text), 0
-    starts: list[int] | range = range(len(text))
-    ends: list[int] | range = range(1, len(text) + 1)
+    spans = Spans()
+    spans.add(len(text), 0, len(text), True)
     tried: set = set()
-    yield from branches(text, starts, ends, 0, tried)
+    yield from branches(text, spans, 0, tried)
     if not any(pattern.search(text) for pattern, _ in DECODERS):
         return
-    seen, depth, moved = {hashlib.blake2b(text.encode(), digest_size=16).digest()}, 0, True
+    seen, depth, rounds, moved = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}, 0, 0, True
     while moved:
-        moved = False
-        for pattern, decode in DECODERS:
-            got = unwrapped(text, starts, ends, pattern, decode)
-            if got is None:
-                continue
-            layer, to_start, to_end, _ = got
-            if not layer:
+        moved, rounds = False, rounds + 1
+        steps = [lambda t, own, p=pattern, d=decode: unwrapped(t, own, p, d) for pattern, decode in DECODERS]
+        for step in steps if rounds <= ROUNDS else [all_peeled, steps[-1]]:
+            got = step(text, spans)
+            if got is None or not got[0]:
                 continue
+            layer, to = got
             mark = hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if mark in seen:  # a cycle
                 continue
             seen.add(mark)
-            text, starts, ends, moved, depth = layer, to_start, to_end, True, depth + 1
-            yield depth, [(kind, starts[a], ends[b - 1]) for kind, a, b in scan(text)], 0
-            yield from branches(text, starts, ends, depth, tried)
+            text, spans, moved, depth = layer, to, True, depth + 1
+            yield depth, [(kind, spans.start(a), spans.end(b - 1)) for kind, a, b in scan(text)], 0
+            yield from branches(text, spans, depth, tried)
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("layer", pa.int32())])
@@ -520,4 +643,4 @@ def op3(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["layer"] == 0)
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), "closed_layers")
