@@ -29,6 +29,8 @@ from tripledger.llm.components import classes
 
 NGRAM, THRESHOLD, RECALL, SEED = 5, 0.8, 0.9999, 20_240_601
 BLOCK, BLOCK_WORDS = 1000, 1_000_000
+#: A bucket of n nodes has sqrt(n) / SPREAD blocks at least, so that its pairs are not one task.
+SPREAD = 8
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -240,7 +242,8 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     members = nodes.select("node", "n_words", F.explode("bands").alias("bucket"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n_words") / F.lit(BLOCK_WORDS))).cast("int")
+    n = F.count(F.lit(1))
+    blocks = F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(F.sum("n_words") / F.lit(BLOCK_WORDS)), F.ceil(F.sqrt(n) / F.lit(SPREAD))).cast("int")
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), blocks.alias("blocks"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
     buckets = buckets.where("size > 1").groupBy("size", "blocks", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "blocks")
     shared = spread_join(members.select("node", "bucket"), written(buckets, "buckets"), "bucket").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("bucket", "blocks"))).alias("shared"))
