@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from tripledger.functions.rounding import half_up
 
 
-def complete_dates(spark: SparkSession, epoch: str, today: str, days: int) -> DataFrame:
+def run_bounds(spark: SparkSession, epoch: str, today: str, hwm: str | None = None) -> DataFrame:
+    """One row of dates: the first day there is, today, and the day that was finished last."""
+    return spark.range(1).select(*[F.lit(v).cast("date").alias(c) for c, v in (("epoch", epoch), ("today", today), ("hwm", hwm))])
+
+
+def complete_dates(bounds: DataFrame, days: int) -> DataFrame:
     """The last finished days, oldest first; none on the first day."""
-    all_days = F.sequence(F.lit(epoch).cast("date"), F.lit(today).cast("date"))
-    out = spark.range(1).select(F.explode(all_days).alias("sim_date")).where((F.col("sim_date") < F.lit(today).cast("date")) & (F.col("sim_date") >= F.date_sub(F.lit(today).cast("date"), days)))
-    return out.orderBy("sim_date")
+    d = F.col("sim_date")
+    return bounds.select("today", F.explode(F.sequence("epoch", "today")).alias("sim_date")).where((d < F.col("today")) & (d >= F.date_sub("today", days))).select("sim_date").orderBy("sim_date")
 
 
-def next_batch_date(spark: SparkSession, epoch: str, today: str, hwm: str | None) -> DataFrame:
+def next_batch_date(bounds: DataFrame) -> DataFrame:
     """Yesterday, unless it is before the epoch or done; one row, null where there is nothing to do."""
-    yesterday = F.date_sub(F.lit(today).cast("date"), 1)
-    due = (yesterday >= F.lit(epoch).cast("date")) & (F.lit(hwm).isNull() | (yesterday > F.lit(hwm).cast("date")))
-    return spark.range(1).select(F.when(due, yesterday).alias("sim_date"))
+    yesterday = F.date_sub("today", 1)
+    due = (yesterday >= F.col("epoch")) & (F.col("hwm").isNull() | (yesterday > F.col("hwm")))
+    return bounds.select(F.when(due, yesterday).alias("sim_date"))
 
 
 def dead_letter_rate(rejected: DataFrame, accepted: DataFrame, limit: float = 0.05) -> DataFrame:

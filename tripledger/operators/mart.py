@@ -6,8 +6,6 @@ Plain tables have no MERGE: an upsert takes the stored and the incoming rows and
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,51 +88,112 @@ def scd2(changes: DataFrame, key: str, order: str, attributes: list[str]) -> Dat
     return moved.select(key, *attributes, F.col(order).alias("valid_from"), F.lead(order).over(w).alias("valid_to")).withColumn("is_current", F.col("valid_to").isNull())
 
 
-def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("sim_date"))
+def calendar(bounds: DataFrame) -> DataFrame:
+    """bounds: one row of first and last. The days between them."""
+    days = bounds.select(F.explode(F.sequence("first", "last")).alias("sim_date"))
     return days.withColumns({"day_of_week": F.dayofweek("sim_date"), "is_weekend": F.dayofweek("sim_date").isin(1, 7)})
 
 
+def refreshed_trend(stored: DataFrame, restated: DataFrame, first: str, last: str, trend, days: int = 7) -> DataFrame:
+    """The stored rows of first..last and the days after them whose trend they are part of, with restated rows in and the trend anew.
+
+    trend: from profit rows to rows with their trend; it sees the days before as well.
+    """
+    d = F.col("sim_date")
+    start, end = F.date_sub(F.lit(first).cast("date"), days - 1), F.date_add(F.lit(last).cast("date"), days - 1)
+    new = d.between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    history = stored.where(d.between(start, end) & ~new).select(*restated.columns).unionByName(restated.where(new))
+    return trend(history).where(d.between(F.lit(first).cast("date"), end))
+
+
+def restatements(upserted: DataFrame, run_id: str) -> DataFrame:
+    """Rows for the restatement log: a marker for each day that a run restated, and how many of its rows."""
+    own = upserted.where((F.col("job_run_id") == run_id) & (F.col("restatement_count") > 0)).groupBy("sim_date").agg(F.count(F.lit(1)).alias("n_rows"))
+    return own.select("sim_date", F.concat_ws("/", F.col("sim_date").cast("string"), F.lit(run_id)).alias("marker_key"), F.lit(run_id).alias("triggered_run"), "n_rows")
+
+
+def unmarked(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """Log rows whose marker is not in the log yet, so that a repeated run adds none."""
+    return rows.join(log.select("marker_key").distinct(), "marker_key", "left_anti").select(*rows.columns)
+
+
 class Store:
-    """Versioned Parquet tables: a write makes a new version, and the pointer moves last.
+    """Versioned Parquet tables in folders _v=<number>: a write makes a new version, which counts once its _SUCCESS is there.
 
-    With partition, only the days in the new rows are written and the others' latest versions stand.
+    A plain write is the whole table. With partition, a write replaces the days in its rows and those in ``days``, also where they have
+    no rows now, and the newest versions of all other days stand. An append adds its rows to all before. A table is written in one of these ways.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _glob(self, pattern: str) -> list[str]:
+        fs, path = self._fs()
+        return sorted(f.getPath().toString() for f in fs.globStatus(path(f"{self.root}/{pattern}")) or [])
 
     def versions(self, name: str) -> list[str]:
+        """The complete versions, oldest first."""
+        return [p.removesuffix("/_SUCCESS") for p in self._glob(f"{name}/_v=*/_SUCCESS")]
+
+    def _next(self, name: str) -> str:
+        taken = [int(p.rsplit("=", 1)[1]) for p in self._glob(f"{name}/_v=*")]
+        return f"{self.root}/{name}/_v={max(taken, default=-1) + 1:08d}"
+
+    def days(self, name: str, partition: str = "sim_date") -> dict[str, str]:
+        """The folder that holds each day's newest rows; days that a later version emptied are left out."""
+        newest: dict[str, str] = {}
+        for version in self.versions(name):
+            own = version[version.rindex("_v=") :]
+            for folder in self._glob(f"{name}/{own}/{partition}=*"):
+                newest[folder.rsplit("=", 1)[1]] = folder
         fs, path = self._fs()
-        found = fs.globStatus(path(f"{self.root}/{name}/v*/_SUCCESS")) or []
-        return sorted(f.getPath().getParent().toString() for f in found)
+        return {d: f for d, f in newest.items() if fs.globStatus(path(f"{f}/[^_]*"))}
+
+    def read(self, name: str, schema: str | None = None, partition: str | None = None) -> DataFrame:
+        """The newest complete version, or each day's; an empty frame where there is none."""
+        found = list(self.days(name, partition).values()) if partition else self.versions(name)[-1:]
+        return self._rows(name, found, schema)
+
+    def read_all(self, name: str, schema: str | None = None) -> DataFrame:
+        """All that was appended."""
+        return self._rows(name, self.versions(name), schema)
 
-    def read(self, name: str, schema: str | None = None) -> DataFrame:
-        """The newest complete version; an empty frame where there is none."""
-        found = self.versions(name)
+    def _rows(self, name: str, found: list[str], schema: str | None) -> DataFrame:
         if not found:
             if schema is None:
                 raise ValueError(f"no table {name}")
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(found[-1])
+        return self.spark.read.option("basePath", f"{self.root}/{name}").parquet(*found).drop("_v")
 
-    def write(self, name: str, rows: DataFrame, partition: str | None = None) -> str:
-        """A version is complete, and read, only when its _SUCCESS is there."""
-        path = f"{self.root}/{name}/v{len(self.versions(name)):08d}-{uuid.uuid4().hex}"
-        writer = rows.write.partitionBy(partition) if partition else rows.write
-        writer.parquet(path)
-        return path
+    def write(self, name: str, rows: DataFrame, partition: str | None = None, days: list[str] = ()) -> str:
+        """days: dates that the rows stand for besides those that they have."""
+        target = self._next(name)
+        (rows.write.partitionBy(partition) if partition else rows.write).parquet(target)
+        fs, path = self._fs()
+        for day in days:
+            fs.mkdirs(path(f"{target}/{partition}={day}"))
+        return target
+
+    def append(self, name: str, rows: DataFrame) -> str:
+        return self.write(name, rows)
 
-    def compact(self, name: str, files: int) -> str:
-        """The newest version again, in fewer files."""
-        return self.write(name, self.read(name).coalesce(files))
+    def compact(self, name: str, files: int, partition: str | None = None) -> str:
+        """The newest rows again, in so many files, or so many for each day."""
+        rows = self.read(name, partition=partition)
+        rows = rows.repartition(F.col(partition), F.pmod(F.xxhash64(*rows.columns), F.lit(files))) if partition else rows.coalesce(files)
+        return self.write(name, rows, partition)
 
     def retain(self, name: str, keep: int) -> int:
-        """Drops all but the newest versions."""
+        """Drops all but the newest versions of a table whose versions are whole."""
+        fs, path = self._fs()
+        return sum(bool(fs.delete(path(v), True)) for v in (self.versions(name)[:-keep] if keep else []))
+
+    def retain_days(self, name: str, since: str, partition: str = "sim_date") -> int:
+        """Drops the rows of days before since, and those that later versions replaced."""
         fs, path = self._fs()
-        old = self.versions(name)[:-keep] if keep else []
-        return sum(bool(fs.delete(path(v), True)) for v in old)
+        stands = {f for d, f in self.days(name, partition).items() if d >= since}
+        return sum(bool(fs.delete(path(f), True)) for f in self._glob(f"{name}/_v=*/{partition}=*") if f not in stands and fs.globStatus(path(f"{f}/[^_]*")))

@@ -6,7 +6,6 @@ PRELUDE names the steps as common table expressions; each query selects from the
 from __future__ import annotations
 
 from tripledger.functions.geo import EARTH_RADIUS_KM
-from tripledger.sources.adapters import VEHICLES
 from tripledger.zones import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, zone_rows
 
 
@@ -22,11 +21,11 @@ PRELUDE = f"""
 WITH zones(zone_id, zone_name, zone_class, lat_min, lat_max, lon_min, lon_max, demand_weight) AS (VALUES
     {_zones()}
 ), ev AS (
-  SELECT event_id, ts, user_id, event_type, value, user_id % {VEHICLES} AS vno, 'V' || lpad((user_id % {VEHICLES})::VARCHAR, 3, '0') AS vehicle_id,
+  SELECT event_id, ts, user_id, event_type, value, user_id AS vno, 'V' || lpad(user_id::VARCHAR, 9, '0') AS vehicle_id,
          CASE WHEN event_type = 'view' THEN 'enroute' WHEN event_type IN ('click', 'purchase') THEN 'on_trip' ELSE 'idle' END AS status, hour(ts) // 4 AS slot
   FROM events
 ), tel AS (
-  SELECT event_id::VARCHAR AS event_id, event_id AS num, vehicle_id, 'D' || substr(vehicle_id, 2, 3) AS driver_id, status, value AS speed_kmh, ts AS reference_time,
+  SELECT event_id::VARCHAR AS event_id, event_id AS num, vehicle_id, 'D' || substr(vehicle_id, 2, 9) AS driver_id, status, value AS speed_kmh, ts AS reference_time,
          CASE WHEN status <> 'idle' OR event_id % 109 = 0 THEN vehicle_id || '-' || strftime(ts, '%Y-%m-%d') || '-' || slot END AS trip_id,
          CASE WHEN status = 'on_trip' AND event_id % 113 <> 0 THEN CASE WHEN event_id % 103 = 0 THEN -5e0 ELSE (5 + (vno * 7 + slot * 13 + day(ts) * 3) % 40)::DOUBLE END END AS fare,
          CASE WHEN event_id % 107 = 0 THEN ts + INTERVAL 2 HOUR ELSE ts END AS event_time,
@@ -74,12 +73,12 @@ WITH zones(zone_id, zone_name, zone_class, lat_min, lat_max, lon_min, lon_max, d
 ), totals AS (
   SELECT * FROM trips LEFT JOIN revenue USING (vehicle_id, sim_date)
 ), o1 AS (
-  SELECT o_custkey % {VEHICLES + 2} AS vno, (o_orderkey % 30)::INTEGER AS day, round(o_totalprice * 100)::BIGINT AS cents, o_orderkey
-  FROM orders WHERE NOT (o_custkey % {VEHICLES + 2} < 4 AND (o_orderkey + o_custkey) % 7 = 0)
+  SELECT o_custkey // 10 AS vno, (o_orderkey % 30)::INTEGER AS day, round(o_totalprice * 100)::BIGINT AS cents, o_orderkey
+  FROM orders WHERE NOT (o_custkey // 10 < 4 AND (o_orderkey + o_custkey) % 7 = 0)
 ), o2 AS (
   SELECT vno, day, sum(cents)::BIGINT AS cents, sum(o_orderkey)::BIGINT AS keys FROM o1 GROUP BY 1, 2 HAVING sum(o_orderkey) % 11 <> 0
 ), exp AS (
-  SELECT 'V' || lpad(vno::VARCHAR, 3, '0') AS vehicle_id, CASE WHEN keys % 17 <> 0 THEN (cents % 9000)::DOUBLE / 1e2 END AS fuel_cost,
+  SELECT 'V' || lpad(vno::VARCHAR, 9, '0') AS vehicle_id, CASE WHEN keys % 17 <> 0 THEN (cents % 9000)::DOUBLE / 1e2 END AS fuel_cost,
          ((cents // 9000) % 4000)::DOUBLE / 1e2 AS maintenance_cost, (cents % 30000)::DOUBLE / 1e2 AS partner_distance_km, keys % 2 = 0 AS service_flag, 'partner-1' AS partner_id,
          (DATE '2024-01-01' + day) AS sim_date
   FROM o2
@@ -152,7 +151,7 @@ WITH zones(zone_id, zone_name, zone_class, lat_min, lat_max, lon_min, lon_max, d
 ), snap AS (
   SELECT a.window_end::DATE AS sim_date, a.zone_id, hour(a.window_end)::INTEGER AS sim_hour, 15 AS window_minutes, a.trips, coalesce(e.earnings, 0e0) AS earnings, a.active_vehicles, a.idle_ratio, a.avg_speed_kmh
   FROM act a LEFT JOIN earn e USING (window_end, zone_id)
-  WHERE a.zone_id IS NOT NULL AND epoch(a.window_end)::BIGINT % 86400 = 43200
+  WHERE a.zone_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a.zone_id, a.window_end::DATE, hour(a.window_end) ORDER BY a.window_end DESC) = 1
 ), pairs AS (
   SELECT s.sim_date, s.zone_id, s.window_minutes, s.trips AS st, s.earnings AS se, s.idle_ratio AS si, s.active_vehicles AS sa, b.trips AS bt, b.earnings AS be, b.idle_ratio AS bi, b.active_vehicles AS ba
   FROM snap s JOIN zh b USING (sim_date, zone_id, sim_hour)
@@ -170,14 +169,14 @@ WITH zones(zone_id, zone_name, zone_class, lat_min, lat_max, lon_min, lon_max, d
   UNION ALL SELECT sim_date, 'fleet_earnings_per_min', se / w, be / 60e0 FROM pfleet
   UNION ALL SELECT sim_date, 'fleet_idle_ratio', si, bi FROM pfleet
 ), reg AS (
-  SELECT 'V' || lpad((c_custkey % {VEHICLES})::VARCHAR, 3, '0') AS vehicle_id, 'model-' || lower(substr(c_mktsegment, 1, 4)) AS model,
+  SELECT 'V' || lpad((c_custkey // 10)::VARCHAR, 9, '0') AS vehicle_id, 'model-' || lower(substr(c_mktsegment, 1, 4)) AS model,
          (['petrol', 'diesel', 'hybrid', 'electric'])[c_nationkey % 4 + 1] AS fuel_type, (c_nationkey % 3 + 4)::INTEGER AS capacity,
          'Z' || lpad((c_nationkey % 12 + 1)::VARCHAR, 2, '0') AS home_zone, c_custkey AS "offset"
   FROM customer
 ), registry AS (
   SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY "offset" DESC) = 1
 ), days AS (
-  SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS sim_date
+  SELECT unnest(generate_series((SELECT min(sim_date) FROM zoned), (SELECT max(sim_date) FROM zoned), INTERVAL 1 DAY))::DATE AS sim_date
 )
 """
 
@@ -195,7 +194,7 @@ SELECTS = {
         count(*) FILTER (status = 'on_trip') AS n_on_trip FROM tel""",
     "wire_roundtrip": "SELECT event_id, vehicle_id, length(vehicle_id)::INTEGER + 5 AS wire_bytes, true AS same FROM tel",
     "decode_payload": "SELECT event_id, vehicle_id, trip_id, status, fare, epoch_us(event_time) AS event_us, source_partition, source_offset FROM tel",
-    "zone_dim": "SELECT zone_id, zone_name, zone_class, lat_min, lat_max, lon_min, lon_max, demand_weight FROM zones",
+    "zone_dim": "SELECT zones.*, coalesce(n, 0) AS pings FROM zones LEFT JOIN (SELECT zone_id, count(*) AS n FROM zoned GROUP BY 1) USING (zone_id)",
     "dlq_envelope": """SELECT vehicle_id AS _key, event_id AS payload, rejection_reason, 'event_id= ' || event_id || ' status= ' || status AS detail_start, 'validate_telemetry' AS validator,
         epoch_us(event_time) AS rejected_at_us, 'telemetry' AS source_topic, source_partition, source_offset FROM checked WHERE rejection_reason IS NOT NULL""",
     "validate_telemetry": "SELECT event_id, rejection_reason, rejection_reason IS NULL AS is_valid FROM checked",
@@ -209,9 +208,9 @@ SELECTS = {
              WHEN 5 THEN 'negative or non-numeric amount' WHEN 6 THEN 'negative or non-numeric amount' END AS detail,
         (count(*) + CASE WHEN day % 10 = 4 THEN 1 ELSE 0 END)::BIGINT AS n_rows
         FROM o2 GROUP BY day""",
-    "expense_calendar_verdict": f"""SELECT {_D}, CASE WHEN day IS NULL OR day % 9 = 8 THEN 'missing' WHEN day % 10 IN (1, 2, 3, 4, 5, 6) THEN 'corrupt' ELSE 'ok' END AS verdict,
-        CASE WHEN day IS NULL OR day % 9 = 8 THEN 'WARN' WHEN day % 10 IN (1, 2, 3, 4, 5, 6) THEN 'FAIL' ELSE 'PASS' END AS dq_status
-        FROM days LEFT JOIN (SELECT DISTINCT day, DATE '2024-01-01' + day AS sim_date FROM o2) USING (sim_date)""",
+    "expense_calendar_verdict": f"""SELECT {_D}, CASE WHEN day IS NULL THEN 'missing' WHEN day % 10 IN (1, 2, 3, 4, 5, 6) THEN 'corrupt' ELSE 'ok' END AS verdict,
+        CASE WHEN day IS NULL THEN 'WARN' WHEN day % 10 IN (1, 2, 3, 4, 5, 6) THEN 'FAIL' ELSE 'PASS' END AS dq_status
+        FROM (SELECT unnest(generate_series((SELECT min(sim_date) - 2 FROM zoned), (SELECT max(sim_date) + 2 FROM zoned), INTERVAL 1 DAY))::DATE AS sim_date) LEFT JOIN (SELECT DISTINCT day, DATE '2024-01-01' + day AS sim_date FROM o2) USING (sim_date)""",
     "quarantine_expenses": """SELECT reason, count(*) AS n FROM (SELECT CASE day % 10 WHEN 1 THEN 'unreadable' WHEN 2 THEN 'missing columns: fuel_cost' WHEN 3 THEN 'blank vehicle_id'
         WHEN 4 THEN 'duplicate vehicle_id' WHEN 5 THEN 'negative or non-numeric amount' WHEN 6 THEN 'negative or non-numeric amount' ELSE 'kept' END AS reason FROM o2
         UNION ALL SELECT 'duplicate vehicle_id' FROM (SELECT DISTINCT day FROM o2 WHERE day % 10 = 4)) GROUP BY 1""",
@@ -222,8 +221,7 @@ SELECTS = {
         SELECT vehicle_id, fuel_type, capacity, "offset" AS valid_from, lag(fuel_type || capacity) OVER (PARTITION BY vehicle_id ORDER BY "offset") AS before FROM reg)
         WHERE before IS DISTINCT FROM fuel_type || capacity WINDOW w AS (PARTITION BY vehicle_id ORDER BY valid_from)""",
     "dim_date": f"SELECT {_D}, (dayofweek(sim_date) + 1)::INTEGER AS day_of_week, dayofweek(sim_date) IN (0, 6) AS is_weekend FROM days",
-    "zone_activity": """SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, active_vehicles AS exact_vehicles, trips AS exact_trips, true AS vehicles_close, true AS trips_close,
-        avg_speed_kmh, idle_ratio, pings FROM act""",
+    "zone_activity": """SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, avg_speed_kmh, idle_ratio, pings FROM act""",
     "zone_earnings": "SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, earnings, completed_trips FROM earn",
     "zone_hourly_exact": f"SELECT zone_id, {_D}, sim_hour, trips, active_vehicles, idle_ratio, avg_speed_kmh, earnings FROM zh",
     "dedup_trips": "SELECT DISTINCT trip_id, fare FROM zoned WHERE trip_id IS NOT NULL AND fare IS NOT NULL",
@@ -239,14 +237,15 @@ SELECTS = {
     "distance_outliers": f"SELECT vehicle_id, {_D}, distance_variance_pct FROM joined WHERE distance_variance_pct > 10",
     "vehicle_daily_pnl": f"SELECT {_PNL} FROM pnl",
     "unprofitable_topk": f"SELECT vehicle_id, {_D}, rolling_avg_profit, net_profit, classification FROM pnl WHERE pnl.sim_date = (SELECT max(sim_date) FROM pnl) ORDER BY pnl.rolling_avg_profit ASC NULLS LAST, pnl.net_profit ASC NULLS LAST, vehicle_id LIMIT 10",
-    "vehicle_history": f"SELECT vehicle_id, {_D}, net_profit, rolling_avg_profit, classification FROM pnl WHERE vehicle_id = 'V007' ORDER BY pnl.sim_date DESC LIMIT 14",
+    "vehicle_history": f"SELECT vehicle_id, {_D}, net_profit, rolling_avg_profit, classification FROM pnl WHERE vehicle_id = 'V000000007' ORDER BY pnl.sim_date DESC LIMIT 14",
     "zone_daily": f"SELECT zone_id, {_D}, trips, earnings, active_vehicles, idle_ratio, avg_speed_kmh, hours_reported FROM zd",
     "revenue_crosscheck": f"""SELECT {_D}, pnl_revenue, zone_earnings, round(coalesce(pnl_revenue, 0) - coalesce(zone_earnings, 0), 2) AS delta
         FROM (SELECT sim_date, round(sum(revenue), 2) AS pnl_revenue FROM pnl GROUP BY 1) FULL JOIN (SELECT sim_date, round(sum(earnings), 2) AS zone_earnings FROM zh GROUP BY 1) USING (sim_date)""",
-    "pipeline_status": "SELECT (SELECT strftime(max(sim_date), '%Y-%m-%d') FROM pnl) AS latest_fact, (SELECT count(*) FROM pnl) AS pnl_rows, (SELECT count(*) FROM zh WHERE zone_id IS NOT NULL) AS zone_rows, 0::BIGINT AS restated_rows",
+    "pipeline_status": "SELECT (SELECT strftime(max(sim_date), '%Y-%m-%d') FROM pnl) AS latest_fact, (SELECT count(*) FROM pnl) AS pnl_rows, (SELECT count(*) FROM zh WHERE zone_id IS NOT NULL) AS zone_rows, (SELECT count(*) FROM pnl WHERE sim_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20') AS restated_rows",
     "classification_counts": f"SELECT {_D}, classification, count(*) AS n FROM pnl GROUP BY pnl.sim_date, classification",
     "batch_check": """SELECT 'pnl rows' AS what, count(*) AS n FROM pnl UNION ALL SELECT 'pnl dates', count(DISTINCT sim_date) FROM pnl UNION ALL SELECT 'zone rows', count(*) FROM zh WHERE zone_id IS NOT NULL
-        UNION ALL SELECT 'zone dates', count(DISTINCT sim_date) FROM zh""",
+        UNION ALL SELECT 'zone dates', count(DISTINCT sim_date) FROM zh UNION ALL SELECT 'restated rows', count(*) FROM pnl WHERE sim_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'
+        UNION ALL SELECT 'watermark day', (max(sim_date) - DATE '1970-01-01')::BIGINT FROM zh""",
     "run_totals": """SELECT expense_status AS what, count(*) AS n FROM joined GROUP BY 1 UNION ALL SELECT classification, count(*) FROM pnl GROUP BY 1 UNION ALL SELECT 'zones', count(DISTINCT zone_id) FROM zh
         UNION ALL SELECT 'hours', count(DISTINCT (sim_date, sim_hour)) FROM zh""",
     "live_zone_view": """SELECT zone_id, epoch(a.window_end)::BIGINT AS activity_window_end_s, a.trips, a.active_vehicles, a.idle_ratio, a.avg_speed_kmh, a.pings, epoch(e.window_end)::BIGINT AS earnings_window_end_s, e.earnings, e.completed_trips
@@ -256,7 +255,7 @@ SELECTS = {
     "parse_series": "SELECT zone_id, age::INTEGER AS age, epoch(window_end)::BIGINT AS window_end_s, earnings FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY window_end DESC) AS age FROM earn WHERE zone_id IS NOT NULL) WHERE age <= 96",
     "live_vehicle_state": """SELECT vehicle_id, status, coalesce(zone_id, '') AS zone_id, coalesce(trip_id, '') AS trip_id, (round(lat, 5)::DECIMAL(12,5))::VARCHAR AS lat, (round(lon, 5)::DECIMAL(12,5))::VARCHAR AS lon, (round(speed_kmh, 1)::DECIMAL(12,1))::VARCHAR AS speed_kmh, epoch_us(event_time) AS updated_us
         FROM zoned QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY event_time DESC, event_id DESC) = 1""",
-    "live_vehicle_lookup": """SELECT vehicle_id, status, coalesce(zone_id, '') AS zone_id, epoch_us(event_time) AS updated_us FROM zoned WHERE vehicle_id = 'V007' QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY event_time DESC, event_id DESC) = 1""",
+    "live_vehicle_lookup": """SELECT vehicle_id, status, coalesce(zone_id, '') AS zone_id, epoch_us(event_time) AS updated_us FROM zoned WHERE vehicle_id = 'V000000007' QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY event_time DESC, event_id DESC) = 1""",
     "live_view_ttl": """SELECT vehicle_id, epoch_us(last) AS updated_us FROM (SELECT vehicle_id, max(event_time) AS last FROM zoned GROUP BY 1) WHERE last >= (SELECT max(event_time) FROM zoned) - INTERVAL 30 MINUTE""",
     "zones_live_complete": "SELECT z.zone_id, z.zone_name, a.trips, a.zone_id IS NOT NULL AS reporting FROM zones z LEFT JOIN (SELECT * FROM newest_act WHERE trips > 0) a USING (zone_id)",
     "idle_alerts": "SELECT alert_id, vehicle_id, severity, epoch_us(idle_since) AS idle_since_us, epoch_us(event_time) AS raised_at_us, zone_id FROM alerts",
@@ -270,9 +269,19 @@ SELECTS = {
     "upsert_zone_hourly": f"SELECT zone_id, {_D}, sim_hour, trips, earnings, CASE WHEN zh.sim_date >= DATE '2024-01-10' THEN 'run-2' ELSE 'run-1' END AS job_run_id FROM zh WHERE zone_id IS NOT NULL",
     "upsert_pnl_restatement": f"""SELECT vehicle_id, {_D}, net_profit, CASE WHEN pnl.sim_date >= DATE '2024-01-10' THEN 'run-2' ELSE 'run-1' END AS job_run_id,
         (pnl.sim_date >= DATE '2024-01-10' AND pnl.sim_date <= DATE '2024-01-20')::INTEGER AS restatement_count, pnl.sim_date >= DATE '2024-01-10' AND pnl.sim_date <= DATE '2024-01-20' AS restated FROM pnl""",
+    "restatement_log": f"SELECT {_D}, strftime(pnl.sim_date, '%Y-%m-%d') || '/run-2' AS marker_key, 'run-2' AS triggered_run, count(*) AS n_rows FROM pnl WHERE pnl.sim_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' GROUP BY pnl.sim_date",
+    "trend_refresh": f"SELECT vehicle_id, {_D}, net_profit, rolling_avg_profit, history_days, profit_slope, classification FROM trend",
+    "recompute_days": f"""SELECT {_D}, zone_id, metric, speed_value, batch_value, delta_pct, CASE WHEN dzone.sim_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' THEN 'run-2' ELSE 'run-1' END AS run
+        FROM dzone WHERE dzone.sim_date NOT BETWEEN DATE '2024-01-05' AND DATE '2024-01-10' OR (dzone.sim_date <= DATE '2024-01-09' AND metric = 'idle_ratio')""",
+    "retention": f"SELECT {_D}, count(*) AS n, (sum(trips) + CASE WHEN zh.sim_date >= DATE '2024-01-25' THEN 100 * count(*) ELSE 0 END)::BIGINT AS trips FROM zh WHERE zone_id IS NOT NULL AND zh.sim_date >= DATE '2024-01-20' GROUP BY zh.sim_date",
+    "zone_history": f"""SELECT {_D}, zone_id, sim_hour, trips, earnings, active_vehicles, idle_ratio, source FROM (
+        SELECT *, (sim_date - DATE '1970-01-01') * 24 + sim_hour AS at_hour, max((sim_date - DATE '1970-01-01') * 24 + sim_hour) OVER () AS newest FROM (
+          SELECT zone_id, sim_date, sim_hour, trips, earnings, active_vehicles, idle_ratio, 'batch' AS source FROM zh WHERE zone_id IS NOT NULL AND sim_date <= (SELECT max(sim_date) - 1 FROM zoned)
+          UNION ALL SELECT zone_id, sim_date, sim_hour, trips, earnings, active_vehicles, idle_ratio, 'speed' FROM snap WHERE sim_date > (SELECT max(sim_date) - 1 FROM zoned))) AS h WHERE at_hour > newest - 48""",
+    "stalled_queries": "SELECT 'query-' || source_partition AS query, epoch_us(max(event_time)) AS last_progress_us FROM tel GROUP BY source_partition HAVING epoch_us((SELECT max(event_time) FROM tel)) - epoch_us(max(event_time)) > 120000000",
     "advance_hwm": "SELECT strftime(greatest(DATE '2024-01-12', (SELECT max(sim_date) FROM zh)), '%Y-%m-%d') AS high_water_mark, '2024-06-01' AS never_backwards",
     "speed_snapshot": f"SELECT zone_id, {_D}, sim_hour, window_minutes, trips, earnings, active_vehicles, idle_ratio, avg_speed_kmh FROM snap",
-    "dq_log": f"SELECT 'run-1' AS job_run_id, {_D}, 'rejected_rows' AS check_name, CASE WHEN count(*) FILTER (rejection_reason IS NOT NULL) > 10 THEN 'WARN' ELSE 'PASS' END AS status, count(*) FILTER (rejection_reason IS NOT NULL)::DOUBLE AS observed, 10e0 AS threshold FROM checked GROUP BY checked.sim_date",
+    "dq_log": f"SELECT unnest(['run-1', 'run-2']) AS job_run_id, {_D}, 'rejected_rows' AS check_name, CASE WHEN count(*) FILTER (rejection_reason IS NOT NULL) > 10 THEN 'WARN' ELSE 'PASS' END AS status, count(*) FILTER (rejection_reason IS NOT NULL)::DOUBLE AS observed, 10e0 AS threshold FROM checked GROUP BY checked.sim_date",
     "dq_checks": f"""SELECT {_D}, check_name, round(observed, 6) AS observed, threshold,
         CASE WHEN check_name = 'vehicles' THEN CASE WHEN observed < 1 THEN 'FAIL' ELSE 'PASS' END WHEN observed > fail THEN 'FAIL' WHEN observed > threshold THEN 'WARN' ELSE 'PASS' END AS status
         FROM (SELECT sim_date, unnest([
@@ -295,15 +304,20 @@ SELECTS = {
         'batch-complete-through ' || strftime(m - 4, '%Y-%m-%d') || '; 2 date(s) in neither view (' || strftime(m - 3, '%Y-%m-%d') || '..' || strftime(m - 2, '%Y-%m-%d') || ') - the batch layer is behind the simulated clock; 3 requested date(s) are in the future ('
         || strftime(m, '%Y-%m-%d') || '..' || strftime(m + 2, '%Y-%m-%d') || ') - the simulation has only reached ' || strftime(m - 1, '%Y-%m-%d') AS consistency FROM (SELECT max(sim_date) AS m FROM zh)""",
     "merge_degraded": """SELECT strftime(sim_date, '%Y-%m-%d') AS sim_date, zone_id, 'batch' AS source, 'speed' AS missing_stores FROM zd WHERE zone_id IS NOT NULL AND sim_date BETWEEN (SELECT max(sim_date) - 8 FROM zh) AND (SELECT max(sim_date) - 4 FROM zh)""",
-    "watermark_age": "SELECT strftime(max(sim_date), '%Y-%m-%d') AS high_water_mark, date_diff('day', max(sim_date), DATE '2024-02-03') AS age_days, date_diff('day', max(sim_date), DATE '2024-02-03') > 2 AS alert FROM zh",
+    "watermark_age": "SELECT strftime(max(sim_date), '%Y-%m-%d') AS high_water_mark, date_diff('day', max(sim_date), (SELECT max(event_time)::DATE + 4 FROM tel)) AS age_days, date_diff('day', max(sim_date), (SELECT max(event_time)::DATE + 4 FROM tel)) > 2 AS alert FROM zh",
     "complete_dates": "SELECT strftime(d, '%Y-%m-%d') AS sim_date FROM (SELECT unnest(generate_series((SELECT greatest(min(sim_date), max(sim_date) - 7) FROM zh), (SELECT max(sim_date) - 1 FROM zh), INTERVAL 1 DAY))::DATE AS d)",
     "next_batch_date": "SELECT strftime(max(sim_date) - 1, '%Y-%m-%d') AS sim_date FROM zh",
-    "backfill_range": f"SELECT {_PNL} FROM pnl WHERE pnl.sim_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'",
+    "backfill_range": f"SELECT {_PNL}, CASE WHEN pnl.sim_date >= DATE '2024-01-12' THEN 'run-2' ELSE 'run-1' END AS job_run_id FROM pnl WHERE pnl.sim_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-18'",
     "dlq_rate": f"SELECT {_D}, count(*) FILTER (rejection_reason IS NOT NULL) AS rejected, count(*) FILTER (rejection_reason IS NULL) AS accepted, round(count(*) FILTER (rejection_reason IS NOT NULL) / greatest(count(*) FILTER (rejection_reason IS NULL), 1), 6) AS rate, count(*) FILTER (rejection_reason IS NOT NULL) / greatest(count(*) FILTER (rejection_reason IS NULL), 1) > 5e-2 AS alert FROM checked GROUP BY checked.sim_date",
     "stream_master": f"SELECT {_D}, count(*) AS n, sum(source_offset)::BIGINT AS offsets FROM valid GROUP BY valid.sim_date",
     "stream_dlq": "SELECT rejection_reason, count(*) AS n FROM checked WHERE rejection_reason IS NOT NULL GROUP BY 1",
     "stream_idle": "SELECT alert_id, vehicle_id, severity, epoch_us(idle_since) AS idle_since_us, epoch_us(event_time) AS raised_at_us FROM alerts",
     "stream_zone_activity": "SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, avg_speed_kmh, idle_ratio, pings FROM act",
+    "stream_zone_earnings_total": "SELECT (3 * count(*))::BIGINT AS completed_trips, round(3 * sum(fare), 2) AS earnings FROM firsts",
+    "stream_progress": "SELECT 'vehicles' AS query, count(*) AS rows_in, 0::BIGINT AS late_rows FROM events",
+    "stream_late_rows": """SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, pings + coalesce(again, 0) AS pings, true AS late_rows_dropped FROM act LEFT JOIN (
+        SELECT window_end AS we, zone_id AS z, count(*) AS again FROM win WHERE reference_time >= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+          AND window_end > (SELECT max(event_time) - INTERVAL 30 MINUTE FROM valid) GROUP BY 1, 2) ON window_end = we AND zone_id IS NOT DISTINCT FROM z""",
     "stream_vehicles": "SELECT vehicle_id, status, epoch_us(event_time) AS updated_us FROM zoned QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY event_time DESC, event_id DESC) = 1",
 }
 
@@ -328,4 +342,8 @@ def half_up(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: half_up(f"{PRELUDE}{select}") for name, select in SELECTS.items()}
+    found = {name: half_up(f"{PRELUDE}{select}") for name, select in SELECTS.items()}
+    # The restated day's maintenance is doubled.
+    cost = "((cents // 9000) % 4000)::DOUBLE / 1e2 AS maintenance_cost"
+    restated = PRELUDE.replace(cost, f"CASE WHEN day = 14 THEN 2 ELSE 1 END * {cost}")
+    return found | {"trend_refresh": half_up(f"{restated}{SELECTS['trend_refresh']}")}

@@ -37,7 +37,7 @@ class Tables:
         return clean.split_valid(self.checked())[1]
 
     def zoned(self):
-        return enrich.with_zone(self.valid(), zones.zone_table(self.spark))
+        return enrich.with_zone(self.valid())
 
     def expenses(self):
         return adapters.expenses(self.spark, self.sf_dir)
@@ -64,7 +64,7 @@ class Tables:
         return self.hourly().where("zone_id IS NOT NULL")
 
     def activity(self):
-        return utilization.zone_activity(self.zoned(), rsd=0.01)
+        return utilization.zone_activity(self.zoned())
 
     def exact_activity(self):
         p = self.zoned()
@@ -85,14 +85,27 @@ class Tables:
         return a.join(e.select("zone_id", "earnings"), "zone_id", "left").withColumn("earnings", F.coalesce("earnings", F.lit(0.0)))
 
     def snapshot(self):
-        a = self.exact_activity().where(F.unix_timestamp("window_end") % 86400 == 43200)
+        """The last window of each zone's hour."""
+        rows = self.exact_activity()
+        hour = [F.to_date("window_end").alias("_day"), F.hour("window_end").alias("_hour")]
+        a = rows.groupBy("zone_id", *hour).agg(F.max_by(F.struct(*[c for c in rows.columns if c != "zone_id"]), "window_end").alias("r")).select("zone_id", "r.*")
         both = a.join(self.earnings().select("window_end", "zone_id", "earnings"), ["window_end", "zone_id"], "left").withColumn("earnings", F.coalesce("earnings", F.lit(0.0)))
         return mart.speed_snapshot(both, 15, F.col("window_end"))
 
     def span(self):
-        """First and last day of the hourly table."""
-        r = self.zoned().agg(F.min("sim_date"), F.max("sim_date")).first()
-        return r[0], r[1]
+        """One row: first and last day of the hourly table."""
+        return self.zoned().agg(F.min("sim_date").alias("first"), F.max("sim_date").alias("last"))
+
+    def run_bounds(self):
+        return self.span().select(F.col("first").alias("epoch"), F.col("last").alias("today"), F.lit(None).cast("date").alias("hwm"))
+
+    def asked(self):
+        """A range that has every owner, around the last day of the data."""
+        at = lambda n, name: F.date_add("last", n).alias(name)
+        return self.span().select(at(-4, "hwm"), at(-8, "first"), at(2, "last"), at(-1, "today"))
+
+    def store(self, name):
+        return mart.Store(self.spark, scratch(self.spark, name))
 
 
 def day(c="sim_date"):
@@ -111,15 +124,15 @@ def six(*names):
     return [half_up(c, 6).alias(c) for c in names]
 
 
-def pnl_columns(df: DataFrame) -> DataFrame:
+def pnl_columns(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
         "vehicle_id", day(), "trips", *six("telemetry_distance_km", "paid_distance_km", "deadhead_distance_km", "on_trip_hours", "idle_hours"), "pings", "revenue", "fuel_cost", "maintenance_cost",
-        "expense_status", "distance_variance_pct", "net_profit", "profit_per_km", "margin_pct", "utilization_pct", "rolling_avg_profit", "history_days", "profit_slope", "classification",
+        "expense_status", "distance_variance_pct", "net_profit", "profit_per_km", "margin_pct", "utilization_pct", "rolling_avg_profit", "history_days", "profit_slope", "classification", *more,
     )
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -159,51 +172,68 @@ def expense_lines(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def q_calendar(t: Tables) -> DataFrame:
-    verdicts = clean.expense_file_verdicts(*expense_lines(t)).withColumn("_day", F.substring("file", 5, 2).cast("int")).where(F.col("_day") % 9 != 8)
-    verdicts = verdicts.withColumn("sim_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("_day")))
-    return clean.expense_calendar(mart.calendar(t.spark, "2024-01-01", "2024-01-30").select("sim_date"), verdicts).select(day(), "verdict", "dq_status")
+    """The days of the data and two on either side, which have no file."""
+    verdicts = clean.expense_file_verdicts(*expense_lines(t)).withColumn("sim_date", F.date_add(F.lit("2024-01-01").cast("date"), F.substring("file", 5, 2).cast("int")))
+    around = t.span().select(F.date_sub("first", 2).alias("first"), F.date_add("last", 2).alias("last"))
+    return clean.expense_calendar(mart.calendar(around).select("sim_date"), verdicts).select(day(), "verdict", "dq_status")
+
+
+def q_read_expenses(t: Tables) -> DataFrame:
+    """The partner's files, a folder for each day, written as CSV and read back by the declared schema; a day without a file adds nothing."""
+    root = scratch(t.spark, "landing")
+    rows = t.expenses().select("vehicle_id", "fuel_cost", "maintenance_cost", F.col("partner_distance_km").alias("distance_covered"), "service_flag", F.lit("2024-02-01T00:00:00").alias("submitted_at"), "partner_id", "sim_date")
+    rows.repartition("sim_date").write.partitionBy("sim_date").option("header", True).csv(root)
+    found = files.read_expenses(t.spark, f"{root}/sim_date=*").unionByName(files.read_expenses(t.spark, f"{root}/sim_date=1999-01-01", "1999-01-01"))
+    return found.select("vehicle_id", "fuel_cost", "maintenance_cost", "partner_distance_km", "service_flag", "partner_id", day())
 
 
 def q_quarantine(t: Tables) -> DataFrame:
+    """Corrupt files go to a stored table with the reason, and are read no more."""
     lines, headers = expense_lines(t)
-    good, bad = clean.quarantined(lines, clean.expense_file_verdicts(lines, headers))
-    return good.withColumn("reason", F.lit("kept")).unionByName(bad).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    store = t.store("quarantine")
+    store.append("quarantine", clean.quarantined(lines, clean.expense_file_verdicts(lines, headers))[1])
+    bad = store.read_all("quarantine")
+    good = lines.join(bad.select("file").distinct(), "file", "left_anti").withColumn("reason", F.lit("kept"))
+    return good.select("reason").unionByName(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_scan_day(t: Tables) -> DataFrame:
+    root = scratch(t.spark, "master")
+    t.valid().drop("is_valid", "rejection_reason", "reference_time").write.partitionBy("sim_date").parquet(root)
+    return files.scan_day(files.read_master(t.spark, root), "2024-01-15").select("event_id", "vehicle_id", "status", day(), "source_partition", "source_offset")
+
+
+def q_zone_dim(t: Tables) -> DataFrame:
+    seen = t.zoned().groupBy("zone_id").agg(F.count(F.lit(1)).alias("pings"))
+    return zones.zone_table(t.spark).join(seen, "zone_id", "left").withColumn("pings", F.coalesce("pings", F.lit(0)))
 
 
 def q_activity(t: Tables) -> DataFrame:
-    exact = t.exact_activity().withColumnsRenamed({"active_vehicles": "exact_vehicles", "trips": "exact_trips"})
-    rough = t.activity().select(F.col("window_end").alias("we"), F.col("zone_id").alias("z"), "active_vehicles", "trips")
-    both = exact.join(rough, (F.col("window_end") == F.col("we")) & F.col("zone_id").eqNullSafe(F.col("z")))
-    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), F.col(b) * 0.05)
-    return both.select(end_s(), "zone_id", "exact_vehicles", "exact_trips", close("active_vehicles", "exact_vehicles").alias("vehicles_close"), close("trips", "exact_trips").alias("trips_close"), "avg_speed_kmh", "idle_ratio", "pings")
+    """Without the approximate counts, which SQL cannot repeat; tests hold them against exact ones."""
+    return t.activity().select(end_s(), "zone_id", "avg_speed_kmh", "idle_ratio", "pings")
 
 
 def q_status(t: Tables) -> DataFrame:
-    p = t.pnl().agg(F.date_format(F.max("sim_date"), "yyyy-MM-dd").alias("latest_fact"), F.count(F.lit(1)).alias("pnl_rows"))
+    p = restated_pnl(t).agg(F.date_format(F.max("sim_date"), "yyyy-MM-dd").alias("latest_fact"), F.count(F.lit(1)).alias("pnl_rows"), F.count_if(F.col("restatement_count") > 0).alias("restated_rows"))
     z = t.mart_hourly().agg(F.count(F.lit(1)).alias("zone_rows"))
-    return p.crossJoin(F.broadcast(z)).withColumn("restated_rows", F.lit(0).cast("long"))  # one row each
+    return p.crossJoin(F.broadcast(z)).select("latest_fact", "pnl_rows", "zone_rows", "restated_rows")  # one row each
 
 
-def labelled(df: DataFrame, what: str, n) -> DataFrame:
-    return df.agg(n.alias("n")).select(F.lit(what).alias("what"), "n")
+def labelled(one: DataFrame, names: dict[str, str]) -> DataFrame:
+    """A row's columns as rows of what and n. names: column to label."""
+    return one.select(F.inline(F.array(*[F.struct(F.lit(what).alias("what"), F.col(c).cast("long").alias("n")) for c, what in names.items()])))
 
 
 def q_batch_check(t: Tables) -> DataFrame:
-    pnl, zh = t.pnl(), t.hourly()
-    n = F.count(F.lit(1))
-    return (
-        labelled(pnl, "pnl rows", n).unionByName(labelled(pnl, "pnl dates", F.count_distinct("sim_date")))
-        .unionByName(labelled(zh.where("zone_id IS NOT NULL"), "zone rows", n)).unionByName(labelled(zh, "zone dates", F.count_distinct("sim_date")))
-    )
+    pnl = restated_pnl(t).agg(F.count(F.lit(1)).alias("a"), F.count_distinct("sim_date").alias("b"), F.count_if(F.col("restatement_count") > 0).alias("c"))
+    zh = t.hourly().agg(F.count_if(F.col("zone_id").isNotNull()).alias("a"), F.count_distinct("sim_date").alias("b"), F.datediff(F.max("sim_date"), F.lit("1970-01-01").cast("date")).alias("c"))
+    return labelled(pnl, {"a": "pnl rows", "b": "pnl dates", "c": "restated rows"}).unionByName(labelled(zh, {"a": "zone rows", "b": "zone dates", "c": "watermark day"}))
 
 
 def q_run_totals(t: Tables) -> DataFrame:
-    count = lambda df, c: df.groupBy(F.col(c).alias("what")).agg(F.count(F.lit(1)).alias("n"))
-    zh = t.hourly()
-    return (
-        count(t.joined(), "expense_status").unionByName(count(t.pnl(), "classification"))
-        .unionByName(labelled(zh, "zones", F.count_distinct("zone_id"))).unionByName(labelled(zh, "hours", F.count_distinct("sim_date", "sim_hour")))
-    )
+    kinds = t.pnl().groupingSets([["expense_status"], ["classification"]], "expense_status", "classification").agg(F.count(F.lit(1)).alias("n"))
+    zh = t.hourly().agg(F.count_distinct("zone_id").alias("a"), F.count_distinct("sim_date", "sim_hour").alias("b"))
+    return kinds.select(F.coalesce("expense_status", "classification").alias("what"), "n").unionByName(labelled(zh, {"a": "zones", "b": "hours"}))
 
 
 def q_alert_json(t: Tables) -> DataFrame:
@@ -226,22 +256,83 @@ def q_ttl(t: Tables) -> DataFrame:
 
 def q_upsert_hourly(t: Tables) -> DataFrame:
     """Two runs: the second rewrites what the first wrote from the tenth day on, through versions of a stored table."""
-    rows, store = t.mart_hourly(), mart.Store(t.spark, scratch(t.spark, "mart"))
+    rows, store = t.mart_hourly(), t.store("mart")
     store.write("fact_zone_hourly", rows.where("sim_date <= DATE '2024-01-20'").withColumn("job_run_id", F.lit("run-1")))
     new = rows.where("sim_date >= DATE '2024-01-10'").withColumn("job_run_id", F.lit("run-2"))
     for _ in range(2):  # the second time changes nothing
         store.write("fact_zone_hourly", mart.upsert(store.read("fact_zone_hourly"), new, ["zone_id", "sim_date", "sim_hour"]))
+        store.retain("fact_zone_hourly", 1)
     return store.read("fact_zone_hourly").select("zone_id", day(), "sim_hour", "trips", "earnings", "job_run_id")
 
 
-def q_upsert_pnl(t: Tables) -> DataFrame:
-    rows, store, key = t.pnl(), mart.Store(t.spark, scratch(t.spark, "mart")), ["vehicle_id", "sim_date"]
+def restated_pnl(t: Tables) -> DataFrame:
+    """The P&L of two runs that overlap from the tenth to the twentieth day; the second is done twice, which restates nothing more."""
+    store, key = t.store("mart"), ["vehicle_id", "sim_date"]
+    store.write("run", t.pnl())
+    rows = store.read("run")
     first = rows.where("sim_date <= DATE '2024-01-20'").withColumn("job_run_id", F.lit("run-1"))
     store.write("fact_pnl", first.withColumns({"restated_at": F.lit(None).cast("timestamp"), "restatement_count": F.lit(0)}))
     new = rows.where("sim_date >= DATE '2024-01-10'").withColumn("job_run_id", F.lit("run-2"))
-    for _ in range(2):  # the same run again restates nothing
+    for _ in range(2):
         store.write("fact_pnl", mart.upsert_restated(store.read("fact_pnl"), new, key, F.current_timestamp()))
-    return store.read("fact_pnl").select("vehicle_id", day(), "net_profit", "job_run_id", "restatement_count", F.col("restated_at").isNotNull().alias("restated"))
+    return store.read("fact_pnl")
+
+
+def q_upsert_pnl(t: Tables) -> DataFrame:
+    return restated_pnl(t).select("vehicle_id", day(), "net_profit", "job_run_id", "restatement_count", F.col("restated_at").isNotNull().alias("restated"))
+
+
+def q_restatement_log(t: Tables) -> DataFrame:
+    """Each restated day's marker, once, though the run logs twice."""
+    store, rows = t.store("log"), mart.restatements(restated_pnl(t), "run-2")
+    for _ in range(2):
+        store.append("restatement_log", mart.unmarked(rows, store.read_all("restatement_log", "marker_key string")))
+    return store.read_all("restatement_log").select(day(), "marker_key", "triggered_run", "n_rows")
+
+
+def q_trend_refresh(t: Tables) -> DataFrame:
+    """The partner doubles a day's maintenance; that day and the six after it get their trend anew, by day, and all others stand."""
+    store, d = t.store("refresh"), F.col("sim_date")
+    trend = lambda rows: profitability.classify(profitability.with_trend(rows))
+    rows = t.joined()
+    profit = profitability.compute_profit(rows)
+    store.write("trend", trend(profit), partition="sim_date")
+    changed = rows.where(d == F.lit("2024-01-15").cast("date")).withColumn("maintenance_cost", F.col("maintenance_cost") * 2)
+    fresh = mart.refreshed_trend(profit, profitability.compute_profit(changed), "2024-01-15", "2024-01-15", trend)
+    store.write("trend", fresh, partition="sim_date", days=[f"2024-01-{k}" for k in range(15, 22)])
+    return store.read("trend", partition="sim_date").select("vehicle_id", day(), "net_profit", "rolling_avg_profit", "history_days", "profit_slope", "classification")
+
+
+def q_recompute(t: Tables) -> DataFrame:
+    """Derived rows written for all days, then again for some: the days written again have the new rows only, the others stand."""
+    store, d = t.store("derived"), F.col("sim_date")
+    store.write("source", reconcile.reconcile_zone(t.snapshot(), t.hourly()))
+    deltas = store.read("source")
+    store.write("delta", deltas.withColumn("run", F.lit("run-1")), partition="sim_date")
+    some = d.between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-09").cast("date")) & (F.col("metric") == "idle_ratio")
+    store.write("delta", deltas.where(some).withColumn("run", F.lit("run-2")), partition="sim_date", days=["2024-01-05", "2024-01-06", "2024-01-07", "2024-01-08", "2024-01-09", "2024-01-10"])
+    return store.read("delta", partition="sim_date").select(day(), "zone_id", "metric", "speed_value", "batch_value", "delta_pct", "run")
+
+
+def q_retention(t: Tables) -> DataFrame:
+    """Days written in two runs, made into fewer files, and those older than ten days dropped."""
+    store, rows = t.store("tiers"), t.mart_hourly()
+    store.write("hourly", rows, partition="sim_date")
+    store.write("hourly", rows.where("sim_date >= DATE '2024-01-25'").withColumn("trips", F.col("trips") + 100), partition="sim_date")
+    store.compact("hourly", 1, partition="sim_date")
+    store.retain_days("hourly", "2024-01-20")
+    return store.read("hourly", partition="sim_date").groupBy("sim_date").agg(F.count(F.lit(1)).alias("n"), F.sum("trips").alias("trips")).select(day(), "n", "trips")
+
+
+def q_zone_history(t: Tables) -> DataFrame:
+    hwm = t.span().select(F.date_sub("last", 1).alias("hwm"))
+    return merge.zone_history(t.hourly(), t.snapshot(), hwm, 48).withColumn("sim_date", day())
+
+
+def q_stalled(t: Tables) -> DataFrame:
+    """Each source partition as a query, whose pings are its progress, held against the last ping of all."""
+    progress = t.pings().select(F.concat(F.lit("query-"), F.col("source_partition").cast("string")).alias("query"), F.col("event_time").alias("at"))
+    return jobs.stalled(progress, progress.agg(F.max("at").alias("now"))).select("query", us("last_progress", "last_progress_us"))
 
 
 def q_hwm(t: Tables) -> DataFrame:
@@ -253,63 +344,59 @@ def q_hwm(t: Tables) -> DataFrame:
 
 
 def q_dq_log(t: Tables) -> DataFrame:
-    n = F.count_if(~F.col("is_valid")).cast("double")
+    """Two runs append their results to the log."""
+    n, store = F.count_if(~F.col("is_valid")).cast("double"), t.store("dq")
     checks = t.checked().groupBy("sim_date").agg(n.alias("observed")).select("sim_date", F.lit("rejected_rows").alias("check_name"), F.when(F.col("observed") > 10, "WARN").otherwise("PASS").alias("status"), "observed", F.lit(10.0).alias("threshold"), F.lit(None).cast("string").alias("detail"))
-    return mart.dq_rows(checks, "run-1").select("job_run_id", day(), "check_name", "status", "observed", "threshold")
-
-
-def around(t: Tables):
-    """A range that has every owner, around the last day of the data."""
-    last = t.span()[1]
-    at = lambda n: (last + timedelta(days=n)).isoformat()
-    return {"hwm": at(-4), "first": at(-8), "last": at(2), "today": at(-1)}
+    for run in ("run-1", "run-2"):
+        store.append("dq_run_log", mart.dq_rows(checks, run))
+    return store.read_all("dq_run_log").select("job_run_id", day(), "check_name", "status", "observed", "threshold")
 
 
 def q_owners(t: Tables) -> DataFrame:
-    return merge.date_ownership(t.spark, **around(t)).select(day(), "owner")
+    return merge.date_ownership(t.asked()).select(day(), "owner")
 
 
 def q_merged(t: Tables) -> DataFrame:
     daily = mart.zone_daily(t.mart_hourly())
-    out = merge.merged_utilization(merge.date_ownership(t.spark, **around(t)), daily, t.live_zones())
+    out = merge.merged_utilization(merge.date_ownership(t.asked()), daily, t.live_zones())
     return out.select(day(), "zone_id", "trips", "earnings", "source", "exact", "utilization_pct")
 
 
 def q_envelope(t: Tables) -> DataFrame:
-    r = around(t)
-    return merge.envelope(merge.date_ownership(t.spark, **r), r["hwm"], r["today"]).drop("missing_stores")
+    return merge.envelope(merge.date_ownership(t.asked())).drop("missing_stores")
 
 
 def q_degraded(t: Tables) -> DataFrame:
-    r = around(t)
-    owners = merge.date_ownership(t.spark, **r)
+    owners = merge.date_ownership(t.asked())
     rows = merge.merged_utilization(owners, mart.zone_daily(t.mart_hourly()), None)
-    return rows.crossJoin(F.broadcast(merge.envelope(owners, r["hwm"], r["today"], ("speed",)).select("missing_stores"))).select(day(), "zone_id", "source", "missing_stores")  # one row
+    return rows.crossJoin(F.broadcast(merge.envelope(owners, ("speed",)).select("missing_stores"))).select(day(), "zone_id", "source", "missing_stores")  # one row
 
 
 def q_watermark_age(t: Tables) -> DataFrame:
-    m = t.hourly().agg(F.max("sim_date").alias("d"))
-    age = F.datediff(F.lit("2024-02-03").cast("date"), F.col("d"))
+    """Held against four days after the last ping."""
+    m = t.hourly().agg(F.max("sim_date").alias("d")).crossJoin(F.broadcast(t.pings().agg(F.date_add(F.to_date(F.max("event_time")), 4).alias("today"))))  # one row each
+    age = F.datediff("today", "d")
     return m.select(F.date_format("d", "yyyy-MM-dd").alias("high_water_mark"), age.alias("age_days"), (age > 2).alias("alert"))
 
 
 def q_complete(t: Tables) -> DataFrame:
-    first, last = t.span()
-    return control.complete_dates(t.spark, first.isoformat(), last.isoformat(), 7).select(day())
+    return control.complete_dates(t.run_bounds(), 7).select(day())
 
 
 def q_next(t: Tables) -> DataFrame:
-    first, last = t.span()
-    return control.next_batch_date(t.spark, first.isoformat(), last.isoformat(), None).select(day())
+    return control.next_batch_date(t.run_bounds()).select(day())
 
 
 def q_backfill(t: Tables) -> DataFrame:
-    """A range of days in one plan, the trend's six days of history before it included, written by day."""
-    days = F.col("sim_date").between(F.lit("2024-01-02").cast("date"), F.lit("2024-01-14").cast("date"))
-    rows = profitability.vehicle_daily_pnl(t.valid().where(days), t.expenses().where(days)).where(F.col("sim_date") >= F.lit("2024-01-08").cast("date"))
-    store = mart.Store(t.spark, scratch(t.spark, "backfill"))
-    store.write("fact_pnl", rows, partition="sim_date")
-    return pnl_columns(store.read("fact_pnl"))
+    """Two ranges of days that overlap, each in one plan, the trend's six days of history before it included, written by day."""
+    store, d = t.store("backfill"), F.col("sim_date")
+    for run, first, last in (("run-1", "2024-01-08", "2024-01-14"), ("run-2", "2024-01-12", "2024-01-18")):
+        a, b = F.lit(first).cast("date"), F.lit(last).cast("date")
+        days = d.between(F.date_sub(a, profitability.TREND_DAYS - 1), b)
+        rows = profitability.vehicle_daily_pnl(t.valid().where(days), t.expenses().where(days)).where(d >= a)
+        store.write("fact_pnl", rows.withColumn("job_run_id", F.lit(run)), partition="sim_date")
+    rows = store.read("fact_pnl", partition="sim_date")
+    return pnl_columns(rows, "job_run_id")
 
 
 def speed_layer(t: Tables, names: list[str]) -> jobs.SpeedLayer:
@@ -338,6 +425,12 @@ def q_stream_earnings(t: Tables) -> DataFrame:
     return speed_layer(t, ["earnings"]).newest("earnings", ["window_end", "zone_id"]).select(end_s(), "zone_id", "earnings", "completed_trips")
 
 
+def q_stream_earnings_total(t: Tables) -> DataFrame:
+    """Whichever ping a trip's fare counts at, it counts in three windows."""
+    rows = speed_layer(t, ["earnings"]).newest("earnings", ["window_end", "zone_id"])
+    return rows.agg(F.sum("completed_trips").alias("completed_trips"), half_up(F.sum("earnings"), 2).alias("earnings"))
+
+
 def q_stream_vehicles(t: Tables) -> DataFrame:
     return speed_layer(t, ["vehicles"]).newest("vehicles", ["vehicle_id"]).select("vehicle_id", "status", us("updated_at_sim", "updated_us"))
 
@@ -355,7 +448,8 @@ def q_stream_progress(t: Tables) -> DataFrame:
         t.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     finally:
         t.spark.streams.removeListener(listener)
-    return listener.table(t.spark).where("kind = 'progress'").select("query", "batch", "rows_in", "state_rows", "late_rows")
+    rows = listener.table(t.spark).where("kind = 'progress'").groupBy("query")
+    return rows.agg(F.sum("rows_in").alias("rows_in"), F.sum("late_rows").alias("late_rows"))
 
 
 def q_stream_late(t: Tables) -> DataFrame:
@@ -380,12 +474,12 @@ def q_stream_late(t: Tables) -> DataFrame:
 
 
 QUERIES = {
-    "scan_day": lambda t: files.scan_day(t.valid(), "2024-01-15").select("event_id", "vehicle_id", "status", day(), "source_partition", "source_offset"),
-    "read_expenses": lambda t: t.expenses().select("vehicle_id", "fuel_cost", "maintenance_cost", "partner_distance_km", "service_flag", "partner_id", day()),
+    "scan_day": q_scan_day,
+    "read_expenses": q_read_expenses,
     "stream_profile": q_profile,
     "wire_roundtrip": q_wire,
     "decode_payload": q_decode,
-    "zone_dim": lambda t: zones.zone_table(t.spark),
+    "zone_dim": q_zone_dim,
     "dlq_envelope": lambda t: clean.dead_letters(t.rejected()).select(
         "_key", F.col("envelope.original_payload").cast("string").alias("payload"), "envelope.rejection_reason", F.regexp_extract("envelope.rejection_detail", "^(.*?) (lat|speed|fare)=", 1).alias("detail_start"),
         "envelope.validator", us("envelope.rejected_at_sim", "rejected_at_us"), "envelope.source_topic", "envelope.source_partition", "envelope.source_offset"),
@@ -401,7 +495,7 @@ QUERIES = {
     "with_registry": lambda t: enrich.with_registry(t.valid(), t.registry()).select("event_id", "vehicle_id", "fuel_type", "capacity", "registry_home_zone"),
     "latest_per_key": lambda t: t.registry().select("vehicle_id", "model", "fuel_type", "capacity", "home_zone", "offset"),
     "scd2_vehicle": lambda t: mart.scd2(adapters.registry_changes(t.spark, t.sf_dir), "vehicle_id", "offset", ["fuel_type", "capacity"]),
-    "dim_date": lambda t: mart.calendar(t.spark, "2024-01-01", "2024-01-30").select(day(), "day_of_week", "is_weekend"),
+    "dim_date": lambda t: mart.calendar(t.span()).select(day(), "day_of_week", "is_weekend"),
     "zone_activity": q_activity,
     "zone_earnings": lambda t: t.earnings().select(end_s(), "zone_id", "earnings", "completed_trips"),
     "zone_hourly_exact": lambda t: t.hourly().select("zone_id", day(), "sim_hour", "trips", "active_vehicles", "idle_ratio", "avg_speed_kmh", "earnings"),
@@ -418,7 +512,7 @@ QUERIES = {
     "distance_outliers": lambda t: profitability.distance_outliers(t.joined()).select("vehicle_id", day(), "distance_variance_pct"),
     "vehicle_daily_pnl": lambda t: pnl_columns(t.pnl()),
     "unprofitable_topk": lambda t: mart.unprofitable(t.pnl(), 10).select("vehicle_id", day(), "rolling_avg_profit", "net_profit", "classification"),
-    "vehicle_history": lambda t: mart.vehicle_history(t.pnl(), "V007", 14).select("vehicle_id", day(), "net_profit", "rolling_avg_profit", "classification"),
+    "vehicle_history": lambda t: mart.vehicle_history(t.pnl(), "V000000007", 14).select("vehicle_id", day(), "net_profit", "rolling_avg_profit", "classification"),
     "zone_daily": lambda t: mart.zone_daily(t.hourly()).select("zone_id", day(), "trips", "earnings", "active_vehicles", "idle_ratio", "avg_speed_kmh", "hours_reported"),
     "revenue_crosscheck": lambda t: mart.revenue_crosscheck(t.pnl(), t.hourly()).select(day(), "pnl_revenue", "zone_earnings", "delta"),
     "pipeline_status": q_status,
@@ -430,7 +524,7 @@ QUERIES = {
     "live_zone_earnings_series": lambda t: live.earnings_series(t.earnings()),
     "parse_series": lambda t: live.parse_series(live.earnings_series(t.earnings())).select("zone_id", "age", "window_end_s", "earnings"),
     "live_vehicle_state": lambda t: live.vehicle_state(t.zoned()).withColumn("updated_us", F.unix_micros("updated_at_sim")).drop("updated_at_sim"),
-    "live_vehicle_lookup": lambda t: live.vehicle_state(t.zoned().where("vehicle_id = 'V007'")).select("vehicle_id", "status", "zone_id", us("updated_at_sim", "updated_us")),
+    "live_vehicle_lookup": lambda t: live.vehicle_state(t.zoned().where("vehicle_id = 'V000000007'")).select("vehicle_id", "status", "zone_id", us("updated_at_sim", "updated_us")),
     "live_view_ttl": q_ttl,
     "zones_live_complete": lambda t: live.every_zone(zones.zone_table(t.spark), live.newest_window(t.exact_activity()).where("trips > 0").select("zone_id", "trips")).select("zone_id", "zone_name", "trips", "reporting"),
     "idle_alerts": lambda t: t.alerts().select("alert_id", "vehicle_id", "severity", us("idle_since_sim", "idle_since_us"), us("raised_at_sim", "raised_at_us"), "zone_id"),
@@ -440,6 +534,12 @@ QUERIES = {
     "stale_state": q_stale,
     "upsert_zone_hourly": q_upsert_hourly,
     "upsert_pnl_restatement": q_upsert_pnl,
+    "restatement_log": q_restatement_log,
+    "trend_refresh": q_trend_refresh,
+    "recompute_days": q_recompute,
+    "retention": q_retention,
+    "zone_history": q_zone_history,
+    "stalled_queries": q_stalled,
     "advance_hwm": q_hwm,
     "speed_snapshot": lambda t: t.snapshot().select("zone_id", day(), "sim_hour", "window_minutes", "trips", "earnings", "active_vehicles", "idle_ratio", "avg_speed_kmh"),
     "dq_log": q_dq_log,
@@ -462,6 +562,7 @@ QUERIES = {
     "stream_zone_earnings": q_stream_earnings,
     "stream_vehicles": q_stream_vehicles,
     "stream_idle": q_stream_idle,
+    "stream_zone_earnings_total": q_stream_earnings_total,
     "stream_progress": q_stream_progress,
     "stream_late_rows": q_stream_late,
 }

@@ -26,12 +26,26 @@ def expense_paths(spark: SparkSession, pattern: str) -> list[str]:
     return [f.getPath().toString() for f in found or []]
 
 
-def read_expenses(spark: SparkSession, path: str, sim_date: str) -> DataFrame:
-    """A day's expense file by the declared schema; without the file, an empty frame of the same shape."""
+def read_expenses(spark: SparkSession, path: str, sim_date: str | None = None, quarantine: DataFrame | None = None) -> DataFrame:
+    """Expense files by the declared schema; where no file is, an empty frame of the same shape.
+
+    The day is given, or it is that of the folder, sim_date=<day>, that holds a file. Files named in ``quarantine`` (file) are left out.
+    """
     if not expense_paths(spark, path):
         return spark.createDataFrame([], schemas.EXPENSES)
-    raw = spark.read.schema(schemas.EXPENSE_FILE).option("header", True).csv(path)
-    return shaped_expenses(raw.withColumn("sim_date", F.lit(sim_date).cast("date")))
+    reader = spark.read.schema(schemas.EXPENSE_FILE).option("header", True)
+    if sim_date is None:
+        reader = reader.option("basePath", path[: path.rindex("/sim_date=")])
+    raw = reader.csv(path)
+    raw = raw.withColumn("sim_date", (F.lit(sim_date) if sim_date else F.col("sim_date")).cast("date"))
+    if quarantine is not None:
+        raw = raw.withColumn("file", file_of(F.input_file_name())).join(quarantine.select("file").distinct(), "file", "left_anti")
+    return shaped_expenses(raw)
+
+
+def file_of(path: Column) -> Column:
+    """The folder sim_date=<day> that holds a file names it."""
+    return F.regexp_extract(path, r"sim_date=([0-9-]+)/[^/]*$", 1)
 
 
 def shaped_expenses(raw: DataFrame) -> DataFrame:

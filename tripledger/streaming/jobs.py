@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tripledger.operators import clean, enrich, live, utilization
 from tripledger.streaming.idle import idle_alert_stream
-from tripledger.zones import zone_table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LEAST_WATERMARK_REAL_SECONDS = 5
@@ -41,7 +40,7 @@ class SpeedLayer:
         return clean.validate_telemetry(self.pings, F.col("reference_time"))
 
     def valid(self) -> DataFrame:
-        return enrich.with_zone(self.checked().where("is_valid"), zone_table(self.spark))
+        return enrich.with_zone(self.checked().where("is_valid"))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -75,8 +74,6 @@ class SpeedLayer:
 
     def idle(self) -> StreamingQuery:
         """One query, two sinks: the durable alert log first, then the feed; the batch is computed once."""
-        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
         def write(batch: DataFrame, k: int) -> None:
             batch.persist()
             try:
@@ -85,15 +82,21 @@ class SpeedLayer:
             finally:
                 batch.unpersist()
 
-        return self._each_batch("idle", idle_alert_stream(self.valid(), self.watermark), "append", write)
+        name = "spark.sql.streaming.stateStore.providerClass"
+        before = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, ROCKSDB)  # a query keeps the settings that it started with
+        try:
+            return self._each_batch("idle", idle_alert_stream(self.valid(), self.watermark), "append", write)
+        finally:
+            self.spark.conf.unset(name) if before is None else self.spark.conf.set(name, before)
 
     def start(self, names: list[str]) -> list[StreamingQuery]:
         return [getattr(self, name)() for name in names]
 
     def newest(self, name: str, key: list[str]) -> DataFrame:
         """A view's rows: the newest batch of each key."""
-        w = Window.partitionBy(*key).orderBy(F.col("batch").desc())
-        return self.spark.read.parquet(self.path(name)).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "batch")
+        rows = self.spark.read.parquet(self.path(name))
+        return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max_by(F.struct(*[c for c in rows.columns if c != "batch"]), "batch").alias("r")).select("r.*")
 
 
 def finished(queries: list[StreamingQuery]) -> None:
@@ -141,7 +144,7 @@ class Progress(StreamingQueryListener):
         return spark.createDataFrame(self.rows, self.SCHEMA)
 
 
-def stalled(progress: DataFrame, now: str, seconds: int = 120) -> DataFrame:
-    """Queries without progress for so long."""
+def stalled(progress: DataFrame, now: DataFrame, seconds: int = 120) -> DataFrame:
+    """Queries without progress for so long. now: one row of now, a timestamp."""
     last = progress.where("query IS NOT NULL").groupBy("query").agg(F.max(F.to_timestamp("at")).alias("last_progress"))
-    return last.where(F.unix_timestamp(F.to_timestamp(F.lit(now))) - F.unix_timestamp("last_progress") > seconds)
+    return last.crossJoin(F.broadcast(now.select("now"))).where(F.unix_micros("now") - F.unix_micros("last_progress") > seconds * 1_000_000).drop("now")

@@ -40,6 +40,18 @@ def zone_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(zone_rows(), SCHEMA)
 
 
+def zone_of(lat: Column, lon: Column) -> Column:
+    """The zone whose half-open box holds a point, from how many rows and columns of the grid begin at or before it; null outside."""
+    boxes = zone_rows()
+    south, west = (sorted({r[k] for r in boxes}) for k in (3, 5))
+    north, east = (max(r[k] for r in boxes) for k in (4, 6))
+    steps = lambda c, edges: sum(((c >= F.lit(e)).cast("int") for e in edges[1:]), F.lit(0))
+    named = {(r[3], r[5]): r[0] for r in boxes}
+    ids = F.array(*[F.lit(named[a, b]) for a in south for b in west])
+    inside = (lat >= F.lit(south[0])) & (lat < F.lit(north)) & (lon >= F.lit(west[0])) & (lon < F.lit(east))
+    return F.when(inside, F.element_at(ids, steps(lat, south) * len(west) + steps(lon, west) + 1))
+
+
 def in_city(lat: Column, lon: Column) -> Column:
     """Inclusive at the upper edges, unlike the boxes: a point there is valid and has no zone."""
     return lat.between(F.lit(LAT_MIN), F.lit(LAT_MAX)) & lon.between(F.lit(LON_MIN), F.lit(LON_MAX))
