@@ -53,7 +53,7 @@ def test_zones_tile_the_city(spark):
     rows = zones.zone_rows()
     assert len({r[0] for r in rows}) == 12
     points = [{"lat": zones.LAT_MIN + 0.0007 * i, "lon": zones.LON_MIN + 0.0006 * i} for i in range(200)]
-    out = enrich.with_zone(pings(spark, *points, {"lat": zones.LAT_MAX, "lon": zones.LON_MAX}, {"lat": None}), zones.zone_table(spark))
+    out = enrich.with_zone(pings(spark, *points, {"lat": zones.LAT_MAX, "lon": zones.LON_MAX}, {"lat": None}))
     assert out.count() == 202 and out.where("zone_id IS NULL").count() == 2
 
 
@@ -88,7 +88,7 @@ def test_trips_are_counted_and_paid_once(spark):
     rows = pings(spark, *[{"event_time": NOON + timedelta(minutes=m)} for m in (0, 2, 40)], {"trip_id": "t2", "status": "enroute", "fare": None}, {"trip_id": "t3", "fare": 80.0})
     assert utilization.deduplicate_trips(rows).agg(F.sum("fare")).first()[0] == 200.0
     assert profitability.daily_revenue(rows).first()["revenue"] == 200.0
-    zoned = enrich.with_zone(rows, zones.zone_table(spark))
+    zoned = enrich.with_zone(rows)
     hours = utilization.zone_hourly(zoned).first()
     assert hours["trips"] == 2 and hours["earnings"] == 200.0 and hours["active_vehicles"] == 1
     with pytest.raises(ValueError):
@@ -160,6 +160,36 @@ def test_idle_episodes(spark, rows, levels):
         assert text.startswith("idle for ") and "simulated minutes since 2026-03-01 12:00" in text or len(rows) > 4
 
 
+def test_idle_episodes_over_midnights(spark):
+    """Against a plain walk through each vehicle's pings: episodes of several days, silences, ties of time."""
+    import random
+
+    rng = random.Random(5)
+    changes = []
+    for v in range(6):
+        at = NOON
+        for i in range(60):
+            at += timedelta(minutes=rng.choice([0, 5, 40, 300, 900, 1500]))
+            changes.append({"vehicle_id": f"V{v}", "event_time": at, "status": rng.choice(["idle"] * 6 + ["enroute", None]), "trip_id": None, "fare": None})
+    rows = pings(spark, *changes).withColumn("zone_id", F.lit("Z01"))
+    want = set()
+    for v in range(6):
+        since, last, done = None, None, set()
+        for r in sorted(((c["event_time"], f"e{i:03d}", c["status"]) for i, c in enumerate(changes) if c["vehicle_id"] == f"V{v}"), key=lambda x: x[:2]):
+            if r[2] != "idle" or (last and r[0] - last > timedelta(hours=24)):
+                since, done = None, set()
+            last = r[0]
+            if r[2] == "idle":
+                since = since or r[0]
+                minutes = (r[0] - since).total_seconds() / 60
+                level = "CRITICAL" if minutes >= 90 else "WARNING" if minutes >= 45 else None
+                if level and level not in done:
+                    done.add(level)
+                    want.add((f"V{v}", level, since, r[0]))
+    got = [(r["vehicle_id"], r["severity"], r["idle_since_sim"], r["raised_at_sim"]) for r in idle.idle_alerts(rows).collect()]
+    assert len(got) > 20 and set(got) == want
+
+
 def test_live_reductions(spark):
     schema = "zone_id string, window_start timestamp, window_end timestamp, active_vehicles long, trips long, idle_ratio double, avg_speed_kmh double"
     w = lambda z, m, n: (z, NOON, NOON + timedelta(minutes=m), n, n, 0.5, 30.0)
@@ -175,7 +205,7 @@ def test_live_reductions(spark):
 
 
 def test_newest_ping_of_a_vehicle(spark):
-    rows = enrich.with_zone(pings(spark, {"speed_kmh": 1.0}, {"event_time": NOON - timedelta(hours=1), "speed_kmh": 2.0}, {"vehicle_id": None}, {"vehicle_id": "V2", "lat": None, "trip_id": None}), zones.zone_table(spark))
+    rows = enrich.with_zone(pings(spark, {"speed_kmh": 1.0}, {"event_time": NOON - timedelta(hours=1), "speed_kmh": 2.0}, {"vehicle_id": None}, {"vehicle_id": "V2", "lat": None, "trip_id": None}))
     got = {r["vehicle_id"]: r for r in live.vehicle_state(rows).collect()}
     assert got["V001"]["speed_kmh"] == "1.0" and got["V2"]["lat"] == "" and set(got) == {"V001", "V2"}
 
@@ -192,10 +222,53 @@ def test_upserts(spark, tmp_path):
     assert len(store.versions("pnl")) == 5 and store.retain("pnl", 2) == 3 and store.read("pnl").count() == 1
     store.compact("pnl", 1)
     assert len(store.versions("pnl")) == 3
+    store.write("pnl", row(9.0, "r9").limit(1))  # a write after old versions went is the newest
+    assert store.read("pnl").first()["net_profit"] == 9.0
     with pytest.raises(ValueError):
         store.read("nothing")
 
 
+def test_partitioned_writes_keep_other_days(spark, tmp_path):
+    store = mart.Store(spark, str(tmp_path))
+    rows = lambda run, *days: spark.createDataFrame([(DAY + timedelta(days=d), d, run) for d in days], "sim_date date, v int, run string")
+    state = lambda: sorted((r["v"], r["run"]) for r in store.read("t", partition="sim_date").collect())
+    store.write("t", rows("a", 0, 1, 1, 2), "sim_date")
+    store.write("t", rows("b", 2, 3), "sim_date")
+    assert state() == [(0, "a"), (1, "a"), (1, "a"), (2, "b"), (3, "b")]
+    store.write("t", rows("c", 1), "sim_date", days=["2026-03-01", "2026-03-02"])  # the first day has no rows any more
+    assert state() == [(1, "c"), (2, "b"), (3, "b")]
+    store.compact("t", 1, "sim_date")
+    assert state() == [(1, "c"), (2, "b"), (3, "b")] and store.read("t", partition="sim_date").schema["sim_date"].dataType.simpleString() == "date"
+    assert store.retain_days("t", "2026-03-03") > 0
+    assert state() == [(2, "b"), (3, "b")]
+    store.write("t", rows("d", 0), "sim_date")
+    assert state() == [(0, "d"), (2, "b"), (3, "b")]
+    (tmp_path / "t" / "_v=00000099" / "sim_date=2026-03-01").mkdir(parents=True)  # an attempt that did not end
+    assert state()[0] == (0, "d")
+    store.write("t", rows("e", 0), "sim_date")
+    assert state()[0] == (0, "e")
+    for run in ("a", "b"):
+        store.append("log", rows(run, 0))
+    assert store.read_all("log").count() == 2 and store.read_all("none", "a int").count() == 0
+
+
+def test_quarantined_files_are_not_read(spark, tmp_path):
+    head = ",".join(clean.EXPENSE_COLUMNS)
+    for d in (1, 2):
+        (tmp_path / f"sim_date=2026-03-0{d}").mkdir()
+        (tmp_path / f"sim_date=2026-03-0{d}" / "part.csv").write_text(f"{head}\nV00{d},1,2,3,true,2026-03-01T10:00:00,p1\n")
+    bad = spark.createDataFrame([("2026-03-02", "no header")], "file string, reason string")
+    got = files.read_expenses(spark, f"{tmp_path}/sim_date=*", quarantine=bad).collect()
+    assert [(r["vehicle_id"], r["sim_date"]) for r in got] == [("V001", DAY)]
+    assert files.read_expenses(spark, f"{tmp_path}/sim_date=*").count() == 2
+
+
+def test_approximate_counts_are_near_the_exact_ones(spark):
+    rows = enrich.with_zone(pings(spark, *[{"vehicle_id": f"V{i}", "trip_id": f"t{i}", "event_time": NOON + timedelta(seconds=i % 200)} for i in range(400)]))
+    a = utilization.zone_activity(rows).orderBy("window_end").first()
+    assert abs(a["active_vehicles"] - 400) <= 60 and abs(a["trips"] - 400) <= 60 and a["pings"] == 400
+
+
 def test_watermark_never_goes_back(spark):
     d = lambda *days: spark.createDataFrame([(x,) for x in days], "sim_date date")
     assert mart.advance_high_water_mark(d(DAY), d(DAY - timedelta(days=3))).first()[0] == DAY
@@ -218,17 +291,17 @@ def test_unknown_dq_status_is_an_error(spark):
     ],
 )
 def test_each_date_has_one_owner(spark, hwm, first, last, today, owners):
-    got = merge.date_ownership(spark, hwm, first, last, today).orderBy("sim_date").collect()
+    got = merge.date_ownership(merge.asked(spark, hwm, first, last, today)).orderBy("sim_date").collect()
     assert "".join(r["owner"][0] for r in got) == owners
 
 
 def test_merge_errors_and_sentences(spark):
     with pytest.raises(ValueError):
-        merge.date_ownership(spark, None, "2026-03-02", "2026-03-01", "2026-03-01")
-    owners = merge.date_ownership(spark, None, "2026-03-01", "2026-03-02", "2026-03-06")
+        merge.asked(spark, None, "2026-03-02", "2026-03-01", "2026-03-01")
+    owners = merge.date_ownership(merge.asked(spark, None, "2026-03-01", "2026-03-02", "2026-03-06"))
     with pytest.raises(ValueError):
         merge.merged_utilization(owners, None, None)
-    text = merge.envelope(owners, None, "2026-03-06", ("speed",)).first()["consistency"]
+    text = merge.envelope(owners, ("speed",)).first()["consistency"]
     assert text == "no batch data available; all values approximate; 2 date(s) in neither view (2026-03-01..2026-03-02) - the batch layer is behind the simulated clock; degraded: speed unavailable"
 
 
@@ -241,9 +314,9 @@ def test_reconciliation_deltas(spark):
 
 
 def test_run_control(spark):
-    assert [r[0].isoformat() for r in control.complete_dates(spark, "2026-03-01", "2026-03-04", 2).collect()] == ["2026-03-02", "2026-03-03"]
-    assert control.complete_dates(spark, "2026-03-01", "2026-03-01", 5).count() == 0
-    pick = lambda *a: control.next_batch_date(spark, *a).first()[0]
+    assert [r[0].isoformat() for r in control.complete_dates(control.run_bounds(spark, "2026-03-01", "2026-03-04"), 2).collect()] == ["2026-03-02", "2026-03-03"]
+    assert control.complete_dates(control.run_bounds(spark, "2026-03-01", "2026-03-01"), 5).count() == 0
+    pick = lambda *a: control.next_batch_date(control.run_bounds(spark, *a)).first()[0]
     assert pick("2026-03-01", "2026-03-03", None) == date(2026, 3, 2) and pick("2026-03-01", "2026-03-03", "2026-03-02") is None and pick("2026-03-01", "2026-03-01", None) is None
 
 

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from tripledger.operators import clean, enrich, idle, live, utilization
 from tripledger.sources import adapters
 from tripledger.streaming import jobs
-from tripledger.streaming.idle import advance
-from tripledger.zones import zone_table
+from tripledger.streaming.idle import episodes, risen
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,7 +31,7 @@ def layer(spark, parts, tmp_path, watermark="30 minutes"):
 
 def batch(spark):
     checked = clean.validate_telemetry(adapters.telemetry(spark, SF), F.col("reference_time"))
-    return checked, enrich.with_zone(checked.where("is_valid"), zone_table(spark))
+    return checked, enrich.with_zone(checked.where("is_valid"))
 
 
 def test_master_and_dead_letters_split_the_stream(spark, parts, tmp_path):
@@ -91,16 +90,20 @@ def test_late_rows_are_counted(spark, tmp_path):
     progress = listener.table(spark).where("kind = 'progress'")
     assert progress.agg(F.sum("late_rows")).first()[0] > 0
     assert progress.where("batch_s > 0").count() >= 3
-    assert jobs.stalled(progress, "2100-01-01 00:00:00").count() == 1
-
-
-def test_state_machine_over_batches():
-    at = lambda m: m * 60_000_000
-    state, alerts = advance((None, ""), [(at(0), "a", "idle", "Z"), (at(50), "b", "idle", "Z")], 45, 90, at(1440))
-    assert [a[0] for a in alerts] == ["WARNING"]
-    again, alerts = advance(state, [(at(60), "c", "idle", "Z"), (at(91), "d", "idle", "Z"), (at(120), "e", "idle", "Z")], 45, 90, at(1440))
-    assert [(a[0], a[2]) for a in alerts] == [("CRITICAL", 0)]
-    assert advance(again, [(at(130), "f", None, "Z")], 45, 90, at(1440)) == ((None, ""), [])
+    now = lambda text: spark.sql(f"SELECT TIMESTAMP '{text}' AS now")
+    assert jobs.stalled(progress, now("2100-01-01 00:00:00")).count() == 1 and jobs.stalled(progress, now("2000-01-01 00:00:00")).count() == 0
+
+
+def test_episodes_over_batches():
+    at = lambda m, status="idle": (m * 60_000_000, f"e{m}", status, "Z")
+    levels = [(45, "WARNING"), (90, "CRITICAL")]
+    (first,) = episodes([at(0), at(50)], None)
+    assert (first[0], first[2]) == (0, True) and [k for k, _ in risen(0, first[1], levels, 0)] == [0]
+    (again,) = episodes([at(60), at(91), at(120)], 0)
+    assert [(k, p[1]) for k, p in risen(again[0], again[1], levels, 1)] == [(1, "e91")]
+    assert list(episodes([at(130, None)], 0)) == [] and list(episodes([], 7)) == [(7, [], True)]
+    assert [k for k, _ in risen(0, [at(0), at(95)], levels, 0)] == [1]  # straight past both
+    assert [(s, o) for s, _, o in episodes([at(1), at(2, "enroute"), at(3), at(4, None)], 0)] == [(0, False), (3 * 60_000_000, False)]
 
 
 def test_a_watermark_has_to_last_a_while():

@@ -316,8 +316,7 @@ SELECTS = {
     "stream_zone_earnings_total": "SELECT (3 * count(*))::BIGINT AS completed_trips, round(3 * sum(fare), 2) AS earnings FROM firsts",
     "stream_progress": "SELECT 'vehicles' AS query, count(*) AS rows_in, 0::BIGINT AS late_rows FROM events",
     "stream_late_rows": """SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, pings + coalesce(again, 0) AS pings, true AS late_rows_dropped FROM act LEFT JOIN (
-        SELECT window_end AS we, zone_id AS z, count(*) AS again FROM win WHERE reference_time >= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
-          AND window_end > (SELECT max(event_time) - INTERVAL 30 MINUTE FROM valid) GROUP BY 1, 2) ON window_end = we AND zone_id IS NOT DISTINCT FROM z""",
+        SELECT window_end AS we, zone_id AS z, count(*) AS again FROM win WHERE reference_time >= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2) ON window_end = we AND zone_id IS NOT DISTINCT FROM z""",
     "stream_vehicles": "SELECT vehicle_id, status, epoch_us(event_time) AS updated_us FROM zoned QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY event_time DESC, event_id DESC) = 1",
 }
 

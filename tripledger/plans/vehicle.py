@@ -453,7 +453,9 @@ def q_stream_progress(t: Tables) -> DataFrame:
 
 
 def q_stream_late(t: Tables) -> DataFrame:
-    """The events in two halves, their last hour once more, then a part of the first half, late: what the stream counts as dropped, and the windows it keeps."""
+    """The events in two halves, their last hour once more, then a part of the first half, late: what the stream counts as dropped, and the windows it keeps.
+
+    Rows are late by the watermark of the batch before, so the last hour counts twice, and the late part not at all."""
     events, root, files_each = adapters.table(t.spark, t.sf_dir, "events"), scratch(t.spark, "late"), 2
     ends = events.agg(F.min("ts"), F.max("ts")).first()
     middle, last_hour = ends[0] + (ends[1] - ends[0]) / 2, ends[1] - timedelta(hours=1)
