@@ -215,3 +215,42 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == seen[4]
     assert exact_dedup.exact_dedup(kept, keep="largest").count() == len(near)
     assert set(bpe.bpe(kept, outputs=()).columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def stage_tables(spark, tmp_path, docs, labels):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, row string, _id int, score double"
+    spark.createDataFrame([(*d, True, "r", 1, 0.0) for d in docs], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, stage_tables(spark, tmp_path, [], [])).count() == 0
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Nulls, very long texts, rows that repeat, and columns named as the operators' own."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i % 977}x{i % 1009}" for i in range(60_000))
+    docs = [(1, None, None, None, None), (2, "", "en", None, 0), (None, "no identifier at all here", "en", "a", 1), (None, "no identifier at all here", "en", "a", 1), (3, long, "en", "b", 9), (4, long + " end", "en", "b", 9)]
+    docs += [(5, "the same row twice over, as it is", "en", "a", 3)] * 2 + [(None, None, None, None, None)] + [(10 + i, f"text number {i} of its own kind, {i * 7} {i * 13} {i * 17}", "en", "c", 5) for i in range(20)]
+    sf = stage_tables(spark, tmp_path, docs, [(10 + i, 1, 0) for i in range(20)])
+    at = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, kept = at.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        at = common.written(stage(spark, at, sf), f"awkward{k}")
+        assert k == 4 or at.columns == columns
+        kept.append([r["doc_id"] for r in at.collect()])
+    assert len(kept[0]) == len(docs)
+    assert sorted(map(repr, kept[1])) == sorted(map(repr, [2, None, 3, 4, 5, *range(10, 30)]))  # of null and empty texts the one with the largest identifier
+    assert sorted(map(repr, kept[2])) == sorted(map(repr, [2, None, 3, 5, *range(10, 30)]))
+    assert set(kept[3]) <= set(kept[2]) - {2} and len(kept[4]) == len(kept[3])
+
+
+def test_one_of_each_keeps_one_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "x y z"), (None, "x y z"), (3, None), (3, None), (1, "other words")], "doc_id long, text string")
+    got = [(repr(r["doc_id"]), r["text"]) for r in ngram_join.one_of_each(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [("1", "a b c d e f"), ("None", "x y z"), ("3", None), ("3", None), ("1", "other words")]))

@@ -116,7 +116,10 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each as often as it appears, in training order, with docs' columns: every appearance has a position of its own."""
+    """The documents of the mix, each as often as it appears, in training order, with docs' columns: every appearance has a position of its own.
+
+    Null and blank texts have no words and are left out; repeated rows are documents of their own. An empty input gives an empty result.
+    """
     out = mix(docs, carry=True, **how).select("row", "_id", F.posexplode("positions").alias("_epoch", "_at"))
     return out.repartitionByRange("_at", F.xxhash64("_id", "_epoch")).sortWithinPartitions("_at", "_id", "_epoch").select("row.*")
 

@@ -242,9 +242,9 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     members = nodes.select("node", "n_words", F.explode("bands").alias("bucket"))
-    n = F.count(F.lit(1))
-    blocks = F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(F.sum("n_words") / F.lit(BLOCK_WORDS)), F.ceil(F.sqrt(n) / F.lit(SPREAD))).cast("int")
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), blocks.alias("blocks"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
+    size = F.count(F.lit(1))
+    blocks = F.greatest(F.ceil(size / F.lit(BLOCK)), F.ceil(F.sum("n_words") / F.lit(BLOCK_WORDS)), F.ceil(F.sqrt(size) / F.lit(SPREAD))).cast("int")
+    buckets = members.groupBy("bucket").agg(size.alias("size"), blocks.alias("blocks"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
     buckets = buckets.where("size > 1").groupBy("size", "blocks", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "blocks")
     shared = spread_join(members.select("node", "bucket"), written(buckets, "buckets"), "bucket").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("bucket", "blocks"))).alias("shared"))
     shared = written(shared.join(nodes.select("node", "copies"), "node"), "shared")
@@ -261,8 +261,13 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows that are not kept, with docs' columns."""
-    dropped = ngram_classes(docs, id_col, text_col, **how).where("not kept").select(F.col("id").alias("_id"), F.col("node").alias("_node")).distinct()
+    """docs without the rows that are not kept, with docs' columns: one row of each class.
+
+    Null, empty and wordless texts are in no class and all stay. Of rows that repeat identifier and words, one stays. A class whose
+    rows have no identifier keeps one of them. An empty input gives an empty result; columns may have any names.
+    """
+    found = written(ngram_classes(docs, id_col, text_col, **how).where("node is not null").groupBy("id", "node", "kept").count(), "classes")
+    gone, again = found.where("not kept"), found.where("kept and count > 1")
     at = docs.columns.index(text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
 
@@ -272,8 +277,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = docs.toDF(*names)
     rows = rows.mapInArrow(lean(keyed), T.StructType([*rows.schema.fields, T.StructField("_node", T.BinaryType())]))
-    own = F.col(f"c{docs.columns.index(id_col)}")
-    return rows.join(dropped.withColumnRenamed("_node", "_gone"), own.eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_gone")), "left_anti").select(*names).toDF(*docs.columns)
+    own = f"c{docs.columns.index(id_col)}"
+    same = lambda other: F.col(own).eqNullSafe(other["id"]) & (F.col("_node") == other["node"])
+    listed = gone.unionByName(again).select("id", "node")
+    once = rows.join(listed, same(listed), "left_anti")
+    twice = rows.join(again.select("id", "node"), same(again), "left_semi").dropDuplicates([own, "_node"])
+    return once.unionByName(twice).select(*names).toDF(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

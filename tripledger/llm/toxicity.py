@@ -306,7 +306,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with a score under 0.5, with docs' columns."""
+    """The documents with a score under 0.5, with docs' columns.
+
+    Null and empty texts score as texts without terms; repeated rows score alike; an empty input gives an empty result; columns may have any names.
+    """
     return scored(docs, train(docs, labels, id_col, text_col), text_col).where("score < 0.5").drop("score").toDF(*docs.columns)
 
 
