@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = spread_join(ties.select(F.col("u").alias("x"), F.col("v").alias("u")), least, "u").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ties = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "ties")
     return ties.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(ties.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
