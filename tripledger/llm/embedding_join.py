@@ -100,18 +100,19 @@ def residents(nodes: DataFrame, pivots: np.ndarray, dim: int) -> list:
 
 
 def blocks_of(pivots: np.ndarray, counts: np.ndarray, size: int) -> list[list[int]]:
-    """The blocks of each cell. Cells are lined up along the direction in which pivots differ most and fill blocks of about ``size`` residents."""
+    """The blocks of each cell. Cells are lined up along the direction in which pivots differ most and fill blocks of ``size`` residents evenly."""
     middle = pivots - pivots.mean(0)
     along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]
+    total = max(1, int(counts.sum()))
+    blocks = -(-total // size)
     out: list[list[int]] = [[] for _ in counts]
-    block, held = 0, 0
+    before = 0
     for cell in np.argsort(along, kind="stable").tolist():
         n = int(counts[cell])
-        if held and held + n > size:
-            block, held = block + 1, 0
-        own = max(1, -(-n // size))
-        out[cell] = list(range(block, block + own))
-        block, held = (block + own, 0) if own > 1 else (block, held + n)
+        first = min(blocks - 1, before * blocks // total)
+        last = max(first, (before + n - 1) * blocks // total) if n > size else first
+        out[cell] = list(range(first, last + 1))
+        before += n
     return out
 
 
