@@ -1,0 +1,107 @@
+"""The registered queries themselves over the driver's smallest tables: against DuckDB where they have SQL, else against libraries and plain Python."""
+
+import hashlib
+import os
+import zlib
+
+import duckdb
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from tripledger.llm import bpe, queries, token_counts
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    return con
+
+
+@pytest.fixture(scope="module")
+def texts():
+    t = pq.read_table(f"{SF}/documents.parquet")
+    return dict(zip(t["doc_id"].to_pylist(), t["text"].to_pylist()))
+
+
+def rows(spark, name):
+    return queries.queries()[name](spark, SF).collect()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, duck, name):
+    got = queries.queries()[name](spark, SF)
+    want = duck.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted((tuple(r) for r in want.fetchall()), key=repr)
+
+
+def test_op3_keeps_the_base_spans(spark):
+    base = {r.doc_id: r for r in rows(spark, "secret_base_spans")}
+    got = rows(spark, "op3_secret_scan")
+    assert len(got) == len(base)
+    for r in got:
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == base[r.doc_id][1:]
+        told = [s.split(":") for s in filter(None, r.spans.split(","))]
+        assert len(told) >= r.n_assign + r.n_access + r.n_hex
+        assert [int(s[1]) for s in told] == sorted(int(s[1]) for s in told)
+
+
+def test_op4_counts_as_the_library(spark, texts):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_path())
+    want = {(i, len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t in texts.items()}
+    got = rows(spark, "op4_token_counts")
+    assert len(got) == len(texts) and {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got} == want
+
+
+def test_op5_has_a_row_for_each_page(spark):
+    pages = pq.read_table(f"{SF}/pages.parquet").to_pylist()
+    got = {r.page_id: r for r in rows(spark, "op5_html_extract")}
+    assert len(got) == len(pages)
+    for p in pages:
+        r = got[p["page_id"]]
+        assert r.url == p["url"] and r.n_chars == len(r.text)
+        assert all(line == " ".join(line.split()) != "" for line in filter(None, r.text.split("\n")))
+
+
+def test_op7_scores_every_document(spark, texts):
+    got = rows(spark, "op7_toxicity")
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+
+
+def test_op8_names_the_languages(spark, texts):
+    langs = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "lang"]).to_pylist()}
+    got = rows(spark, "op8_language_id")
+    assert len(got) == len(texts)
+    right = []
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+        if not any(c.isalpha() for c in texts[r.doc_id] or ""):
+            assert r.lang_pred == "und"
+        elif r.held_out and langs[r.doc_id] is not None:
+            right.append(r.lang_pred == langs[r.doc_id])
+    assert np.mean(right) > 0.9
+
+
+def test_op9_encodes_as_the_library(spark, texts):
+    import tiktoken
+
+    path, pattern = bpe.vocabulary()
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks(open(path, "rb").read()), special_tokens={})
+    got = rows(spark, "op9_bpe")
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r.doc_id] or ""
+        ids = own.encode_ordinary(text)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()

@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_language_id": language_id.op8,
         "op9_bpe": bpe.op9,
         "op10_mixing": mixing.op10,
+        "secret_base_spans": secret_scan.base_spans,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict:
         "op2_embedding_join": embedding_join.OP2_SQL,
         "op6_ngram_join": ngram_join.OP6_SQL,
         "op10_mixing": mixing.OP10_SQL,
+        "secret_base_spans": secret_scan.BASE_SQL,
     }

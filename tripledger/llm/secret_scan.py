@@ -26,7 +26,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The kinds, in the order of reports, their patterns and least lengths.
@@ -640,7 +640,49 @@ def op3(spark, sf_dir: str) -> DataFrame:
     from tripledger.llm.common import table
 
     found = find_secrets(table(spark, sf_dir, "documents"))
-    base = F.filter("spans", lambda s: s["layer"] == 0)
-    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), "closed_layers")
+    return found.select("doc_id", *_digest("spans"), _told(F.col("spans")).alias("spans"), "closed_layers")
+
+
+def base_spans(spark, sf_dir: str) -> DataFrame:
+    """What op3 finds in the texts as they stand, the part of it that SQL can express."""
+    from tripledger.llm.common import table
+
+    return find_secrets(table(spark, sf_dir, "documents")).select("doc_id", *_digest("spans"))
+
+
+def _told(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _digest(spans: str) -> list[Column]:
+    base = F.filter(spans, lambda s: s["layer"] == 0)
+    counts = [F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return [*counts, F.sha2(_told(base), 256).alias("base_sha256")]
+
+
+def _found_sql(place: int, kind: str, pattern: str, kept: str) -> str:
+    """SQL for the matches of one kind as a list of structs: a match begins after all pieces and matches before it."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+      'start': list_sum(list_transform(pieces[:i], lambda p: length(p))) + coalesce(list_sum(list_transform(m[:i - 1], lambda p: length(p))), 0),
+      'place': {place}, 'kind': '{kind}', 'size': length(m[i]), 'value': length(v[i])}}), lambda f: f.{kept}) AS found
+  FROM (SELECT doc_id, regexp_extract_all(t, '{quoted}', 0) AS m, regexp_extract_all(t, '{quoted}', {int(kind == "assign")}) AS v, string_split_regex(t, '{quoted}') AS pieces
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+BASE_SQL = f"""
+WITH found AS ({" UNION ALL ".join((
+    _found_sql(1, "assign", "(?:" + "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key"))) + """)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", "value >= 6"),
+    _found_sql(2, "access", "AKIA[A-Z0-9]{16,}", "size >= 20"),
+    _found_sql(3, "hex", "[0-9a-f]{24,}", "size >= 24"),
+))}),
+spans AS (SELECT doc_id, list_sort(flatten(list(found))) AS s FROM found GROUP BY doc_id)
+SELECT doc_id, len(list_filter(s, lambda f: f.kind = 'assign')) AS n_assign, len(list_filter(s, lambda f: f.kind = 'access')) AS n_access,
+  len(list_filter(s, lambda f: f.kind = 'hex')) AS n_hex,
+  sha256(coalesce(array_to_string(list_transform(s, lambda f: f.kind || ':' || CAST(f.start AS BIGINT) || ':' || CAST(f.start + f.size AS BIGINT)), ','), '')) AS base_sha256
+FROM spans"""
