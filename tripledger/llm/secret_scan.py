@@ -656,8 +656,11 @@ def _told(spans: Column) -> Column:
 
 def _digest(spans: str) -> list[Column]:
     base = F.filter(spans, lambda s: s["layer"] == 0)
-    counts = [F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    return [*counts, F.sha2(_told(base), 256).alias("base_sha256")]
+    return [*(_n_of(base, kind) for kind in KINDS), F.sha2(_told(base), 256).alias("base_sha256")]
+
+
+def _n_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
 def _found_sql(place: int, kind: str, pattern: str, kept: str) -> str:
