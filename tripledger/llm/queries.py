@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripledger.llm import bpe, embedding_join, exact_dedup, html_extract, language_id, mixing, ngram_join, secret_scan, token_counts, toxicity
+from tripledger.llm import bpe, embedding_join, exact_dedup, html_extract, language_id, mixing, ngram_join, secret_scan, stream_bpe, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_language_id": language_id.op8,
         "op9_bpe": bpe.op9,
         "op10_mixing": mixing.op10,
+        "op11_stream_bpe": stream_bpe.op11,
         "secret_base_spans": secret_scan.base_spans,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict:
         "op2_embedding_join": embedding_join.OP2_SQL,
         "op6_ngram_join": ngram_join.OP6_SQL,
         "op10_mixing": mixing.OP10_SQL,
+        "op11_stream_bpe": stream_bpe.op11,
         "secret_base_spans": secret_scan.BASE_SQL,
     }
