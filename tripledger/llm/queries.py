@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripledger.llm import bpe, embedding_join, exact_dedup, html_extract, language_id, mixing, ngram_join, secret_scan, spelling, stream_bpe, token_counts, toxicity
+from tripledger.llm import bpe, embedding_join, exact_dedup, html_extract, language_id, mixing, ngram_join, prefix_trie, secret_scan, spelling, stream_bpe, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_bpe": bpe.op9,
         "op10_mixing": mixing.op10,
         "op11_stream_bpe": stream_bpe.op11,
+        "op12_prefix_trie": prefix_trie.op12,
         "op13_spelling": spelling.op13,
         "secret_base_spans": secret_scan.base_spans,
     }
@@ -30,6 +31,7 @@ def oracle_sql() -> dict:
         "op6_ngram_join": ngram_join.OP6_SQL,
         "op10_mixing": mixing.OP10_SQL,
         "op11_stream_bpe": stream_bpe.op11,
+        "op12_prefix_trie": prefix_trie.OP12_SQL,
         "op13_spelling": spelling.OP13_SQL,
         "secret_base_spans": secret_scan.BASE_SQL,
     }
