@@ -86,7 +86,7 @@ def test_rounding(spark):
 
 def test_trips_are_counted_and_paid_once(spark):
     rows = pings(spark, *[{"event_time": NOON + timedelta(minutes=m)} for m in (0, 2, 40)], {"trip_id": "t2", "status": "enroute", "fare": None}, {"trip_id": "t3", "fare": 80.0})
-    assert utilization.deduplicate_trips(rows).agg(F.sum("fare")).first()[0] == 200.0
+    assert utilization.first_pings(rows).agg(F.sum("fare")).first()[0] == 200.0
     assert profitability.daily_revenue(rows).first()["revenue"] == 200.0
     zoned = enrich.with_zone(rows)
     hours = utilization.zone_hourly(zoned).first()

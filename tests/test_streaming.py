@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripledger.operators import clean, enrich, idle, live, utilization
 from tripledger.sources import adapters
-from tripledger.streaming import jobs
+from tripledger.streaming import jobs, views
 from tripledger.streaming.idle import episodes, risen
 
 SF = "/root/testdata/sf0.001"
@@ -50,8 +50,8 @@ def test_views_equal_their_batch_twins(spark, parts, tmp_path):
     _, valid = batch(spark)
     columns = ["window_start", "window_end", "zone_id", "avg_speed_kmh", "idle_ratio", "pings"]
     want = {tuple(r) for r in utilization.zone_activity(valid).select(columns).collect()}
-    assert {tuple(r) for r in s.newest("activity", ["window_end", "zone_id"]).select(columns).collect()} == want
-    newest = s.newest("vehicles", ["vehicle_id"])
+    assert {tuple(r) for r in s.activity_windows().select(columns).collect()} == want
+    newest = s.newest_vehicles()
     assert {tuple(r) for r in newest.select("vehicle_id", "status").collect()} == {tuple(r) for r in live.vehicle_state(valid).select("vehicle_id", "status").collect()}
 
 
@@ -64,12 +64,58 @@ def test_idle_alerts_equal_the_batch_twin(spark, parts, tmp_path):
     assert want and sorted(got) == sorted(want)
 
 
-def test_earnings_count_each_trip_once(spark, parts, tmp_path):
+def test_earnings_follow_the_last_ping_over_batches(spark, parts, tmp_path):
     s = layer(spark, parts, tmp_path, "30 days")
     jobs.finished(s.start(["earnings"]))
-    trips = utilization.deduplicate_trips(batch(spark)[1]).count()
-    counted = s.newest("earnings", ["window_end", "zone_id"]).agg(F.sum("completed_trips")).first()[0]
-    assert counted == 3 * trips  # each in three sliding windows
+    columns = ["window_start", "window_end", "zone_id", "earnings", "completed_trips"]
+    want = utilization.zone_earnings(utilization.trip_completions(batch(spark)[1])).select(columns).collect()
+    assert want and sorted(map(tuple, s.earnings_windows().select(columns).collect()), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_a_later_ping_takes_a_credit_back(spark, tmp_path):
+    """Three batches: a trip's ping, a later one elsewhere, and an earlier one, which changes nothing; a repeated ping changes nothing either."""
+    start = datetime(2024, 1, 2, 9)
+    schema = "event_id string, trip_id string, vehicle_id string, status string, zone_id string, fare double, event_time timestamp, sim_date date"
+    ping = lambda i, minutes, zone: (str(i), "t", "v", "on_trip", zone, 120.5, start + timedelta(minutes=minutes), start.date())
+    for k, rows in enumerate(([ping(1, 0, "Z1")], [ping(2, 20, "Z2"), ping(2, 20, "Z2")], [ping(0, 10, "Z3")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        s = jobs.SpeedLayer(spark, stream, str(tmp_path / "out"), {"availableNow": True}, "3 hours")
+        s.valid = lambda: stream  # noqa: B023
+        jobs.finished(s.start(["earnings"]))
+        got = {(r.zone_id, r.earnings, r.completed_trips) for r in s.earnings_windows().collect()}
+        assert got == {("Z1" if k == 0 else "Z2", 120.5, 1)} and s.earnings_windows().count() == 3
+
+
+def test_first_seen_keeps_one_ping_of_a_trip(spark, parts, tmp_path):
+    s = layer(spark, parts, tmp_path, "30 days")
+    q = utilization.first_seen(s.valid(), "30 days").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "seen")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "seen")).count() == utilization.first_pings(batch(spark)[1]).count()
+
+
+def test_a_view_stays_small_over_many_batches(spark, tmp_path):
+    """50 batches of 20 keys each: the runs that a read touches stay few, and old files go."""
+    view = views.LeveledView(spark, str(tmp_path / "view"), views.newest_by(["k"]))
+    total = views.LeveledView(spark, str(tmp_path / "sums"), views.summed_by(["k"], ["n"]))
+    want, sums, most = {}, {}, 0
+    for batch in range(50):
+        rows = [(k % 37, batch * 100 + k) for k in range(batch, batch + 20)]
+        want |= dict(rows)
+        for k, v in rows:
+            sums[k] = sums.get(k, 0) + v
+        frame = spark.createDataFrame(rows, "k int, n bigint").coalesce(1)
+        view.add(frame, batch)
+        if batch < 22:
+            total.add(frame, batch)
+            final = dict(sums)
+        most = max(most, len(view.runs()))
+    assert most <= 2 * (views.FAN - 1) + 1
+    assert {r.k: r.n for r in view.read().collect()} == want and view.read().columns == ["k", "n"]
+    assert {r.k: r.n for r in total.read().collect()} == final
+    assert len(list((tmp_path / "view" / "runs").iterdir())) <= 2 * most and len(list((tmp_path / "view" / "_manifests").iterdir())) == 2
+    view.add(spark.createDataFrame([(1, -1)], "k int, n bigint"), 49)  # a batch that is written again changes nothing
+    assert {r.k: r.n for r in view.read().collect()} == want
 
 
 def test_late_rows_are_counted(spark, tmp_path):

@@ -5,6 +5,8 @@ PRELUDE names the steps as common table expressions; each query selects from the
 
 from __future__ import annotations
 
+import re
+
 from tripledger.functions.geo import EARTH_RADIUS_KM
 from tripledger.zones import LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, zone_rows
 
@@ -267,6 +269,8 @@ SELECTS = {
         LEFT JOIN (SELECT z.vehicle_id, min(z.event_time) AS since FROM zoned z LEFT JOIN (SELECT vehicle_id, event_time AS bt, event_id AS be FROM zoned WHERE status <> 'idle' QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY event_time DESC, event_id DESC) = 1) b USING (vehicle_id)
                    WHERE z.status = 'idle' AND (b.bt IS NULL OR z.event_time > b.bt OR (z.event_time = b.bt AND z.event_id > b.be)) GROUP BY 1) i USING (vehicle_id)""",
     "upsert_zone_hourly": f"SELECT zone_id, {_D}, sim_hour, trips, earnings, CASE WHEN zh.sim_date >= DATE '2024-01-10' THEN 'run-2' ELSE 'run-1' END AS job_run_id FROM zh WHERE zone_id IS NOT NULL",
+    "merge_files": f"""SELECT {_D}, zh.sim_date <> DATE '2024-01-15' AS kept, count(*) AS n_rows, (sum(trips) + CASE WHEN zh.sim_date = DATE '2024-01-15' THEN count(*) ELSE 0 END)::BIGINT AS trips,
+        CASE WHEN zh.sim_date = DATE '2024-01-15' THEN count(*) ELSE 0 END AS of_run_2 FROM zh WHERE zone_id IS NOT NULL GROUP BY zh.sim_date""",
     "upsert_pnl_restatement": f"""SELECT vehicle_id, {_D}, net_profit, CASE WHEN pnl.sim_date >= DATE '2024-01-10' THEN 'run-2' ELSE 'run-1' END AS job_run_id,
         (pnl.sim_date >= DATE '2024-01-10' AND pnl.sim_date <= DATE '2024-01-20')::INTEGER AS restatement_count, pnl.sim_date >= DATE '2024-01-10' AND pnl.sim_date <= DATE '2024-01-20' AS restated FROM pnl""",
     "restatement_log": f"SELECT {_D}, strftime(pnl.sim_date, '%Y-%m-%d') || '/run-2' AS marker_key, 'run-2' AS triggered_run, count(*) AS n_rows FROM pnl WHERE pnl.sim_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' GROUP BY pnl.sim_date",
@@ -313,7 +317,8 @@ SELECTS = {
     "stream_dlq": "SELECT rejection_reason, count(*) AS n FROM checked WHERE rejection_reason IS NOT NULL GROUP BY 1",
     "stream_idle": "SELECT alert_id, vehicle_id, severity, epoch_us(idle_since) AS idle_since_us, epoch_us(event_time) AS raised_at_us FROM alerts",
     "stream_zone_activity": "SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, avg_speed_kmh, idle_ratio, pings FROM act",
-    "stream_zone_earnings_total": "SELECT (3 * count(*))::BIGINT AS completed_trips, round(3 * sum(fare), 2) AS earnings FROM firsts",
+    "stream_zone_earnings": "SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, earnings, completed_trips FROM earn",
+    "stream_zone_earnings_total": "SELECT (3 * count(*))::BIGINT AS completed_trips, round(3 * sum(fare), 2) AS earnings FROM completions",
     "stream_progress": "SELECT 'vehicles' AS query, count(*) AS rows_in, 0::BIGINT AS late_rows FROM events",
     "stream_late_rows": """SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, pings + coalesce(again, 0) AS pings, true AS late_rows_dropped FROM act LEFT JOIN (
         SELECT window_end AS we, zone_id AS z, count(*) AS again FROM win WHERE reference_time >= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2) ON window_end = we AND zone_id IS NOT DISTINCT FROM z""",
@@ -340,9 +345,25 @@ def half_up(sql: str) -> str:
     return sql
 
 
+def needed(sql: str) -> str:
+    """sql without the common tables that it does not reach."""
+    parts = re.split(r"(?:^WITH |^\), )(\w+)((?:\([^)]*\))?) AS \(", sql.strip(), flags=re.MULTILINE)
+    names, heads, bodies = parts[1::3], parts[2::3], parts[3::3]
+    last, select = bodies[-1].split("\n)\n", 1)
+    bodies = [b.rstrip() for b in [*bodies[:-1], last]]
+    words = lambda text: set(re.findall(r"\w+", text))
+    reached, todo = set(), words(select)
+    for name, body in zip(reversed(names), reversed(bodies)):  # a table names earlier ones only
+        if name in todo:
+            reached.add(name)
+            todo |= words(body)
+    kept = ", ".join(f"{n}{h} AS ({b}\n)" for n, h, b in zip(names, heads, bodies) if n in reached)
+    return f"WITH {kept}\n{select}" if kept else select
+
+
 def oracle_sql() -> dict[str, str]:
-    found = {name: half_up(f"{PRELUDE}{select}") for name, select in SELECTS.items()}
+    found = {name: half_up(needed(f"{PRELUDE}{select}")) for name, select in SELECTS.items()}
     # The restated day's maintenance is doubled.
     cost = "((cents // 9000) % 4000)::DOUBLE / 1e2 AS maintenance_cost"
     restated = PRELUDE.replace(cost, f"CASE WHEN day = 14 THEN 2 ELSE 1 END * {cost}")
-    return found | {"trend_refresh": half_up(f"{restated}{SELECTS['trend_refresh']}")}
+    return found | {"trend_refresh": half_up(needed(f"{restated}{SELECTS['trend_refresh']}"))}

@@ -12,7 +12,7 @@ from tripledger import zones
 from tripledger.functions import clock
 from tripledger.functions.rounding import half_up, mean_of
 from tripledger.operators import clean, control, enrich, idle, live, mart, merge, profitability, reconcile, utilization
-from tripledger.sources import adapters, files
+from tripledger.sources import adapters, files, keyed
 from tripledger.streaming import jobs
 
 CLOCK = clock.SimClock(epoch_sim=1767225600.0, epoch_wall=1704067200.0, day_seconds=300.0)
@@ -104,6 +104,9 @@ class Tables:
         at = lambda n, name: F.date_add("last", n).alias(name)
         return self.span().select(at(-4, "hwm"), at(-8, "first"), at(2, "last"), at(-1, "today"))
 
+    def keyed(self, name, key):
+        return keyed.KeyedTable(self.spark, scratch(self.spark, name), key, "sim_date")
+
     def store(self, name):
         return mart.Store(self.spark, scratch(self.spark, name))
 
@@ -255,27 +258,42 @@ def q_ttl(t: Tables) -> DataFrame:
 
 
 def q_upsert_hourly(t: Tables) -> DataFrame:
-    """Two runs: the second rewrites what the first wrote from the tenth day on, through versions of a stored table."""
-    rows, store = t.mart_hourly(), t.store("mart")
-    store.write("fact_zone_hourly", rows.where("sim_date <= DATE '2024-01-20'").withColumn("job_run_id", F.lit("run-1")))
+    """Two runs: the second merges what the first wrote from the tenth day on, which rewrites those days' files only."""
+    store, stored = t.store("mart"), t.keyed("fact_zone_hourly", ["zone_id", "sim_date", "sim_hour"])
+    store.write("run", t.mart_hourly())
+    rows = store.read("run")
+    stored.write(rows.where("sim_date <= DATE '2024-01-20'").withColumn("job_run_id", F.lit("run-1")))
     new = rows.where("sim_date >= DATE '2024-01-10'").withColumn("job_run_id", F.lit("run-2"))
     for _ in range(2):  # the second time changes nothing
-        store.write("fact_zone_hourly", mart.upsert(store.read("fact_zone_hourly"), new, ["zone_id", "sim_date", "sim_hour"]))
-        store.retain("fact_zone_hourly", 1)
-    return store.read("fact_zone_hourly").select("zone_id", day(), "sim_hour", "trips", "earnings", "job_run_id")
+        stored.merge(new, mart.upsert)
+    stored.vacuum()
+    return stored.read().select("zone_id", day(), "sim_hour", "trips", "earnings", "job_run_id")
+
+
+def q_merge_files(t: Tables) -> DataFrame:
+    """A day is merged into the hourly mart: which days' files are where they were, and the rows of each."""
+    store, stored = t.store("mart"), t.keyed("fact_zone_hourly", ["zone_id", "sim_date", "sim_hour"])
+    store.write("run", t.mart_hourly().withColumn("job_run_id", F.lit("run-1")))
+    stored.write(store.read("run"))
+    done = stored.merge(stored.read(["2024-01-15"]).withColumns({"trips": F.col("trips") + 1, "job_run_id": F.lit("run-2")}), mart.upsert)
+    before, after = stored.manifest(done.version - 1), stored.manifest(done.version)
+    stays = after.join(before.select("file", F.lit(True).alias("stays")), "file", "left")
+    by_day = stays.groupBy("sim_date").agg(F.every(F.coalesce("stays", F.lit(False))).alias("kept"), F.sum("n_rows").alias("n_rows"))
+    sums = stored.read().groupBy("sim_date").agg(F.sum("trips").alias("trips"), F.count_if(F.col("job_run_id") == "run-2").alias("of_run_2"))
+    return by_day.join(sums, "sim_date").select(day(), "kept", "n_rows", "trips", "of_run_2")
 
 
 def restated_pnl(t: Tables) -> DataFrame:
     """The P&L of two runs that overlap from the tenth to the twentieth day; the second is done twice, which restates nothing more."""
-    store, key = t.store("mart"), ["vehicle_id", "sim_date"]
+    store, stored = t.store("mart"), t.keyed("fact_pnl", ["vehicle_id", "sim_date"])
     store.write("run", t.pnl())
     rows = store.read("run")
     first = rows.where("sim_date <= DATE '2024-01-20'").withColumn("job_run_id", F.lit("run-1"))
-    store.write("fact_pnl", first.withColumns({"restated_at": F.lit(None).cast("timestamp"), "restatement_count": F.lit(0)}))
+    stored.write(first.withColumns({"restated_at": F.lit(None).cast("timestamp"), "restatement_count": F.lit(0)}))
     new = rows.where("sim_date >= DATE '2024-01-10'").withColumn("job_run_id", F.lit("run-2"))
     for _ in range(2):
-        store.write("fact_pnl", mart.upsert_restated(store.read("fact_pnl"), new, key, F.current_timestamp()))
-    return store.read("fact_pnl")
+        stored.merge(new, lambda old, incoming, key: mart.upsert_restated(old, incoming, key, F.current_timestamp()))
+    return stored.read()
 
 
 def q_upsert_pnl(t: Tables) -> DataFrame:
@@ -416,23 +434,22 @@ def q_stream_dlq(t: Tables) -> DataFrame:
 
 
 def q_stream_activity(t: Tables) -> DataFrame:
-    rows = speed_layer(t, ["activity"]).newest("activity", ["window_end", "zone_id"])
+    rows = speed_layer(t, ["activity"]).activity_windows()
     return rows.select(end_s(), "zone_id", "avg_speed_kmh", "idle_ratio", "pings")
 
 
 def q_stream_earnings(t: Tables) -> DataFrame:
-    """Each trip's fare counts in the windows of the ping that the stream saw first, which SQL cannot know."""
-    return speed_layer(t, ["earnings"]).newest("earnings", ["window_end", "zone_id"]).select(end_s(), "zone_id", "earnings", "completed_trips")
+    """A trip's fare moves to the windows of its last ping, so the view holds what the batch computes."""
+    return speed_layer(t, ["earnings"]).earnings_windows().select(end_s(), "zone_id", "earnings", "completed_trips")
 
 
 def q_stream_earnings_total(t: Tables) -> DataFrame:
-    """Whichever ping a trip's fare counts at, it counts in three windows."""
-    rows = speed_layer(t, ["earnings"]).newest("earnings", ["window_end", "zone_id"])
-    return rows.agg(F.sum("completed_trips").alias("completed_trips"), half_up(F.sum("earnings"), 2).alias("earnings"))
+    """A trip's fare counts in three windows."""
+    return speed_layer(t, ["earnings"]).earnings_windows().agg(F.sum("completed_trips").alias("completed_trips"), half_up(F.sum("earnings"), 2).alias("earnings"))
 
 
 def q_stream_vehicles(t: Tables) -> DataFrame:
-    return speed_layer(t, ["vehicles"]).newest("vehicles", ["vehicle_id"]).select("vehicle_id", "status", us("updated_at_sim", "updated_us"))
+    return speed_layer(t, ["vehicles"]).newest_vehicles().select("vehicle_id", "status", us("updated_at_sim", "updated_us"))
 
 
 def q_stream_idle(t: Tables) -> DataFrame:
@@ -472,7 +489,7 @@ def q_stream_late(t: Tables) -> DataFrame:
     finally:
         t.spark.streams.removeListener(listener)
     dropped = listener.table(t.spark).agg((F.sum("late_rows") > 0).alias("late_rows_dropped"))
-    return layer.newest("activity", ["window_end", "zone_id"]).select(end_s(), "zone_id", "pings").crossJoin(F.broadcast(dropped))  # one row
+    return layer.activity_windows().select(end_s(), "zone_id", "pings").crossJoin(F.broadcast(dropped))  # one row
 
 
 QUERIES = {
@@ -501,7 +518,7 @@ QUERIES = {
     "zone_activity": q_activity,
     "zone_earnings": lambda t: t.earnings().select(end_s(), "zone_id", "earnings", "completed_trips"),
     "zone_hourly_exact": lambda t: t.hourly().select("zone_id", day(), "sim_hour", "trips", "active_vehicles", "idle_ratio", "avg_speed_kmh", "earnings"),
-    "dedup_trips": lambda t: utilization.deduplicate_trips(t.zoned()).select("trip_id", "fare"),
+    "dedup_trips": lambda t: utilization.first_pings(t.zoned()).select("trip_id", "fare"),
     "fleet_snapshot": lambda t: utilization.fleet_snapshot(t.exact_activity()).select(end_s(), "active_vehicles", "trips", "idle_ratio", "avg_speed_kmh"),
     "trip_completions": lambda t: utilization.trip_completions(t.zoned()).select("trip_id", day(), "event_id", "zone_id", "fare"),
     "reconstruct_trips": lambda t: profitability.reconstruct_trips(t.valid()).select("vehicle_id", day(), "trips", *six("telemetry_distance_km", "paid_distance_km", "deadhead_distance_km", "on_trip_hours", "idle_hours"), "pings"),
@@ -535,6 +552,7 @@ QUERIES = {
     "alert_json_roundtrip": q_alert_json,
     "stale_state": q_stale,
     "upsert_zone_hourly": q_upsert_hourly,
+    "merge_files": q_merge_files,
     "upsert_pnl_restatement": q_upsert_pnl,
     "restatement_log": q_restatement_log,
     "trend_refresh": q_trend_refresh,

@@ -1,11 +1,12 @@
 """The six live queries: each has its own checkpoint, and every write can be repeated.
 
-Appending sinks (master, dead letters, alerts) rely on the file sink's log or write by batch number; views are tables of
-recomputed values, of which a reader takes the newest batch for each key.
+Appending sinks (master, dead letters, alerts) rely on the file sink's log or write by batch number; views are runs in levels
+(``views``), of which a reader takes the newest row of each key, or the sum of its changes.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from tripledger.functions.rounding import half_up
 from tripledger.operators import clean, enrich, live, utilization
+from tripledger.streaming import views
+from tripledger.streaming.earnings import earnings_changes
 from tripledger.streaming.idle import idle_alert_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -52,9 +56,29 @@ class SpeedLayer:
     def _each_batch(self, name: str, rows: DataFrame, mode: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
         return rows.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{self.root}/_checkpoints/{name}").foreachBatch(write).trigger(**self.trigger).start()
 
+    #: What makes one row of a key's rows, for each view.
+    VIEWS = {
+        "activity": views.newest_by(["pane_start", "zone_id"]),
+        "earnings": views.summed_by(["window_start", "window_end", "zone_id"], ["cents", "completed_trips"]),
+        "vehicles": views.newest_by(["vehicle_id"]),
+    }
+
+    def view(self, name: str) -> views.LeveledView:
+        return views.LeveledView(self.spark, self.path(name), self.VIEWS[name])
+
     def _view(self, name: str, rows: DataFrame, reduce: Callable[[DataFrame], DataFrame] = lambda x: x) -> StreamingQuery:
-        """A batch writes its own folder, over whatever an earlier attempt left there."""
-        return self._each_batch(name, rows, "update", lambda batch, k: reduce(batch).write.mode("overwrite").parquet(f"{self.path(name)}/batch={k}"))
+        return self._each_batch(name, rows, "update", lambda batch, k: self.view(name).add(reduce(batch), k))
+
+    @contextlib.contextmanager
+    def _rocksdb(self):
+        """The state store that keyed processors need; a query keeps the settings that it started with."""
+        name = "spark.sql.streaming.stateStore.providerClass"
+        before = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, ROCKSDB)
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(name) if before is None else self.spark.conf.set(name, before)
 
     def master(self) -> StreamingQuery:
         rows = self.checked().where("is_valid").withColumn("sim_date", F.to_date("event_time"))
@@ -64,10 +88,14 @@ class SpeedLayer:
         return self._append("dlq", clean.dead_letters(self.checked().where("NOT is_valid")))
 
     def activity(self) -> StreamingQuery:
-        return self._view("activity", utilization.zone_activity(self.valid(), watermark=self.watermark))
+        """The view holds panes; windows are made of them when it is read."""
+        return self._view("activity", utilization.panes(self.valid(), watermark=self.watermark))
 
     def earnings(self) -> StreamingQuery:
-        return self._view("earnings", utilization.zone_earnings(utilization.deduplicate_trips(self.valid(), self.watermark)))
+        """The view holds changes of windows: a trip's fare moves with its last ping."""
+        changed = lambda rows: utilization.zone_earnings(rows).select("window_start", "window_end", "zone_id", F.round(F.col("earnings") * 100).cast("long").alias("cents"), "completed_trips")
+        with self._rocksdb():
+            return self._view("earnings", earnings_changes(self.valid(), self.watermark), changed)
 
     def vehicles(self) -> StreamingQuery:
         return self._view("vehicles", self.valid(), live.vehicle_state)
@@ -82,21 +110,21 @@ class SpeedLayer:
             finally:
                 batch.unpersist()
 
-        name = "spark.sql.streaming.stateStore.providerClass"
-        before = self.spark.conf.get(name, None)
-        self.spark.conf.set(name, ROCKSDB)  # a query keeps the settings that it started with
-        try:
+        with self._rocksdb():
             return self._each_batch("idle", idle_alert_stream(self.valid(), self.watermark), "append", write)
-        finally:
-            self.spark.conf.unset(name) if before is None else self.spark.conf.set(name, before)
 
     def start(self, names: list[str]) -> list[StreamingQuery]:
         return [getattr(self, name)() for name in names]
 
-    def newest(self, name: str, key: list[str]) -> DataFrame:
-        """A view's rows: the newest batch of each key."""
-        rows = self.spark.read.parquet(self.path(name))
-        return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max_by(F.struct(*[c for c in rows.columns if c != "batch"]), "batch").alias("r")).select("r.*")
+    def activity_windows(self) -> DataFrame:
+        return utilization.slid(self.view("activity").read())
+
+    def earnings_windows(self) -> DataFrame:
+        rows = self.view("earnings").read().where("completed_trips <> 0 OR cents <> 0")
+        return rows.select("window_start", "window_end", "zone_id", half_up(F.col("cents") / F.lit(1e2), 2).alias("earnings"), "completed_trips")
+
+    def newest_vehicles(self) -> DataFrame:
+        return self.view("vehicles").read()
 
 
 def finished(queries: list[StreamingQuery]) -> None:
