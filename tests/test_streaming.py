@@ -1,6 +1,6 @@
 """Streams against their batch twins, over several micro-batches."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +118,54 @@ def test_a_view_stays_small_over_many_batches(spark, tmp_path):
     assert {r.k: r.n for r in view.read().collect()} == want
 
 
+PING = "event_id string, trip_id string, vehicle_id string, status string, zone_id string, fare double, event_time timestamp, sim_date date"
+
+
+def stepwise(spark, tmp_path, batches, name, watermark):
+    """The layer after each batch of pings (vehicle, minutes), one after the other."""
+    start = datetime(2024, 1, 2, 9)
+    for k, rows in enumerate(batches):
+        pings = [(f"{k}-{i}", "t", v, "on_trip", "Z1", 1.0, start + timedelta(minutes=m), start.date()) for i, (v, m) in enumerate(rows)]
+        spark.createDataFrame(pings, PING).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(PING).parquet(str(tmp_path / "in"))
+        s = jobs.SpeedLayer(spark, stream, str(tmp_path / "out"), {"availableNow": True}, watermark)
+        s.valid = lambda: stream  # noqa: B023
+        jobs.finished(s.start([name]))
+        yield s
+
+
+def test_a_silent_vehicle_leaves_the_view(spark, tmp_path):
+    batches = [[("A", 0), ("B", 0)], [("A", 20), ("A", 10)], [("A", 45)], [("C", 76)], [("B", 80)]]
+    alive = [{"A", "B"}, {"A", "B"}, {"A"}, {"C"}, {"B", "C"}]  # B is silent for 45 minutes at 45, A for 31 at 76
+    for s, want in zip(stepwise(spark, tmp_path, batches, "alive", "0 seconds"), alive):
+        assert {r.vehicle_id for r in s.view("alive").read().collect()} == want
+    rows = s.view("alive").read().collect()
+    assert {r.vehicle_id: r.event_us for r in rows}["B"] == int(datetime(2024, 1, 2, 10, 20, tzinfo=timezone.utc).timestamp() * 1e6)
+
+
+def test_late_rows_become_rows(spark, tmp_path):
+    batches = [[("A", 0), ("A", 100)], [("A", 71), ("A", 69), ("A", 200)], [("A", 171), ("A", 1)]]
+    for s in stepwise(spark, tmp_path, batches, "late", "30 minutes"):
+        pass
+    seen = lambda name: {r.event_id for r in spark.read.parquet(s.path(name)).collect()}
+    assert seen("late") == {"1-1", "2-1"} and seen("ontime") == {"0-0", "0-1", "1-0", "1-2", "2-0"}
+    assert len(list((tmp_path / "out" / "marks").iterdir())) <= 2
+
+
+def test_rejections_counted_in_passing(spark, parts, tmp_path):
+    s = layer(spark, parts, tmp_path)
+    listener = jobs.Progress(spark, str(tmp_path / "progress"), every=3)
+    spark.streams.addListener(listener)
+    try:
+        jobs.finished(s.start(["master"]))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    assert len(listener.rows) < 3
+    want = {(r.rejection_reason, r["count"]) for r in batch(spark)[0].where("NOT is_valid").groupBy("rejection_reason").count().collect()}
+    assert {(r.rejection_reason, r.n) for r in jobs.rejections(listener.table()).collect()} == want and want
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     start = datetime(2024, 1, 2)
@@ -125,7 +173,7 @@ def test_late_rows_are_counted(spark, tmp_path):
         rows = [(k * 10 + i, start + timedelta(hours=hours, minutes=i), 7, "view", 50.0, "{}") for i in range(5)]
         frame = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").toPandas()
         frame.astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / f"events-{k}.parquet", index=False)
-    listener = jobs.Progress()
+    listener = jobs.Progress(spark, str(tmp_path / "progress"), every=2)
     spark.streams.addListener(listener)
     try:
         s = jobs.SpeedLayer(spark, adapters.telemetry_stream(spark, str(tmp_path), 1), str(tmp_path / "out"), {"availableNow": True})
@@ -133,7 +181,8 @@ def test_late_rows_are_counted(spark, tmp_path):
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     finally:
         spark.streams.removeListener(listener)
-    progress = listener.table(spark).where("kind = 'progress'")
+    assert len(listener.rows) < 2
+    progress = listener.table().where("kind = 'progress'")
     assert progress.agg(F.sum("late_rows")).first()[0] > 0
     assert progress.where("batch_s > 0").count() >= 3
     now = lambda text: spark.sql(f"SELECT TIMESTAMP '{text}' AS now")

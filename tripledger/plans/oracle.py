@@ -319,6 +319,12 @@ SELECTS = {
     "stream_zone_activity": "SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, avg_speed_kmh, idle_ratio, pings FROM act",
     "stream_zone_earnings": "SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, earnings, completed_trips FROM earn",
     "stream_zone_earnings_total": "SELECT (3 * count(*))::BIGINT AS completed_trips, round(3 * sum(fare), 2) AS earnings FROM completions",
+    "stream_alive": """SELECT vehicle_id, epoch_us(last) AS updated_us FROM (SELECT vehicle_id, max(event_time) AS last FROM zoned GROUP BY 1) WHERE last >= (SELECT max(event_time) FROM zoned) - INTERVAL 30 MINUTE""",
+    "stream_rejections": "SELECT rejection_reason, count(*) AS n FROM checked WHERE rejection_reason IS NOT NULL GROUP BY 1",
+    "stream_late_side": """SELECT event_id, vehicle_id, count(*) AS n FROM (
+        SELECT * FROM valid WHERE reference_time >= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+        UNION ALL SELECT * FROM valid WHERE epoch_us(reference_time) < (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 FROM events) AND status = 'enroute'
+      ) WHERE event_time < (SELECT max(event_time) FROM valid) - INTERVAL 30 MINUTE GROUP BY 1, 2""",
     "stream_progress": "SELECT 'vehicles' AS query, count(*) AS rows_in, 0::BIGINT AS late_rows FROM events",
     "stream_late_rows": """SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, pings + coalesce(again, 0) AS pings, true AS late_rows_dropped FROM act LEFT JOIN (
         SELECT window_end AS we, zone_id AS z, count(*) AS again FROM win WHERE reference_time >= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2) ON window_end = we AND zone_id IS NOT DISTINCT FROM z""",

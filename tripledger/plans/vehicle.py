@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from datetime import timedelta
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -457,41 +455,70 @@ def q_stream_idle(t: Tables) -> DataFrame:
     return rows.select("alert_id", "vehicle_id", "severity", us("idle_since_sim", "idle_since_us"), us("raised_at_sim", "raised_at_us"))
 
 
-def q_stream_progress(t: Tables) -> DataFrame:
-    listener = jobs.Progress()
+def watched(t: Tables, run) -> jobs.Progress:
+    """The progress of the queries that run() starts and waits for."""
+    listener = jobs.Progress(t.spark, scratch(t.spark, "progress"))
     t.spark.streams.addListener(listener)
     try:
-        speed_layer(t, ["vehicles"])
+        run()
         t.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     finally:
         t.spark.streams.removeListener(listener)
-    rows = listener.table(t.spark).where("kind = 'progress'").groupBy("query")
+    return listener
+
+
+def q_stream_progress(t: Tables) -> DataFrame:
+    rows = watched(t, lambda: speed_layer(t, ["vehicles"])).table().where("kind = 'progress'").groupBy("query")
     return rows.agg(F.sum("rows_in").alias("rows_in"), F.sum("late_rows").alias("late_rows"))
 
 
+def q_stream_rejections(t: Tables) -> DataFrame:
+    """Rows by rejection reason, counted by the running query in the pass that splits them."""
+    return jobs.rejections(watched(t, lambda: speed_layer(t, ["master"])).table()).select("rejection_reason", "n")
+
+
+def q_stream_alive(t: Tables) -> DataFrame:
+    """The vehicles that the stream has not removed when it has seen all pings."""
+    layer = jobs.SpeedLayer(t.spark, adapters.telemetry_stream(t.spark, t.sf_dir), scratch(t.spark, "stream"), {"availableNow": True}, "0 seconds")
+    jobs.finished(layer.start(["alive"]))
+    return layer.view("alive").read().select("vehicle_id", F.col("event_us").alias("updated_us"))
+
+
+def late_parts(t: Tables) -> str:
+    """A folder of event files: two halves, the last hour once more, then a part of the first half, late."""
+    events, root = adapters.table(t.spark, t.sf_dir, "events"), scratch(t.spark, "late")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min(us).alias("a"), F.max(us).alias("b"))
+    rows = events.crossJoin(F.broadcast(ends)).withColumn("us", us)  # one row
+    first = F.col("us") < F.floor((F.col("a") + F.col("b")) / 2)
+    parts = (first, ~first, F.col("us") >= F.col("b") - 3_600_000_000, first & (F.col("event_type") == "view"))
+    for k, part in enumerate(parts):
+        rows.where(part).select(*events.columns).repartition(FILES_EACH, "event_id").write.parquet(f"{root}/events-{k}.parquet")
+    return root
+
+
+FILES_EACH = 2
+
+
 def q_stream_late(t: Tables) -> DataFrame:
     """The events in two halves, their last hour once more, then a part of the first half, late: what the stream counts as dropped, and the windows it keeps.
 
     Rows are late by the watermark of the batch before, so the last hour counts twice, and the late part not at all."""
-    events, root, files_each = adapters.table(t.spark, t.sf_dir, "events"), scratch(t.spark, "late"), 2
-    ends = events.agg(F.min("ts"), F.max("ts")).first()
-    middle, last_hour = ends[0] + (ends[1] - ends[0]) / 2, ends[1] - timedelta(hours=1)
-    ts = F.col("ts")
-    parts = (ts < F.lit(middle), ts >= F.lit(middle), ts >= F.lit(last_hour), (ts < F.lit(middle)) & (F.col("event_type") == "view"))
-    for k, part in enumerate(parts):
-        events.where(part).repartition(files_each, "event_id").write.parquet(f"{root}/events-{k}.parquet")
-    listener = jobs.Progress()
-    t.spark.streams.addListener(listener)
-    try:
-        layer = jobs.SpeedLayer(t.spark, adapters.telemetry_stream(t.spark, root, files_each), f"{root}/out", {"availableNow": True})
-        jobs.finished(layer.start(["activity"]))
-        t.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    finally:
-        t.spark.streams.removeListener(listener)
-    dropped = listener.table(t.spark).agg((F.sum("late_rows") > 0).alias("late_rows_dropped"))
+    root = late_parts(t)
+    layer = jobs.SpeedLayer(t.spark, adapters.telemetry_stream(t.spark, root, FILES_EACH), f"{root}/out", {"availableNow": True})
+    listener = watched(t, lambda: jobs.finished(layer.start(["activity"])))
+    dropped = listener.table().agg((F.sum("late_rows") > 0).alias("late_rows_dropped"))
     return layer.activity_windows().select(end_s(), "zone_id", "pings").crossJoin(F.broadcast(dropped))  # one row
 
 
+def q_stream_late_side(t: Tables) -> DataFrame:
+    """The same stream's late rows as rows: the part of the last hour that is older than the watermark by then, and the whole late part."""
+    root = late_parts(t)
+    layer = jobs.SpeedLayer(t.spark, adapters.telemetry_stream(t.spark, root, FILES_EACH), f"{root}/out", {"availableNow": True})
+    jobs.finished(layer.start(["late"]))
+    return t.spark.read.parquet(layer.path("late")).groupBy("event_id", "vehicle_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "scan_day": q_scan_day,
     "read_expenses": q_read_expenses,
@@ -585,6 +612,9 @@ QUERIES = {
     "stream_zone_earnings_total": q_stream_earnings_total,
     "stream_progress": q_stream_progress,
     "stream_late_rows": q_stream_late,
+    "stream_late_side": q_stream_late_side,
+    "stream_rejections": q_stream_rejections,
+    "stream_alive": q_stream_alive,
 }
 
 

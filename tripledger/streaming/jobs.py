@@ -7,6 +7,7 @@ Appending sinks (master, dead letters, alerts) rely on the file sink's log or wr
 from __future__ import annotations
 
 import contextlib
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,8 +17,10 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tripledger.functions.rounding import half_up
 from tripledger.operators import clean, enrich, live, utilization
+from tripledger.sources import folders
 from tripledger.streaming import views
 from tripledger.streaming.earnings import earnings_changes
+from tripledger.streaming.expiry import vehicle_changes
 from tripledger.streaming.idle import idle_alert_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,7 +44,9 @@ class SpeedLayer:
     watermark: str = utilization.WATERMARK
 
     def checked(self) -> DataFrame:
-        return clean.validate_telemetry(self.pings, F.col("reference_time"))
+        """With each batch's rows by rejection reason counted in passing, for the progress listener."""
+        by_reason = [F.count_if(F.col("rejection_reason") == r).alias(r) for r in clean.REASONS]
+        return clean.validate_telemetry(self.pings, F.col("reference_time")).observe("checked", F.count(F.lit(1)).alias("rows"), *by_reason)
 
     def valid(self) -> DataFrame:
         return enrich.with_zone(self.checked().where("is_valid"))
@@ -61,10 +66,12 @@ class SpeedLayer:
         "activity": views.newest_by(["pane_start", "zone_id"]),
         "earnings": views.summed_by(["window_start", "window_end", "zone_id"], ["cents", "completed_trips"]),
         "vehicles": views.newest_by(["vehicle_id"]),
+        "alive": views.newest_by(["vehicle_id"]),
     }
+    STANDING = {"earnings": "completed_trips <> 0 OR cents <> 0", "alive": "NOT removed"}
 
     def view(self, name: str) -> views.LeveledView:
-        return views.LeveledView(self.spark, self.path(name), self.VIEWS[name])
+        return views.LeveledView(self.spark, self.path(name), self.VIEWS[name], self.STANDING.get(name, "true"))
 
     def _view(self, name: str, rows: DataFrame, reduce: Callable[[DataFrame], DataFrame] = lambda x: x) -> StreamingQuery:
         return self._each_batch(name, rows, "update", lambda batch, k: self.view(name).add(reduce(batch), k))
@@ -100,6 +107,38 @@ class SpeedLayer:
     def vehicles(self) -> StreamingQuery:
         return self._view("vehicles", self.valid(), live.vehicle_state)
 
+    def alive(self) -> StreamingQuery:
+        """Vehicles whose last ping is not too long before the watermark; the others' removals are rows as well."""
+        with self._rocksdb():
+            return self._view("alive", vehicle_changes(self.valid(), self.watermark))
+
+    def late(self) -> StreamingQuery:
+        """Valid pings older than the watermark of the batches before, in a table of their own, late, and all others in ontime.
+
+        What a stateful operator would leave out silently is kept as rows. The watermark is a table of the latest event time up to each batch, so a batch
+        that is written again is split as it was.
+        """
+        delay = utilization.seconds_of(self.watermark)
+
+        def write(batch: DataFrame, k: int) -> None:
+            marks, spark = f"{self.path('marks')}", self.spark
+            known = [n for n in (int(p.rsplit("/", 2)[1].removeprefix("v=")) for p in folders.matching(spark, f"{marks}/v=*/_SUCCESS")) if n < k]
+            before = spark.read.schema("latest timestamp").parquet(f"{marks}/v={max(known):012d}") if known else spark.createDataFrame([(None,)], "latest timestamp")
+            batch.persist()
+            try:
+                mark = before.agg(F.max("latest").alias("latest")).select((F.col("latest") - F.expr(f"INTERVAL {delay} SECONDS")).alias("_mark"))
+                split = batch.crossJoin(F.broadcast(mark))  # one row
+                is_late = F.coalesce(F.col("event_time") < F.col("_mark"), F.lit(False))
+                for name, rows in (("late", split.where(is_late)), ("ontime", split.where(~is_late))):
+                    rows.drop("_mark").write.mode("overwrite").parquet(f"{self.path(name)}/batch={k}")
+                before.unionByName(batch.select(F.col("event_time").alias("latest"))).agg(F.max("latest").alias("latest")).coalesce(1).write.mode("overwrite").parquet(f"{marks}/v={k:012d}")
+            finally:
+                batch.unpersist()
+            for old in (n for n in known if n < k - 1):
+                folders.drop(spark, f"{marks}/v={old:012d}")
+
+        return self._each_batch("late", self.valid(), "append", write)
+
     def idle(self) -> StreamingQuery:
         """One query, two sinks: the durable alert log first, then the feed; the batch is computed once."""
         def write(batch: DataFrame, k: int) -> None:
@@ -120,7 +159,7 @@ class SpeedLayer:
         return utilization.slid(self.view("activity").read())
 
     def earnings_windows(self) -> DataFrame:
-        rows = self.view("earnings").read().where("completed_trips <> 0 OR cents <> 0")
+        rows = self.view("earnings").read()
         return rows.select("window_start", "window_end", "zone_id", half_up(F.col("cents") / F.lit(1e2), 2).alias("earnings"), "completed_trips")
 
     def newest_vehicles(self) -> DataFrame:
@@ -133,21 +172,26 @@ def finished(queries: list[StreamingQuery]) -> None:
 
 
 class Progress(StreamingQueryListener):
-    """Progress of every query as rows, for a query_progress table: rates, rows, state, watermark lag, late rows."""
+    """Progress of every query as a table: rates, rows, state, watermark lag, late rows, and what the plan observed (rows by rejection reason).
+
+    Rows wait here until there are ``every`` of them and then go to a folder of the table, so the driver holds a bounded number.
+    """
 
-    def __init__(self):
+    def __init__(self, spark: SparkSession, root: str, every: int = 20):
+        self.spark, self.root, self.every = spark, root.rstrip("/"), every
         self.rows: list[tuple] = []
+        self.lock = threading.Lock()
 
-    SCHEMA = "query string, batch bigint, at string, kind string, input_rows_per_s double, processed_rows_per_s double, batch_s double, rows_in bigint, rows_out bigint, state_rows bigint, late_rows bigint, watermark_lag_s double"
+    SCHEMA = "query string, batch bigint, at string, kind string, input_rows_per_s double, processed_rows_per_s double, batch_s double, rows_in bigint, rows_out bigint, state_rows bigint, late_rows bigint, watermark_lag_s double, observed map<string,bigint>"
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        self.rows.append(self.of(event.progress))
+        self._add(self.of(event.progress))
 
     def onQueryIdle(self, event) -> None:
-        self.rows.append((None, None, event.timestamp, "idle", None, None, None, None, None, None, None, None))
+        self._add((None, None, event.timestamp, "idle", *[None] * 9))
 
     def onQueryTerminated(self, event) -> None:
         pass
@@ -166,10 +210,34 @@ class Progress(StreamingQueryListener):
         return (
             p.name, p.batchId, p.timestamp, "progress", number(p.inputRowsPerSecond), number(p.processedRowsPerSecond), None if took is None else took / 1e3, number(p.numInputRows),
             number(p.sink.numOutputRows), sum(s.numRowsTotal for s in state), sum(s.numRowsDroppedByWatermark for s in state), lag,
+            {k: int(v) for row in (p.observedMetrics or {}).values() for k, v in row.asDict().items() if v is not None},
         )
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.SCHEMA)
+    def _add(self, row: tuple) -> None:
+        with self.lock:
+            self.rows.append(row)
+            full = len(self.rows) >= self.every
+        if full:
+            self.flush()
+
+    def flush(self) -> None:
+        with self.lock:
+            rows, self.rows = self.rows, []
+        if rows:
+            self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.root)
+
+    def table(self) -> DataFrame:
+        """All that has been reported so far."""
+        self.flush()
+        if not folders.matching(self.spark, self.root):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.root)
+
+
+def rejections(progress: DataFrame) -> DataFrame:
+    """query, rejection_reason, n from the progress of queries that observed them; reasons that never occurred are left out."""
+    rows = progress.where("kind = 'progress'").select("query", F.explode("observed").alias("rejection_reason", "n")).where(F.col("rejection_reason") != "rows")
+    return rows.groupBy("query", "rejection_reason").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def stalled(progress: DataFrame, now: DataFrame, seconds: int = 120) -> DataFrame:

@@ -41,8 +41,9 @@ def summed_by(key: list[str], measures: list[str]) -> Combine:
 class LeveledView:
     """combine: from the rows of some runs, with their batch, to one row for each key, in any grouping of the runs."""
 
-    def __init__(self, spark: SparkSession, root: str, combine: Combine):
-        self.spark, self.root, self.combine = spark, root.rstrip("/"), combine
+    def __init__(self, spark: SparkSession, root: str, combine: Combine, standing: str = "true"):
+        """standing: a condition on rows that stand for something; others, such as removals, are forgotten once they are part of the base."""
+        self.spark, self.root, self.combine, self.standing = spark, root.rstrip("/"), combine, standing
 
     def runs(self) -> list[tuple[int, int, int, str]]:
         """Level, first and last batch, and folder of each run that a read touches."""
@@ -66,7 +67,8 @@ class LeveledView:
                 break
             if level + 1 == BASE:
                 full = [r for r in runs if r[0] == BASE] + full
-            merged = self._run(level + 1, full[0][1], full[-1][2], self._rows(full))
+            rows = self._rows(full)
+            merged = self._run(level + 1, full[0][1], full[-1][2], rows.where(self.standing) if level + 1 == BASE else rows)
             runs = [r for r in runs if r not in full] + [merged]
         self.spark.createDataFrame(runs, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_manifests/v={batch:012d}")
         self._tidy(before)
@@ -93,4 +95,4 @@ class LeveledView:
         runs = self.runs()
         if not runs:
             raise ValueError(f"nothing has been written to {self.root}")
-        return self._rows(runs).drop("batch")
+        return self._rows(runs).where(self.standing).drop("batch")
