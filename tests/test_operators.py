@@ -347,3 +347,13 @@ def test_versions_of_a_dimension(spark):
     changes = spark.createDataFrame([("V1", "a", 1), ("V1", "a", 2), ("V1", "b", 3), ("V1", None, 4), ("V1", None, 5)], "k string, attr string, at int")
     got = mart.scd2(changes, "k", "at", ["attr"]).orderBy("valid_from").collect()
     assert [(r["attr"], r["valid_from"], r["valid_to"], r["is_current"]) for r in got] == [("a", 1, 3, False), ("b", 3, 4, False), (None, 4, None, True)]
+
+
+def test_a_trend_from_moments_equals_that_from_the_profits(spark):
+    rng = random.Random(2)
+    rows = [(f"V{v}", DAY + timedelta(days=d), None if rng.random() < 0.2 else round(rng.uniform(-500, 900), 2)) for v in range(8) for d in range(40) if rng.random() < 0.8]
+    profit = spark.createDataFrame(rows, "vehicle_id string, sim_date date, net_profit double")
+    columns = ["vehicle_id", "sim_date", "net_profit", "rolling_avg_profit", "history_days", "profit_slope"]
+    want = {tuple(r) for r in profitability.with_trend(profit).select(columns).collect()}
+    assert {tuple(r) for r in profitability.trend_of_moments(profitability.moments(profit)).select(columns).collect()} == want and len(want) > 100
+    assert profitability.trend_of_moments(profitability.moments(profit.limit(0))).count() == 0

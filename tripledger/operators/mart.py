@@ -94,18 +94,6 @@ def calendar(bounds: DataFrame) -> DataFrame:
     return days.withColumns({"day_of_week": F.dayofweek("sim_date"), "is_weekend": F.dayofweek("sim_date").isin(1, 7)})
 
 
-def refreshed_trend(stored: DataFrame, restated: DataFrame, first: str, last: str, trend, days: int = 7) -> DataFrame:
-    """The stored rows of first..last and the days after them whose trend they are part of, with restated rows in and the trend anew.
-
-    trend: from profit rows to rows with their trend; it sees the days before as well.
-    """
-    d = F.col("sim_date")
-    start, end = F.date_sub(F.lit(first).cast("date"), days - 1), F.date_add(F.lit(last).cast("date"), days - 1)
-    new = d.between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    history = stored.where(d.between(start, end) & ~new).select(*restated.columns).unionByName(restated.where(new))
-    return trend(history).where(d.between(F.lit(first).cast("date"), end))
-
-
 def restatements(upserted: DataFrame, run_id: str) -> DataFrame:
     """Rows for the restatement log: a marker for each day that a run restated, and how many of its rows."""
     own = upserted.where((F.col("job_run_id") == run_id) & (F.col("restatement_count") > 0)).groupBy("sim_date").agg(F.count(F.lit(1)).alias("n_rows"))

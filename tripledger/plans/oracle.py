@@ -314,6 +314,7 @@ SELECTS = {
     "backfill_range": f"SELECT {_PNL}, CASE WHEN pnl.sim_date >= DATE '2024-01-12' THEN 'run-2' ELSE 'run-1' END AS job_run_id FROM pnl WHERE pnl.sim_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-18'",
     "dlq_rate": f"SELECT {_D}, count(*) FILTER (rejection_reason IS NOT NULL) AS rejected, count(*) FILTER (rejection_reason IS NULL) AS accepted, round(count(*) FILTER (rejection_reason IS NOT NULL) / greatest(count(*) FILTER (rejection_reason IS NULL), 1), 6) AS rate, count(*) FILTER (rejection_reason IS NOT NULL) / greatest(count(*) FILTER (rejection_reason IS NULL), 1) > 5e-2 AS alert FROM checked GROUP BY checked.sim_date",
     "stream_master": f"SELECT {_D}, count(*) AS n, sum(source_offset)::BIGINT AS offsets FROM valid GROUP BY valid.sim_date",
+    "stream_log_master": f"SELECT {_D}, count(*) AS n, sum(source_offset)::BIGINT AS offsets FROM valid GROUP BY valid.sim_date",
     "stream_dlq": "SELECT rejection_reason, count(*) AS n FROM checked WHERE rejection_reason IS NOT NULL GROUP BY 1",
     "stream_idle": "SELECT alert_id, vehicle_id, severity, epoch_us(idle_since) AS idle_since_us, epoch_us(event_time) AS raised_at_us FROM alerts",
     "stream_zone_activity": "SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, avg_speed_kmh, idle_ratio, pings FROM act",

@@ -10,7 +10,7 @@ from tripledger import zones
 from tripledger.functions import clock
 from tripledger.functions.rounding import half_up, mean_of
 from tripledger.operators import clean, control, enrich, idle, live, mart, merge, profitability, reconcile, utilization
-from tripledger.sources import adapters, files, keyed
+from tripledger.sources import adapters, files, keyed, log
 from tripledger.streaming import jobs
 
 CLOCK = clock.SimClock(epoch_sim=1767225600.0, epoch_wall=1704067200.0, day_seconds=300.0)
@@ -307,15 +307,18 @@ def q_restatement_log(t: Tables) -> DataFrame:
 
 
 def q_trend_refresh(t: Tables) -> DataFrame:
-    """The partner doubles a day's maintenance; that day and the six after it get their trend anew, by day, and all others stand."""
-    store, d = t.store("refresh"), F.col("sim_date")
-    trend = lambda rows: profitability.classify(profitability.with_trend(rows))
+    """The partner doubles a day's maintenance: that day's moments are merged, and it and the six days after it get their trend anew from the moments of those days and
+    the six before; all other days stand. No row of the P&L is read again but the restated day's."""
+    store, kept, d = t.store("refresh"), t.keyed("moments", ["vehicle_id", "sim_date"]), F.col("sim_date")
+    trend = lambda rows: profitability.classify(profitability.trend_of_moments(rows))
     rows = t.joined()
-    profit = profitability.compute_profit(rows)
-    store.write("trend", trend(profit), partition="sim_date")
+    kept.write(profitability.moments(profitability.compute_profit(rows)))
+    store.write("trend", trend(kept.read()), partition="sim_date")
     changed = rows.where(d == F.lit("2024-01-15").cast("date")).withColumn("maintenance_cost", F.col("maintenance_cost") * 2)
-    fresh = mart.refreshed_trend(profit, profitability.compute_profit(changed), "2024-01-15", "2024-01-15", trend)
-    store.write("trend", fresh, partition="sim_date", days=[f"2024-01-{k}" for k in range(15, 22)])
+    store.write("restated", profitability.moments(profitability.compute_profit(changed)))
+    kept.merge(store.read("restated"), mart.upsert)
+    near = [f"2024-01-{k:02d}" for k in range(9, 22)]
+    store.write("trend", trend(kept.read(near)).where(d.isin(*(F.lit(x).cast("date") for x in near[6:]))), partition="sim_date", days=near[6:])
     return store.read("trend", partition="sim_date").select("vehicle_id", day(), "net_profit", "rolling_avg_profit", "history_days", "profit_slope", "classification")
 
 
@@ -426,6 +429,20 @@ def q_stream_master(t: Tables) -> DataFrame:
     return rows.groupBy("sim_date").agg(F.count(F.lit(1)).alias("n"), F.sum("source_offset").alias("offsets")).select(day(), "n", "offsets")
 
 
+def q_stream_log_master(t: Tables) -> DataFrame:
+    """The pings as a log of framed records, read by offsets from the earliest, decoded, validated and kept by day."""
+    root = scratch(t.spark, "log")
+    sent = t.pings()
+    records = files.log_of(sent).drop("timestamp")
+    times = sent.select(F.col("source_partition").alias("partition"), F.col("source_offset").alias("offset"), F.col("reference_time").alias("timestamp"))
+    log.write_log(records.join(times, ["partition", "offset"]), root)
+    pings = files.decode(log.stream_log(t.spark, root)).withColumnRenamed("log_timestamp", "reference_time")
+    layer = jobs.SpeedLayer(t.spark, pings, scratch(t.spark, "stream"), {"availableNow": True})
+    jobs.finished(layer.start(["master"]))
+    rows = files.read_master(t.spark, layer.path("master"))
+    return rows.groupBy("sim_date").agg(F.count(F.lit(1)).alias("n"), F.sum("source_offset").alias("offsets")).select(day(), "n", "offsets")
+
+
 def q_stream_dlq(t: Tables) -> DataFrame:
     rows = t.spark.read.parquet(speed_layer(t, ["dlq"]).path("dlq"))
     return rows.groupBy(F.col("envelope.rejection_reason").alias("rejection_reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -604,6 +621,7 @@ QUERIES = {
     "backfill_range": q_backfill,
     "dlq_rate": lambda t: control.dead_letter_rate(t.rejected(), t.valid()).select(day(), "rejected", "accepted", "rate", "alert"),
     "stream_master": q_stream_master,
+    "stream_log_master": q_stream_log_master,
     "stream_dlq": q_stream_dlq,
     "stream_zone_activity": q_stream_activity,
     "stream_zone_earnings": q_stream_earnings,

@@ -83,14 +83,6 @@ def log_of(telemetry: DataFrame, schema_id: int = 1) -> DataFrame:
     )
 
 
-def stream_log(spark: SparkSession, pattern: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The log as a stream, from files that match a pattern."""
-    reader = spark.readStream.schema(schemas.LOG_RECORD)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(pattern)
-
-
 def profile(log: DataFrame) -> DataFrame:
     """A slice of the log at a glance: rows, nulls, keys that differ from the payload's vehicle, and the span of event times."""
     rows = decode(log.withColumn("timestamp", F.col("timestamp"))).withColumn("_one", F.lit(1))
