@@ -1,5 +1,6 @@
 """Operators on small frames."""
 
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
