@@ -603,3 +603,19 @@ def test_language_scores_are_a_plain_forward_pass():
     p = np.exp(z) / np.exp(z).sum()
     assert model.predict(text) == (model.langs[int(p.argmax())], pytest.approx(p.max()), p.max() >= 0.4)
     assert language_id.Model(["aa", "bb"], np.zeros((language_id.BUCKETS, 2)), np.zeros(2)).predict("text")[0] == "aa"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>Use the <label>left label</label> to go on from here.</p><p>It is <output>four</output> in all.</p></article>", "Use the left label to go on from here.\nIt is four in all."),
+        ("<article><fieldset><legend>A named part</legend><p>What it holds is text of the article.</p></fieldset></article>", "A named part\nWhat it holds is text of the article."),
+        ("<article><p>The text of the article, a whole sentence.</p><form><p><label>Country</label> <select><option>here</option></select></p><label>Mail</label><input></form></article>", "The text of the article, a whole sentence."),
+        ("<article><input type=hidden><p>The text of the article, a whole sentence.</p></article>", "The text of the article, a whole sentence."),
+        ("<main><article><p>The text of the article, a whole sentence, and one more to it.</p></article><section class='related'><article><p>Another story, told short.</p></article></section></main>", "The text of the article, a whole sentence, and one more to it."),
+        ("<article><p>The text of the article, a whole sentence, and one more to it.</p></article><div class='recommended'><article><h3>Other</h3><p>One.</p></article><article><p>Two.</p></article></div>", "The text of the article, a whole sentence, and one more to it."),
+        ("<div class='related-sidebar'><article><p>The only article of the page stays, whatever is around it.</p></article></div>", "The only article of the page stays, whatever is around it."),
+    ],
+)
+def test_html_captions_and_teasers(page, text):
+    assert html_extract.main_text(page) == text

@@ -33,13 +33,13 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # How elements of the HTML standard are laid out, and names that sites give to their parts.
 RAW = frozenset({"script", "style", "title", "textarea", "xmp", "noembed", "noframes", "iframe"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
-UNSEEN = frozenset({"head", "noscript", "template", "svg", "math", "canvas", "object", "select", "button", "datalist", "dialog", "audio", "video", "label", "legend", "output"})
+UNSEEN = frozenset({"head", "noscript", "template", "svg", "math", "canvas", "object", "select", "button", "datalist", "dialog", "audio", "video"})
 IN_HEAD = frozenset({"base", "link", "meta", "noscript", "script", "style", "template", "title"})
 BOILER = frozenset({"nav", "header", "footer", "aside", "menu", "search"})
 HEADING = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 BLOCK = HEADING | BOILER | frozenset({
     "html", "body", "p", "div", "article", "main", "section", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot",
-    "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "fieldset", "center", "hgroup", "form", "hr",
+    "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "fieldset", "legend", "center", "hgroup", "form", "hr",
 })
 ENDS_ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 ENDS_WITH = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
@@ -120,11 +120,21 @@ def opened(tag: str, source: str, parent: Element | None) -> Element:
     return e
 
 
+def beside_control(e: Element) -> None:
+    """What stands beside a control is its caption, and so is all in the smallest element around both; an article or a section is no such element."""
+    while e.parent is not None and e.tag not in ("form", "article", "main", "section", "body"):
+        e.form = True
+        if e.tag not in ("p", "li", "td", "span"):
+            return
+        e = e.parent
+
+
 class Block:
-    __slots__ = ("text", "of", "linked")
+    __slots__ = ("text", "of", "linked", "teaser")
 
     def __init__(self, text: str, of: Element, linked: int):
         self.text, self.of, self.linked = text, of, linked
+        self.teaser = False  # of an article in a part named for layout, beside a larger one
 
 
 def blocks(page: str) -> list[Block]:
@@ -178,6 +188,8 @@ def blocks(page: str) -> list[Block]:
                 elif tag == "p":
                     end_block()
             continue
+        if tag in ("select", "textarea"):
+            beside_control(at)
         if tag in RAW:
             if not token.endswith("/>"):
                 end = re.compile(rf"</{tag}(?=[\s>/])", re.I).search(page, position)
@@ -193,10 +205,7 @@ def blocks(page: str) -> list[Block]:
             end_block()
         elif tag in VOID:
             if tag == "input":
-                e = at
-                while e is not top and e.tag != "form":
-                    e.form = True  # what stands beside a control is its caption
-                    e = e.parent if e.tag in ("p", "li", "td", "span") else top
+                beside_control(at)
         elif tag in BLOCK or tag in UNSEEN:
             end_block()
             if tag in BLOCK:
@@ -227,9 +236,27 @@ def blocks(page: str) -> list[Block]:
         while e is not None:
             e.mass += plain
             e = e.parent
+    mark_teasers(found)
     return found
 
 
+def mark_teasers(found: list[Block]) -> None:
+    """An article inside an element named for layout is a teaser where another one, not in that element, is larger than all that it holds."""
+    around = [list(_up(b.of)) for b in found]
+    largest = max((e.mass for chain in around for e in chain if e.tag in ("article", "main")), default=0)
+    for b, chain in zip(found, around):
+        inner = False
+        for e in chain:
+            b.teaser |= inner and e.hint == -1 and e.mass < largest
+            inner |= e.tag == "article"
+
+
+def _up(e: Element | None) -> Iterator[Element]:
+    while e is not None:
+        yield e
+        e = e.parent
+
+
 def form_text(e: Element) -> bool:
     """Whether a block under e belongs to a form: beside a control, or right in a form that is no wrapper of the page."""
     if e.form:
@@ -299,7 +326,7 @@ def shown(found: list[Block]) -> Iterator[tuple[Features, bool]]:
     """The blocks whose label the author's elements show, with their features."""
     whole = sum(len(b.text) - b.linked for b in found)
     for b in found:
-        if b.of.article and not b.of.reader and not b.of.boiler:
+        if b.of.article and not b.of.reader and not b.of.boiler and not b.teaser:
             yield features(b, whole), True
         elif b.of.boiler:
             yield features(b, whole), False
@@ -310,6 +337,8 @@ def score(b: Block, whole: int, has_article: bool, weights: np.ndarray) -> float
     e = b.of
     f = features(b, whole)
     s = float(np.clip(numbers(f) @ weights, -MOST, MOST))
+    if b.teaser:
+        return min(s, 0.0) - MOST + OUTSIDE
     if f[-1] < 0:
         s = min(s, 0.0) - MOST
     if e.boiler or e.reader or form_text(e):
