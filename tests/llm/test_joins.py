@@ -254,3 +254,20 @@ def test_one_of_each_keeps_one_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "x y z"), (None, "x y z"), (3, None), (3, None), (1, "other words")], "doc_id long, text string")
     got = [(repr(r["doc_id"]), r["text"]) for r in ngram_join.one_of_each(docs).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, [("1", "a b c d e f"), ("None", "x y z"), ("3", None), ("3", None), ("1", "other words")]))
+
+
+def test_residents_unite_as_links_reach():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = 50
+        link = rng.random((n, n)) < 0.02
+        link |= link.T
+        np.fill_diagonal(link, True)
+        r = embedding_join.Residents(0)
+        r.root = np.arange(n)
+        for lo in range(0, n, 11):
+            r.unite(link[lo : lo + 11].copy())
+        least = np.arange(n)
+        for _ in range(n):
+            least = np.array([least[own].min() for own in link])
+        assert (r.root == least).all()

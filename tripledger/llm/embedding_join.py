@@ -161,28 +161,34 @@ class Residents:
 
     def settle(self, dim: int, threshold: float) -> None:
         self.x, self.copies = unit(self.raws, dim), np.asarray(self.copies, np.int64)
-        self.raws, self.links, self.up = [], np.zeros(len(self.nodes), np.int64), list(range(len(self.nodes)))
+        self.raws, self.links, self.root = [], np.zeros(len(self.nodes), np.int64), np.arange(len(self.nodes))
         strip = max(1, COSINES // max(1, len(self.nodes)))
         for lo in range(0, len(self.nodes), strip):
             link = self.x[lo : lo + strip] @ self.x.T >= threshold
-            link[np.arange(len(link)), lo + np.arange(len(link))] = False
+            own = lo + np.arange(len(link))
+            link[np.arange(len(link)), own] = False
             self.links[lo : lo + strip] += link @ self.copies
-            for i in np.flatnonzero(link.any(1)):
-                self.join(lo + i, np.flatnonzero(link[i]))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, others: np.ndarray) -> None:
-        i = self.root(i)
-        for j in others:
-            j = self.root(int(j))
-            if i != j:
-                i, j = min(i, j), max(i, j)
-                self.up[j] = i
+            link[np.arange(len(link)), own] = True
+            self.unite(link)
+
+    def unite(self, link: np.ndarray) -> None:
+        """Joins the residents that a row of link marks, for all rows at once: each root that a row touches goes to the smallest of the row, until no row touches two."""
+        link = link[link.any(1)]
+        while len(link):
+            apart = link & (self.root != self.root[link.argmax(1)][:, None])
+            link, apart = link[apart.any(1)], apart[apart.any(1)]
+            if not len(link):
+                return
+            i, j = np.nonzero(apart)
+            starts = np.flatnonzero(np.diff(i, prepend=-1))
+            first = self.root[link.argmax(1)]
+            least = np.minimum(np.minimum.reduceat(self.root[j], starts), first)
+            to = np.arange(len(self.root))
+            np.minimum.at(to, self.root[j], least[i])
+            np.minimum.at(to, first, least)
+            while (to[to] != to).any():
+                to = to[to]
+            self.root = to[self.root]
 
     def meet(self, nodes: list[bytes], copies: np.ndarray, x: np.ndarray, threshold: float) -> Iterator[tuple[bytes, bytes, int]]:
         """Ties of visitors to a resident each."""
@@ -190,14 +196,14 @@ class Residents:
         for lo in range(0, len(nodes), strip):
             link = x[lo : lo + strip] @ self.x.T >= threshold
             self.links += copies[lo : lo + strip] @ link
+            self.unite(link)
+            near = link.argmax(1)
             for i in np.flatnonzero(link.any(1)):
-                near = np.flatnonzero(link[i])
-                self.join(int(near[0]), near[1:])
-                yield nodes[lo + i], self.nodes[near[0]], 0
+                yield nodes[lo + i], self.nodes[near[i]], 0
 
     def ties(self) -> Iterator[tuple[bytes, bytes, int]]:
         for i in np.flatnonzero(self.links):
-            yield self.nodes[i], self.nodes[self.root(int(i))], int(self.links[i])
+            yield self.nodes[i], self.nodes[self.root[i]], int(self.links[i])
 
 
 def _joiner(dim: int, threshold: float):
