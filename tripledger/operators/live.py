@@ -16,6 +16,13 @@ def newest_window(windowed: DataFrame) -> DataFrame:
     return windowed.where("zone_id IS NOT NULL").groupBy("zone_id").agg(F.max_by(F.struct(*windowed.columns), "window_end").alias("r")).select("r.*")
 
 
+def last_pane(pings: DataFrame, pane_seconds: int = 300) -> DataFrame:
+    """The pings of each zone's last pane, which are all that its newest sliding window holds; zoneless ones are no part of the view."""
+    start = lambda c: F.floor(F.unix_seconds(c) / pane_seconds) * pane_seconds
+    last = pings.where("zone_id IS NOT NULL").groupBy("zone_id").agg(F.max("event_time").alias("_last"))  # a row for each zone
+    return pings.join(last, "zone_id").where(F.unix_seconds("event_time") >= start("_last")).drop("_last")
+
+
 def fleet_of(zones: DataFrame) -> DataFrame:
     """One row over the zones' newest windows; the idle ratio is the unweighted mean."""
     return zones.agg(

@@ -64,8 +64,12 @@ class Tables:
     def activity(self):
         return utilization.zone_activity(self.zoned())
 
-    def exact_activity(self):
-        p = self.zoned()
+    def newest_activity(self):
+        """Each zone's newest window, from the pings that it can hold."""
+        return live.newest_window(self.exact_activity(live.last_pane(self.zoned())))
+
+    def exact_activity(self, pings=None):
+        p = self.zoned() if pings is None else pings
         out = p.groupBy(F.window("event_time", utilization.WINDOW, utilization.SLIDE).alias("w"), "zone_id").agg(
             F.count_distinct("vehicle_id").alias("active_vehicles"), F.count_distinct(F.when(F.col("status") == "on_trip", F.col("trip_id"))).alias("trips"),
             half_up(mean_of("speed_kmh", 6), 1).alias("avg_speed_kmh"), half_up(utilization.idle_ratio(), 4).alias("idle_ratio"), F.count(F.lit(1)).alias("pings"),
@@ -79,7 +83,7 @@ class Tables:
         return idle.idle_alerts(self.zoned())
 
     def live_zones(self):
-        a, e = live.newest_window(self.exact_activity()), live.newest_window(self.earnings())
+        a, e = self.newest_activity(), live.newest_window(self.earnings())
         return a.join(e.select("zone_id", "earnings"), "zone_id", "left").withColumn("earnings", F.coalesce("earnings", F.lit(0.0)))
 
     def snapshot(self):
@@ -582,14 +586,14 @@ QUERIES = {
     "classification_counts": lambda t: t.pnl().groupBy("sim_date", "classification").agg(F.count(F.lit(1)).alias("n")).select(day(), "classification", "n"),
     "batch_check": q_batch_check,
     "run_totals": q_run_totals,
-    "live_zone_view": lambda t: live.zone_view(t.exact_activity(), t.earnings()).select("zone_id", end_s("activity_window_end"), "trips", "active_vehicles", "idle_ratio", "avg_speed_kmh", "pings", end_s("earnings_window_end"), "earnings", "completed_trips"),
-    "live_fleet_snapshot": lambda t: live.fleet_of(live.newest_window(t.exact_activity())).select("active_vehicles", "trips", "idle_ratio", "zones_reporting", end_s()),
+    "live_zone_view": lambda t: live.zone_view(t.newest_activity(), t.earnings()).select("zone_id", end_s("activity_window_end"), "trips", "active_vehicles", "idle_ratio", "avg_speed_kmh", "pings", end_s("earnings_window_end"), "earnings", "completed_trips"),
+    "live_fleet_snapshot": lambda t: live.fleet_of(t.newest_activity()).select("active_vehicles", "trips", "idle_ratio", "zones_reporting", end_s()),
     "live_zone_earnings_series": lambda t: live.earnings_series(t.earnings()),
     "parse_series": lambda t: live.parse_series(live.earnings_series(t.earnings())).select("zone_id", "age", "window_end_s", "earnings"),
     "live_vehicle_state": lambda t: live.vehicle_state(t.zoned()).withColumn("updated_us", F.unix_micros("updated_at_sim")).drop("updated_at_sim"),
     "live_vehicle_lookup": lambda t: live.vehicle_state(t.zoned().where("vehicle_id = 'V000000007'")).select("vehicle_id", "status", "zone_id", us("updated_at_sim", "updated_us")),
     "live_view_ttl": q_ttl,
-    "zones_live_complete": lambda t: live.every_zone(zones.zone_table(t.spark), live.newest_window(t.exact_activity()).where("trips > 0").select("zone_id", "trips")).select("zone_id", "zone_name", "trips", "reporting"),
+    "zones_live_complete": lambda t: live.every_zone(zones.zone_table(t.spark), t.newest_activity().where("trips > 0").select("zone_id", "trips")).select("zone_id", "zone_name", "trips", "reporting"),
     "idle_alerts": lambda t: t.alerts().select("alert_id", "vehicle_id", "severity", us("idle_since_sim", "idle_since_us"), us("raised_at_sim", "raised_at_us"), "zone_id"),
     "alert_envelope": lambda t: idle.alert_envelopes(t.alerts()).select("_key", "envelope.alert_id", "envelope.alert_type", "envelope.severity", "envelope.source_layer", F.regexp_extract("envelope.detail", r"^idle for \d+( .*)$", 1).alias("detail_end"), "envelope.zone_id"),
     "alert_feed": lambda t: idle.alert_feed(t.alerts()).select("alert_id", "severity", us("raised_at_sim", "raised_at_us")),
