@@ -1,6 +1,7 @@
 """Streams against their batch twins, over several micro-batches."""
 
 from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tripledger.operators import clean, enrich, idle, live, utilization
 from tripledger.sources import adapters
 from tripledger.streaming import jobs, views
 from tripledger.streaming.idle import episodes, risen
+from tripledger.streaming.series import NewestWindows
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,6 +89,26 @@ def test_a_later_ping_takes_a_credit_back(spark, tmp_path):
         assert got == {("Z1" if k == 0 else "Z2", 120.5, 1)} and s.earnings_windows().count() == 3
 
 
+def test_series_over_batches_equal_the_batch_twin(spark, parts, tmp_path):
+    s = layer(spark, parts, tmp_path, "30 days")
+    jobs.finished(s.start(["series"]))
+    want = live.earnings_series(utilization.zone_earnings(utilization.trip_completions(batch(spark)[1]))).collect()
+    assert want and sorted(map(tuple, s.earnings_series().select("zone_id", "age", "point").collect())) == sorted(map(tuple, want))
+
+
+def test_a_series_keeps_the_newest_windows():
+    """Evicted and emptied windows leave the state; a late change of a window that the state no longer holds is passed over only when it is full."""
+    held = {}
+    machine = NewestWindows(keep=2, spare=1)
+    machine.windows = SimpleNamespace(iterator=lambda: iter(list(held.items())), removeKey=held.pop, updateValue=held.__setitem__)
+    step = lambda *rows: next(machine.handleInputRows(("Z",), iter([{"window_end_s": w, "cents": c, "n": n} for w, c, n in rows]), None))
+    assert step((1, 100, 1), (2, 200, 1)).ends == [2, 1]
+    r = step((3, 300, 1), (4, 400, 1))
+    assert r.ends == [4, 3] and r.cents == [400, 300] and set(held) == {(4,), (3,), (2,)}
+    r = step((4, -400, -1))  # a trip moves away
+    assert r.ends == [3, 2] and r.cents == [300, 200] and set(held) == {(3,), (2,)}
+
+
 def test_first_seen_keeps_one_ping_of_a_trip(spark, parts, tmp_path):
     s = layer(spark, parts, tmp_path, "30 days")
     q = utilization.first_seen(s.valid(), "30 days").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "seen")).trigger(availableNow=True).start()

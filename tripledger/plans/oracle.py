@@ -254,6 +254,7 @@ SELECTS = {
         FROM newest_act a FULL JOIN newest_earn e USING (zone_id)""",
     "live_fleet_snapshot": "SELECT sum(active_vehicles)::BIGINT AS active_vehicles, sum(trips)::BIGINT AS trips, round(sum(round(idle_ratio * 1e4)::BIGINT) / count(idle_ratio) / 1e4, 4) AS idle_ratio, count(*) AS zones_reporting, epoch(max(window_end))::BIGINT AS window_end_s FROM newest_act",
     "live_zone_earnings_series": """SELECT zone_id, age::INTEGER AS age, epoch(window_end)::BIGINT || ':' || (round(earnings, 2)::DECIMAL(14,2))::VARCHAR AS point FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY window_end DESC) AS age FROM earn WHERE zone_id IS NOT NULL) WHERE age <= 96""",
+    "stream_zone_earnings_series": """SELECT zone_id, age::INTEGER AS age, epoch(window_end)::BIGINT || ':' || (round(earnings, 2)::DECIMAL(14,2))::VARCHAR AS point FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY window_end DESC) AS age FROM earn WHERE zone_id IS NOT NULL) WHERE age <= 96""",
     "parse_series": "SELECT zone_id, age::INTEGER AS age, epoch(window_end)::BIGINT AS window_end_s, earnings FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY window_end DESC) AS age FROM earn WHERE zone_id IS NOT NULL) WHERE age <= 96",
     "live_vehicle_state": """SELECT vehicle_id, status, coalesce(zone_id, '') AS zone_id, coalesce(trip_id, '') AS trip_id, (round(lat, 5)::DECIMAL(12,5))::VARCHAR AS lat, (round(lon, 5)::DECIMAL(12,5))::VARCHAR AS lon, (round(speed_kmh, 1)::DECIMAL(12,1))::VARCHAR AS speed_kmh, epoch_us(event_time) AS updated_us
         FROM zoned QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY event_time DESC, event_id DESC) = 1""",

@@ -467,6 +467,10 @@ def q_stream_earnings_total(t: Tables) -> DataFrame:
     return speed_layer(t, ["earnings"]).earnings_windows().agg(F.sum("completed_trips").alias("completed_trips"), half_up(F.sum("earnings"), 2).alias("earnings"))
 
 
+def q_stream_series(t: Tables) -> DataFrame:
+    return speed_layer(t, ["series"]).earnings_series()
+
+
 def q_stream_vehicles(t: Tables) -> DataFrame:
     return speed_layer(t, ["vehicles"]).newest_vehicles().select("vehicle_id", "status", us("updated_at_sim", "updated_us"))
 
@@ -635,6 +639,7 @@ QUERIES = {
     "stream_progress": q_stream_progress,
     "stream_late_rows": q_stream_late,
     "stream_late_side": q_stream_late_side,
+    "stream_zone_earnings_series": q_stream_series,
     "stream_rejections": q_stream_rejections,
     "stream_alive": q_stream_alive,
 }

@@ -48,7 +48,7 @@ class LastPing(StatefulProcessor):
         pass
 
 
-def earnings_changes(pings: DataFrame, watermark: str = utilization.WATERMARK) -> DataFrame:
+def earnings_changes(pings: DataFrame, watermark: str = utilization.WATERMARK, mode: str = "Update") -> DataFrame:
     """zone_id, event_time, fare and n (1 or -1) of a stream of valid pings with zones; the session needs the RocksDB state store.
 
     Spark leaves out pings later than the watermark, so none meets a state that has gone.
@@ -57,6 +57,6 @@ def earnings_changes(pings: DataFrame, watermark: str = utilization.WATERMARK) -
     rows = utilization.priced(pings).withWatermark("event_time", watermark)
     rows = rows.select("trip_id", "sim_date", "event_id", "zone_id", "fare", "event_time", F.unix_micros("event_time").alias("event_us"))
     changes = rows.groupBy("trip_id", "sim_date").transformWithState(
-        statefulProcessor=LastPing(delay), outputStructType="zone_id string, event_us bigint, fare double, n int", outputMode="Update", timeMode="EventTime"
+        statefulProcessor=LastPing(delay), outputStructType="zone_id string, event_us bigint, fare double, n int", outputMode=mode, timeMode="EventTime"
     )
     return changes.select("zone_id", F.timestamp_micros("event_us").alias("event_time"), "fare", "n")

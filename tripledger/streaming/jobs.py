@@ -22,6 +22,7 @@ from tripledger.streaming import views
 from tripledger.streaming.earnings import earnings_changes
 from tripledger.streaming.expiry import vehicle_changes
 from tripledger.streaming.idle import idle_alert_stream
+from tripledger.streaming.series import series_changes
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LEAST_WATERMARK_REAL_SECONDS = 5
@@ -67,14 +68,15 @@ class SpeedLayer:
         "earnings": views.summed_by(["window_start", "window_end", "zone_id"], ["cents", "completed_trips"]),
         "vehicles": views.newest_by(["vehicle_id"]),
         "alive": views.newest_by(["vehicle_id"]),
+        "series": views.newest_by(["zone_id"]),
     }
     STANDING = {"earnings": "completed_trips <> 0 OR cents <> 0", "alive": "NOT removed"}
 
     def view(self, name: str) -> views.LeveledView:
         return views.LeveledView(self.spark, self.path(name), self.VIEWS[name], self.STANDING.get(name, "true"))
 
-    def _view(self, name: str, rows: DataFrame, reduce: Callable[[DataFrame], DataFrame] = lambda x: x) -> StreamingQuery:
-        return self._each_batch(name, rows, "update", lambda batch, k: self.view(name).add(reduce(batch), k))
+    def _view(self, name: str, rows: DataFrame, reduce: Callable[[DataFrame], DataFrame] = lambda x: x, mode: str = "update") -> StreamingQuery:
+        return self._each_batch(name, rows, mode, lambda batch, k: self.view(name).add(reduce(batch), k))
 
     @contextlib.contextmanager
     def _rocksdb(self):
@@ -104,6 +106,10 @@ class SpeedLayer:
         with self._rocksdb():
             return self._view("earnings", earnings_changes(self.valid(), self.watermark), changed)
 
+    def series(self) -> StreamingQuery:
+        with self._rocksdb():
+            return self._view("series", series_changes(self.valid(), self.watermark), mode="append")
+
     def vehicles(self) -> StreamingQuery:
         return self._view("vehicles", self.valid(), live.vehicle_state)
 
@@ -162,6 +168,12 @@ class SpeedLayer:
         rows = self.view("earnings").read()
         return rows.select("window_start", "window_end", "zone_id", half_up(F.col("cents") / F.lit(1e2), 2).alias("earnings"), "completed_trips")
 
+    def earnings_series(self) -> DataFrame:
+        """zone_id, age and point, as live.earnings_series."""
+        rows = self.view("series").read().select("zone_id", F.posexplode(F.arrays_zip("ends", "cents")).alias("i", "p"))
+        point = F.concat_ws(":", F.col("p.ends").cast("string"), (F.col("p.cents").cast("decimal(16,0)") / 100).cast("decimal(14,2)").cast("string"))
+        return rows.select("zone_id", (F.col("i") + 1).alias("age"), point.alias("point"))
+
     def newest_vehicles(self) -> DataFrame:
         return self.view("vehicles").read()
 
