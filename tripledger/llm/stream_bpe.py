@@ -209,7 +209,7 @@ class Encoder:
         # The pattern takes runs of one kind, which may go on in the next piece, and short matches, which begin with one of them.
         self.words = regex.compile(split["pattern"]["Regex"])
         self.runs = [regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]+")]
-        self.tail = regex.compile(r"\S*\Z")
+        self.last_space = regex.compile(r"(?r)\s")  # from the end backwards
         self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
         self.known = Known(self)
         tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
@@ -256,7 +256,8 @@ class Encoder:
             if at == end:
                 yield self._all(self.words.findall(piece))
                 return
-            open_from = self.tail.search(piece).start()
+            space = self.last_space.search(piece)
+            open_from = space.end() if space else 0
             yield self._all(self.words.findall(piece[:open_from]))
             rest = piece[open_from:]
             if len(rest) > LONG:
