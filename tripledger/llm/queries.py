@@ -30,7 +30,6 @@ def oracle_sql() -> dict:
         "op2_embedding_join": embedding_join.OP2_SQL,
         "op6_ngram_join": ngram_join.OP6_SQL,
         "op10_mixing": mixing.OP10_SQL,
-        "op11_stream_bpe": stream_bpe.op11,
         "op12_prefix_trie": prefix_trie.OP12_SQL,
         "op13_spelling": spelling.OP13_SQL,
         "secret_base_spans": secret_scan.BASE_SQL,
