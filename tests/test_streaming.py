@@ -6,9 +6,9 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from tripledger.operators import clean, enrich, idle, live, utilization
+from tripledger.operators import clean, enrich, idle, live, reconcile, utilization
 from tripledger.sources import adapters
-from tripledger.streaming import jobs, views
+from tripledger.streaming import held, jobs, views
 from tripledger.streaming.idle import episodes, risen
 from tripledger.streaming.series import NewestWindows
 
@@ -96,17 +96,33 @@ def test_series_over_batches_equal_the_batch_twin(spark, parts, tmp_path):
     assert want and sorted(map(tuple, s.earnings_series().select("zone_id", "age", "point").collect())) == sorted(map(tuple, want))
 
 
+def test_reconciliation_from_state_equals_that_from_the_view(spark, parts, tmp_path):
+    """The deltas of the state's windows, and of the view's; and the state as it was after an earlier batch."""
+    s = layer(spark, parts, tmp_path, "30 days")
+    jobs.finished(s.start(["series"]))
+    hourly = utilization.zone_hourly(batch(spark)[1])
+    shown = live.parse_series(s.earnings_series()).select("zone_id", F.timestamp_seconds("window_end_s").alias("window_end"), F.col("earnings").cast("double").alias("earnings"))
+    deltas = lambda windows: sorted(map(str, reconcile.reconcile_earnings(held.hour_ends(windows), hourly).collect()))
+    want = deltas(shown)
+    assert want and any("'ALL'" in r for r in want) and deltas(s.earnings_in_state()) == want
+    assert 0 < s.earnings_in_state(batch=0).agg(F.max("window_end")).first()[0].timestamp() < s.earnings_in_state().agg(F.max("window_end")).first()[0].timestamp()
+    checkpoint = str(tmp_path / "_checkpoints" / "series")
+    assert held.operator_of(spark, checkpoint, "credited") != held.operator_of(spark, checkpoint, "windows")
+    with pytest.raises(ValueError):
+        held.operator_of(spark, checkpoint, "nothing")
+
+
 def test_a_series_keeps_the_newest_windows():
     """Evicted and emptied windows leave the state; a late change of a window that the state no longer holds is passed over only when it is full."""
-    held = {}
+    state = {}
     machine = NewestWindows(keep=2, spare=1)
-    machine.windows = SimpleNamespace(iterator=lambda: iter(list(held.items())), removeKey=held.pop, updateValue=held.__setitem__)
+    machine.windows = SimpleNamespace(iterator=lambda: iter(list(state.items())), removeKey=state.pop, updateValue=state.__setitem__)
     step = lambda *rows: next(machine.handleInputRows(("Z",), iter([{"window_end_s": w, "cents": c, "n": n} for w, c, n in rows]), None))
     assert step((1, 100, 1), (2, 200, 1)).ends == [2, 1]
     r = step((3, 300, 1), (4, 400, 1))
-    assert r.ends == [4, 3] and r.cents == [400, 300] and set(held) == {(4,), (3,), (2,)}
+    assert r.ends == [4, 3] and r.cents == [400, 300] and set(state) == {(4,), (3,), (2,)}
     r = step((4, -400, -1))  # a trip moves away
-    assert r.ends == [3, 2] and r.cents == [300, 200] and set(held) == {(3,), (2,)}
+    assert r.ends == [3, 2] and r.cents == [300, 200] and set(state) == {(3,), (2,)}
 
 
 def test_first_seen_keeps_one_ping_of_a_trip(spark, parts, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.functions.rounding import half_up, mean_of
+from tripledger.functions.rounding import half_up, mean_of, units
 
 KEY = ["sim_date", "zone_id", "sim_hour"]
 
@@ -50,5 +50,15 @@ def reconcile_fleet(snapshot: DataFrame, hourly: DataFrame) -> DataFrame:
     ])
 
 
+def reconcile_earnings(held: DataFrame, hourly: DataFrame) -> DataFrame:
+    """Earnings alone, for each zone and, by day, for the fleet. held: KEY, earnings and window_minutes, from a view or from a processor's state."""
+    c, hour = F.col, F.lit(60.0)
+    both = held.select(*KEY, "window_minutes", c("earnings").alias("s_earnings")).join(hourly.select(*KEY, c("earnings").alias("b_earnings")), KEY)
+    zones = _deltas(both, c("zone_id"), [("earnings_per_min", _per_minute(c("s_earnings"), c("window_minutes")), c("b_earnings") / hour)])
+    days = both.groupBy("sim_date").agg(F.sum(units("s_earnings", 2)).alias("s"), F.sum(units("b_earnings", 2)).alias("b"), F.max("window_minutes").alias("w"))
+    cents = F.lit(1e2)
+    return zones.unionByName(_deltas(days, F.lit("ALL"), [("fleet_earnings_per_min", _per_minute(c("s") / cents, c("w")), c("b") / cents / hour)]))
+
+
 def summary(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("metric").agg(F.count("delta_pct").alias("n"), half_up(mean_of(F.abs("delta_pct"), 3), 2).alias("avg_abs_delta_pct"), half_up(F.max(F.abs("delta_pct")), 2).alias("max_abs_delta_pct"))

@@ -154,6 +154,10 @@ WITH zones(zone_id, zone_name, zone_class, lat_min, lat_max, lon_min, lon_max, d
   SELECT a.window_end::DATE AS sim_date, a.zone_id, hour(a.window_end)::INTEGER AS sim_hour, 15 AS window_minutes, a.trips, coalesce(e.earnings, 0e0) AS earnings, a.active_vehicles, a.idle_ratio, a.avg_speed_kmh
   FROM act a LEFT JOIN earn e USING (window_end, zone_id)
   WHERE a.zone_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a.zone_id, a.window_end::DATE, hour(a.window_end) ORDER BY a.window_end DESC) = 1
+), held AS (
+  SELECT e.sim_date, e.zone_id, e.earnings AS se, b.earnings AS be
+  FROM (SELECT *, window_end::DATE AS sim_date, hour(window_end)::INTEGER AS sim_hour FROM earn WHERE zone_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY zone_id ORDER BY window_end DESC) <= 96) e
+  JOIN zh b USING (sim_date, zone_id, sim_hour) QUALIFY row_number() OVER (PARTITION BY e.zone_id, e.sim_date, sim_hour ORDER BY e.window_end DESC) = 1
 ), pairs AS (
   SELECT s.sim_date, s.zone_id, s.window_minutes, s.trips AS st, s.earnings AS se, s.idle_ratio AS si, s.active_vehicles AS sa, b.trips AS bt, b.earnings AS be, b.idle_ratio AS bi, b.active_vehicles AS ba
   FROM snap s JOIN zh b USING (sim_date, zone_id, sim_hour)
@@ -255,6 +259,9 @@ SELECTS = {
     "live_fleet_snapshot": "SELECT sum(active_vehicles)::BIGINT AS active_vehicles, sum(trips)::BIGINT AS trips, round(sum(round(idle_ratio * 1e4)::BIGINT) / count(idle_ratio) / 1e4, 4) AS idle_ratio, count(*) AS zones_reporting, epoch(max(window_end))::BIGINT AS window_end_s FROM newest_act",
     "live_zone_earnings_series": """SELECT zone_id, age::INTEGER AS age, epoch(window_end)::BIGINT || ':' || (round(earnings, 2)::DECIMAL(14,2))::VARCHAR AS point FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY window_end DESC) AS age FROM earn WHERE zone_id IS NOT NULL) WHERE age <= 96""",
     "stream_zone_earnings_series": """SELECT zone_id, age::INTEGER AS age, epoch(window_end)::BIGINT || ':' || (round(earnings, 2)::DECIMAL(14,2))::VARCHAR AS point FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY window_end DESC) AS age FROM earn WHERE zone_id IS NOT NULL) WHERE age <= 96""",
+    "reconcile_state": f"""SELECT {_D}, zone_id, metric, round(s, 4) AS speed_value, round(b, 4) AS batch_value, CASE WHEN abs(b) <> 0 THEN round(100e0 * (s - b) / abs(b), 3) END AS delta_pct FROM (
+        SELECT sim_date, zone_id, 'earnings_per_min' AS metric, se / 15e0 AS s, be / 60e0 AS b FROM held
+        UNION ALL SELECT sim_date, 'ALL', 'fleet_earnings_per_min', sum(round(se * 1e2)::BIGINT) / 1e2 / 15e0, sum(round(be * 1e2)::BIGINT) / 1e2 / 60e0 FROM held GROUP BY 1)""",
     "parse_series": "SELECT zone_id, age::INTEGER AS age, epoch(window_end)::BIGINT AS window_end_s, earnings FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY window_end DESC) AS age FROM earn WHERE zone_id IS NOT NULL) WHERE age <= 96",
     "live_vehicle_state": """SELECT vehicle_id, status, coalesce(zone_id, '') AS zone_id, coalesce(trip_id, '') AS trip_id, (round(lat, 5)::DECIMAL(12,5))::VARCHAR AS lat, (round(lon, 5)::DECIMAL(12,5))::VARCHAR AS lon, (round(speed_kmh, 1)::DECIMAL(12,1))::VARCHAR AS speed_kmh, epoch_us(event_time) AS updated_us
         FROM zoned QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY event_time DESC, event_id DESC) = 1""",

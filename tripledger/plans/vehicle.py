@@ -11,7 +11,7 @@ from tripledger.functions import clock
 from tripledger.functions.rounding import half_up, mean_of
 from tripledger.operators import clean, control, enrich, idle, live, mart, merge, profitability, reconcile, utilization
 from tripledger.sources import adapters, files, keyed, log
-from tripledger.streaming import jobs
+from tripledger.streaming import held, jobs
 
 CLOCK = clock.SimClock(epoch_sim=1767225600.0, epoch_wall=1704067200.0, day_seconds=300.0)
 
@@ -471,6 +471,12 @@ def q_stream_series(t: Tables) -> DataFrame:
     return speed_layer(t, ["series"]).earnings_series()
 
 
+def q_reconcile_state(t: Tables) -> DataFrame:
+    """The hours against what the stream's state holds, read from its checkpoint."""
+    ends = held.hour_ends(speed_layer(t, ["series"]).earnings_in_state())
+    return reconcile.reconcile_earnings(ends, t.hourly()).withColumn("sim_date", day())
+
+
 def q_stream_vehicles(t: Tables) -> DataFrame:
     return speed_layer(t, ["vehicles"]).newest_vehicles().select("vehicle_id", "status", us("updated_at_sim", "updated_us"))
 
@@ -640,6 +646,7 @@ QUERIES = {
     "stream_late_rows": q_stream_late,
     "stream_late_side": q_stream_late_side,
     "stream_zone_earnings_series": q_stream_series,
+    "reconcile_state": q_reconcile_state,
     "stream_rejections": q_stream_rejections,
     "stream_alive": q_stream_alive,
 }

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from tripledger.functions.rounding import half_up
 from tripledger.operators import clean, enrich, live, utilization
 from tripledger.sources import folders
-from tripledger.streaming import views
+from tripledger.streaming import held, views
 from tripledger.streaming.earnings import earnings_changes
 from tripledger.streaming.expiry import vehicle_changes
 from tripledger.streaming.idle import idle_alert_stream
@@ -174,6 +174,10 @@ class SpeedLayer:
         point = F.concat_ws(":", F.col("p.ends").cast("string"), (F.col("p.cents").cast("decimal(16,0)") / 100).cast("decimal(14,2)").cast("string"))
         return rows.select("zone_id", (F.col("i") + 1).alias("age"), point.alias("point"))
 
+    def earnings_in_state(self, batch: int | None = None) -> DataFrame:
+        """What the series' processor holds, without the view."""
+        return held.earnings_held(self.spark, f"{self.root}/_checkpoints/series", batch=batch)
+
     def newest_vehicles(self) -> DataFrame:
         return self.view("vehicles").read()
 
