@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tripledger.llm import blocks, bpe, common, exact_dedup, html_extract, language_id, mixing, secret_scan, token_counts, toxicity
 
@@ -163,6 +164,14 @@ def rows(frame):
     return sorted(map(repr, frame.itertuples(index=False)))
 
 
+def test_mixing_spreads_null_identifiers(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    buckets = rows.select(F.substring(mixing.order_of(F.col("doc_id"), F.col("text")), 1, mixing.BUCKET_DIGITS).alias("b")).groupBy("b").count()
+    assert buckets.count() > 3_900 and buckets.agg(F.max("count")).first()[0] < 30
+    out = mixing.mix(rows).agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.max("taken").alias("most")).first()
+    assert (out.n, out.taken, out.most) == (20_000, 90_000, 6)
+
+
 def test_mixing_targets_and_positions(spark):
     sizes = {"a": 10, "b": 100, "c": 1000, None: 390}
     data = [(i, " ".join(["w"] * 5), s) for s, n in sizes.items() for i in range(n // 5)]

@@ -7,7 +7,7 @@ budget * (1 + ramp * (2t - 1)); its integral budget * (t + ramp * (t^2 - t)) is
 word offset within its source, repeats following the first pass, which gives its training position, and appearances are range-sorted by it.
 
 Word offsets are prefix sums in two levels: documents are ordered within a source by the MD5 of their
-identifier, whose first three hex digits name one of 4,096 buckets. Sums per (source, bucket) give each
+identifier, or where there is none of their text, whose first three hex digits name one of 4,096 buckets. Sums per (source, bucket) give each
 bucket's start, a window gives the offset inside the bucket, so no task ever holds a whole source.
 """
 
@@ -24,6 +24,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
+def order_of(ident: Column, text: Column) -> Column:
+    """Rows without an identifier go by their text, so that many of them do not meet in one bucket."""
+    return F.md5(F.coalesce(ident.cast("string"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], ramps: tuple[float, ...], share_pct: int, max_epochs: int) -> DataFrame:
     """sizes: (_nosource, _source, source_size), a row for each source. Adds target and ramp.
 
@@ -66,8 +71,8 @@ def mix(
     source's words add up to its target rounded down. ``copies`` is the number of appearances, an appearance of
     less than half the document counting as none. ``position`` is that of the first appearance, null if there is
     none; ``positions`` has those of all the copies. Weights and ramps are dealt to the sources in code-point order, the null source last, and repeat. A null
-    or blank text has size 0 and is never taken. Null and repeated identifiers are ordered by size; an empty input
-    gives an empty result; other columns play no part.
+    or blank text has size 0 and is never taken. Rows with a null identifier are spread and ordered by their text, rows that repeat an
+    identifier by their size; an empty input gives an empty result; other columns play no part.
     """
     if not (all(int(w) == w and w > 0 for w in weights) and all(-1 < r < 1 for r in ramps)):
         raise ValueError("weights are positive whole numbers, ramps lie between -1 and 1")
@@ -78,7 +83,7 @@ def mix(
         name.isNull().alias("_nosource"),
         F.coalesce(name, F.lit("")).alias("_source"),
         n_words(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_order"),
+        order_of(F.col(id_col), F.col(text_col)).alias("_order"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     ).withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
 
@@ -135,7 +140,7 @@ OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS nosource, coalesce(source, '') AS src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS ord
+         md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS ord
   FROM documents
 ), s AS (
   SELECT nosource, src, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY nosource, src) - 1 AS k FROM d GROUP BY 1, 2
