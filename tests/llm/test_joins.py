@@ -163,7 +163,7 @@ def dealt(pivots, cells, raw, size):
 
     batch = pa.RecordBatch.from_arrays([pa.array([bytes([97 + i]) for i in range(len(raw))], pa.binary()), pa.array([1] * len(raw), pa.int64()), pa.array([np.array(v, "<f8").tobytes() for v in raw], pa.binary())], ["node", "copies", "raw"])
     out = list(embedding_join._dealer(pivots, cells, float(np.sqrt(0.2)), 4, size)([batch]))[0].to_pydict()
-    return sorted(zip(out["node"], out["block"], out["visits"]))
+    return sorted(zip(out["node"], out["pair"], out["side"]))
 
 
 def test_cells_rule_each_other_out():
@@ -172,10 +172,44 @@ def test_cells_rule_each_other_out():
     cells = [{"cell": i, "n": 10, "near": 0.0, "far": 0.2} for i in range(4)]
     raw = [[1, 0.01, 0, 0], [0, 0, 1, 0.02]]
     apart = dealt(pivots, cells, raw, 10)
-    assert len(apart) == 2 and len({b for _, b, _ in apart}) == 2 and not any(v for *_, v in apart)
+    assert len(apart) == 2 and len({b for _, b, _ in apart}) == 2 and not any(side for *_, side in apart)
     assert dealt(pivots, [c | {"far": 2.0} for c in cells], raw, 1000) == [(b"a", 0, 0), (b"b", 0, 0)]
     large = dealt(pivots, [c | {"n": 30} for c in cells], raw, 10)
-    assert [sum(n == k for n, *_ in large) for k in (b"a", b"b")] == [3, 3] and sum(v for *_, v in large) == 4
+    assert [sum(n == k for n, *_ in large) for k in (b"a", b"b")] == [3, 3] and sum(side > 0 for *_, side in large) == 4
+
+
+def test_two_vectors_meet_in_the_pair_of_their_homes():
+    """All near one another, over several blocks: every two meet once, one held and one streaming past unless at home together."""
+    rng = np.random.default_rng(4)
+    raw = (np.eye(4)[rng.integers(0, 4, 40)] + rng.normal(0, 0.02, (40, 4))).tolist()
+    cells = [{"cell": i, "n": 10, "near": 0.0, "far": 2.0} for i in range(4)]
+    import pyarrow as pa
+
+    apart: dict = {}
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes([i]) for i in range(40)], pa.binary()), pa.array([1] * 40, pa.int64()), pa.array([np.array(v, "<f8").tobytes() for v in raw], pa.binary())], ["node", "copies", "raw"])
+    for out in embedding_join._dealer(np.eye(4), cells, 2.0, 4, 10)([batch]):
+        for node, pair, side in zip(*(out.column(c).to_pylist() for c in ("node", "pair", "side"))):
+            apart.setdefault(pair, []).append((node, side))
+    met = [tuple(sorted((a, b))) for held in apart.values() for i, (a, s) in enumerate(held) for b, t in held[:i] if s == t == 0 or {s, t} == {1, 2}]
+    assert len(apart) == 10 and len(met) == len(set(met)) == 40 * 39 // 2
+
+
+@pytest.mark.parametrize("least", [16, 64])
+def test_many_pairs_of_blocks_lose_no_link(spark, monkeypatch, least):
+    rng = np.random.default_rng(least)
+    centres = rng.normal(size=(6, 8))
+    x = centres[rng.integers(0, 6, 300)] + rng.normal(0, 0.35, (300, 8))
+    x[250:] = x[:50]  # copies
+    monkeypatch.setattr(embedding_join, "LEAST", least)
+    monkeypatch.setattr(embedding_join, "BLOCK", least)
+    monkeypatch.setattr(embedding_join, "CELL", 20)
+    got = {r["id"]: (r["n_links"], r["class_id"]) for r in embedding_join.embedding_classes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    link = unit @ unit.T >= 0.9
+    least_id = np.arange(300)
+    for _ in range(300):
+        least_id = np.array([least_id[row].min() for row in link])
+    assert got == {i: (int(link[i].sum()) - 1, int(least_id[i])) for i in range(300)} and link.sum() > 2_000
 
 
 def test_pipeline(spark, tmp_path):

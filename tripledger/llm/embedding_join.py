@@ -5,8 +5,9 @@ join in a metric space. Pivots, from a bounded sample, cut the space into cells,
 cell of its nearest pivot. A vector also visits every cell that the triangle inequality does not rule out: one
 whose bisector with its own cell is within the range, and whose nearest and farthest residents' distances from
 their pivot leave room. Small cells that lie side by side share a block, large ones are cut into several; a vector goes
-once to each block of a cell that it visits. Blocks join independently, visitors streaming past the residents; a vector's links
-are counted where it is at home, so each is counted once, and no pairs are emitted. Nothing is approximate: where
+once to each block of a cell that it visits. Each pair of blocks is a join of its own, of the vectors at home in the one that visit
+the other and the other way round: the first kind is held, the second streams past. Two vectors meet in the pair of their homes only, where a link counts
+for both, so each is counted once, and no pairs are emitted. Nothing is approximate: where
 the pivots cannot rule cells out, as for directions spread evenly over many dimensions, every block is visited.
 """
 
@@ -24,10 +25,12 @@ from tripledger.llm.common import written
 from tripledger.llm.components import classes
 
 THRESHOLD = 0.9
-#: Residents of a block: at most so many, of at most so many bytes; fewer where the vectors are few, so that all cores have a block, but not under LEAST.
+#: Residents of a block: at most so many, of at most so many bytes; fewer where the vectors are few, so that all cores have a pair of blocks, but not under LEAST.
 BLOCK, BLOCK_BYTES, LEAST = 65_536, 64 << 20, 1024
 #: Pivots come from at most so many vectors, there are at most so many of them, and one for so many vectors.
 SAMPLE, MOST_PIVOTS, CELL = 8192, 1024, 256
+#: Tasks at most; each has a pair of blocks, or several.
+MOST_TASKS = 1 << 17
 #: Cosines held at once.
 STRIP, COSINES = 1024, 1 << 22
 #: Room for rounding in the bounds that rule cells out.
@@ -116,8 +119,16 @@ def blocks_of(pivots: np.ndarray, counts: np.ndarray, size: int) -> list[list[in
     return out
 
 
+def pair_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Pairs of blocks, a block with itself included, by number."""
+    return high.astype(np.int64) * (high + 1) // 2 + low
+
+
 def _dealer(pivots: np.ndarray, cells: list, reach: float, dim: int, size: int):
-    """Rows of each vector at home (visits 0) and in every other block that it must visit (visits 1)."""
+    """Rows of each vector for the pair of its home with itself and with every other block that it must visit.
+
+    side: 0 at home in its own pair, else 1 for the vectors of the pair's lower block, 2 for those of its upper one.
+    """
     n = np.zeros(len(pivots), np.int64)
     near, far = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
     for c in cells:
@@ -145,25 +156,28 @@ def _dealer(pivots: np.ndarray, cells: list, reach: float, dim: int, size: int):
                 own = first[home] + (np.fromiter((xxhash.xxh3_64_intdigest(x) for x in nodes), np.uint64, len(nodes)) % several[home]).astype(np.int64)
                 visited[rows, own] = True
                 i, block = np.nonzero(visited)
+                low, high = np.minimum(block, own[i]), np.maximum(block, own[i])
+                side = np.where(low == high, 0, np.where(own[i] == low, 1, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block, pa.int32()), pa.array((block != own[i]).astype(np.int32)), *(pa.array(x, t).take(pa.array(i)) for x, t in ((nodes, pa.binary()), (copies, pa.int64()), (raws, pa.binary())))],
-                    ["block", "visits", "node", "copies", "raw"],
+                    [pa.array(pair_of(low, high), pa.int64()), pa.array(side, pa.int32()), *(pa.array(x, t).take(pa.array(i)) for x, t in ((nodes, pa.binary()), (copies, pa.int64()), (raws, pa.binary())))],
+                    ["pair", "side", "node", "copies", "raw"],
                 )
 
     return run
 
 
 class Residents:
-    """A block's residents, their links so far, and which of them are joined through what has streamed past."""
+    """What a pair of blocks holds, its links so far, and which of it is joined, by links inside it or through what has streamed past."""
 
     def __init__(self, key: int):
         self.key, self.nodes, self.copies, self.raws, self.x = key, [], [], [], None
 
-    def settle(self, dim: int, threshold: float) -> None:
+    def settle(self, dim: int, threshold: float, inside: bool) -> None:
+        """inside: whether those held are to be linked with one another, as in a block's pair with itself."""
         self.x, self.copies = unit(self.raws, dim), np.asarray(self.copies, np.int64)
         self.raws, self.links, self.root = [], np.zeros(len(self.nodes), np.int64), np.arange(len(self.nodes))
         strip = max(1, COSINES // max(1, len(self.nodes)))
-        for lo in range(0, len(self.nodes), strip):
+        for lo in range(0, len(self.nodes) if inside else 0, strip):
             link = self.x[lo : lo + strip] @ self.x.T >= threshold
             own = lo + np.arange(len(link))
             link[np.arange(len(link)), own] = False
@@ -191,15 +205,15 @@ class Residents:
             self.root = to[self.root]
 
     def meet(self, nodes: list[bytes], copies: np.ndarray, x: np.ndarray, threshold: float) -> Iterator[tuple[bytes, bytes, int]]:
-        """Ties of visitors to a resident each."""
+        """What streams past, tied to one of those held each, with its links."""
         strip = max(1, COSINES // len(self.nodes))
         for lo in range(0, len(nodes), strip):
             link = x[lo : lo + strip] @ self.x.T >= threshold
             self.links += copies[lo : lo + strip] @ link
             self.unite(link)
-            near = link.argmax(1)
-            for i in np.flatnonzero(link.any(1)):
-                yield nodes[lo + i], self.nodes[near[i]], 0
+            near, own = link.argmax(1), link @ self.copies
+            for i in np.flatnonzero(own):
+                yield nodes[lo + i], self.nodes[near[i]], int(own[i])
 
     def ties(self) -> Iterator[tuple[bytes, bytes, int]]:
         for i in np.flatnonzero(self.links):
@@ -207,7 +221,7 @@ class Residents:
 
 
 def _joiner(dim: int, threshold: float):
-    """Over rows sorted by block and visits."""
+    """Over rows sorted by pair and side."""
 
     def batch_of(rows: list) -> pa.RecordBatch:
         a, b, links = zip(*rows)
@@ -215,35 +229,41 @@ def _joiner(dim: int, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: Residents | None = None
+        inside = False
+
+        def left() -> list:
+            """The ties of the pair that ends here."""
+            if at is None:
+                return []
+            if at.x is None and inside:
+                at.settle(dim, threshold, inside)
+            return [] if at.x is None else list(at.ties())
+
         for batch in batches:
-            k = np.array([_column(batch, c) for c in ("block", "visits")]).reshape(2, -1)
+            k = np.array([_column(batch, c) for c in ("pair", "side")]).reshape(2, -1)
             cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
-                part, (block, visits) = batch.slice(lo, hi - lo), k[:, lo].tolist()
+                part, (pair, side) = batch.slice(lo, hi - lo), k[:, lo].tolist()
                 nodes, copies, raws = (_column(part, c) for c in ("node", "copies", "raw"))
-                if at is None or at.key != block:
-                    if at:
-                        if at.x is None:
-                            at.settle(dim, threshold)
-                        if rows := list(at.ties()):
-                            yield batch_of(rows)
-                    at = Residents(block)
-                if not visits:
+                if at is None or at.key != pair:
+                    if rows := left():
+                        yield batch_of(rows)
+                    at, inside = Residents(pair), side == 0
+                if side < 2:
                     at.nodes += nodes
                     at.copies += copies
                     at.raws += raws
                     continue
+                if not at.nodes:
+                    continue  # nothing of the other block could be near
                 if at.x is None:
-                    at.settle(dim, threshold)
-                if len(at.nodes) and (rows := list(at.meet(nodes, np.asarray(copies, np.int64), unit(raws, dim), threshold))):
+                    at.settle(dim, threshold, inside)
+                if rows := list(at.meet(nodes, np.asarray(copies, np.int64), unit(raws, dim), threshold)):
                     yield batch_of(rows)
-        if at:
-            if at.x is None:
-                at.settle(dim, threshold)
-            if rows := list(at.ties()):
-                yield batch_of(rows)
+        if rows := left():
+            yield batch_of(rows)
 
     return run
 
@@ -267,10 +287,12 @@ def embedding_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     for (dim, n) in sorted((r["dim"], r["n"]) for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):
         own = nodes.where(F.col("dim") == dim).select("node", "copies", "raw")
         pivots = pivots_for(own, dim, n)
-        at_once = -(-n // max(1, int(np.ceil(np.sqrt(own.sparkSession.sparkContext.defaultParallelism)))))
+        at_once = -(-n // max(1, int(np.ceil(np.sqrt(2 * own.sparkSession.sparkContext.defaultParallelism)))))
         size = min(BLOCK, max(1, BLOCK_BYTES // (8 * dim)), max(LEAST, at_once))
-        dealt = own.mapInArrow(_dealer(pivots, residents(own, pivots, dim), reach, dim, size), "block int, visits int, node binary, copies bigint, raw binary")
-        joined = dealt.repartition(max(1, min(-(-2 * n // size), 1 << 20)), "block").sortWithinPartitions("block", "visits").mapInArrow(_joiner(dim, threshold), "a binary, b binary, links bigint")
+        blocks = -(-n // size)
+        tasks = min(blocks * (blocks + 1) // 2, MOST_TASKS)
+        dealt = own.mapInArrow(_dealer(pivots, residents(own, pivots, dim), reach, dim, size), "pair bigint, side int, node binary, copies bigint, raw binary")
+        joined = dealt.repartitionById(tasks, (F.col("pair") % tasks).cast("int")).sortWithinPartitions("pair", "side").mapInArrow(_joiner(dim, threshold), "a binary, b binary, links bigint")
         found = found.unionByName(joined)
     return classes(rows, nodes, written(found, "found"))
 
