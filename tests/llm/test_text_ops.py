@@ -628,3 +628,29 @@ def test_language_scores_are_a_plain_forward_pass():
 )
 def test_html_captions_and_teasers(page, text):
     assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("way", [
+    lambda t: "".join(f"%u{ord(c):04x}" for c in t),
+    lambda t: "".join(f"\\{ord(c):03o}" for c in t),
+    lambda t: t.replace("=", "&equals;").replace("_", "&lowbar;"),
+    lambda t: base64.b64encode(t.encode("utf-16-le")).decode(),
+    lambda t: base64.b64encode(t.encode("utf-16")).decode(),
+    lambda t: base64.b64encode(t.encode("utf-16-be")).decode(),
+    lambda t: base64.b64encode("".join(f"\\{ord(c):03o}" for c in t).encode()).decode(),
+    lambda t: urllib.parse.quote("".join(f"%u{ord(c):04x}" for c in t)),
+    lambda t: "".join(f"&#{ord(c)};" for c in t).replace("&", "&amp;"),
+    lambda t: base64.b64encode(t.replace("=", "&equals;").encode()).decode(),
+])
+def test_escapes_of_other_kinds(way):
+    """Where the findings come from: inside the escaped stretch, at its very place for escapes of single characters."""
+    text = f"see {way('api_key=Zq81hTw0')} end"
+    found = {f for _, own, _ in secret_scan.layers(text) for f in own}
+    assert {k for k, *_ in found} == {"assign"} and all(4 <= a and b <= len(text) - 4 for _, a, b in found)
+    if not re.fullmatch(r"see [A-Za-z0-9+/=]+ end", text):
+        assert ("assign", 4, len(text) - 4) in found
+
+
+def test_what_only_looks_escaped_is_left_alone():
+    for text in (r"C:\100\data password", "R&D; AT&T &unknown; token", "100%unit secret", "&equals; &amp; &lt;b&gt; \\101 only one"):
+        assert not [f for _, own, _ in secret_scan.layers(text) for f in own]

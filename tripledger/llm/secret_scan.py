@@ -1,6 +1,6 @@
 """Secret scans through nested encodings.
 
-Each text is a worklist of layers. The text itself is scanned first; then percent escapes, Unicode escapes and
+Each text is a worklist of layers. The text itself is scanned first; then percent escapes, Unicode, octal and character references and
 base64 runs (compressed contents are inflated) are unwrapped in turn, each unwrapped layer is scanned again, and
 the rounds go on until no decoder changes anything or a layer repeats. Runs of a layer know the
 stretch of the original text they came from, so each finding is reported in the original's code points.
@@ -24,6 +24,7 @@ import itertools
 import re
 from collections import deque
 from collections.abc import Callable, Iterator
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # 20 characters or more
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+#: Named references to one ASCII character, as HTML has them.
+REFERENCES = {name[:-1]: ord(c) for name, c in html5.items() if name.endswith(";") and len(name) <= 11 and len(c) == 1 and c < "\x80"}
+OCTAL = r"\\[0-3][0-7]{2}"  # counts where two or more stand together
+UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|%u[0-9A-Fa-f]{4}"
+                     rf"|&(?:{'|'.join(sorted(REFERENCES))});|{OCTAL}(?={OCTAL})|(?<={OCTAL}){OCTAL}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])")
 
 #: A compressed layer that inflates to more bytes than this is scanned as a stream, in windows of this size (``windows``).
@@ -79,6 +84,8 @@ ONE_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ENDED, ENDINGS = re.compile(rf"(?:%[0-9A-Fa-f]{{2}}|{UNICODE.pattern})$"), frozenset("0123456789abcdefABCDEF;}")
 MAGIC = re.compile(r"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
 MAGIC_B = re.compile(MAGIC.pattern.encode("latin-1"))
+# ASCII characters of two bytes each, in either order; the shortest finding has 12.
+UTF16_B = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}|(?:\0[\t\n\r\x20-\x7e]){12,}")
 NAMED = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "\\": 92, "'": 39, '"': 34}
 PIECE = 1 << 20
 
@@ -250,7 +257,7 @@ def streams(raw: bytes, depth: int) -> Iterator[tuple[int, int, Iterator[tuple[i
 
 
 def escaped_byte(token: str) -> bytes:
-    if token[0] == "%":
+    if token[0] == "%" and token[1] != "u":
         return bytes.fromhex(token[1:])
     if token[0] == "\\" and token[1] in NAMED:
         return bytes([NAMED[token[1]]])
@@ -305,7 +312,7 @@ def contents(raw: bytes, depth: int, seen: set[bytes]) -> Iterator[Within]:
                 plain.append(ONE_PERCENT_B.sub(lambda m: bytes.fromhex(m[0][1:].decode()), raw))
                 if b"+" in raw:
                     plain.append(ONE_PERCENT_B.sub(lambda m: bytes.fromhex(m[0][1:].decode()), raw.replace(b"+", b" ")))
-            if (b"\\" in raw or b"&#" in raw) and ESCAPE_B.search(raw):
+            if (b"\\" in raw or b"&" in raw or b"%u" in raw) and ESCAPE_B.search(raw):
                 plain.append(ESCAPE_B.sub(lambda m: escaped_byte(m[0].decode()), raw))
         work.extend((p, depth + 1, rounds + 1) for p in plain[1:])
         for k, own in enumerate(plain):
@@ -317,6 +324,8 @@ def contents(raw: bytes, depth: int, seen: set[bytes]) -> Iterator[Within]:
                         work.append((window, d, 0))
                     else:  # a stream's windows are gone through as they come
                         yield from contents(window, d, seen)
+        if b"\0" in raw:
+            work.extend((m[0].replace(b"\0", b""), depth + 1, 0) for m in UTF16_B.finditer(raw))
         for pattern in BASE64_RUNS_B:
             for m in pattern.finditer(raw):
                 for inner in decoded(BREAK_B.sub(b"", m[0])):
@@ -343,7 +352,7 @@ def peeled(text: str) -> tuple[str, list[int]] | None:
         out.append(c)
         came.append(i)
         while out[-1] in ENDINGS and (m := ENDED.search("".join(out[-12:]))):
-            got = chr(int(m[0][1:], 16)) if m[0][0] == "%" else (from_unicode(m[0]) or [("\ufffd", 0, 0)])[0][0]
+            got = chr(int(m[0][1:], 16)) if m[0][0] == "%" and m[0][1] != "u" else (from_unicode(m[0]) or [("\ufffd", 0, 0)])[0][0]
             at = came[-len(m[0])]
             del out[-len(m[0]) :], came[-len(m[0]) :]
             out.append(got)
@@ -432,7 +441,7 @@ def branches(text: str, spans: Spans, depth: int, tried: set) -> Iterator[tuple[
     ways: list[tuple[str, re.Pattern | None]] = [(text, None)]
     if PERCENT.search(text):
         ways += [(text, ONE_PERCENT)] + [(text.replace("+", " "), ONE_PERCENT)] * ("+" in text)
-    if ("\\" in text or "&#" in text) and ESCAPE.search(text):
+    if ("\\" in text or "&" in text or "%u" in text) and ESCAPE.search(text):
         ways.append((text, ESCAPE))
     for own, pattern in ways:
         if pattern is None:
@@ -482,11 +491,15 @@ def from_percent(token: str) -> list[Piece] | None:
 def from_unicode(token: str) -> list[Piece] | None:
     if token.startswith("&#"):
         code = int(token[3:-1], 16) if token[2] in "xX" else int(token[2:-1])
+    elif token[0] == "&":
+        code = REFERENCES[token[1:-1]]
+    elif token[1] in "0123":
+        code = int(token[1:], 8)
     elif token.count("\\u") == 2:
         high, low = int(token[2:6], 16), int(token[8:12], 16)
         code = 0x10000 + ((high - 0xD800) << 10) + (low - 0xDC00)
     else:
-        code = int(token.strip("\\uUx{}"), 16)
+        code = int(token.strip("%\\uUx{}"), 16)
     if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF:
         return None
     return [(chr(code), 0, len(token))]
