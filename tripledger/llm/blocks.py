@@ -12,7 +12,7 @@ part is made again from the input. An input that is not just files, whose rows c
 time, is written to the shared folder first. A block is named by where its first row stands and what it holds.
 
 A bucket's share of the vocabulary is held by its task in a dictionary of bounded size: there are the more buckets the
-larger the input, and a dictionary that grows beyond ``KNOWN_BYTES`` all the same starts anew.
+larger the input, up to a number, and a dictionary that grows beyond ``KNOWN_BYTES`` all the same starts anew.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ from tripledger.llm.common import lean, rereadable, shuffle_partitions, size_in_
 
 BLOCK_CHARS = 6_000_000
 #: Input, as stored, for each bucket and each task; and the most that a task's dictionary holds.
-BUCKET_BYTES, KNOWN_BYTES, MOST_BUCKETS = 24 << 20, 64 << 20, 1 << 16
+BUCKET_BYTES, KNOWN_BYTES = 24 << 20, 64 << 20
+#: Buckets at most, so that a block's rows stay as many and some 400 bytes each, however large the input; dictionaries of KNOWN_BYTES in so many tasks hold about a billion words.
+MOST_BUCKETS = 4096
 
 #: Rows of either kind: a block's numbered texts (bucket -1), or its words of a bucket and later their values.
 SCHEMA = "block string, bucket int, ids array<string>, n_bytes array<bigint>, n_codes array<int>, codes binary, freqs binary, dealt binary, lengths binary, data binary"
