@@ -96,6 +96,21 @@ def test_series_over_batches_equal_the_batch_twin(spark, parts, tmp_path):
     assert want and sorted(map(tuple, s.earnings_series().select("zone_id", "age", "point").collect())) == sorted(map(tuple, want))
 
 
+@pytest.mark.parametrize("name", ["earnings", "activity", "series", "alive"])
+def test_a_batch_that_was_written_but_not_committed(spark, parts, tmp_path, name):
+    """The driver is lost between the view and the commit: the batch comes again, the view stays, and the query goes on."""
+    s = layer(spark, parts, tmp_path)
+    jobs.finished(s.start([name]))
+    rows = lambda: sorted(map(str, s.view(name).read().drop("vehicles").collect()))
+    want = rows()
+    commits = tmp_path / "_checkpoints" / name / "commits"
+    last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+    for f in (commits / str(last), commits / f".{last}.crc"):
+        f.unlink(missing_ok=True)
+    jobs.finished(s.start([name]))
+    assert want and rows() == want and (commits / str(last)).exists()
+
+
 def test_reconciliation_from_state_equals_that_from_the_view(spark, parts, tmp_path):
     """The deltas of the state's windows, and of the view's; and the state as it was after an earlier batch."""
     s = layer(spark, parts, tmp_path, "30 days")

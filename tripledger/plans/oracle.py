@@ -194,6 +194,7 @@ _PNL = f"""vehicle_id, {_D}, trips, round(telemetry_distance_km, 6) AS telemetry
 #: What each query selects after the prelude.
 SELECTS = {
     "scan_day": f"SELECT event_id, vehicle_id, status, {_D}, source_partition, source_offset FROM valid WHERE sim_date = DATE '2024-01-15'",
+    "stream_replay": "SELECT epoch(window_end)::BIGINT AS window_end_s, zone_id, earnings, completed_trips FROM earn",
     "read_expenses": f"SELECT vehicle_id, fuel_cost, maintenance_cost, partner_distance_km, service_flag, partner_id, {_D} FROM exp",
     "stream_profile": """SELECT count(*) AS n_rows, count(*) FILTER (lat IS NULL OR lon IS NULL) AS null_coordinates, count(*) FILTER (trip_id IS NULL) AS null_trips, 0::BIGINT AS wrong_keys,
         epoch_us(min(event_time)) AS first_event_us, epoch_us(max(event_time)) AS last_event_us, count(*) FILTER (status = 'idle') AS n_idle, count(*) FILTER (status = 'enroute') AS n_enroute,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -471,6 +473,13 @@ def q_stream_series(t: Tables) -> DataFrame:
     return speed_layer(t, ["series"]).earnings_series()
 
 
+def q_stream_replay(t: Tables) -> DataFrame:
+    """The whole stream once more with its checkpoint lost: what the view has of a batch stays as it is, and sums do not grow."""
+    layer = speed_layer(t, ["earnings"])
+    jobs.finished(replace(layer, checkpoints=scratch(t.spark, "checkpoints")).start(["earnings"]))
+    return layer.earnings_windows().select(end_s(), "zone_id", "earnings", "completed_trips")
+
+
 def q_reconcile_state(t: Tables) -> DataFrame:
     """The hours against what the stream's state holds, read from its checkpoint."""
     ends = held.hour_ends(speed_layer(t, ["series"]).earnings_in_state())
@@ -646,6 +655,7 @@ QUERIES = {
     "stream_late_rows": q_stream_late,
     "stream_late_side": q_stream_late_side,
     "stream_zone_earnings_series": q_stream_series,
+    "stream_replay": q_stream_replay,
     "reconcile_state": q_reconcile_state,
     "stream_rejections": q_stream_rejections,
     "stream_alive": q_stream_alive,

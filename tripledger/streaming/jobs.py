@@ -43,6 +43,10 @@ class SpeedLayer:
     root: str
     trigger: dict
     watermark: str = utilization.WATERMARK
+    checkpoints: str | None = None  # where the queries keep theirs, if not under root
+
+    def checkpoint(self, name: str) -> str:
+        return f"{self.checkpoints or self.root + '/_checkpoints'}/{name}"
 
     def checked(self) -> DataFrame:
         """With each batch's rows by rejection reason counted in passing, for the progress listener."""
@@ -56,11 +60,11 @@ class SpeedLayer:
         return f"{self.root}/{name}"
 
     def _append(self, name: str, rows: DataFrame, partition: str | None = None) -> StreamingQuery:
-        writer = rows.writeStream.queryName(name).format("parquet").outputMode("append").option("checkpointLocation", f"{self.root}/_checkpoints/{name}").option("path", self.path(name))
+        writer = rows.writeStream.queryName(name).format("parquet").outputMode("append").option("checkpointLocation", self.checkpoint(name)).option("path", self.path(name))
         return (writer.partitionBy(partition) if partition else writer).trigger(**self.trigger).start()
 
     def _each_batch(self, name: str, rows: DataFrame, mode: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
-        return rows.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{self.root}/_checkpoints/{name}").foreachBatch(write).trigger(**self.trigger).start()
+        return rows.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", self.checkpoint(name)).foreachBatch(write).trigger(**self.trigger).start()
 
     #: What makes one row of a key's rows, for each view.
     VIEWS = {
@@ -176,7 +180,7 @@ class SpeedLayer:
 
     def earnings_in_state(self, batch: int | None = None) -> DataFrame:
         """What the series' processor holds, without the view."""
-        return held.earnings_held(self.spark, f"{self.root}/_checkpoints/series", batch=batch)
+        return held.earnings_held(self.spark, self.checkpoint("series"), batch=batch)
 
     def newest_vehicles(self) -> DataFrame:
         return self.view("vehicles").read()

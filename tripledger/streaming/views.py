@@ -58,6 +58,8 @@ class LeveledView:
     def add(self, rows: DataFrame, batch: int) -> None:
         before = folders.newest(self.spark, f"{self.root}/_manifests")
         if before is not None and before >= batch:
+            # Nothing to write, but the state of the operators before this has to move on, which Spark insists upon.
+            rows.write.format("noop").mode("overwrite").save()
             return
         runs = self.runs()
         runs.append(self._run(0, batch, batch, rows.withColumn("batch", F.lit(batch).cast("bigint"))))
