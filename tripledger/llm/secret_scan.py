@@ -41,9 +41,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 #: Named references to one ASCII character, as HTML has them.
 REFERENCES = {name[:-1]: ord(c) for name, c in html5.items() if name.endswith(";") and len(name) <= 11 and len(c) == 1 and c < "\x80"}
-OCTAL = r"\\[0-3][0-7]{2}"  # counts where two or more stand together
-UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|%u[0-9A-Fa-f]{4}"
-                     rf"|&(?:{'|'.join(sorted(REFERENCES))});|{OCTAL}(?={OCTAL})|(?<={OCTAL}){OCTAL}")
+ONE_UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|%u[0-9A-Fa-f]{4}"
+                         rf"|&(?:{'|'.join(sorted(REFERENCES))});")
+# Octal escapes count where two or more stand together.
+UNICODE = re.compile(ONE_UNICODE.pattern + r"|(?:\\[0-3][0-7]{2}){2,}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])")
 
 #: A compressed layer that inflates to more bytes than this is scanned as a stream, in windows of this size (``windows``).
@@ -78,10 +79,10 @@ BREAK = re.compile(rf"\\r\\n|\\n|[^\\{B64}]+")
 BREAK_B = re.compile(BREAK.pattern.encode())
 BASE64_RUNS = tuple(re.compile(p) for p in (RUN, WRAPPED))
 BASE64_RUNS_B = tuple(re.compile(p.encode()) for p in (RUN, WRAPPED))
-ESCAPE = re.compile(UNICODE.pattern + r"|\\[0-7]{1,3}|\\[abfnrtv\\'\"]")
+ESCAPE = re.compile(ONE_UNICODE.pattern + r"|\\[0-7]{1,3}|\\[abfnrtv\\'\"]")
 ASSIGN_B, ACCESS_B, HEX_B, PERCENT_B, ESCAPE_B = (re.compile(p.pattern.encode(), p.flags & re.IGNORECASE) for p in (ASSIGN, ACCESS, HEX, PERCENT, ESCAPE))
 ONE_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
-ENDED, ENDINGS = re.compile(rf"(?:%[0-9A-Fa-f]{{2}}|{UNICODE.pattern})$"), frozenset("0123456789abcdefABCDEF;}")
+ENDED, ENDINGS = re.compile(rf"(?:%[0-9A-Fa-f]{{2}}|{ONE_UNICODE.pattern})$"), frozenset("0123456789abcdefABCDEF;}")
 MAGIC = re.compile(r"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
 MAGIC_B = re.compile(MAGIC.pattern.encode("latin-1"))
 # ASCII characters of two bytes each, in either order; the shortest finding has 12.
@@ -439,7 +440,7 @@ def branches(text: str, spans: Spans, depth: int, tried: set) -> Iterator[tuple[
                 yield from told(contents(raw, depth + 1, set()), m.start(), m.end())
                 yield from told(unpacked(headless(raw, depth + 2), set()), m.start(), m.end())
     ways: list[tuple[str, re.Pattern | None]] = [(text, None)]
-    if PERCENT.search(text):
+    if occurs(PERCENT, text):
         ways += [(text, ONE_PERCENT)] + [(text.replace("+", " "), ONE_PERCENT)] * ("+" in text)
     if ("\\" in text or "&" in text or "%u" in text) and ESCAPE.search(text):
         ways.append((text, ESCAPE))
@@ -494,7 +495,7 @@ def from_unicode(token: str) -> list[Piece] | None:
     elif token[0] == "&":
         code = REFERENCES[token[1:-1]]
     elif token[1] in "0123":
-        code = int(token[1:], 8)
+        return [(chr(int(token[i + 1 : i + 4], 8)), i, i + 4) for i in range(0, len(token), 4)]
     elif token.count("\\u") == 2:
         high, low = int(token[2:6], 16), int(token[8:12], 16)
         code = 0x10000 + ((high - 0xD800) << 10) + (low - 0xDC00)
@@ -520,8 +521,16 @@ def from_base64(token: str) -> list[Piece] | None:
 DECODERS: tuple[tuple[re.Pattern, Callable], ...] = ((PERCENT, from_percent), (UNICODE, from_unicode), (BASE64, from_base64))
 
 
+def occurs(pattern: re.Pattern, text: str) -> bool:
+    """Whether there is something to undo; most texts have none of the marks, which are found faster than a pattern."""
+    marks = ("%",) if pattern is PERCENT else ("\\", "&", "%u") if pattern is UNICODE else ("",)
+    return any(m in text for m in marks) and pattern.search(text) is not None
+
+
 def unwrapped(text: str, spans: Spans, pattern: re.Pattern, decode: Callable) -> tuple[str, Spans] | None:
     """The next layer with its map into the original, or None where nothing was decoded. Layers too large for this are left to branches."""
+    if not occurs(pattern, text):
+        return None
     out, to, at, changed = [], Spans(), 0, False
     for m in pattern.finditer(text):
         try:
@@ -569,7 +578,7 @@ def layers(text: str) -> Iterator[tuple[int, list[Found], int]]:
     spans.add(len(text), 0, len(text), True)
     tried: set = set()
     yield from branches(text, spans, 0, tried)
-    if not any(pattern.search(text) for pattern, _ in DECODERS):
+    if not any(occurs(pattern, text) for pattern, _ in DECODERS):
         return
     seen, depth, rounds, moved = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}, 0, 0, True
     while moved:
