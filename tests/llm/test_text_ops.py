@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import lzma
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -563,6 +564,56 @@ def test_toxicity_learns_within_its_bounds(spark):
     assert 0 <= toxicity.train(many, lab, max_terms=100).score("Insult") <= 1
 
 
+def test_toxicity_holds_its_sample_packed():
+    """600,000 entries of 50,000 terms that tell nothing: the driver may take eight times their packed size, whatever BUCKETS is."""
+
+    def rows():
+        rng = np.random.default_rng(8)
+        for _ in range(2000):
+            yield np.unique(rng.choice(50_000, 300, replace=False) * 80).astype(np.int32)
+
+    labels = [i % 2 for i in range(2000)]
+    toxicity.fitted((np.array([k], np.int32) for k in (1, 2)), [0, 1])  # what is loaded once does not count
+    tracemalloc.start()
+    try:
+        m = toxicity.fitted(rows(), labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(m.terms) <= 2 and peak < 8 * 4 * 600_000
+
+
+def test_toxicity_takes_its_sample_in_pieces(spark, monkeypatch):
+    """Whatever a piece holds, the same rows are learnt from, also those of a bound that ends inside a piece."""
+    docs, labels = labelled(400)
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for bounds in ({}, {"max_rows": 150}, {"max_terms": 5000}):
+        monkeypatch.setattr(toxicity, "PIECE", 1 << 20)
+        whole = toxicity.train(d, lab, **bounds)
+        monkeypatch.setattr(toxicity, "PIECE", 3000)
+        cut = toxicity.train(d, lab, **bounds)
+        assert np.array_equal(whole.terms, cut.terms) and whole.bias == cut.bias and np.array_equal(whole.factors, cut.factors)
+
+
+def test_the_sample_by_term_is_the_sample_by_row(monkeypatch):
+    """Lots of rows, some of them empty, against plain Python."""
+    monkeypatch.setattr(toxicity, "LOT", 7)
+    rng = np.random.default_rng(9)
+    given = [np.flatnonzero(rng.random(40) < rng.choice([0, 0.1, 0.6])).astype(np.int32) for _ in range(100)]
+    pairs = [(r, i % 2) for i, r in enumerate([*given, *given[:16], *given[17:30]])]  # the first repeat their labels, the others do not
+    rows, y = toxicity.distinct(pairs)
+    want = list(dict.fromkeys((tuple(r.tolist()), k) for r, k in pairs))
+    assert [(tuple(rows.terms[a:b].tolist()), k) for a, b, k in zip(rows.ends, rows.ends[1:], y)] == want
+    terms, numbers = np.arange(0, 40, 3), rng.permutation(14)
+    kept = rows.among(terms, numbers)
+    assert [sorted(kept.terms[a:b].tolist()) for a, b in zip(kept.ends, kept.ends[1:])] == [sorted(int(numbers[t // 3]) for t in r if t % 3 == 0) for r, _ in want]
+    n = [sum(t in r for r, _ in want) for t in terms[np.argsort(numbers)]]
+    of = toxicity.Columns(kept, y, np.array(n))
+    assert of.dense(0, 14).tolist() == [[float(t in r) for t in terms[np.argsort(numbers)]] for r, _ in want]
+    some = np.flatnonzero(y == 1)
+    assert rows.counts(some, np.arange(40)).tolist() == [sum(t in want[i][0] for i in some) for t in range(40)]
+
+
 def test_languages(spark):
     rng = np.random.default_rng(1)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ich"], "cc": ["ção", "nha", "é"]}

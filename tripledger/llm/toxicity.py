@@ -9,12 +9,16 @@ gather chance weight: a term is taken if its presence depends on the label, and
 joint presence tells more than what is known of each, such as two terms that are neutral by themselves. All pairs of
 terms that are frequent enough to pass at all are tested, in tiles that Spark deals to its tasks. The pull on the
 factors is chosen on rows kept back. Scoring reads every whole text on the executors.
+
+The sample comes to the driver in pieces and lies there once, as 32-bit numbers in one array; what is made of it is made lot by lot.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripledger.llm.blocks import gathered
-from tripledger.llm.common import lean
+from tripledger.llm.common import lean, written
 
 #: At most so many labelled rows are learnt from, and so many (row, term) entries: those with the lowest hashes.
 TRAIN_ROWS, TRAIN_TERMS = 20_000, 6_000_000
+#: The sample's bytes that come to the driver at once, about, and its rows that are worked on at once.
+PIECE, LOT = 1 << 20, 512
 BUCKETS = 1 << 22
 #: Added to the tests' bounds: the chance that any unrelated term, or pair, passes is about exp(-MARGIN / 2).
 MARGIN = 6.0
@@ -58,11 +64,38 @@ def _sigmoid(m):
 
 
 class Rows:
-    """Sparse 0/1 rows: the numbers of each row's terms, one row after the other."""
-
-    def __init__(self, rows: list[np.ndarray]):
-        self.ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        self.terms = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
+    """Sparse 0/1 rows: the numbers of each row's terms, one row after the other; ends has one more than there are rows."""
+
+    def __init__(self, terms: np.ndarray, ends: np.ndarray):
+        self.terms, self.ends = terms, ends
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def lots(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For lots of rows: the first one's number, the entries' terms, and the ends counted from the lot's own start."""
+        for lo in range(0, len(self), LOT):
+            ends = self.ends[lo : lo + LOT + 1]
+            yield lo, self.terms[ends[0] : ends[-1]], ends - ends[0]
+
+    def among(self, terms: np.ndarray, numbers: np.ndarray | None = None) -> Rows:
+        """The entries that are among some ascending terms, each as its place there, or as the number at that place."""
+        packed, n = array("i"), [np.zeros(1, np.int64)]
+        for _, part, ends in self.lots():
+            at = np.searchsorted(terms, part)
+            found = terms[np.minimum(at, len(terms) - 1)] == part if len(terms) else np.zeros(len(part), bool)
+            n.append(np.diff(np.concatenate([[0], np.cumsum(found)])[ends]))
+            at = at[found] if numbers is None else numbers[at[found]]
+            packed.frombytes(at.astype(np.int32).tobytes())
+        return Rows(np.frombuffer(packed, np.int32), np.cumsum(np.concatenate(n)))
+
+    def counts(self, which: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """How many of some rows hold each of the ascending terms, which are all that these rows have."""
+        n = np.zeros(len(terms), np.int64)
+        for lo in range(0, len(which), LOT):
+            found, times = np.unique(self.lot(which[lo : lo + LOT])[1], return_counts=True)
+            n[np.searchsorted(terms, found)] += times
+        return n
 
     def lot(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The entries of some rows: for each the row's place in the lot, and its term."""
@@ -111,13 +144,20 @@ def dependent_terms(n: np.ndarray, pos: np.ndarray, total: int, positives: int)
 
 
 class Columns:
-    """The same rows by term: the rows that hold each term."""
+    """The same rows by term: the rows that hold each term, ascending."""
 
-    def __init__(self, rows: Rows, y: np.ndarray, n_terms: int):
-        order = np.argsort(rows.terms, kind="stable")
-        self.rows = np.repeat(np.arange(len(y)), np.diff(rows.ends))[order].astype(np.int32)
-        self.starts = np.searchsorted(rows.terms[order], np.arange(n_terms + 1))
+    def __init__(self, rows: Rows, y: np.ndarray, n: np.ndarray):
+        """n: how many rows hold each term."""
+        self.starts = np.concatenate([[0], np.cumsum(n)])
+        self.rows = np.empty(len(rows.terms), np.int32)
         self.y = y.astype(bool)
+        free = self.starts[:-1].copy()
+        for lo, part, ends in rows.lots():
+            order = np.argsort(part, kind="stable")
+            found, times = np.unique(part, return_counts=True)
+            place = np.arange(len(part)) + np.repeat(free[found] - np.cumsum(times) + times, times)
+            self.rows[place] = lo + np.repeat(np.arange(len(ends) - 1), np.diff(ends))[order]
+            free[found] += times
 
     def dense(self, lo: int, hi: int) -> np.ndarray:
         out = np.zeros((len(self.y), hi - lo), np.float32)
@@ -141,16 +181,14 @@ def interacting(of: Columns, known: np.ndarray, share: np.ndarray, bound: float,
     return np.unique(np.concatenate([i + lo, j + lo2]))
 
 
-def chosen_terms(rows: list[np.ndarray], y: np.ndarray, spark: SparkSession | None = None) -> np.ndarray:
+def chosen_terms(rows: Rows, y: np.ndarray, spark: SparkSession | None = None) -> np.ndarray:
     """The hashed terms that carry weights; spark deals the tiles of pairs, without it they are gone through in turn."""
-    y = np.asarray(y, int)
     if not len(rows) or not 0 < y.sum() < len(y):
         return np.empty(0, np.int32)
-    whole = Rows(rows)
-    hit = np.repeat(y, np.diff(whole.ends)) == 1
-    n, pos = np.bincount(whole.terms, minlength=BUCKETS), np.bincount(whole.terms[hit], minlength=BUCKETS)
+    vocabulary, n = np.unique(rows.terms, return_counts=True)
+    pos = rows.counts(np.flatnonzero(y == 1), vocabulary)
     often = np.flatnonzero(n >= 3)
-    known = np.zeros(BUCKETS, bool)
+    known = np.zeros(len(vocabulary), bool)
     known[often[dependent_terms(n[often], pos[often], len(y), int(y.sum()))]] = True
     # A pair passes at best if the label that its known part makes the less likely is that of all its rows.
     bound = 2 * np.log(max(2.0, len(often) ** 2 / 2)) + MARGIN
@@ -163,9 +201,8 @@ def chosen_terms(rows: list[np.ndarray], y: np.ndarray, spark: SparkSession | No
     groups = [np.flatnonzero(known), np.flatnonzero(free & ~known), np.flatnonzero(beside & ~free & ~known) if known.any() else np.empty(0, np.int64)]
     tested = np.concatenate(groups)
     ends = np.cumsum([len(g) for g in groups])
-    number = np.full(BUCKETS, -1, np.int64)
-    number[tested] = np.arange(len(tested))
-    kept = Columns(Rows([x[x >= 0] for x in (number[r] for r in rows)]), y, len(tested))
+    order = np.argsort(tested)
+    kept = Columns(rows.among(vocabulary[tested[order]], order), y, n[tested])
     of = (kept, known[tested], np.where(known[tested], share[tested], overall), bound)
     cuts = sorted({0, *ends.tolist(), *range(0, len(tested), TILE)})
     strips = list(zip(cuts, cuts[1:]))
@@ -173,7 +210,7 @@ def chosen_terms(rows: list[np.ndarray], y: np.ndarray, spark: SparkSession | No
     tiles = [(*a, *b) for k, a in enumerate(strips) if a[0] < ends[1] for b in strips[k:] if a[0] < ends[0] or b[0] < ends[1]]
     found = _on_spark(spark, of, tiles) if spark and len(tiles) > 1 else [interacting(*of, *t) for t in tiles]
     known[tested[np.unique(np.concatenate([np.empty(0, np.int64), *found])).astype(np.int64)]] = True
-    return np.flatnonzero(known).astype(np.int32)
+    return vocabulary[known].astype(np.int32)
 
 
 def _on_spark(spark: SparkSession, of: tuple, tiles: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
@@ -228,17 +265,32 @@ def _loss(m: Machine, rows: Rows, y: np.ndarray, which: np.ndarray) -> float:
     return float((-np.log(p) * np.where(y[which] == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))).mean())
 
 
-def fitted(rows: list[np.ndarray], labels: list[int], spark: SparkSession | None = None) -> Machine:
-    """The machine for rows of distinct hashed terms; rows that repeat terms and label count once."""
-    once: dict[tuple[bytes, int], np.ndarray] = {}
-    for r, k in zip(rows, labels):
-        once.setdefault((r.tobytes(), int(k)), r)
-    rows, y = list(once.values()), np.array([k for _, k in once], int)
+def distinct(labelled: Iterable[tuple[np.ndarray, int]]) -> tuple[Rows, np.ndarray]:
+    """Rows of distinct hashed terms, ascending, and their labels, taken one by one; rows that repeat terms and label count once."""
+    seen: set[tuple[bytes, int]] = set()
+    terms, ends, y = array("i"), [0], []
+    for r, k in labelled:
+        packed = np.asarray(r, np.int32).tobytes()
+        key = (hashlib.blake2b(packed, digest_size=16).digest(), int(k))
+        if key not in seen:
+            seen.add(key)
+            terms.frombytes(packed)
+            ends.append(len(terms))
+            y.append(int(k))
+    return Rows(np.frombuffer(terms, np.int32), np.array(ends, np.int64)), np.array(y, int)
+
+
+def fitted(rows: Iterable[np.ndarray], labels: Iterable[int], spark: SparkSession | None = None) -> Machine:
+    """The machine for rows of distinct hashed terms, ascending."""
+    return machine_of(*distinct(zip(rows, labels)), spark)
+
+
+def machine_of(rows: Rows, y: np.ndarray, spark: SparkSession | None = None) -> Machine:
     terms = chosen_terms(rows, y, spark)
     share = (y.sum() + 0.5) / (len(y) + 1)
     if not len(terms):
         return Machine(terms, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-    own = Rows([np.searchsorted(terms, np.intersect1d(r, terms, assume_unique=True)) for r in rows])
+    own = rows.among(terms)
     order = np.random.default_rng(SEED).permutation(len(y))
     back, learn = order[: len(y) // 5], order[len(y) // 5 :]
     decay = PAIR_DECAYS[0]
@@ -268,16 +320,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     meets = docs.select(F.col(id_col).alias("_id")).join(F.broadcast(sample), "_id").count()
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
     joined = joined.select(F.xxhash64("_id", "_text").alias("_hash"), "_y", "_text").where(low(F.col("_hash"), min(1.0, 1.1 * max_rows / max(1, meets))))
-    got = joined.mapInArrow(featured, "_hash bigint, _y int, terms binary").groupBy("_hash", "_y", "terms").count().orderBy("_hash", "_y", "terms")
-    rows, y, held = [], [], 0
-    for r in got.toLocalIterator():
+    drawn = written(joined.mapInArrow(lean(featured), "_hash bigint, _y int, terms binary").groupBy("_hash", "_y", "terms").count(), "toxicity-sample")
+    return machine_of(*distinct(_lowest(drawn, max_rows, max_terms)), docs.sparkSession)
+
+
+def _lowest(drawn: DataFrame, max_rows: int, max_terms: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The rows with the lowest hashes within the bounds; a piece comes to the driver when the one before it has been taken."""
+    pieces = -(-(drawn.agg(F.sum(F.octet_length("terms"))).first()[0] or 1) // PIECE)
+    order, held = ["_hash", "_y", "terms"], 0
+    for k, r in enumerate(drawn.repartitionByRange(pieces, *order).sortWithinPartitions(*order).toLocalIterator()):
         terms = np.frombuffer(r["terms"], np.int32)
         held += len(terms)
-        if len(rows) >= max_rows or held > max_terms:
+        if k >= max_rows or held > max_terms:
             break
-        rows.append(terms)
-        y.append(r["_y"])
-    return fitted(rows, y, docs.sparkSession)
+        yield terms, r["_y"]
 
 
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
